@@ -47,7 +47,7 @@ SQL: dict[str, str] = {
     "p4_found": """
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_no, source_path, chunk_index ORDER BY loaded_at DESC, chunk_id DESC, meta_json DESC) AS rn FROM chunk_snapshots),
         cur AS (SELECT snapshot_no, source_path, chunk_index, chunk_id, meta_json,
-                list_sort(list_transform(json_keys(meta_json), k -> k || '=' || CAST(json_extract(json(meta_json), '$."' || k || '"') AS VARCHAR))) AS meta FROM r WHERE rn = 1),
+                list_sort(list_transform(json_keys(meta_json), lambda k: k || '=' || CAST(json_extract(json(meta_json), '$."' || k || '"') AS VARCHAR))) AS meta FROM r WHERE rn = 1),
         ord AS (SELECT s, lag(s) OVER (ORDER BY s) AS b FROM (SELECT DISTINCT snapshot_no AS s FROM chunk_snapshots)),
         a AS (SELECT o.s, c.* FROM cur c JOIN ord o ON c.snapshot_no = o.s WHERE o.b IS NOT NULL),
         b AS (SELECT o.s, c.* FROM cur c JOIN ord o ON c.snapshot_no = o.b)
@@ -60,7 +60,7 @@ SQL: dict[str, str] = {
         e AS (SELECT *, CASE WHEN line_no = 1 THEN regexp_replace(l0, '^\x{FEFF}', '') ELSE l0 END AS l FROM d),
         f AS (SELECT * FROM e WHERE l IS NOT NULL AND regexp_matches(l, '[^\s\x{A0}\x{FEFF}]')),
         c AS (SELECT row_id, regexp_full_match(l, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS well,
-                     list_transform(regexp_extract_all(',' || l, '(?s),(?:"(?:[^"]|"")*"|[^",]*)'), x -> regexp_replace(x[2:], '(?s)^"(.*)"$', '\1')) AS cells
+                     list_transform(regexp_extract_all(',' || l, '(?s),(?:"(?:[^"]|"")*"|[^",]*)'), lambda x: regexp_replace(x[2:], '(?s)^"(.*)"$', '\1')) AS cells
               FROM f WHERE file_kind = 'csv' AND line_no <> 1),
         j AS (SELECT row_id, CASE WHEN json_valid(l) THEN json_type(l) = 'OBJECT' ELSE false END AS obj, CASE WHEN json_valid(l) THEN l END AS l FROM f WHERE file_kind = 'jsonl'),
         k AS (SELECT row_id, obj, json_type(l, '$.event') AS te, json_type(l, '$.user_id') AS tu, json_type(l, '$.ts') AS tt,
