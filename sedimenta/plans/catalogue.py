@@ -62,7 +62,7 @@ SQL: dict[str, str] = {
         c AS (SELECT row_id, regexp_full_match(l, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS well,
                      list_transform(regexp_extract_all(',' || l, '(?s),(?:"(?:[^"]|"")*"|[^",]*)'), lambda x: regexp_replace(x[2:], '(?s)^"(.*)"$', '\1')) AS cells
               FROM f WHERE file_kind = 'csv' AND line_no <> 1),
-        j AS (SELECT row_id, CASE WHEN json_valid(l) THEN json_type(l) = 'OBJECT' ELSE false END AS obj, CASE WHEN json_valid(l) THEN l END AS l FROM f WHERE file_kind = 'jsonl'),
+        j AS (SELECT row_id, CASE WHEN json_valid(l) AND NOT regexp_matches(l, ',\s*[}\]]\s*$') THEN json_type(l) = 'OBJECT' ELSE false END AS obj, CASE WHEN json_valid(l) THEN l END AS l FROM f WHERE file_kind = 'jsonl'),
         k AS (SELECT row_id, obj, json_type(l, '$.event') AS te, json_type(l, '$.user_id') AS tu, json_type(l, '$.ts') AS tt,
                      l ->> '$.event' AS ev, l ->> '$.user_id' AS us, l ->> '$.ts' AS ts FROM j),
         s AS (SELECT row_id, CASE WHEN NOT well THEN 'quoting' WHEN len(cells) <> 6 THEN 'columns'
