@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import budget, encode, mixing
+from sedimenta.llm import budget, encode, lookalike, mixing
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.reached_shares(mixing.mix_sources(table(spark, folder, "documents"), targets), targets)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.lookalike_pairs(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
 
 SQL: dict[str, str] = {}
