@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import budget, encode, lookalike, mixing
+from sedimenta.llm import budget, encode, lookalike, mixing, neighbours
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, folder, "chunk_vectors"))
+
+
 def p6_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return budget.token_budget(table(spark, folder, "documents"))
 
@@ -37,6 +41,6 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
 
 SQL: dict[str, str] = {}
