@@ -33,6 +33,9 @@ IGNORABLE = "\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f͏ᅟ-ᅠ឴-឵᠋-᠏ㅤ︀-
 #: Code points up to here are looked through for the table; none beyond has a form of its own.
 LAST = 0x30000
 
+#: Characters of the table form that the words of one trie share.
+PREFIX = 8
+
 BLANK = regex.compile(r"[\t-\r \x85\p{Zs}  ]+")
 #: Texts of these characters alone are in table form as they are (a Java pattern; ASCII and Latin-1 without blanks and invisible characters).
 PLAIN = "\\A[\\t\\n -~¡-¬®-ÿ]*+\\z"
@@ -177,19 +180,25 @@ def spellings(docs: DataFrame) -> DataFrame:
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, odd, prefix = Trie(), [], None
+        words, odd, prefix = [], [], None
 
         def flush() -> pa.RecordBatch:
-            pairs = [(w, s) for w, form in odd if (s := choose(trie.match(w), form)) != form]
+            plain = {w for w, form, _ in words if w == form}
+            open_ = [(w, form) for w, form in odd if form not in plain]  # the others are spelt as their table form
+            trie = Trie()
+            if open_:
+                for w, _, times in words:
+                    trie.add(w, times)
+            pairs = [(w, s) for w, form in open_ if (s := choose(trie.match(w), form)) != form]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["word", "spelling"])
 
         for batch in batches:
             for word, form, times in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if form[:3] != prefix:
+                if form[:PREFIX] != prefix:
                     if odd:
                         yield flush()
-                    trie, odd, prefix = Trie(), [], form[:3]
-                trie.add(word, times)
+                    words, odd, prefix = [], [], form[:PREFIX]
+                words.append((word, form, times))
                 if word != form:
                     odd.append((word, form))
         if odd:
