@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sedimenta.llm import budget, encode, lookalike, mixing, neighbours
+from sedimenta.llm import budget, encode, lookalike, markup, mixing, neighbours
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, folder, "chunk_vectors"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.markup_found(table(spark, folder, "sections"), table(spark, folder, "markdown_units"))
+
+
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    sections = markup.clean_sections(table(spark, folder, "sections")).withColumn("rec_table", F.lit("sections"))
+    units = markup.clean_units(table(spark, folder, "markdown_units")).withColumn("rec_table", F.lit("markdown_units"))
+    return sections.unionByName(units).select("rec_table", "rec_id", "clean")
+
+
 def p6_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return budget.token_budget(table(spark, folder, "documents"))
 
@@ -41,6 +52,6 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
 
 SQL: dict[str, str] = {}
