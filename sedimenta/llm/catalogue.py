@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import budget, encode, lookalike, markup, mixing, neighbours
+from sedimenta.llm import boilerplate, budget, encode, lookalike, markup, mixing, neighbours
 from sedimenta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
     return sections.unionByName(units).select("rec_table", "rec_id", "clean")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.body_codes(table(spark, folder, "html_candidates"))
+
+
+def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, folder, "html_candidates")).select("page_id", "body")
+
+
 def p6_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return budget.token_budget(table(spark, folder, "documents"))
 
@@ -52,6 +60,6 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p5_found, p5_bodies, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
 
 SQL: dict[str, str] = {}
