@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.text_batches import pieces as cut
-from sedimenta.llm.tree import BLOCKS, Node, parse, render
+from sedimenta.functions.htmltree import BLOCKS, Node, parse, render
 
 #: Elements, roles and names of page furniture.
 CHROME = frozenset("nav aside footer form dialog menu button input select textarea label fieldset search".split())
