@@ -1,0 +1,105 @@
+"""Command line: plan, chunks, embed, config, providers."""
+
+from __future__ import annotations
+
+import argparse
+import os
+import sys
+
+from pyspark.sql import functions as F
+
+from sedimenta.errors import SedimentaError
+from sedimenta.plans import config as conf
+from sedimenta.plans.embed_plan import DEFAULT_MODELS, heuristic_plan, load_plan, merge_plan, parse_metadata
+
+CONFIG = os.path.join(os.path.expanduser("~"), ".sedimenta", "config.json")
+
+
+def _parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="sedimenta")
+    sub = p.add_subparsers(dest="command", required=True)
+    for name in ("plan", "chunks", "embed"):
+        c = sub.add_parser(name)
+        c.add_argument("files", nargs="+")
+        for flag, kind in (("--splitter", str), ("--chunk-size", int), ("--overlap", int), ("--collection", str), ("--metadata", str), ("--model", str), ("--provider", str), ("--plan", str), ("--tokens", str)):
+            c.add_argument(flag, type=kind)
+        c.add_argument("--out", default="chunks.txt" if name == "chunks" else None)
+        c.add_argument("--store", default="vectors")
+        c.add_argument("--force", action="store_true")
+    c = sub.add_parser("config")
+    c.add_argument("action", choices=("set", "get", "list", "path"))
+    c.add_argument("path", nargs="?")
+    c.add_argument("value", nargs="?")
+    sub.add_parser("providers")
+    return p
+
+
+def _plan(args, path: str, runtime: dict):
+    meta = parse_metadata(args.metadata) if args.metadata else None
+    given = {"splitter": args.splitter, "chunk_size": args.chunk_size, "overlap": args.overlap, "collection": args.collection or runtime["collection"], "metadata": meta}
+    if args.plan:
+        with open(args.plan, encoding="utf-8") as f:
+            return merge_plan(load_plan(f.read()), **given, embedding_model=args.model)
+    return heuristic_plan(path, runtime["model"], **given)
+
+
+def main(argv: list[str]) -> int:
+    args = _parser().parse_args(argv)
+    try:
+        settings = conf.Config(CONFIG)
+        if args.command == "config":
+            if args.action == "set":
+                settings.set(args.path or "", args.value or "")
+                settings.save()
+            elif args.action == "get":
+                print(settings.shown().get(args.path, "(unset)"))
+            elif args.action == "list":
+                print("\n".join(f"{k} = {v}" for k, v in settings.shown().items()))
+            else:
+                print(CONFIG)
+            return 0
+        if args.command == "providers":
+            for name, model in {**DEFAULT_MODELS, "hash": "hash-64"}.items():
+                ready = name == "hash" or bool(os.environ.get(f"{name.upper()}_API_KEY") or settings.get(f"apiKeys.{name}"))
+                print(f"{name:8} {'ready' if ready else 'no key':7} {model}")
+            return 0
+        runtime = conf.resolve({"provider": args.provider, "model": args.model, "collection": args.collection}, dict(os.environ), settings)
+        from sedimenta.operators import export, pipeline
+        from sedimenta.operators.chunking import chunk_sections
+        from sedimenta.operators.collection import ParquetCollections
+        from sedimenta.operators.embedding import provider
+        from sedimenta.session import local_session
+        from sedimenta.sources.files import expand_inputs, parse_files, read_files
+
+        paths = expand_inputs(args.files)
+        if args.command == "plan":
+            for p in paths:
+                print(_plan(args, p, runtime).to_json())
+            return 0
+        spark = local_session()
+        tokens = args.tokens or "byte_bpe_50k"
+        groups: dict = {}
+        for p in paths:
+            plan = _plan(args, p, runtime)
+            groups.setdefault(plan.to_json(), (plan, []))[1].append(p)
+        for plan, own in groups.values():
+            files = read_files(spark, own)
+            sections = parse_files(files)
+            if args.command == "chunks":
+                chunks = chunk_sections(sections, plan, tokens)
+                print(export.write_report(chunks, plan, args.out))
+                export.cost_summary(chunks, plan.embedding_model).show()
+            else:
+                store = ParquetCollections(spark, os.path.abspath(args.store))
+                done = pipeline.run(spark, sections, files.select("source_path", "source_hash"), plan, provider(runtime["provider"], runtime["key"]), store, os.path.join(os.path.abspath(args.store), "_ledger"), args.force, tokens=tokens)
+                print(f"{plan.collection}: {done}")
+                if args.out:
+                    export.export_vectors(store.read(plan.collection).select(F.get_json_object("metadata", "$.sourcePath").alias("source_path"), F.get_json_object("metadata", "$.chunkIndex").cast("int").alias("chunk_index"), "chunk_id", F.col("content").alias("text"), F.col("metadata").alias("meta_json"), F.lit(plan.embedding_model).alias("model"), F.size("vector").alias("dim"), "vector"), os.path.abspath(args.out))
+        return 0
+    except SedimentaError as e:
+        print(f"error: {e}", file=sys.stderr)
+        return e.exit_code
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

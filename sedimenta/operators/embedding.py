@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.errors import ProviderError, UserError
@@ -164,5 +164,4 @@ def embed_chunks(chunks: DataFrame, source: Provider, model: str, **options) ->
 
 def batch_numbers(chunks: DataFrame, size: int) -> DataFrame:
     """Adds batch_no: consecutive batches of ``size`` chunks within each source, in the order of chunk_index."""
-    place = F.row_number().over(Window.partitionBy("source_path").orderBy("chunk_index")) - 1
-    return chunks.withColumn("batch_no", F.floor(place / size).cast("int"))
+    return chunks.withColumn("batch_no", F.floor(F.col("chunk_index") / size).cast("int"))

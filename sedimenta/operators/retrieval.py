@@ -53,19 +53,17 @@ def rank_tfidf(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """
     tf = term_frequency(chunks, "chunk_id")
     df = document_frequency(tf)
-    total = chunks.agg(F.count(F.lit(1)).alias("n"))
-    # the total is one row
-    counted = tf.join(F.broadcast(total))
-    chunk_w = weighted(counted, df, F.col("n")).select("chunk_id", "term", F.col("w").alias("cw"))
-    query_tf = term_frequency(queries, "query_id").join(F.broadcast(total))
-    query_w = weighted(query_tf, df, F.col("n")).select("query_id", "term", F.col("w").alias("qw"))
+    n = F.lit(chunks.count())
+    chunk_w = weighted(tf, df, n).select("chunk_id", "term", F.col("w").alias("cw"))
+    query_w = weighted(term_frequency(queries, "query_id"), df, n).select("query_id", "term", F.col("w").alias("qw"))
     chunk_norm = chunk_w.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("cw") * F.col("cw"))).alias("cn"))
     query_norm = query_w.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     dot = query_w.join(chunk_w, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("cw")).alias("dot"))
     scored = dot.join(chunk_norm, "chunk_id").join(query_norm, "query_id").select("query_id", "chunk_id", (F.col("dot") / (F.col("cn") * F.col("qn"))).alias("score"))
     # k chunks of the smallest ids fill the ranks behind those that match; 2k of them suffice, as k at most are taken
-    fill = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-    zero = queries.select("query_id").join(F.broadcast(fill)).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    fill = [F.lit(r["chunk_id"]) for r in chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(2 * k).collect()]
+    spare = F.explode(F.array(*fill)) if fill else F.explode(F.lit(None).cast("array<string>"))
+    zero = queries.select("query_id", spare.alias("chunk_id")).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     pool = scored.unionByName(zero).withColumn("order", F.round("score", 12))
     part = Window.partitionBy("query_id", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).orderBy(F.desc("order"), "chunk_id")
     best = pool.withColumn("p", F.row_number().over(part)).filter(F.col("p") <= k)
