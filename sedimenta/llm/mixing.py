@@ -120,9 +120,9 @@ def reached_shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, target_share, n_docs, n_tokens, reached_share, most_uses`` for every target, reached or not."""
     wanted = targets.select(label("source").alias("source"), "target_share").groupBy("source").agg(F.sum("target_share").alias("target_share"))
     got = mixture.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("tokens") * F.col("uses")).alias("n_tokens"), F.max("uses").alias("most_uses"))
-    total = got.agg(F.sum("n_tokens").alias("all_tokens"))
-    # the total is one row
-    return wanted.join(got, "source", "left").join(F.broadcast(total)).select(
+    # one row per target: a window over all of them is small
+    rows = wanted.join(got, "source", "left").withColumn("all_tokens", F.sum("n_tokens").over(Window.partitionBy()))
+    return rows.select(
         "source", "target_share", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         F.round(F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("reached_share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
     )
