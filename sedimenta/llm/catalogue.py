@@ -62,4 +62,23 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p5_found, p5_bodies, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
 
-SQL: dict[str, str] = {}
+
+
+def _p10_sql() -> str:
+    """The table form by translate and replace, then pairs of different texts of equal form."""
+    forms = lookalike.table()
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    simple = {chr(k): v for k, v in forms.items() if len(v) == 1 and 0 < k < 0xE0000 and k not in (0x0D,)}
+    gone = "".join(chr(k) for k, v in forms.items() if v == "" and 0 < k < 0xE0000)
+    form = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    for k, v in forms.items():
+        if len(v) > 1:
+            form = f"replace({form}, {quote(chr(k))}, {quote(v)})" if k in range(0xFB00, 0xFB07) or 0x2160 <= k < 0x2180 else form
+    form = f"nfc_normalize(translate(nfc_normalize({form}), {quote(''.join(simple) + gone)}, {quote(''.join(simple.values()))}))"
+    return f"""
+        WITH f AS (SELECT doc_id, text, {form} AS form FROM documents WHERE text IS NOT NULL)
+        SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id
+        WHERE regexp_matches(a.form, '[^\\s\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]')"""
+
+
+SQL: dict[str, str] = {"p10_found": _p10_sql()}
