@@ -25,9 +25,9 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 FENCES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select", "datalist"), "optgroup": ("select",)}
 #: Elements beyond which an end tag doesn't close anything; nesting beyond DEEPEST is flattened.
 SCOPE = frozenset("table td th caption html body".split())
-DEEPEST = 400
+DEEPEST = 150
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>`]+)))?")
 
 
@@ -141,6 +141,19 @@ def parse(source: str) -> Node:
     return b.root
 
 
+def scripts(source: str) -> list[str]:
+    """What stands between the script tags of a page."""
+    out, at, low = [], 0, source.lower()
+    while (start := low.find("<script", at)) >= 0:
+        begin = low.find(">", start)
+        stop = low.find("</script", begin)
+        if begin < 0 or stop < 0:
+            break
+        out.append(source[begin + 1 : stop])
+        at = stop
+    return out
+
+
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
