@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.text_batches import pieces as cut
-from sedimenta.functions.htmltree import BLOCKS, Node, parse, render
+from sedimenta.functions.htmltree import BLOCKS, Node, parse, render, scripts
 
 #: Elements, roles and names of page furniture.
 CHROME = frozenset("nav aside footer form dialog menu button input select textarea label fieldset search".split())
@@ -227,8 +227,7 @@ def main_body(source: str) -> tuple[Node | None, float]:
 def state_strings(source: str) -> list[str]:
     """HTML strings in the JSON that a page's scripts hold."""
     out: list[str] = []
-    for m in re.finditer(r"<script\b[^>]*>(.*?)</script\s*>", source, re.S | re.I):
-        body = m[1].strip()
+    for body in map(str.strip, scripts(source)):
         at = re.search(r"[{\[]", body)
         if not at or "<" not in body and "\\u003c" not in body.lower() and "&lt;" not in body:
             continue

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -34,7 +35,7 @@ _CODE = re.compile(
   | (?P<comment><!--.*?(?:-->|\Z))
   | <(?P<pre>pre|textarea|listing|xmp)\b[^<>]*>(?P<pretext>.*?)(?:</(?P=pre)\s*>|\Z)
   | <(?P<script>script|style|template)\b[^<>]*>.*?(?:</(?P=script)\s*>|\Z)
-  | <(?P<code>code|kbd|samp|tt)\b[^<>]*>(?P<codetext>.*?)</(?P=code)\s*>
+  | <(?P<code>code|kbd|samp|tt)\b[^<>]*>(?P<codetext>(?:(?!<(?:code|kbd|samp|tt)\b).)*?)</(?P=code)\s*>
   | <(?P<nowiki>nowiki|syntaxhighlight)\b[^<>]*>(?P<nowikitext>.*?)(?:</(?P=nowiki)\s*>|\Z)
   | \\begin\{(?P<verbatim>verbatim\*?|Verbatim|lstlisting|minted|alltt)\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*(?P<verbatimtext>.*?)(?:\\end\{(?P=verbatim)\}|\Z)
   | \\verb\*?(?P<bar>[^\w\s*])(?P<verbtext>[^\n]*?)(?P=bar)
@@ -44,7 +45,7 @@ _CODE = re.compile(
 )
 _MATH = re.compile(
     r"""
-    \$\$(?P<display>.+?)\$\$ | \\\[(?P<square>.+?)\\\] | \\\((?P<round>.+?)\\\)
+    \$\$(?P<display>.+?)\$\$ | \\\[(?P<square>(?:(?!\\\[|\n[ \t]*\n).)+?)\\\] | \\\((?P<round>(?:(?!\\\(|\n[ \t]*\n).)+?)\\\)
   | \\begin\{(?P<env>(?:equation|align|gather|displaymath|math|eqnarray|multline|flalign)\*?)\}(?P<envtext>.*?)(?:\\end\{(?P=env)\}|\Z)
   | (?<![\w\\$])\$(?![\s$])(?P<inline>(?:[^$\n\\]|\\.)*?(?<![\s]))\$(?![\w$])
     """,
@@ -77,9 +78,16 @@ _WIKI_LINK = re.compile(r"(?<![\w\])])\[\[(?![\s\-!])([^\[\]\n|]*[^\s\[\]|])(?:\
 _WIKI_URL = re.compile(r"\[((?:https?|ftp|mailto):[^\s\]]+)(?:[ \t]+([^\]\n]+))?\](?!\()")
 _TEMPLATE = re.compile(r"\{\{\s*[#A-Za-z][^{}\n]*\}\}")
 _MAGIC = re.compile(r"__(?:NO)?(?:TOC|INDEX|EDITSECTION|GALLERY)__")
-_WIKI_QUOTES = re.compile(r"('{5}|'{3}|'{2})(?=[^\s'])([^\n]*?[^\s'])\1(?!')")
-_STRONG = (re.compile(r"(?<![*\\])\*\*(?=[^\s*])((?:[^\n]|\n(?![ \t]*\n))*?[^\s*\\])\*\*(?!\*)"), re.compile(r"(?<![\w\\])__(?=[^\s_])((?:[^\n]|\n(?![ \t]*\n))*?[^\s_\\])__(?!\w)"), re.compile(r"(?<![~\\])~~(?=[^\s~])([^\n]*?[^\s~\\])~~(?!~)"))
+_WIKI_QUOTES = re.compile(r"('{5}|'{3}|'{2})(?=[^\s'])((?:[^'\n]|'(?!'))*?[^\s'])\1(?!')")
+# a span never crosses another mark of its kind nor a blank line, so that every mark is looked at once
+_STRONG = (
+    re.compile(r"(?<![*\\])\*\*(?=[^\s*])((?:[^*\n]|\*(?!\*)|\n(?![ \t]*\n))*?[^\s*\\])\*\*(?!\*)"),
+    re.compile(r"(?<![\w\\])__(?=[^\s_])((?:[^_\n]|_(?!_)|\n(?![ \t]*\n))*?[^\s_\\])__(?!\w)"),
+    re.compile(r"(?<![~\\])~~(?=[^\s~])((?:[^~\n]|~(?!~))*?[^\s~\\])~~(?!~)"),
+)
 _EMPHASIS = (re.compile(r"(?<![*\w\\])\*(?=[^\s*])((?:[^*\n]|\n(?![ \t]*\n))*?[^\s*\\])\*(?![*\w])"), re.compile(r"(?<![\w\\])_(?=[^\s_])([^_\n]*?[^\s_\\])_(?!\w)"))
+#: Quotations are followed so deep; what is quoted deeper is read as text.
+QUOTED = 12
 
 
 class _Reading:
@@ -221,7 +229,7 @@ class _Reading:
         self.found.add(language)
         return f"{OPEN}h{min(level, 6)}{CLOSE}{self.inline(text.strip())}{END}h{min(level, 6)}{CLOSE}"
 
-    def blocks(self, text: str) -> str:
+    def blocks(self, text: str, depth: int = 0) -> str:
         text = _TABULAR.sub(self.tabular, text)
         text = _LATEX_HEADING.sub(lambda m: "\n" + self.heading("latex", _LATEX_LEVEL[m[1]], m[2]) + "\n", text)
         if "[" in text and _DEFINITION.search(text):
@@ -229,6 +237,7 @@ class _Reading:
             text = self.drop("markdown", _DEFINITION, text)
             text = _REFERENCE.sub(lambda m: m[1] if (m[2] or m[1]).lower() in names else m[0], text)
         lines, out, prose, i = text.split("\n"), [], [], 0
+        closing = [k for k, x in enumerate(lines) if x.lstrip().startswith("|}")] if "{|" in text else []
 
         def flush() -> None:
             if prose:
@@ -254,7 +263,8 @@ class _Reading:
                 out.append(f"{OPEN}li{CLOSE}{(item[1] + ' ') if item[1] else ''}{self.inline(line[item.end() :])}")
             elif line.lstrip().startswith("{|"):
                 flush()
-                stop = next((k for k in range(i, len(lines)) if lines[k].strip().startswith("|}")), None)
+                k = bisect_left(closing, i)
+                stop = closing[k] if k < len(closing) else None
                 if stop is None:
                     prose.append(line)
                 else:
@@ -284,14 +294,14 @@ class _Reading:
             elif re.fullmatch(r"[ ]{0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,})", line) and not prose:
                 flush()
                 self.found.add("wiki" if line.strip() == "----" else "markdown")
-            elif re.match(r"[ ]{0,3}>(?:[ \t]|\Z|>)", line):
+            elif depth < QUOTED and re.match(r"[ ]{0,3}>(?:[ \t]|\Z|>)", line):
                 flush()
                 self.found.add("markdown")
                 quoted = []
                 while i < len(lines) and re.match(r"[ ]{0,3}>", lines[i]):
                     quoted.append(re.sub(r"^[ ]{0,3}>[ \t]?", "", lines[i]))
                     i += 1
-                out.append(f"{OPEN}blockquote{CLOSE}{self.blocks(chr(10).join(quoted))}{END}blockquote{CLOSE}")
+                out.append(f"{OPEN}blockquote{CLOSE}{self.blocks(chr(10).join(quoted), depth + 1)}{END}blockquote{CLOSE}")
                 continue
             elif m := _ITEM.match(line):
                 flush()
