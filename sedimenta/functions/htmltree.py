@@ -28,6 +28,7 @@ SCOPE = frozenset("table td th caption html body".split())
 DEEPEST = 150
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>`]+)))?")
 
 
@@ -53,7 +54,9 @@ class Node:
     @property
     def hidden(self) -> bool:
         a = self.attrs
-        return self.tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
+        if not a:
+            return self.tag in HIDDEN
+        return self.tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true" or "style" in a and bool(_UNSEEN.search(a["style"]))
 
 
 class Builder:
@@ -109,6 +112,8 @@ class Builder:
 
 def attributes(source: str) -> dict[str, str]:
     out: dict[str, str] = {}
+    if not source or source.isspace():
+        return out
     for m in _ATTRIBUTE.finditer(source):
         out.setdefault(m[1].lower(), html.unescape(next((g for g in m.groups()[1:] if g is not None), "")))
     return out
