@@ -36,7 +36,8 @@ LINKS = 0.5
 #: Characters that the body of a page has at least; length of a HTML string in page state; strings looked at per script.
 LEAST_TEXT, STATE_TEXT = 25, 40
 #: Wording of notices about cookies and consent, which can be all the text that a page without article has.
-NOTICE = re.compile(r"\bcookies?\b|small files on your device|kleine Dateien auf Ihrem|archivos pequeños en su|petits fichiers sur votre|pequenos arquivos no seu|accept all of them|allem zustimmen|aceptarlos todos|tout accepter|accepter tous", re.I)
+NOTICE = re.compile(r"\bcookies?\b|small files on your device|kleine dateien auf ihrem|archivos pequeños en su|petits fichiers sur votre|pequenos arquivos no seu|accept all of them|allem zustimmen|aceptarlos todos|tout accepter|accepter tous", re.I)
+STEMS = ("cookie", "files", "dateien", "archivos", "fichiers", "arquivos", "accept", "zustimmen")
 RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)", re.I)
 CODE = re.compile(r"(?<![A-Za-z0-9])(?:KB|REL|FAQ|ADR|INC)-[0-9]{5}(?![0-9])")
 
@@ -93,7 +94,10 @@ def _names(node: Node) -> str:
 
 def _notice(text: str) -> bool:
     """Whether a short text asks for consent: at least two such wordings."""
-    return len(text) < 600 and len(set(m.lower() for m in NOTICE.findall(text))) > 1
+    if len(text) >= 600:
+        return False
+    low = text.lower()
+    return any(x in low for x in STEMS) and len(set(NOTICE.findall(low))) > 1
 
 
 def _score(page: _Page) -> dict[Node, float]:

@@ -186,8 +186,8 @@ class _Reading:
             text = self.drop("wiki", _WIKI_QUOTES, text, r"\2")
         if "__" in text:
             text = self.drop("wiki", _MAGIC, text)
-        for pattern in (*_STRONG, *_EMPHASIS):
-            for _ in range(3):
+        for mark, pattern in zip(("**", "__", "~~", "*", "_"), (*_STRONG, *_EMPHASIS)):
+            for _ in range(3 if mark in text else 0):
                 text, before = self.drop("markdown", pattern, text, r"\1"), text
                 if text == before:
                     break
