@@ -171,7 +171,7 @@ def render(root: Node, keep_lines: bool = False) -> str:
     line: list[str] = []
 
     def flush(lead: str = "") -> None:
-        text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(line)) if keep_lines else re.sub(r" *\n *", "\n", "".join(line))
+        text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(line)) if keep_lines else re.sub(r" *\n *", "\n", re.sub(" {2,}", " ", "".join(line)))
         line.clear()
         text = text.strip()
         if text:

@@ -7,7 +7,7 @@ import math
 import re
 
 #: White space that trimming removes (Unicode blanks, line ends and the byte order mark).
-BLANKS = "\t\n\x0b\x0c\r    -     　﻿"
+BLANKS = "\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _TRIM = re.compile(f"\\A[{BLANKS}]+|[{BLANKS}]+\\Z")
 _RUNS = re.compile(f"[{BLANKS}]+")
 

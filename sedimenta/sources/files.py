@@ -50,7 +50,8 @@ def expand_inputs(inputs: list[str], cwd: str = ".") -> list[str]:
                 new |= {os.path.join(at, n) for n in names if os.path.isfile(os.path.join(at, n))}
         elif re.search(r"[*?\[{]", given):
             new = {os.path.normpath(p) for q in _braces(path) for p in glob.glob(q, recursive=True, include_hidden=True) if os.path.isfile(p)}
-            new = {p for p in new if not IGNORED & set(p.split(os.sep))}
+            base = os.path.dirname(re.split(r"[*?\[{]", path)[0])
+            new = {p for p in new if not IGNORED & set(p.split(os.sep)) and not _linked(p, base)}
         else:
             raise UserError(f"{given} doesn't exist")
         if not new:
@@ -59,6 +60,16 @@ def expand_inputs(inputs: list[str], cwd: str = ".") -> list[str]:
     return sorted(found, key=lambda p: p.encode("utf-16-be", "surrogatepass"))
 
 
+def _linked(path: str, base: str) -> bool:
+    """Whether a folder between ``base`` and the file is a link."""
+    at = os.path.dirname(path)
+    while len(at) > len(base):
+        if os.path.islink(at):
+            return True
+        at = os.path.dirname(at)
+    return False
+
+
 def _braces(pattern: str) -> list[str]:
     m = re.search(r"\{([^{}]*)\}", pattern)
     return [pattern] if not m else [q for part in m[1].split(",") for q in _braces(pattern[: m.start()] + part + pattern[m.end() :])]
@@ -78,7 +89,7 @@ def sniff(head: bytes) -> str:
         if len(head) < SNIFFED or e.start < len(head) - 3 or e.reason != "unexpected end of data":
             return "binary"
         text = head[: e.start].decode("utf-8")
-    start = text.lstrip("﻿ \t\r\n\f\v")
+    start = text.lstrip("\ufeff \t\r\n\f\v")
     if re.match(r"<!doctype html|<html\b", start, re.I):
         return "html"
     if start[:1] in ("{", "["):
@@ -90,7 +101,7 @@ def sniff(head: bytes) -> str:
 def sniff_column(text: Column) -> Column:
     """``sniff`` of a text column (which can't hold invalid UTF-8), as a native expression."""
     head = F.substring(text, 1, SNIFFED)
-    start = F.regexp_replace(head, "^[﻿ \\t\\r\\n\\f\\x0b]+", "")
+    start = F.regexp_replace(head, "^[\ufeff \\t\\r\\n\\f\\x0b]+", "")
     odd = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x07\x0b\x0e-\x1f]", ""))
     return (
         F.when(head.startswith("%PDF-"), "pdf").when(F.instr(head, "\0") > 0, "binary")

@@ -55,7 +55,7 @@ def csv_rows(text: str, strict: bool = False) -> list[list[str]]:
 
 def csv_sections(text: str, strict: bool = False) -> list[dict]:
     """One section per data row, ``column: value`` lines; rows of one empty cell are left out but numbered."""
-    rows = csv_rows(text.removeprefix("﻿"), strict)
+    rows = csv_rows(text.removeprefix("\ufeff"), strict)
     if not rows:
         return []
     head, out = rows[0], []
@@ -70,7 +70,7 @@ def csv_sections(text: str, strict: bool = False) -> list[dict]:
 def json_sections(text: str) -> list[dict]:
     """A section per element of an array or per key of an object; a scalar is one section."""
     try:
-        value = parse(text.removeprefix("﻿"))
+        value = parse(text.removeprefix("\ufeff"))
     except (ValueError, RecursionError) as e:
         raise ParseError(f"malformed JSON: {e}") from None
     if isinstance(value, list):
@@ -83,7 +83,7 @@ def json_sections(text: str) -> list[dict]:
 def jsonl_sections(text: str) -> list[dict]:
     """A section per non-blank line, with its number among all lines."""
     out = []
-    for i, line in enumerate(re.split(r"\r?\n", text.removeprefix("﻿")), 1):
+    for i, line in enumerate(re.split(r"\r?\n", text.removeprefix("\ufeff")), 1):
         if not trim(line):
             continue
         try:

@@ -1,0 +1,210 @@
+"""Ledger, collections, pipeline, export, streaming, embedding, configuration, command line."""
+
+import json
+import os
+import stat
+
+import pytest
+from pyspark.sql import functions as F
+
+from sedimenta.errors import CollectionError, IntegrityError, ProviderError, UserError
+from sedimenta.operators import collection, export, ledger, pipeline
+from sedimenta.operators.chunking import chunk_sections, number_chunks
+from sedimenta.operators.collection import ParquetCollections
+from sedimenta.operators.embedding import HashProvider, batch_numbers, embed_chunks, embed_texts, provider, with_retries
+from sedimenta.plans.config import Config, mask_key, mask_url, resolve
+from sedimenta.plans.embed_plan import EmbedPlan
+from sedimenta.sources.files import parse_texts
+from sedimenta.streaming.ingest import SOURCE, ingest, source_stream
+
+PLAN = EmbedPlan("markdown", 50, 5, "kb", "m")
+PROVIDER = HashProvider(8)
+
+
+def texts(spark, rows):
+    df = spark.createDataFrame(rows, "source_path string, text string")
+    return parse_texts(df).filter("text is not null"), df.select("source_path", F.sha2("text", 256).alias("source_hash"))
+
+
+def test_numbers(spark):
+    rows = [("a", s, k) for s in (0, 3, 1024, 5000) for k in range(3)] + [("b", 7, 0), (None, 0, 0)]
+    got = number_chunks(spark.createDataFrame(rows, "source_path string, section_index int, chunk_in_section int")).collect()
+    assert sorted(r["chunk_index"] for r in got if r["source_path"] == "a") == list(range(12))
+    at = {(r["source_path"], r["section_index"], r["chunk_in_section"]): r["chunk_index"] for r in got}
+    assert at["a", 1024, 1] == 7 and at["b", 7, 0] == 0 and at[None, 0, 0] == 0
+    assert batch_numbers(spark.createDataFrame([("a", 130)], "source_path string, chunk_index int"), 64).first()["batch_no"] == 2
+
+
+def test_chunks_and_metadata(spark):
+    sections, _ = texts(spark, [("a.md", "# A\n\none\n\n## B\n\ntwo"), ("b.md", "")])
+    plan = EmbedPlan("markdown", 50, 5, "kb", "m", {"team": "x", "chunkIndex": "no"})
+    got = sorted(chunk_sections(sections, plan, "words").collect(), key=lambda r: r["chunk_index"])
+    meta = [json.loads(r["meta_json"]) for r in got]
+    assert [r["text"] for r in got] == ["# A\n\none", "# A\n\n## B\n\ntwo"] and [m["chunkIndex"] for m in meta] == [0, 1]
+    assert meta[1]["headerPath"] == ["A", "B"] and meta[1]["team"] == "x" and meta[1]["sourcePath"] == "a.md"
+    again = chunk_sections(sections, plan, "words").collect()
+    assert {r["chunk_id"] for r in again} == {r["chunk_id"] for r in got} and all(len(r["chunk_id"]) == 16 for r in got)
+
+
+def test_diff(spark):
+    frame = lambda ids: spark.createDataFrame([("s", i, k) for i, k in enumerate(ids)], "source_path string, chunk_index int, chunk_id string")
+    old, new = frame(["a", "b", "b", "c"]), frame(["b", "d", "d", "c"])
+    assert {r["chunk_id"]: r["status"] for r in ledger.diff_chunks(old, new).collect()} == {"a": "removed", "b": "kept", "c": "kept", "d": "added"}
+    assert tuple(ledger.outcome_counts(ledger.diff_chunks(old, new)).first())[1:] == (1, 2, 1)
+    assert sorted(r["chunk_id"] for r in ledger.work_set(new, old).collect()) == ["b", "d", "d"]
+    assert ledger.diff_chunks(frame([]), frame([])).count() == 0
+    jobs = spark.createDataFrame([("k", "a"), ("k", "b"), ("l", "a")], "job_key string, chunk_id string")
+    done = spark.createDataFrame([("k", "a"), ("k", "z"), ("k", "a")], "job_key string, chunk_id string")
+    assert sorted(map(tuple, ledger.remaining(jobs, done).collect())) == [("k", "b"), ("l", "a")]
+    assert {tuple(r) for r in ledger.strangers(done, jobs).collect()} == {("k", "z")}
+
+
+def test_pipeline(spark, tmp_path):
+    store, at = ParquetCollections(spark, f"{tmp_path}/store"), f"{tmp_path}/ledger"
+    run = lambda rows, plan=PLAN, **k: tuple(vars(pipeline.run(spark, *texts(spark, rows), plan, PROVIDER, store, at, tokens="words", **k)).values())
+    rows = [("a.md", "# A\n\none\n\n# B\n\ntwo"), ("b.md", "# C\n\nthree")]
+    assert run(rows) == (2, 0, 3, 0, 0)
+    assert run(rows) == (2, 2, 0, 0, 0), "nothing changed, nothing done"
+    rows[0] = ("a.md", "# A\n\none\n\n# B\n\nTWO")
+    assert run(rows) == (2, 1, 1, 0, 1)
+    assert sorted(r["content"] for r in store.read("kb").collect()) == ["# A\n\none", "# B\n\nTWO", "# C\n\nthree"]
+    stamped = EmbedPlan("markdown", 50, 5, "kb", "m", {"team": "x"})
+    assert run(rows, stamped) == (2, 0, 0, 3, 0), "metadata are stored anew with the vectors there are"
+    assert store.read("kb").filter("metadata like '%team%'").count() == 3
+    assert run(rows, stamped, force=True, waves=2) == (2, 0, 3, 0, 0)
+    assert run(rows, EmbedPlan("markdown", 50, 5, "other", "m")) == (2, 0, 3, 0, 0), "another collection starts empty"
+    with pytest.raises(IntegrityError):
+        run(rows, EmbedPlan("markdown", 50, 5, "kb", "m2"))
+
+
+def test_failed_run_is_taken_up_again(spark, tmp_path):
+    class Failing(HashProvider):
+        def embed(self, texts, model):
+            raise ProviderError("no", retryable=False)
+
+    store, at = ParquetCollections(spark, f"{tmp_path}/store"), f"{tmp_path}/ledger"
+    rows = [("a.md", "# A\n\none")]
+    with pytest.raises(Exception, match="no"):
+        pipeline.run(spark, *texts(spark, rows), PLAN, Failing(8), store, at, tokens="words")
+    assert store.read("kb").count() == 0
+    assert pipeline.run(spark, *texts(spark, rows), PLAN, PROVIDER, store, at, tokens="words").embedded == 1
+
+
+def test_collections(spark, tmp_path):
+    store = ParquetCollections(spark, str(tmp_path))
+    assert store.describe("kb") is None
+    with pytest.raises(CollectionError):
+        store.read("kb")
+    store.ensure("kb", 2)
+    rows = spark.createDataFrame([("a", [1.0, 2.0], "x", "{}"), ("b", [1.0, 2.0], "y", "{}")], collection.ROWS)
+    store.apply("kb", rows)
+    store.apply("kb", rows.filter("chunk_id = 'a'").withColumn("content", F.lit("z")), rows.select("chunk_id"))
+    assert [(r["chunk_id"], r["content"]) for r in store.read("kb").collect()] == [("a", "z")] and store.describe("kb") == {"dim": 2}
+    with pytest.raises(IntegrityError):
+        store.ensure("kb", 3)
+    with pytest.raises(UserError):
+        store.describe("../x")
+
+
+def test_vector_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.5], 2), (2, [1.0], 2), (3, None, 2), (4, [1.0, float("nan")], 2), (5, [float("inf"), None], 2)], "i int, v array<float>, d int")
+    got = {r["i"]: r["p"] for r in df.select("i", collection.vector_problem(F.col("v"), F.col("d")).alias("p")).collect()}
+    assert got == {1: None, 2: "dimensions", 3: "missing", 4: "not finite", 5: "not finite"}
+    one = df.filter("i = 1").select(collection.vector_literal(F.col("v"), 1).alias("l"), collection.point_uuid(F.lit("0123456789abcdef")).alias("u"), collection.sql_name(F.lit("a-b")).alias("n")).first()
+    assert tuple(one) == ("[1.0,2.5]", "01234567-89ab-cdef-0123-456789abcdef", "a_b")
+    meta = {"a": F.array(F.lit("x"), F.lit("y")), "n": F.lit(None).cast("string"), "o": F.struct(F.lit(1).alias("k")), "i": F.lit(3)}
+    kinds = {"a": "array", "o": "object"}
+    flat, listed = df.limit(1).select(collection.flat_metadata(meta, kinds), collection.listed_metadata(meta, kinds)).first()
+    assert json.loads(flat) == {"a": "x/y", "o": '{"k":1}', "i": 3} and json.loads(listed)["a"] == ["x", "y"]
+
+
+def test_embedding(spark):
+    calls, waits = [], []
+
+    class Slow(HashProvider):
+        def embed(self, t, model):
+            calls.append(len(t))
+            if len(calls) == 1:
+                raise ProviderError("busy", retryable=True, status=429)
+            return super().embed(t, model)
+
+    source = Slow(4)
+    source.batch = 3
+    got = embed_texts([f"w{i}" for i in range(10)], source, "m", 4, concurrency=1, wait=0)
+    assert calls == [3, 3, 3, 3, 1] and got == HashProvider(4).embed([f"w{i}" for i in range(10)], "m")
+
+    def fail():
+        raise ProviderError("busy", retryable=True)
+
+    with pytest.raises(ProviderError):
+        with_retries(fail, 3, 0.5, waits.append)
+    assert waits == [0.5, 1.0, 2.0]
+    with pytest.raises(ProviderError):
+        embed_texts(["a"], HashProvider(4), "m", 5)
+    for name, key in (("none", "k"), ("openai", None)):
+        with pytest.raises(UserError):
+            provider(name, key)
+    assert provider("openai", "k").dimensions("text-embedding-3-small") == 1536
+    df = spark.createDataFrame([("a", "x y"), ("b", "")], "chunk_id string, text string")
+    rows = embed_chunks(df, PROVIDER, "m").collect()
+    assert all(len(r["vector"]) == r["dim"] == 8 and r["model"] == "m" for r in rows) and embed_chunks(df.limit(0), PROVIDER, "m").count() == 0
+
+
+def test_export(spark, tmp_path):
+    sections, _ = texts(spark, [("b.md", "# B\n\ntwo"), ("a.md", "# A\n\none\n\n# C\n\nthree")])
+    chunks = chunk_sections(sections, PLAN, "words")
+    out = f"{tmp_path}/v.jsonl"
+    export.export_vectors(embed_chunks(chunks, PROVIDER, "m"), out, files=1)
+    lines = [json.loads(x) for f in sorted(os.listdir(out)) if f.startswith("part") for x in open(f"{out}/{f}")]
+    assert [(x["sourcePath"], x["text"]) for x in lines] == [("a.md", "# A\n\none"), ("a.md", "# C\n\nthree"), ("b.md", "# B\n\ntwo")]
+    assert all(len(x["vector"]) == x["dimensions"] == 8 for x in lines) and os.listdir(tmp_path) == ["v.jsonl"]
+    for call in (lambda: export.export_vectors(chunks, f"{tmp_path}/v.csv"), lambda: export.write_report(chunks, PLAN, f"{tmp_path}/r.md")):
+        with pytest.raises(UserError):
+            call()
+    report = open(export.write_report(chunks, PLAN, f"{tmp_path}/r.txt")).read()
+    assert "Files: 2\nChunks: 3" in report and report.index("Source: a.md") < report.index("CHUNK 2 OF 2") < report.index("Source: b.md")
+    cost = export.cost_summary(chunks, "text-embedding-3-small").first()
+    assert cost["n_chunks"] == 3 and cost["shown"] == "<$0.0001" and export.cost_summary(chunks, "nobody").first()["shown"] == "unknown"
+
+
+def test_stream(spark, tmp_path):
+    store = ParquetCollections(spark, f"{tmp_path}/store")
+
+    def step(rows):
+        spark.createDataFrame(rows, SOURCE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = ingest(source_stream(spark, f"{tmp_path}/in"), PLAN, PROVIDER, store, f"{tmp_path}/ledger", f"{tmp_path}/checkpoint", tokens="words")
+        q.awaitTermination()
+        return sorted(r["content"] for r in store.read("kb").collect())
+
+    assert step([("a.md", "# A\n\none", None), ("b.md", "# B\n\ntwo", None)]) == ["# A\n\none", "# B\n\ntwo"]
+    assert step([("a.md", "# A\n\nnew", None)]) == ["# A\n\nnew", "# B\n\ntwo"]
+
+
+def test_configuration(tmp_path):
+    path = f"{tmp_path}/c/config.json"
+    c = Config(path)
+    c.set("apiKeys.openai", "sk-123456789")
+    c.set("dbs.pgvector.url", "postgres://someone:secret@host/db")
+    c.save()
+    assert stat.S_IMODE(os.stat(path).st_mode) == 0o600
+    assert Config(path).shown() == {"apiKeys.openai": "sk-1…6789", "dbs.pgvector.url": "postgres://so…:***@host/db"}
+    assert mask_key("") == "(unset)" and mask_key("short") == "***" and mask_url("nonsense-text") == "nons…text"
+    with pytest.raises(UserError):
+        c.set("no.such", "x")
+    got = resolve({"model": None}, {"SEDIMENTA_PROVIDER": "openai"}, Config(path))
+    assert got["model"] == "text-embedding-3-small" and got["key"] == "sk-123456789"
+    with open(path, "w") as f:
+        f.write("[")
+    with pytest.raises(UserError):
+        Config(path)
+
+
+def test_command_line(tmp_path, capsys, monkeypatch):
+    import sedimenta.__main__ as cli
+
+    monkeypatch.setattr(cli, "CONFIG", f"{tmp_path}/config.json")
+    (tmp_path / "a.md").write_text("# A\n\nx")
+    assert cli.main(["plan", f"{tmp_path}/a.md", "--chunk-size", "99", "--metadata", "k=v"]) == 0
+    assert json.loads(capsys.readouterr().out)["chunkSize"] == 99
+    assert cli.main(["plan", f"{tmp_path}/none.md"]) == 1 and cli.main(["config", "set", "defaults.provider", "openai"]) == 0 and cli.main(["config", "get", "defaults.provider"]) == 0
+    assert "openai" in capsys.readouterr().out and cli.main(["providers"]) == 0
