@@ -108,7 +108,7 @@ def _score(page: _Page) -> dict[Node, float]:
         text = page.text(node).strip()
         if len(text) < LEAST_TEXT or RIGHTS.match(text) or _notice(text):
             continue
-        value = (1 + len(re.findall("[,،、，;]", text)) + min(len(text) / 100, 4)) * (1 - page.density(node))
+        value = (1 + len(re.findall("[,\u060c\u3001\uff0c;]", text)) + min(len(text) / 100, 4)) * (1 - page.density(node))
         up, share = node.parent, 1.0
         while up is not None and share > 0.1:
             points[up] = points.get(up, 0) + value * share

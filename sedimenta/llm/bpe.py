@@ -15,7 +15,7 @@ import numpy as np
 import regex
 
 #: Fixed value: the pre-splitting pattern of the byte_bpe vocabularies.  White space is spelt out, as libraries differ in it.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 PIECES = regex.compile(PATTERN)
 #: A space that is neither at the border of a run of white space nor alone: splitting at every space would be wrong there.

@@ -28,17 +28,17 @@ LOOKALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УҮΥ", "Z": "ΖᏃ",
 }
 #: Format characters that do show, and ignorable characters that aren't format characters (first and last of each range).
-VISIBLE_FORMAT = "؀-؅۝܏࢐-࢑࣢\U000110bd\U000110cd"
-IGNORABLE = "\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f͏ᅟ-ᅠ឴-឵᠋-᠏ㅤ︀-️ﾠ\U000e0000-\U000e0fff"
+VISIBLE_FORMAT = "\u0600-\u0605\u06dd\u070f\u0890-\u0891\u08e2\U000110bd\U000110cd"
+IGNORABLE = "\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\u034f\u115f-\u1160\u17b4-\u17b5\u180b-\u180f\u3164\ufe00-\ufe0f\uffa0\U000e0000-\U000e0fff"
 #: Code points up to here are looked through for the table; none beyond has a form of its own.
 LAST = 0x30000
 
 #: Characters of the table form that the words of one trie share.
 PREFIX = 8
 
-BLANK = regex.compile(r"[\t-\r \x85\p{Zs}  ]+")
+BLANK = regex.compile(r"[\t-\r \x85\p{Zs}\u2028\u2029]+")
 #: Texts of these characters alone are in table form as they are (a Java pattern; ASCII and Latin-1 without blanks and invisible characters).
-PLAIN = "\\A[\\t\\n -~¡-¬®-ÿ]*+\\z"
+PLAIN = "\\A[\\t\\n -~\xa1-\xac\xae-\xff]*+\\z"
 
 
 @lru_cache(maxsize=1)
@@ -55,7 +55,7 @@ def table() -> dict[int, str]:
             return ""
         if kind == "Zs":
             return " "
-        if c in "  \x85":
+        if c in "\u2028\u2029\x85":
             return "\n"
         if kind == "Pd" and "HYPHEN" in name and "DOUBLE" not in name:
             return "-"

@@ -25,8 +25,8 @@ from sedimenta.functions.htmltree import BLOCKS, ELEMENTS, RAW, VOID, Builder, a
 LANGUAGES = ("html", "markdown", "wiki", "latex")
 
 # noncharacters delimit the inner tags: OPEN name CLOSE, END name CLOSE, KEPT number CLOSE
-OPEN, CLOSE, END, KEPT = "﷐", "﷑", "﷒", "﷓"
-_INNER = re.compile("[﷐-﷯]")
+OPEN, CLOSE, END, KEPT = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_INNER = re.compile("[\ufdd0-\ufdef]")
 _TAGS = re.compile(f"([{OPEN}{END}{KEPT}])([^{CLOSE}]*){CLOSE}")
 
 _CODE = re.compile(
