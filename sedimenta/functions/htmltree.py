@@ -89,6 +89,8 @@ class Builder:
             self._imply(ENDS[name], FENCES[name])
         if name[0] == "h" and name[1:].isdigit() and self.at.tag[0] == "h" and self.at.tag[1:].isdigit():
             self._up(self.at)
+        if self.depth >= DEEPEST and name in BLOCKS:
+            self._up(self.at)  # blocks nested too deep stand side by side, inline elements are passed over
         node = Node(name, attrs or {}, self.at)
         self.at.children.append(node)
         if name not in VOID and not empty and self.depth < DEEPEST:
