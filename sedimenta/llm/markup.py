@@ -247,6 +247,7 @@ class _Reading:
         while i < len(lines):
             line = lines[i]
             after = lines[i + 1] if i + 1 < len(lines) else ""
+            fresh = not prose or not prose[-1].strip()
             env = _LIST_ENV.match(line)
             if env:
                 flush()
@@ -284,14 +285,14 @@ class _Reading:
             elif m := _ATX.match(line):
                 flush()
                 out.append(self.heading("markdown", len(m[1]), m[2]))
-            elif (m := _WIKI_HEADING.match(line)) and (len(m[1]) > 1 or not prose):
+            elif (m := _WIKI_HEADING.match(line)) and (len(m[1]) > 1 or fresh):
                 flush()
                 out.append(self.heading("wiki", len(m[1]), m[2]))
-            elif line.strip() and re.fullmatch(r"[ ]{0,3}(?:=+|-{2,})[ \t]*", after) and not prose and not _ITEM.match(line) and "|" not in line:
+            elif line.strip() and re.fullmatch(r"[ ]{0,3}(?:=+|-{2,})[ \t]*", after) and fresh and not _ITEM.match(line) and "|" not in line:
                 flush()
                 out.append(self.heading("markdown", 1 if "=" in after else 2, line))
                 i += 1
-            elif re.fullmatch(r"[ ]{0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,})", line) and not prose:
+            elif re.fullmatch(r"[ ]{0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,})", line) and fresh:
                 flush()
                 self.found.add("wiki" if line.strip() == "----" else "markdown")
             elif depth < QUOTED and re.match(r"[ ]{0,3}>(?:[ \t]|\Z|>)", line):
@@ -307,7 +308,8 @@ class _Reading:
                 flush()
                 level = max(len(m[1].expandtabs(4)) // 2, len(m[2]) - 1 if m[2][0] in "*#:;" else 0)
                 mark = m[2] if m[2][0] not in "*+#:;•‣◦·" else "-"
-                out.append(f'{OPEN}ul{CLOSE}{OPEN}ul{CLOSE}' * (level > 0) + f'{OPEN}ul{CLOSE}{OPEN}li mark="{mark}"{CLOSE}{self.inline(line[m.end() :])}{END}li{CLOSE}{END}ul{CLOSE}' + f'{END}ul{CLOSE}{END}ul{CLOSE}' * (level > 0))
+                deep = min(level, 8)
+                out.append(f"{OPEN}ul{CLOSE}" * (deep + 1) + f'{OPEN}li mark="{mark}"{CLOSE}{self.inline(line[m.end() :])}{END}li{CLOSE}' + f"{END}ul{CLOSE}" * (deep + 1))
             else:
                 prose.append(line)
             i += 1
