@@ -8,12 +8,12 @@ import re
 
 #: White space that trimming removes (Unicode blanks, line ends and the byte order mark).
 BLANKS = "\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-_TRIM = re.compile(f"\\A[{BLANKS}]+|[{BLANKS}]+\\Z")
+_EACH = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{BLANKS}]", c))
 _RUNS = re.compile(f"[{BLANKS}]+")
 
 
 def trim(text: str) -> str:
-    return _TRIM.sub("", text)
+    return text.strip(_EACH)
 
 
 def collapse(text: str) -> str:

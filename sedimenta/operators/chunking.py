@@ -14,6 +14,7 @@ from sedimenta.functions.markdown_chunks import split_section
 from sedimenta.functions.splitting import PROSE, bounded, code_separators, recursive_split
 from sedimenta.functions.tokens import Counter, counter
 from sedimenta.plans.embed_plan import EmbedPlan
+from sedimenta.session import materialise
 
 #: Fixed value: goes into every chunk id; another one makes all ids new.
 CHUNKER_VERSION = "5"
@@ -80,18 +81,22 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
 
     The chunks of each block of sections are counted first, so that no window has to hold a whole source.
     """
-    blocked = chunks.withColumn("_block", F.floor(F.col("section_index") / BLOCK))
-    counts = blocked.groupBy("source_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    spread = chunks.withColumn("_block", F.floor(F.col("section_index") / BLOCK))
+    counts = spread.groupBy("source_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
     start = F.sum("_n").over(Window.partitionBy("source_path").orderBy("_block")) - F.col("_n")
     starts = counts.select(F.col("source_path").alias("_path"), F.col("_block").alias("_b"), start.alias("_start"))
     place = F.row_number().over(Window.partitionBy("source_path", "_block").orderBy("section_index", "chunk_in_section")) - 1
-    joined = blocked.withColumn("_place", place).join(starts, F.col("source_path").eqNullSafe(F.col("_path")) & (F.col("_block") == F.col("_b")))
+    joined = spread.withColumn("_place", place).join(starts, F.col("source_path").eqNullSafe(F.col("_path")) & (F.col("_block") == F.col("_b")))
     return joined.withColumn("chunk_index", (F.col("_start") + F.col("_place")).cast("int")).drop("_block", "_path", "_b", "_start", "_place")
 
 
 def chunk_sections(sections: DataFrame, plan: EmbedPlan, tokens: str = "byte_bpe_50k") -> DataFrame:
-    """Chunks with index and id: ``chunk_id, source_path, section_index, chunk_in_section, chunk_index, text, n_tokens, meta_json``."""
-    chunks = number_chunks(split_sections(sections, plan, tokens))
+    """Chunks with index and id: ``chunk_id, source_path, section_index, chunk_in_section, chunk_index, text, n_tokens, meta_json``.
+
+    The split chunks are written to the shared folder first, as numbering reads them twice and splitting
+    is what costs.
+    """
+    chunks = number_chunks(materialise(split_sections(sections, plan, tokens), "split"))
     meta = F.concat(F.expr("substring(meta_json, 1, length(meta_json) - 1)"), F.lit(',"chunkIndex":'), F.col("chunk_index").cast("string"), F.lit("}"))
     return chunks.select(
         chunk_id(F.col("source_path"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "source_path", "section_index", "chunk_in_section", "chunk_index", "text", "n_tokens", meta.alias("meta_json"),

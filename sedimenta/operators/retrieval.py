@@ -12,6 +12,7 @@ from sedimenta.errors import IntegrityError, UserError
 from sedimenta.functions.jstext import canonical
 from sedimenta.operators.chunking import chunk_sections
 from sedimenta.plans.embed_plan import EmbedPlan
+from sedimenta.session import materialise
 
 #: Words that say nothing about a text.
 STOP_WORDS = "a an and are as at be by do for from how in is it of on or the to what when which with".split()
@@ -51,7 +52,8 @@ def rank_tfidf(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     up the ranks in order of id.  Scores come from a join on terms, not from all pairs; queries with
     many matches are cut to the best ``k`` per part before the final ranking.
     """
-    tf = term_frequency(chunks, "chunk_id")
+    # frequencies, weights and norms all read the terms: taken out of the texts once
+    tf = materialise(term_frequency(chunks, "chunk_id"), "terms")
     df = document_frequency(tf)
     n = F.lit(chunks.count())
     chunk_w = weighted(tf, df, n).select("chunk_id", "term", F.col("w").alias("cw"))

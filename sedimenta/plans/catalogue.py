@@ -12,7 +12,7 @@ from sedimenta.operators import chunking, collection, embedding, export, increme
 from sedimenta.plans import embed_plan
 from sedimenta.plans.embed_plan import EmbedPlan
 from sedimenta.sources import files
-from sedimenta.sources.tables import table
+from sedimenta.sources.tables import spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,7 +58,8 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sections(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a source of one section."""
-    return _documents(spark, folder).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_path"), F.lit(0).alias("section_index"), "text")
+    docs = spread_table(spark, folder, "documents", "doc_id", "text")
+    return docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_path"), F.lit(0).alias("section_index"), "text")
 
 
 def _questions(spark: SparkSession) -> DataFrame:
@@ -71,7 +72,8 @@ def _labels(spark: SparkSession) -> DataFrame:
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as units of retrieval."""
-    return _documents(spark, folder).select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("chunk_id"), "source", "text")
+    docs = spread_table(spark, folder, "documents", "doc_id", "source", "text")
+    return docs.select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("chunk_id"), "source", "text")
 
 
 def _newest_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -310,7 +312,7 @@ def export_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.term_frequency(_documents(spark, folder))
+    return retrieval.term_frequency(spread_table(spark, folder, "documents", "doc_id", "text"))
 
 
 def document_frequency(spark: SparkSession, folder: str) -> DataFrame:

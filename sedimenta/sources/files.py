@@ -166,6 +166,7 @@ def parse_files(files: DataFrame, on_error: str = "raise") -> DataFrame:
     names = schema.names
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
@@ -174,11 +175,14 @@ def parse_files(files: DataFrame, on_error: str = "raise") -> DataFrame:
                     if on_error != "keep":
                         raise
                     kind, found = None, [{"text": None, "error": str(e)}]
-                rows = [{"source_path": path, "content_type": kind, "section_index": i, "item": s.get("index"), **{k: s.get(k) for k in names[3:] if k != "item"}} for i, s in enumerate(found)]
-                if rows:
-                    for r in rows:
-                        r["columns"] = list(r["columns"].items()) if r["columns"] is not None else None
+                for i, s in enumerate(found):
+                    columns = s.get("columns")
+                    rows.append({k: s[k] for k in s if k in names} | {"source_path": path, "content_type": kind, "section_index": i, "item": s.get("index"), "columns": columns and list(columns.items())})
+                if len(rows) >= 1000:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("source_path", "content").mapInArrow(parse, SECTIONS)
 

@@ -66,3 +66,20 @@ def test_tables(spark, tmp_path):
     assert got == [(".dot.txt", 0, "x"), ("a.md", 0, "# A\n\nx"), ("a.md", 1, "## B\n\ny"), ("c.csv", 0, "h: v")]
     bad = parse_texts(spark.createDataFrame([("x.json", "{"), ("y.json", None), ("z.txt", "")], "source_path string, text string")).collect()
     assert {r["source_path"]: r["error"] is not None for r in bad} == {"x.json": True, "y.json": True, "z.txt": False}
+
+
+def test_blocks(spark, tmp_path):
+    from sedimenta.sources.blocks import line_records, text_blocks
+
+    text = "\n".join(f"line {i} é" + "\n" * (i % 3 == 0) for i in range(400)) + "\nlast without end"
+    (tmp_path / "t.txt").write_text(text)
+    for size, block in ((97, 40), (1000, 200), (10**6, 10**6)):
+        rows = text_blocks(spark, [str(tmp_path / "t.txt")], size, block).orderBy("section_index").collect()
+        assert "".join("".join(r["text"] for r in rows).split()) == "".join(text.split()) and len({r["section_index"] for r in rows}) == len(rows)
+    lines = [f'{{"i": {i}}}' if i % 4 else "" for i in range(300)]
+    (tmp_path / "t.jsonl").write_text("\n".join(lines))
+    for size in (50, 10**6):
+        got = {r["line"]: r["text"] for r in line_records(spark, [str(tmp_path / "t.jsonl")], size).collect()}
+        assert got == {i + 1: '{\n  "i": %d\n}' % i for i in range(300) if i % 4}
+    (tmp_path / "e.txt").write_text("")
+    assert text_blocks(spark, [str(tmp_path / "e.txt")]).count() == 0 and line_records(spark, [str(tmp_path / "e.txt")]).count() == 0
