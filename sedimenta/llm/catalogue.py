@@ -8,56 +8,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import boilerplate, budget, encode, lookalike, markup, mixing, neighbours
-from sedimenta.sources.tables import table
+from sedimenta.sources.tables import spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours.similar_pairs(table(spark, folder, "chunk_vectors"))
+    return neighbours.similar_pairs(spread_table(spark, folder, "chunk_vectors", "vec_id", "model", "dim", "vector", "embedded_at"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return markup.markup_found(table(spark, folder, "sections"), table(spark, folder, "markdown_units"))
+    return markup.markup_found(spread_table(spark, folder, "sections", "section_id", "source_path", "text"), spread_table(spark, folder, "markdown_units", "unit_id", "kind", "text"))
 
 
 def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
-    sections = markup.clean_sections(table(spark, folder, "sections")).withColumn("rec_table", F.lit("sections"))
-    units = markup.clean_units(table(spark, folder, "markdown_units")).withColumn("rec_table", F.lit("markdown_units"))
+    sections = markup.clean_sections(spread_table(spark, folder, "sections", "section_id", "source_path", "text")).withColumn("rec_table", F.lit("sections"))
+    units = markup.clean_units(spread_table(spark, folder, "markdown_units", "unit_id", "kind", "text")).withColumn("rec_table", F.lit("markdown_units"))
     return sections.unionByName(units).select("rec_table", "rec_id", "clean")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.body_codes(table(spark, folder, "html_candidates"))
+    return boilerplate.body_codes(spread_table(spark, folder, "html_candidates", "page_id", "html"))
 
 
 def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.main_bodies(table(spark, folder, "html_candidates")).select("page_id", "body")
+    return boilerplate.main_bodies(spread_table(spark, folder, "html_candidates", "page_id", "html")).select("page_id", "body")
 
 
 def p6_token_budget(spark: SparkSession, folder: str) -> DataFrame:
-    return budget.token_budget(table(spark, folder, "documents"))
+    return budget.token_budget(spread_table(spark, folder, "documents", "doc_id", "text", "source", "lang", "doc_domain", "source_path"))
 
 
 def p6_against_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    return budget.budget_against_estimates(table(spark, folder, "documents"), table(spark, folder, "cost_estimates"))
+    return budget.budget_against_estimates(spread_table(spark, folder, "documents", "doc_id", "text", "source", "lang", "doc_domain", "source_path"), table(spark, folder, "cost_estimates"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.encode_documents(table(spark, folder, "documents"))
+    return encode.encode_documents(spread_table(spark, folder, "documents", "doc_id", "text"))
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return mixing.mix_sources(spread_table(spark, folder, "documents", "doc_id", "text", "source", "lang", "doc_domain", "source_path"), table(spark, folder, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     targets = table(spark, folder, "mix_targets")
-    return mixing.reached_shares(mixing.mix_sources(table(spark, folder, "documents"), targets), targets)
+    return mixing.reached_shares(mixing.mix_sources(spread_table(spark, folder, "documents", "doc_id", "text", "source", "lang", "doc_domain", "source_path"), targets), targets)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return lookalike.lookalike_pairs(table(spark, folder, "documents"))
+    return lookalike.lookalike_pairs(spread_table(spark, folder, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p5_found, p5_bodies, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
