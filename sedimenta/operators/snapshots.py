@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Leaves are ranges of 2**-LEAF_BITS of the hash space; each inner node has 2**FAN_BITS children.
 LEAF_BITS, FAN_BITS = 12, 4
+#: Up to so many leaves of all snapshots together (12 bytes each) the differing ones are broadcast.
+BROADCAST_LEAVES = 1 << 20
 
 
 def same_json(a: str, b: str) -> bool:
@@ -105,28 +107,29 @@ def snapshot_changes(snapshots: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFr
     # digests are taken of the texts as written: other spelling of the same metadata only means that rows are compared
     leaves = _digest(rows.withColumn("row_hash", F.xxhash64("source_path", "chunk_index", F.coalesce("chunk_id", F.lit("\0")), F.coalesce("meta_json", F.lit("\0")))), ["source_path", "chunk_index"], leaf_bits)
     differ = differing_leaves(leaves, order, leaf_bits)
-    later = order.select(F.col("before").alias("snapshot"), F.col("snapshot").alias("later"))
-    roles = F.array(F.struct(F.col("snapshot").alias("at"), F.lit(1).alias("side")), F.struct(F.col("later").alias("at"), F.lit(0).alias("side")))
-    both = (
-        rows.join(F.broadcast(later), "snapshot", "left")  # one row per snapshot
-        .withColumn("role", F.explode(roles))
-        .select(F.col("role.at").alias("snapshot"), "role.side", "leaf", "source_path", "chunk_index", "chunk_id", "meta_json")
-        .filter(F.col("snapshot").isNotNull())
-        .join(differ, ["snapshot", "leaf"], "left_semi")
-    )
-    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    pairs = both.groupBy("snapshot", "source_path", "chunk_index").agg(
-        F.max(F.col("side") == 0).alias("was"), F.max(F.col("side") == 1).alias("is"),
-        at(0, "chunk_id").alias("id0"), at(1, "chunk_id").alias("id1"), at(0, "meta_json").alias("m0"), at(1, "meta_json").alias("m1"),
-    )
-    open_ = F.col("was") & F.col("is") & F.col("id0").eqNullSafe(F.col("id1")) & (F.col("m0") != F.col("m1"))
-    judged = pairs.withColumn("same", _same_json(F.when(open_, F.col("m0")), F.when(open_, F.col("m1"))))
+    if numbers.count() << leaf_bits <= BROADCAST_LEAVES:
+        differ = F.broadcast(differ)
+    # one row per snapshot
+    around = F.broadcast(numbers.select("snapshot", F.lag("snapshot").over(Window.orderBy("snapshot")).alias("before"), F.lead("snapshot").over(Window.orderBy("snapshot")).alias("later")))
+    here = differ.withColumn("here", F.lit(True))
+    ahead = differ.select(F.col("snapshot").alias("later"), "leaf", F.lit(True).alias("ahead"))
+    # a row matters if its leaf differs from the snapshot before or from the one behind
+    kept = rows.join(around, "snapshot").join(here, ["snapshot", "leaf"], "left").join(ahead, ["later", "leaf"], "left").filter(F.col("here") | F.col("ahead")).drop("leaf")
+    own = Window.partitionBy("source_path", "chunk_index").orderBy("snapshot")
+    was = F.lag(F.struct("snapshot", "chunk_id", "meta_json")).over(own)
+    pairs = kept.withColumn("was", was).withColumn("next", F.lead("snapshot").over(own))
+    had = F.coalesce(F.col("was.snapshot") == F.col("before"), F.lit(False))
+    open_ = F.col("here") & had & F.col("chunk_id").eqNullSafe(F.col("was.chunk_id")) & (F.col("meta_json") != F.col("was.meta_json"))
+    judged = pairs.withColumn("same", _same_json(F.when(open_, F.col("meta_json")), F.when(open_, F.col("was.meta_json"))))
     kind = (
-        F.when(~F.col("was"), "added").when(~F.col("is"), "removed")
-        .when(~F.col("id0").eqNullSafe(F.col("id1")), "changed")
-        .when(F.col("m0").eqNullSafe(F.col("m1")) | F.col("same"), None).otherwise("changed")
+        F.when(F.col("before").isNull() | F.col("here").isNull(), None).when(~had, "added")
+        .when(~F.col("chunk_id").eqNullSafe(F.col("was.chunk_id")), "changed")
+        .when(F.col("meta_json").eqNullSafe(F.col("was.meta_json")) | F.col("same"), None).otherwise("changed")
     )
+    gone = F.when(F.col("ahead") & F.col("later").isNotNull() & ~F.coalesce(F.col("next") == F.col("later"), F.lit(False)), "removed")
+    events = F.array(F.struct(F.col("snapshot").alias("at"), kind.alias("kind")), F.struct(F.col("later").alias("at"), gone.alias("kind")))
     return (
-        judged.select(F.col("snapshot").cast("int").alias("snapshot_no"), "source_path", F.col("chunk_index").cast("int").alias("chunk_index"), kind.alias("change_kind"))
-        .filter(F.col("change_kind").isNotNull())
+        judged.select("source_path", F.col("chunk_index").cast("int").alias("chunk_index"), F.explode(events).alias("e"))
+        .filter(F.col("e.kind").isNotNull())
+        .select(F.col("e.at").cast("int").alias("snapshot_no"), "source_path", "chunk_index", F.col("e.kind").alias("change_kind"))
     )
