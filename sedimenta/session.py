@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from sedimenta.errors import UserError
+
 
 def local_session(cores: str = "*", app: str = "sedimenta", **conf: str) -> SparkSession:
     """A session for tests and single machines; on a cluster the caller brings its own."""
@@ -28,22 +32,42 @@ def local_session(cores: str = "*", app: str = "sedimenta", **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary folder is taken and set for the session.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and the session runs on
+    one machine (tests) a temporary folder is taken, set for the session and removed at its end.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sedimenta-")
+        if not sc.master.startswith("local"):
+            raise UserError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="sedimenta-")
+        atexit.register(shutil.rmtree, own, True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Tables written by this process, for ``release``.
+_written: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(at)
+    return at
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that ``materialise`` wrote so far; nothing that reads them may be used afterwards."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = len(_written)
+    while _written:
+        at = path(_written.pop())
+        at.getFileSystem(conf).delete(at, True)
+    return n
 
 
 def materialise(df, name: str):

@@ -208,3 +208,13 @@ def test_command_line(tmp_path, capsys, monkeypatch):
     assert json.loads(capsys.readouterr().out)["chunkSize"] == 99
     assert cli.main(["plan", f"{tmp_path}/none.md"]) == 1 and cli.main(["config", "set", "defaults.provider", "openai"]) == 0 and cli.main(["config", "get", "defaults.provider"]) == 0
     assert "openai" in capsys.readouterr().out and cli.main(["providers"]) == 0
+
+
+def test_shared_folder(spark):
+    from sedimenta.session import materialise, release, shared_dir
+
+    df = materialise(spark.range(5).toDF("a"), "t")
+    assert sorted(r["a"] for r in df.collect()) == list(range(5)) and df.schema == spark.range(5).toDF("a").schema
+    at = df.inputFiles()[0]
+    assert at.startswith(shared_dir(spark).replace("file://", "file:///").replace("////", "///")) and release(spark) >= 1
+    assert not os.path.exists(at.removeprefix("file://"))
