@@ -138,7 +138,7 @@ def label(column: str, region: bool = False) -> Column:
 
 
 def token_budget(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``source, lang, doc_domain, n_docs, n_chars, n_tokens`` per normalised labels."""
+    """``source, lang, doc_domain, n_docs, n_chars, n_tokens`` per normalised labels; rows without doc_id are left out, an empty table gives no rows."""
     facts = docs.select("doc_id", label("source").alias("source"), label("lang", True).alias("lang"), label("doc_domain").alias("doc_domain"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
     return (
         facts.join(document_tokens(docs, path), "doc_id")
@@ -152,7 +152,8 @@ def budget_against_estimates(docs: DataFrame, estimates: DataFrame, path: str |
 
     Of each document the newest estimate counts that is neither null nor negative (of equal times the
     largest estimate_id); n_estimated tells how many documents have one, and ratio compares the
-    estimates with the tokens of just these documents.  Null source_paths form one row.
+    estimates with the tokens of just these documents.  Null source_paths form one row; documents
+    without doc_id are left out.
     """
     newest = (
         estimates.filter(F.col("tokens") >= 0)

@@ -86,10 +86,12 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None
     source misses its budget by at most half a document.  Uses never exceed max_repeats.  Labels are
     compared in their normalised spelling; of two targets that mean the same label the shares add up
     and the smaller limit holds.  Documents of sources without target, and those without tokens, are
-    not used; rows repeating a doc_id count once.
+    not used, nor are rows without doc_id; rows repeating a doc_id count once.
     """
     spark: SparkSession = docs.sparkSession
-    once = docs.select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    once = docs.select("doc_id", "source", "text").filter(F.col("doc_id").isNotNull())
+    if not once.groupBy("doc_id").count().filter("count > 1").isEmpty():  # texts are only moved if an id really repeats
+        once = once.dropDuplicates(["doc_id"])
     wanted = targets.select(label("source").alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("repeats"))
     labelled = once.select("doc_id", label("source").alias("source")).join(wanted.select("source"), "source", "left_semi")
     rows = materialise(labelled.join(document_tokens(once, path), "doc_id").filter(F.col("tokens") > 0).select("doc_id", "source", "tokens"), "mixture")
