@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedimenta.session import materialise
+
 #: Leaves are ranges of 2**-LEAF_BITS of the hash space; each inner node has 2**FAN_BITS children.
 LEAF_BITS, FAN_BITS = 12, 4
-#: Up to so many leaves of all snapshots together (12 bytes each) the differing ones are broadcast.
+#: Up to so many differing leaves (12 bytes each) are broadcast.
 BROADCAST_LEAVES = 1 << 20
 
 
@@ -50,7 +52,16 @@ def _same_json(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else same_json(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
 
-def _digest(rows: DataFrame, keys: list[str], leaf_bits: int) -> DataFrame:
+def _standing(rows: DataFrame, *also: str) -> DataFrame:
+    """Per snapshot and key the row that stands for it; ``also``: columns that are the same for a snapshot's leaf."""
+    return (
+        rows.groupBy("snapshot", "source_path", "chunk_index", "leaf", *also)
+        .agg(F.max(F.struct("loaded_at", "chunk_id", "meta_json")).alias("r"))
+        .select("snapshot", "source_path", "chunk_index", "leaf", *also, "r.chunk_id", "r.meta_json")
+    )
+
+
+def _digest(rows: DataFrame) -> DataFrame:
     """Leaf digests: count, xor and sum of the row hashes, independent of the rows' order."""
     return rows.groupBy("snapshot", "leaf").agg(
         F.xxhash64(F.count(F.lit(1)), F.bit_xor("row_hash"), F.sum(F.col("row_hash").bitwiseAND(0xFFFFFFFF))).alias("digest"),
@@ -94,27 +105,25 @@ def snapshot_changes(snapshots: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFr
     same JSON value; null equals null only.  Rows without snapshot_no are left out; the first snapshot
     yields nothing.  Repeated rows change nothing.
     """
-    rows = (
-        snapshots.filter(F.col("snapshot_no").isNotNull())
-        .groupBy(F.col("snapshot_no").alias("snapshot"), "source_path", "chunk_index")
-        .agg(F.max(F.struct("loaded_at", "chunk_id", "meta_json")).alias("r"))
-        .select("snapshot", "source_path", "chunk_index", "r.chunk_id", "r.meta_json")
-        .withColumn("leaf", F.shiftrightunsigned(F.xxhash64("source_path", "chunk_index"), 64 - leaf_bits))
-    )
-    numbers = snapshots.filter(F.col("snapshot_no").isNotNull()).select(F.col("snapshot_no").alias("snapshot")).distinct()
+    named = snapshots.filter(F.col("snapshot_no").isNotNull()).select(
+        F.col("snapshot_no").alias("snapshot"), "source_path", "chunk_index", "chunk_id", "meta_json", "loaded_at", F.shiftrightunsigned(F.xxhash64("source_path", "chunk_index"), 64 - leaf_bits).alias("leaf"),
+    )
+    # digests are taken of the texts as written: other spelling of the same metadata only means that rows are compared
+    marked = _standing(named).withColumn("row_hash", F.xxhash64("source_path", "chunk_index", F.coalesce("chunk_id", F.lit("\0")), F.coalesce("meta_json", F.lit("\0"))))
+    leaves = materialise(_digest(marked), "leaves")
+    numbers = leaves.select("snapshot").distinct()
     # one row per snapshot: a window without partition is small whatever the table holds
     order = numbers.withColumn("before", F.lag("snapshot").over(Window.orderBy("snapshot"))).filter(F.col("before").isNotNull())
-    # digests are taken of the texts as written: other spelling of the same metadata only means that rows are compared
-    leaves = _digest(rows.withColumn("row_hash", F.xxhash64("source_path", "chunk_index", F.coalesce("chunk_id", F.lit("\0")), F.coalesce("meta_json", F.lit("\0")))), ["source_path", "chunk_index"], leaf_bits)
-    differ = differing_leaves(leaves, order, leaf_bits)
-    if numbers.count() << leaf_bits <= BROADCAST_LEAVES:
+    differ = materialise(differing_leaves(leaves, order, leaf_bits), "differing")
+    if differ.count() <= BROADCAST_LEAVES:
         differ = F.broadcast(differ)
     # one row per snapshot
     around = F.broadcast(numbers.select("snapshot", F.lag("snapshot").over(Window.orderBy("snapshot")).alias("before"), F.lead("snapshot").over(Window.orderBy("snapshot")).alias("later")))
     here = differ.withColumn("here", F.lit(True))
     ahead = differ.select(F.col("snapshot").alias("later"), "leaf", F.lit(True).alias("ahead"))
     # a row matters if its leaf differs from the snapshot before or from the one behind
-    kept = rows.join(around, "snapshot").join(here, ["snapshot", "leaf"], "left").join(ahead, ["later", "leaf"], "left").filter(F.col("here") | F.col("ahead")).drop("leaf")
+    near = named.join(around, "snapshot").join(here, ["snapshot", "leaf"], "left").join(ahead, ["later", "leaf"], "left").filter(F.col("here") | F.col("ahead"))
+    kept = _standing(near, "before", "later", "here", "ahead")
     own = Window.partitionBy("source_path", "chunk_index").orderBy("snapshot")
     was = F.lag(F.struct("snapshot", "chunk_id", "meta_json")).over(own)
     pairs = kept.withColumn("was", was).withColumn("next", F.lead("snapshot").over(own))
