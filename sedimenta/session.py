@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -76,3 +78,21 @@ def materialise(df, name: str):
     at = scratch(spark, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context; on one machine they read it where it lies."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_sedimenta_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="sedimenta-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/sedimenta.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for at, folders, names in os.walk(os.path.join(root, "sedimenta")):
+            folders[:] = [d for d in folders if d != "__pycache__"]
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), root))
+    sc.addPyFile(f"{folder}/sedimenta.zip")
+    sc._sedimenta_shipped = True
