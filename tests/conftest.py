@@ -2,11 +2,16 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])
 
 
+settings.register_profile("steady", deadline=None)
+settings.load_profile("steady")
+
+
 @pytest.fixture(scope="session")
 def spark():
     from sedimenta.session import local_session
