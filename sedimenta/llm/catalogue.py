@@ -81,4 +81,13 @@ def _p10_sql() -> str:
         WHERE regexp_matches(a.form, '[^\\s\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]')"""
 
 
-SQL: dict[str, str] = {"p10_found": _p10_sql()}
+SQL: dict[str, str] = {
+    # exact: a collection of one cell, as the smaller tables are, is compared as a whole
+    "p1_found": """
+        WITH u AS (SELECT DISTINCT ON (vec_id) vec_id, model, CAST(vector AS DOUBLE[]) AS v FROM chunk_vectors
+                   WHERE model IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+        c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.model = b.model AND a.vec_id <> b.vec_id),
+        r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM c)
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE rank <= 10 AND s >= 0.85""",
+    "p10_found": _p10_sql(),
+}
