@@ -67,18 +67,17 @@ def _reject(name: str):
 def json_reason(line: str) -> tuple[str | None, tuple]:
     """Reason why a JSONL record fails, or None with the values of JSON_KEYS."""
     try:
-        value = json.loads(line, parse_constant=_reject, parse_int=str, parse_float=str)
+        # numbers are only told from strings: their size doesn't matter
+        value = json.loads(line, parse_constant=_reject, parse_int=bool, parse_float=bool)
     except (ValueError, RecursionError):
         return "quoting", ()
     if not isinstance(value, dict):
         return "quoting", ()
     if any(k not in value for k in JSON_KEYS):
         return "columns", ()
-    # numbers are read as text above, so look at the raw types again
-    plain = json.loads(line)
-    if any(not isinstance(plain[k], str) or not plain[k].strip() for k in JSON_KEYS) or not existing_time(plain["ts"]):
+    if any(not isinstance(value[k], str) or not value[k].strip() for k in JSON_KEYS) or not existing_time(value["ts"]):
         return "value", ()
-    return None, tuple(plain[k] for k in JSON_KEYS)
+    return None, tuple(value[k] for k in JSON_KEYS)
 
 
 def existing_time(text: str) -> bool:
