@@ -33,6 +33,8 @@ IGNORABLE = "\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\u034f\u115f-\u1160\u17b4-\u17b
 #: Code points up to here are looked through for the table; none beyond has a form of its own.
 LAST = 0x30000
 
+#: Up to so many words with a spelling of their own (some 60 bytes each) are broadcast; beyond, the join shuffles.
+BROADCAST_WORDS = 300_000
 #: Characters of the table form that the words of one trie share.
 PREFIX = 8
 
@@ -217,6 +219,8 @@ def canonical_texts(docs: DataFrame) -> DataFrame:
     plain = chosen.filter(F.col("text").rlike(PLAIN))
     odd = chosen.filter(~F.col("text").rlike(PLAIN))
     choice = materialise(spellings(chosen), "spellings")
+    if choice.count() <= BROADCAST_WORDS:
+        choice = F.broadcast(choice)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in cut(batches):
