@@ -171,7 +171,9 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "word string, form string, times long").filter(F.col("word") != "").groupBy("word", "form").agg(F.sum("times").alias("times"))
+    counted = docs.select("text").mapInArrow(count, "word string, form string, times long").filter(F.col("word") != "")
+    # each task has summed up its own words; words of one form meet in one partition, for the sum and for the search
+    return counted.repartition("form").groupBy("word", "form").agg(F.sum("times").alias("times"))
 
 
 def spellings(docs: DataFrame) -> DataFrame:
@@ -206,7 +208,7 @@ def spellings(docs: DataFrame) -> DataFrame:
         if odd:
             yield flush()
 
-    return _vocabulary(docs).repartition("form").sortWithinPartitions("form", "word").mapInArrow(search, "word string, spelling string")
+    return _vocabulary(docs).sortWithinPartitions("form", "word").mapInArrow(search, "word string, spelling string")
 
 
 def canonical_texts(docs: DataFrame) -> DataFrame:
