@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.text_batches import pieces as cut
-from sedimenta.functions.htmltree import BLOCKS, ELEMENTS, RAW, VOID, Builder, attributes, render
+from sedimenta.functions.htmltree import ELEMENTS, RAW, VOID, Builder, attributes, render
 
 LANGUAGES = ("html", "markdown", "wiki", "latex")
 
