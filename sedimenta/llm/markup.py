@@ -441,12 +441,14 @@ def section_form() -> Column:
 
 
 def clean_sections(sections: DataFrame) -> DataFrame:
-    return clean_markup(sections.dropDuplicates(["section_id"]), F.col("section_id"), section_form())
+    """``clean_markup`` of each section_id once; what isn't used of the result isn't shuffled either."""
+    return clean_markup(sections, F.col("section_id"), section_form()).dropDuplicates(["rec_id"])
 
 
 def clean_units(units: DataFrame) -> DataFrame:
+    """``clean_markup`` of each unit_id once."""
     form = F.when(F.col("kind") == "code", "code").when(F.col("kind") == "table", "table").otherwise("text")
-    return clean_markup(units.dropDuplicates(["unit_id"]), F.col("unit_id"), form)
+    return clean_markup(units, F.col("unit_id"), form).dropDuplicates(["rec_id"])
 
 
 def markup_found(sections: DataFrame, units: DataFrame) -> DataFrame:
