@@ -81,9 +81,9 @@ def materialise(df, name: str):
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per context; on one machine they read it where it lies."""
+    """Send this package to the workers, once per context: they may not see the folder that the driver imports it from."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_sedimenta_shipped", False):
+    if getattr(sc, "_sedimenta_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     folder = tempfile.mkdtemp(prefix="sedimenta-ship-")
