@@ -56,11 +56,25 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.reached_shares(mixing.mix_sources(spread_table(spark, folder, "documents", "doc_id", "text", "source", "lang", "doc_domain", "source_path"), targets), targets)
 
 
+def _tempered(spark: SparkSession, folder: str, targets: DataFrame) -> DataFrame:
+    return mixing.mix_sources(spread_table(spark, folder, "documents", "doc_id", "text", "source", "lang", "doc_domain", "source_path"), targets, epochs=1.0)
+
+
+def p9_tempered(spark: SparkSession, folder: str) -> DataFrame:
+    """As many tokens as the sources with a target hold: shares give way where a source's repetitions don't suffice."""
+    return _tempered(spark, folder, table(spark, folder, "mix_targets"))
+
+
+def p9_tempered_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_targets")
+    return mixing.reached_shares(_tempered(spark, folder, targets), targets)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(spread_table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p5_found, p5_bodies, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p5_found, p5_bodies, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p9_tempered, p9_tempered_shares, p10_found)}
 
 
 

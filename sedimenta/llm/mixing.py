@@ -3,8 +3,8 @@
 Weights lie on the path ``target**(1 - t) * natural**t``: at t = 0 every source has its target share, at
 t = 1 the share of its own tokens, which needs no repetition.  Without targets the natural shares are
 exponentiated alone (``natural**t``).  The exponent is bisected to meet a wanted entropy or, for a given
-budget, the limit of repetitions; without a budget the targets stay exact and the budget is the largest
-that the limits allow.  Each source's budget is then realised as whole passes over its documents and
+budget, the limit of repetitions; without either the targets stay exact.  Where no budget is given it is
+the largest that the limits allow.  Each source's budget is then realised as whole passes over its documents and
 one partial pass over blocks of a pseudo-random permutation.
 """
 
@@ -20,6 +20,8 @@ from sedimenta.session import materialise
 
 #: Blocks of a source's permutation; the partial pass is cut inside one of them, by a window over that block alone.
 BLOCKS = 4096
+#: Stretches of 0..1 that are searched for a wanted entropy.
+STEPS = 256
 
 
 def temper(natural: dict[str, float], exponent: float, target: dict[str, float] | None = None) -> dict[str, float]:
@@ -42,12 +44,13 @@ def _bisect(holds, low: float, high: float) -> float:
 
 
 def exponent_for_entropy(natural: dict[str, float], wanted: float, target: dict[str, float] | None = None) -> float:
-    """The exponent in 0..1 at which the weights' entropy is ``wanted``; the nearer end if none is."""
-    at = [entropy(temper(natural, t, target)) for t in (0.0, 1.0)]
-    if not min(at) <= wanted <= max(at):
-        return 0.0 if abs(at[0] - wanted) <= abs(at[1] - wanted) else 1.0
-    falling = at[1] <= at[0]
-    return _bisect(lambda t: (entropy(temper(natural, t, target)) <= wanted) == falling, 0.0, 1.0)
+    """The smallest exponent in 0..1 found at which the weights' entropy is ``wanted``; the nearest if none is.  On the way from target to natural it may rise and fall."""
+    at = [entropy(temper(natural, i / STEPS, target)) for i in range(STEPS + 1)]
+    for i in range(STEPS):
+        if min(at[i : i + 2]) <= wanted <= max(at[i : i + 2]):
+            falling = at[i + 1] <= at[i]
+            return _bisect(lambda t: (entropy(temper(natural, t, target)) <= wanted) == falling, i / STEPS, (i + 1) / STEPS)
+    return min(range(STEPS + 1), key=lambda i: abs(at[i] - wanted)) / STEPS
 
 
 def exponent_for_repeats(natural: dict[str, float], tokens: dict[str, int], repeats: dict[str, float], budget: float, target: dict[str, float] | None = None) -> float | None:
@@ -58,8 +61,12 @@ def exponent_for_repeats(natural: dict[str, float], tokens: dict[str, int], repe
     return _bisect(fits, 0.0, 1.0) if fits(1.0) else None
 
 
-def plan_mixture(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None) -> dict[str, float]:
-    """Tokens wanted of each source.  Sources without tokens or with no positive share or repetition get none; the other shares are scaled up."""
+def plan_mixture(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None, epochs: float | None = None, wanted_entropy: float | None = None) -> dict[str, float]:
+    """Tokens wanted of each source.  Sources without tokens or with no positive share or repetition get none; the other shares are scaled up.
+
+    ``epochs`` states the budget as a multiple of the tokens of the sources that get some.  A wanted
+    entropy settles the weights, and a budget beyond what the limits allow at them is lowered.
+    """
     usable = {s: t for s, t in targets.items() if tokens.get(s, 0) > 0 and (t[0] or 0) > 0 and (t[1] or 0) > 0}
     if not usable:
         return {}
@@ -68,8 +75,12 @@ def plan_mixture(tokens: dict[str, int], targets: dict[str, tuple[float, int]],
     total = sum(tokens[s] for s in usable)
     natural = {s: tokens[s] / total for s in usable}
     repeats = {s: float(t[1]) for s, t in usable.items()}
-    if budget is None:
-        budget, weights = min(tokens[s] * repeats[s] / target[s] for s in usable), target
+    if epochs is not None:
+        budget = epochs * total
+    if budget is None or wanted_entropy is not None:
+        weights = target if wanted_entropy is None else temper(natural, exponent_for_entropy(natural, wanted_entropy, target), target)
+        most = min(tokens[s] * repeats[s] / weights[s] for s in usable)
+        budget = most if budget is None else min(budget, most)
     else:
         exponent = exponent_for_repeats(natural, tokens, repeats, budget, target)
         if exponent is None:
@@ -78,7 +89,7 @@ def plan_mixture(tokens: dict[str, int], targets: dict[str, tuple[float, int]],
     return {s: w * budget for s, w in weights.items()}
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None, path: str | None = None, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None, path: str | None = None, seed: int = 7, epochs: float | None = None, wanted_entropy: float | None = None) -> DataFrame:
     """``doc_id, source, tokens, uses``: the documents of the mixture and how often each is used.
 
     A source's budget buys ``k`` whole passes and part of a further one, cut where the permutation of
@@ -86,7 +97,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None
     source misses its budget by at most half a document.  Uses never exceed max_repeats.  Labels are
     compared in their normalised spelling; of two targets that mean the same label the shares add up
     and the smaller limit holds.  Documents of sources without target, and those without tokens, are
-    not used, nor are rows without doc_id; rows repeating a doc_id count once.
+    not used, nor are rows without doc_id; rows repeating a doc_id count once.  ``budget``, ``epochs``
+    and ``wanted_entropy`` as of plan_mixture.
     """
     spark: SparkSession = docs.sparkSession
     once = docs.select("doc_id", "source", "text").filter(F.col("doc_id").isNotNull())
@@ -98,7 +110,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None
     # one row per target on the driver: mix_targets is configuration
     limits = {r["source"]: (r["share"], r["repeats"]) for r in wanted.collect()}
     tokens = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    plan = plan_mixture(tokens, limits, budget)
+    plan = plan_mixture(tokens, limits, budget, epochs, wanted_entropy)
     passes = {s: min(int(b // tokens[s]), limits[s][1]) for s, b in plan.items()}
     table = [(s, passes[s], float(b - passes[s] * tokens[s]) if passes[s] < limits[s][1] else 0.0) for s, b in plan.items()]
     shares = F.broadcast(spark.createDataFrame(table, "source string, passes int, rest double"))

@@ -136,3 +136,31 @@ def test_mixture(spark):
     small = mixing.mix_sources(docs, targets, budget=200.0)
     assert sum(r["tokens"] * r["uses"] for r in small.collect()) == pytest.approx(200, abs=12)
     assert mixing.mix_sources(docs.limit(0), targets).count() == 0
+
+
+def test_registered_mixture_of_all_tokens(spark, data):
+    from sedimenta.llm.catalogue import QUERIES
+
+    exact, tempered = ({r["source"]: r for r in QUERIES[n](spark, data).collect()} for n in ("p9_shares", "p9_tempered_shares"))
+    total = lambda rows: sum(r["n_tokens"] for r in rows.values())
+    docs, targets = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/mix_targets.parquet")
+    per = {r["doc_id"]: r["tokens"] for r in budget.document_tokens(docs.dropDuplicates(["doc_id"])).collect()}
+    of = {r["doc_id"]: r["source"] for r in docs.select("doc_id", budget.label("source").alias("source")).collect()}
+    held = {s: sum(n for i, n in per.items() if of.get(i) == s) for s in tempered}
+    assert total(tempered) == pytest.approx(sum(held.values()), rel=0.05) and total(tempered) > total(exact)
+    assert all(tempered[r["source"]]["most_uses"] <= r["max_repeats"] for r in targets.collect())
+
+
+def test_entropy_of_a_mixture(spark):
+    tokens, targets = {"a": 900, "b": 100}, {"a": (0.5, 2), "b": (0.5, 2)}
+    plan = mixing.plan_mixture(tokens, targets, wanted_entropy=0.6)
+    assert mixing.entropy({s: n / sum(plan.values()) for s, n in plan.items()}) == pytest.approx(0.6) and plan["b"] == pytest.approx(200)
+    assert sum(mixing.plan_mixture(tokens, targets, budget=300.0, wanted_entropy=0.6).values()) == pytest.approx(300)
+    assert sum(mixing.plan_mixture(tokens, targets, epochs=1.0).values()) == pytest.approx(1000)
+    # equal shares lie between target and natural, not at an end
+    t = mixing.exponent_for_entropy({"a": 0.9, "b": 0.1}, 0.69, {"a": 0.1, "b": 0.9})
+    assert mixing.entropy(mixing.temper({"a": 0.9, "b": 0.1}, t, {"a": 0.1, "b": 0.9})) == pytest.approx(0.69)
+    docs = spark.createDataFrame([(i, "word " * 5, "a" if i % 10 else "b") for i in range(400)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(docs, spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int"), wanted_entropy=0.6).collect()
+    used = {s: sum(r["tokens"] * r["uses"] for r in rows if r["source"] == s) for s in "ab"}
+    assert mixing.entropy({s: n / sum(used.values()) for s, n in used.items()}) == pytest.approx(0.6, abs=0.02)
