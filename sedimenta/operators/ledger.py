@@ -6,7 +6,7 @@ source_hash, plan_hash, provider, model, dim, chunk_index, chunk_id, meta_json``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.errors import IntegrityError
@@ -64,6 +64,19 @@ def up_to_date(new: DataFrame, ledger: DataFrame) -> DataFrame:
     return new.join(whole, ["source_path", "source_hash", "plan_hash"], "left_semi").select("source_path").distinct()
 
 
+def unchanged_revisions(specs: DataFrame) -> DataFrame:
+    """``source_path, revision`` of the revisions that up_to_date finds against the revision before, for every revision of a path that has one.
+
+    ``specs``: source_path, revision, source_hash, plan_hash; rows without revision have none before them.
+    """
+    sides = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("source_hash", "plan_hash")]
+    revisions = specs.filter(F.col("revision").isNotNull()).groupBy("source_path", "revision").agg(*sides, F.collect_set(F.struct("source_hash", "plan_hash")).alias("states"))
+    whole = (F.col("min_source_hash") == F.col("max_source_hash")) & (F.col("min_plan_hash") == F.col("max_plan_hash"))
+    state = F.when(whole, F.struct(F.col("min_source_hash").alias("source_hash"), F.col("min_plan_hash").alias("plan_hash")))
+    before = revisions.withColumn("before", F.lag(state).over(Window.partitionBy("source_path").orderBy("revision")))
+    return before.filter(F.array_contains("states", F.col("before"))).select("source_path", "revision")
+
+
 def conflicts(ledger: DataFrame, provider: str, model: str, dim: int) -> DataFrame:
     """Ledger parts that were embedded otherwise: their vectors can't be compared with new ones."""
     other = (F.col("provider") != provider) | (F.col("model") != model) | (F.col("dim") != dim)

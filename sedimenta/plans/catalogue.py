@@ -248,6 +248,11 @@ def unchanged_sources(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.up_to_date(specs.filter("revision = 2").drop("revision"), specs.filter("revision = 1"))
 
 
+def unchanged_revisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every revision of a source at which source and plan stayed as they were."""
+    return ledger.unchanged_revisions(table(spark, folder, "job_specs").select("source_path", "revision", "source_hash", "plan_hash"))
+
+
 def job_keys(spark: SparkSession, folder: str) -> DataFrame:
     names = ["source_path", "source_hash", "plan_hash", "embedding_provider", "embedding_model", "dimensions", "collection_name", "vector_db"]
     return table(spark, folder, "job_specs").select("job_id", *names).distinct().select("job_id", ledger.job_key(names).alias("job_key"))
@@ -352,7 +357,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p3_found, p4_found, p7_found, p7_valid, chunk_ids, source_hashes, line_sections, chunk_numbering, embed_batches, recursive_chunks, code_chunks, markdown_chunks, csv_chunks, sniffed_types, json_sections, jsonl_sections,
-        csv_sections, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, resume_remaining, checkpoint_strangers, selected_chunks, plan_conflicts, unchanged_sources, job_keys,
+        csv_sections, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, resume_remaining, checkpoint_strangers, selected_chunks, plan_conflicts, unchanged_sources, unchanged_revisions, job_keys,
         vector_problems, vector_literals, point_ids, vector_upsert, vector_delete, flat_metadata, listed_metadata, hash_vectors, export_lines, term_frequency, document_frequency, tfidf_norms, tfidf_top, relevant_documents,
         retrieval_metrics, metric_means, threshold_gate,
     )
@@ -461,6 +466,11 @@ SQL: dict[str, str] = {
     "selected_chunks": f"WITH {_ENDS} SELECT DISTINCT chunk_id, snapshot_no FROM chunk_snapshots WHERE chunk_id IN (SELECT chunk_id FROM new)",
     "plan_conflicts": "SELECT DISTINCT vector_db, collection_name AS collection, source_path, embedding_provider AS provider, embedding_model AS model, dimensions AS dim FROM job_specs WHERE embedding_provider <> 'tern' OR embedding_model <> 'tern-compact-64' OR dimensions <> 64",
     "unchanged_sources": "WITH s AS (SELECT DISTINCT source_path, revision, source_hash, plan_hash FROM job_specs), one AS (SELECT source_path, min(source_hash) AS h, min(plan_hash) AS p FROM s WHERE revision = 1 GROUP BY 1 HAVING min(source_hash) = max(source_hash) AND min(plan_hash) = max(plan_hash)) SELECT DISTINCT s.source_path FROM s JOIN one USING (source_path) WHERE revision = 2 AND source_hash = h AND plan_hash = p",
+    "unchanged_revisions": """
+        WITH r AS (SELECT source_path, revision, CASE WHEN min(source_hash) = max(source_hash) AND min(plan_hash) = max(plan_hash) THEN {'h': min(source_hash), 'p': min(plan_hash)} END AS state
+                   FROM job_specs WHERE revision IS NOT NULL GROUP BY ALL),
+        l AS (SELECT source_path, revision, lag(state) OVER (PARTITION BY source_path ORDER BY revision) AS b FROM r)
+        SELECT DISTINCT l.source_path, l.revision FROM l JOIN job_specs s ON s.source_path IS NOT DISTINCT FROM l.source_path AND s.revision = l.revision AND s.source_hash = l.b.h AND s.plan_hash = l.b.p""",
     "job_keys": "SELECT DISTINCT job_id, sha256('{' || " + " || ',' || ".join(f"'\"{n}\":' || {n}" if n == "dimensions" else f"'\"{n}\":\"' || {n} || '\"'" for n in ("source_path", "source_hash", "plan_hash", "embedding_provider", "embedding_model", "dimensions", "collection_name", "vector_db")) + " || '}') AS job_key FROM job_specs",
     "vector_problems": "SELECT DISTINCT vec_id, problem FROM (SELECT vec_id, CASE WHEN vector IS NULL THEN 'missing' WHEN len(vector) <> dim THEN 'dimensions' WHEN len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite' END AS problem FROM chunk_vectors) WHERE problem IS NOT NULL",
     "vector_literals": "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.4f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings",

@@ -218,3 +218,9 @@ def test_shared_folder(spark):
     at = df.inputFiles()[0].removeprefix("file:").removeprefix("//")
     assert at.startswith(shared_dir(spark).removeprefix("file://")) and os.path.exists(at) and release(spark) >= 1
     assert not os.path.exists(at)
+
+
+def test_every_revision_against_the_one_before(spark):
+    specs = [("a", 1, "h", "p"), ("a", 2, "i", "p"), ("a", 5, "i", "p"), ("a", 5, "i", "p"), ("a", 6, "i", "q"), ("a", 7, "i", "q"), ("b", 3, "h", "p"), ("c", 1, None, "p"), ("c", 2, None, "p"), ("d", 1, "h", "p"), ("d", 1, "i", "p"), ("d", 2, "h", "p"), ("d", None, "h", "p")]
+    got = ledger.unchanged_revisions(spark.createDataFrame(specs, "source_path string, revision int, source_hash string, plan_hash string"))
+    assert sorted(map(tuple, got.collect())) == [("a", 5), ("a", 7)]
