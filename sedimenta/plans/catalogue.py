@@ -286,6 +286,17 @@ def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return collection.upserted(stored.distinct(), rows)
 
 
+def vector_upsert_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every point: stored are those embedded up to the middle of the time that the table covers, then come those embedded later and, once more, the stored ids below '4'."""
+    points = table(spark, folder, "chunk_vectors").select("chunk_id", F.unix_micros("embedded_at").alias("at"))
+    # one row
+    middle = F.broadcast(points.agg(F.expr("(min(at) + max(at)) div 2").alias("middle")))
+    sided = points.crossJoin(middle).select("chunk_id", F.coalesce(F.col("at") > F.col("middle"), F.lit(False)).alias("late"))
+    stored = sided.filter(~F.col("late")).select("chunk_id", F.lit("first").alias("content")).distinct()
+    rows = sided.filter(F.col("late") | (F.col("chunk_id") < "4")).select("chunk_id", F.lit("second").alias("content")).distinct()
+    return collection.upserted(stored, rows)
+
+
 def vector_delete(spark: SparkSession, folder: str) -> DataFrame:
     points = _points(spark, folder)
     return collection.deleted(points.select("chunk_id").distinct(), points.filter(F.col("model").isNull()))
@@ -358,7 +369,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         p3_found, p4_found, p7_found, p7_valid, chunk_ids, source_hashes, line_sections, chunk_numbering, embed_batches, recursive_chunks, code_chunks, markdown_chunks, csv_chunks, sniffed_types, json_sections, jsonl_sections,
         csv_sections, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, resume_remaining, checkpoint_strangers, selected_chunks, plan_conflicts, unchanged_sources, unchanged_revisions, job_keys,
-        vector_problems, vector_literals, point_ids, vector_upsert, vector_delete, flat_metadata, listed_metadata, hash_vectors, export_lines, term_frequency, document_frequency, tfidf_norms, tfidf_top, relevant_documents,
+        vector_problems, vector_literals, point_ids, vector_upsert, vector_upsert_all, vector_delete, flat_metadata, listed_metadata, hash_vectors, export_lines, term_frequency, document_frequency, tfidf_norms, tfidf_top, relevant_documents,
         retrieval_metrics, metric_means, threshold_gate,
     )
 }
@@ -476,6 +487,7 @@ SQL: dict[str, str] = {
     "vector_literals": "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.4f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings",
     "point_ids": "SELECT DISTINCT chunk_id, substr(chunk_id, 1, 8) || '-' || substr(chunk_id, 9, 4) || '-' || substr(chunk_id, 13, 4) || '-' || substr(chunk_id, 1, 4) || '-' || substr(chunk_id, 5, 12) AS point_id FROM chunk_vectors",
     "vector_upsert": "WITH r AS (SELECT DISTINCT chunk_id FROM chunk_vectors WHERE regexp_matches(source_path, '^kb/(api|faq)/')) SELECT chunk_id, 'second' AS content FROM r UNION ALL SELECT DISTINCT chunk_id, 'first' FROM chunk_vectors WHERE model = 'nimbus-embed-64' AND chunk_id NOT IN (SELECT chunk_id FROM r)",
+    "vector_upsert_all": "WITH m AS (SELECT (min(epoch_us(embedded_at)) + max(epoch_us(embedded_at))) // 2 AS middle FROM chunk_vectors) SELECT chunk_id, CASE WHEN chunk_id < '4' OR bool_or(coalesce(epoch_us(embedded_at) > middle, false)) THEN 'second' ELSE 'first' END AS content FROM chunk_vectors, m GROUP BY chunk_id",
     "vector_delete": "SELECT chunk_id FROM chunk_vectors EXCEPT SELECT chunk_id FROM chunk_vectors WHERE model IS NULL",
     "flat_metadata": "SELECT DISTINCT section_id, '{' || concat_ws(',', '\"contentType\":\"' || content_type || '\"', '\"headerPath\":' || to_json(array_to_string(header_path, '/')), '\"headerDepth\":' || header_depth) || '}' AS metadata FROM sections",
     "listed_metadata": "SELECT DISTINCT section_id, '{' || concat_ws(',', '\"contentType\":\"' || content_type || '\"', '\"headerPath\":' || to_json(header_path)) || '}' AS metadata FROM sections",

@@ -224,3 +224,11 @@ def test_every_revision_against_the_one_before(spark):
     specs = [("a", 1, "h", "p"), ("a", 2, "i", "p"), ("a", 5, "i", "p"), ("a", 5, "i", "p"), ("a", 6, "i", "q"), ("a", 7, "i", "q"), ("b", 3, "h", "p"), ("c", 1, None, "p"), ("c", 2, None, "p"), ("d", 1, "h", "p"), ("d", 1, "i", "p"), ("d", 2, "h", "p"), ("d", None, "h", "p")]
     got = ledger.unchanged_revisions(spark.createDataFrame(specs, "source_path string, revision int, source_hash string, plan_hash string"))
     assert sorted(map(tuple, got.collect())) == [("a", 5), ("a", 7)]
+
+
+def test_upsert_of_every_point(spark, data):
+    from sedimenta.plans.catalogue import QUERIES
+
+    ids = {r[0] for r in spark.read.parquet(f"{data}/chunk_vectors.parquet").select("chunk_id").distinct().collect()}
+    rows = [tuple(r) for r in QUERIES["vector_upsert_all"](spark, data).select("chunk_id", "content").collect()]
+    assert len(rows) == len(ids) and {r[0] for r in rows} == ids and {r[1] for r in rows} == {"first", "second"}
