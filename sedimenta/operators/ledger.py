@@ -27,9 +27,10 @@ def diff_chunks(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -
     return a.join(b, keys, "full_outer").select(*keys, status.alias("status"))
 
 
-def work_set(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Rows of ``new`` that aren't stored at the same place of the same source under the same id."""
-    return new.join(old.select("source_path", "chunk_index", "chunk_id"), ["source_path", "chunk_index", "chunk_id"], "left_anti")
+def work_set(new: DataFrame, old: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Rows of ``new`` that aren't stored at the same place of the same source (and of the same ``also``) under the same id."""
+    keys = [*(also or []), "source_path", "chunk_index", "chunk_id"]
+    return new.join(old.select(*keys), keys, "left_anti")
 
 
 def remaining(target: DataFrame, progress: DataFrame) -> DataFrame:
@@ -47,10 +48,10 @@ def strangers(progress: DataFrame, target: DataFrame) -> DataFrame:
     return progress.join(target.select("job_key", "chunk_id"), ["job_key", "chunk_id"], "left_anti")
 
 
-def outcome_counts(diff: DataFrame) -> DataFrame:
-    """``source_path, added, kept, removed`` of a diff."""
+def outcome_counts(diff: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``source_path, added, kept, removed`` of a diff, or the counts by ``keys``."""
     one = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
-    return diff.groupBy("source_path").agg(one("added"), one("kept"), one("removed"))
+    return diff.groupBy(*(keys or ["source_path"])).agg(one("added"), one("kept"), one("removed"))
 
 
 def up_to_date(new: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import jstext
@@ -76,7 +76,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("chunk_id"), "source", "text")
 
 
-def _newest_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _end_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The chunk lists of the first and the last snapshot, each key once (latest row)."""
     rows = table(spark, folder, "chunk_snapshots")
     ends = rows.agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b")).head()
@@ -84,6 +84,17 @@ def _newest_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     return one(ends["a"]), one(ends["b"])
 
 
+def _snapshot_steps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Every snapshot but the first, and under its number the one before it, each key once (latest row)."""
+    rows = table(spark, folder, "chunk_snapshots").filter(F.col("snapshot_no").isNotNull())
+    latest = rows.groupBy("snapshot_no", "source_path", "chunk_index").agg(F.max(F.struct("loaded_at", "chunk_id")).alias("r")).select("snapshot_no", "source_path", "chunk_index", "r.chunk_id")
+    # one row per snapshot
+    steps = rows.select("snapshot_no").distinct().withColumn("before", F.lag("snapshot_no").over(Window.orderBy("snapshot_no"))).filter(F.col("before").isNotNull())
+    new = latest.join(F.broadcast(steps.select("snapshot_no")), "snapshot_no")
+    old = latest.withColumnRenamed("snapshot_no", "before").join(F.broadcast(steps), "before").drop("before")
+    return old, new
+
+
 # -- chunks and ids --------------------------------------------------------------------------------
 
 
@@ -204,7 +215,7 @@ def chunk_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger.diff_chunks(*_newest_snapshots(spark, folder))
+    return ledger.diff_chunks(*_end_snapshots(spark, folder))
 
 
 def diff_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,10 +223,24 @@ def diff_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def work_set(spark: SparkSession, folder: str) -> DataFrame:
-    old, new = _newest_snapshots(spark, folder)
+    old, new = _end_snapshots(spark, folder)
     return ledger.work_set(new, old).select("source_path", "chunk_index", "chunk_id")
 
 
+def chunk_diff_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """chunk_diff of every snapshot against the one before; chunk_diff itself compares the ends only."""
+    return ledger.diff_chunks(*_snapshot_steps(spark, folder), ["snapshot_no", "source_path", "chunk_id"])
+
+
+def diff_count_steps(spark: SparkSession, folder: str) -> DataFrame:
+    return ledger.outcome_counts(chunk_diff_steps(spark, folder), ["snapshot_no", "source_path"])
+
+
+def work_set_steps(spark: SparkSession, folder: str) -> DataFrame:
+    old, new = _snapshot_steps(spark, folder)
+    return ledger.work_set(new, old, ["snapshot_no"]).select("snapshot_no", "source_path", "chunk_index", "chunk_id")
+
+
 def _targets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     specs = table(spark, folder, "job_specs")
     ids = lambda c: specs.select("job_key", F.explode(c).alias("chunk_id")).filter(F.col("chunk_id").isNotNull()).distinct()
@@ -233,7 +258,7 @@ def checkpoint_strangers(spark: SparkSession, folder: str) -> DataFrame:
 
 def selected_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Stored vectors whose chunk id a removed list names or that the newest snapshot still holds."""
-    _, new = _newest_snapshots(spark, folder)
+    _, new = _end_snapshots(spark, folder)
     return ledger.selected(table(spark, folder, "chunk_snapshots").select("chunk_id", "snapshot_no").distinct(), new)
 
 
@@ -368,7 +393,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p3_found, p4_found, p7_found, p7_valid, chunk_ids, source_hashes, line_sections, chunk_numbering, embed_batches, recursive_chunks, code_chunks, markdown_chunks, csv_chunks, sniffed_types, json_sections, jsonl_sections,
-        csv_sections, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, resume_remaining, checkpoint_strangers, selected_chunks, plan_conflicts, unchanged_sources, unchanged_revisions, job_keys,
+        csv_sections, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, chunk_diff_steps, diff_count_steps, work_set_steps, resume_remaining, checkpoint_strangers, selected_chunks, plan_conflicts, unchanged_sources, unchanged_revisions, job_keys,
         vector_problems, vector_literals, point_ids, vector_upsert, vector_upsert_all, vector_delete, flat_metadata, listed_metadata, hash_vectors, export_lines, term_frequency, document_frequency, tfidf_norms, tfidf_top, relevant_documents,
         retrieval_metrics, metric_means, threshold_gate,
     )
@@ -376,6 +401,8 @@ QUERIES: dict[str, Query] = {
 
 _ENDS = "ends AS (SELECT min(snapshot_no) AS a, max(snapshot_no) AS b FROM chunk_snapshots), latest AS (SELECT *, row_number() OVER (PARTITION BY snapshot_no, source_path, chunk_index ORDER BY loaded_at DESC, chunk_id DESC) AS rn FROM chunk_snapshots), old AS (SELECT source_path, chunk_index, chunk_id FROM latest, ends WHERE snapshot_no = a AND rn = 1), new AS (SELECT source_path, chunk_index, chunk_id FROM latest, ends WHERE snapshot_no = b AND rn = 1)"
 _DIFF = f"WITH {_ENDS}, o AS (SELECT DISTINCT source_path, chunk_id FROM old), n AS (SELECT DISTINCT source_path, chunk_id FROM new), d AS (SELECT coalesce(o.source_path, n.source_path) AS source_path, coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN o.chunk_id IS NULL THEN 'added' WHEN n.chunk_id IS NULL THEN 'removed' ELSE 'kept' END AS status FROM o FULL JOIN n ON o.source_path = n.source_path AND o.chunk_id = n.chunk_id)"
+_STEPS = "latest AS (SELECT *, row_number() OVER (PARTITION BY snapshot_no, source_path, chunk_index ORDER BY loaded_at DESC, chunk_id DESC) AS rn FROM chunk_snapshots), steps AS (SELECT s, lag(s) OVER (ORDER BY s) AS b FROM (SELECT DISTINCT snapshot_no AS s FROM chunk_snapshots WHERE snapshot_no IS NOT NULL)), old AS (SELECT s AS snapshot_no, source_path, chunk_index, chunk_id FROM latest JOIN steps ON snapshot_no = b WHERE rn = 1), new AS (SELECT snapshot_no, source_path, chunk_index, chunk_id FROM latest JOIN steps ON snapshot_no = s WHERE b IS NOT NULL AND rn = 1)"
+_STEP_DIFF = f"WITH {_STEPS}, b AS (SELECT snapshot_no, source_path, chunk_id, bool_or(o) AS o, bool_or(n) AS n FROM (SELECT snapshot_no, source_path, chunk_id, true AS o, false AS n FROM old UNION ALL SELECT snapshot_no, source_path, chunk_id, false, true FROM new) GROUP BY ALL), d AS (SELECT snapshot_no, source_path, chunk_id, CASE WHEN o AND n THEN 'kept' WHEN n THEN 'added' ELSE 'removed' END AS status FROM b)"
 _JOBS = "t AS (SELECT DISTINCT job_key, chunk_id FROM (SELECT job_key, unnest(target_chunk_ids) AS chunk_id FROM job_specs) WHERE chunk_id IS NOT NULL), c AS (SELECT DISTINCT job_key, chunk_id FROM (SELECT job_key, unnest(completed_chunk_ids) AS chunk_id FROM job_specs) WHERE chunk_id IS NOT NULL)"
 _STOP = "(" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + ")"
 _LINES = "SELECT source_path, CAST(doc_id AS INT) AS section_index, generate_subscripts(l, 1) - 1 AS chunk_in_section FROM (SELECT source_path, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
@@ -472,6 +499,9 @@ SQL: dict[str, str] = {
     "chunk_diff": _DIFF + " SELECT * FROM d",
     "diff_counts": _DIFF + " SELECT source_path, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'removed') AS removed FROM d GROUP BY 1",
     "work_set": f"WITH {_ENDS} SELECT source_path, chunk_index, chunk_id FROM new EXCEPT SELECT source_path, chunk_index, chunk_id FROM old",
+    "chunk_diff_steps": _STEP_DIFF + " SELECT * FROM d",
+    "diff_count_steps": _STEP_DIFF + " SELECT snapshot_no, source_path, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'removed') AS removed FROM d GROUP BY 1, 2",
+    "work_set_steps": f"WITH {_STEPS} SELECT snapshot_no, source_path, chunk_index, chunk_id FROM new EXCEPT SELECT snapshot_no, source_path, chunk_index, chunk_id FROM old",
     "resume_remaining": f"WITH {_JOBS} SELECT job_key, chunk_id FROM t EXCEPT SELECT job_key, chunk_id FROM c",
     "checkpoint_strangers": f"WITH {_JOBS} SELECT job_key, chunk_id FROM c EXCEPT SELECT job_key, chunk_id FROM t",
     "selected_chunks": f"WITH {_ENDS} SELECT DISTINCT chunk_id, snapshot_no FROM chunk_snapshots WHERE chunk_id IN (SELECT chunk_id FROM new)",
