@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import jstext
@@ -178,6 +178,22 @@ def csv_sections(spark: SparkSession, folder: str) -> DataFrame:
     return _csv(spark, folder).select("source_path", "row", F.col("columns")["name"].alias("name"), "text")
 
 
+def _samples(spark: SparkSession, folder: str, kind: str, text: Column) -> DataFrame:
+    """Every sample row of a kind as a text of its own, parsed; what can't be parsed has an error."""
+    rows = table(spark, folder, "sample_rows").filter(F.col("file_kind") == kind).dropDuplicates(["row_id"])
+    return files.parse_texts(rows.select(F.concat(F.lit("row/"), F.col("row_id").cast("string"), F.lit(f".{kind}")).alias("source_path"), text.alias("text")), on_error="keep")
+
+
+def jsonl_samples(spark: SparkSession, folder: str) -> DataFrame:
+    return _samples(spark, folder, "jsonl", F.col("raw_line")).select("source_path", "line", "text", "error")
+
+
+def csv_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows below the header of their kind of file; a header itself has no section."""
+    text = F.when(F.col("line_no") == 1, F.col("raw_line")).otherwise(F.concat(F.lit("id,name,role,department,start_year,active\n"), F.col("raw_line")))
+    return _samples(spark, folder, "csv", text).select("source_path", "row", "columns", "text", "error")
+
+
 def html_sections(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "html_candidates").dropDuplicates(["page_id"]).filter(F.length("html") > 0)
     rows = pages.select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("source_path"), F.col("html").alias("text"))
@@ -393,7 +409,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p3_found, p4_found, p7_found, p7_valid, chunk_ids, source_hashes, line_sections, chunk_numbering, embed_batches, recursive_chunks, code_chunks, markdown_chunks, csv_chunks, sniffed_types, json_sections, jsonl_sections,
-        csv_sections, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, chunk_diff_steps, diff_count_steps, work_set_steps, resume_remaining, checkpoint_strangers, selected_chunks, plan_conflicts, unchanged_sources, unchanged_revisions, job_keys,
+        csv_sections, jsonl_samples, csv_samples, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, chunk_diff_steps, diff_count_steps, work_set_steps, resume_remaining, checkpoint_strangers, selected_chunks, plan_conflicts, unchanged_sources, unchanged_revisions, job_keys,
         vector_problems, vector_literals, point_ids, vector_upsert, vector_upsert_all, vector_delete, flat_metadata, listed_metadata, hash_vectors, export_lines, term_frequency, document_frequency, tfidf_norms, tfidf_top, relevant_documents,
         retrieval_metrics, metric_means, threshold_gate,
     )

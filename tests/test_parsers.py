@@ -103,3 +103,39 @@ def test_word_and_pdf():
     for read, bad in ((office.docx_markdown, b"no zip"), (office.pdf_pages, b"%PDF-1.4 junk"), (office.pdf_pages, b"")):
         with pytest.raises(ParseError):
             read(bad)
+
+
+def test_every_sample_row_is_parsed(spark, data, tmp_path):
+    import json
+
+    from sedimenta.plans.catalogue import QUERIES
+
+    table = spark.read.parquet(f"{data}/sample_rows.parquet")
+    planted = [(-1, "a.jsonl", "jsonl", 2, '{"a": 1'), (-2, "a.jsonl", "jsonl", 3, '{"a": [1, "x"]}'), (-3, "a.jsonl", "jsonl", 4, " "), (-4, "a.jsonl", "jsonl", 5, "{'a': 1}"), (-5, "a.csv", "csv", 2, '1,"x,2')]
+    planted = spark.createDataFrame(planted, "row_id long, source_path string, file_kind string, line_no int, raw_line string")
+    data = str(tmp_path)
+    table.select(planted.columns).union(planted).write.parquet(f"{data}/sample_rows.parquet")
+    raw = {r["row_id"]: r for r in spark.read.parquet(f"{data}/sample_rows.parquet").collect()}
+
+    def strict(text):
+        def refuse(name):
+            raise ValueError(name)
+
+        try:
+            json.loads(text, parse_constant=refuse)
+            return True
+        except ValueError:
+            return False
+
+    lines = {i: r["raw_line"].removeprefix("\ufeff") for i, r in raw.items() if r["file_kind"] == "jsonl"}
+    got = {int(r["source_path"][4:-6]): r for r in QUERIES["jsonl_samples"](spark, data).collect()}
+    assert set(got) == {i for i, t in lines.items() if t.strip()} and {i for i, r in got.items() if r["error"] is None} == {i for i, t in lines.items() if t.strip() and strict(t)}
+    assert got[-1]["error"] and got[-4]["error"] and not got[-2]["error"] and -3 not in got
+    cells = {i: r["raw_line"] for i, r in raw.items() if r["file_kind"] == "csv" and r["line_no"] != 1}
+    found = {int(r["source_path"][4:-4]): r for r in QUERIES["csv_samples"](spark, data).collect()}
+    assert {i for i, r in found.items() if r["error"]} == {i for i, t in cells.items() if t.count('"') % 2}
+    assert {i for i, r in found.items() if not r["error"]} == {i for i, t in cells.items() if t.count('"') % 2 == 0 and t.strip()}
+    names = "id name role department start_year active".split()
+    for i, t in cells.items():
+        if t.strip() and '"' not in t and "\r" not in t and "\n" not in t:
+            assert found[i]["columns"] == dict(zip(names, t.split(",") + [""] * 6))
