@@ -91,13 +91,15 @@ def run_increment(spark: SparkSession, target: VersionedTarget, source: DataFram
 
     ``transform`` maps source rows to output rows and must keep ``keys`` and ``version``.  Per key the
     source row of the highest version counts (repeated rows once).  Output rows of a key whose version
-    grew replace the older ones; a run without news publishes nothing.
+    grew replace the older ones; a run without news publishes nothing.  Null keys match each other; a
+    null version is below every other, so that such a row is taken only while its key isn't in the target.
     """
     state_df, at = target.read(), (target.current() or {}).get("version")
     state = None if state_df is None else state_df.groupBy(*keys).agg(F.max(version).alias(version))
     newest = source.groupBy(*keys).agg(F.max(version).alias(version))
-    rows = source.join(newest, [*keys, version], "left_semi").dropDuplicates([*keys, version])
-    fresh = unseen(rows, state, keys, F.coalesce(F.col(f"t.{version}") >= F.col(f"s.{version}"), F.lit(False)))
+    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in [*keys, version]]
+    rows = source.alias("s").join(newest.alias("n"), on, "left_semi").dropDuplicates([*keys, version])
+    fresh = unseen(rows, state, keys, F.col(f"s.{version}").isNull() | F.coalesce(F.col(f"t.{version}") >= F.col(f"s.{version}"), F.lit(False)))
     if state_df is not None and fresh.isEmpty():
         return at
     done = transform(fresh)

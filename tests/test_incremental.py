@@ -62,3 +62,15 @@ def test_failure_leaves_the_published_version(spark, tmp_path):
     with pytest.raises(IntegrityError):
         t.publish(one, None)
     assert [tuple(r) for r in t.read().collect()] == [("a", 1)]
+
+
+def test_null_keys_and_versions(spark, tmp_path):
+    t = VersionedTarget(spark, f"{tmp_path}/t")
+    schema = "a string, b string, version int, v string"
+    run = lambda *rows: run_increment(spark, t, spark.createDataFrame(rows, schema), ["a", "b"], "version", lambda df: df)
+    one = [(None, "x", 1, "old"), (None, "x", 2, "new"), ("k", None, None, "none"), ("k", None, None, "none"), ("k", "x", None, "none"), ("k", "x", 1, "one")]
+    assert run(*one) == 1
+    assert sorted(map(tuple, t.read().collect()), key=repr) == [("k", "x", 1, "one"), ("k", None, None, "none"), (None, "x", 2, "new")]
+    assert run(*one) == 1, "nothing new publishes nothing"
+    assert run(*one, ("k", None, 0, "zero"), ("k", "x", None, "late")) == 2
+    assert sorted(map(tuple, t.read().collect()), key=repr) == [("k", "x", 1, "one"), ("k", None, 0, "zero"), (None, "x", 2, "new")]
