@@ -39,6 +39,8 @@ LEAST_TEXT, STATE_TEXT = 25, 40
 NOTICE = re.compile(r"\bcookies?\b|small files on your device|kleine dateien auf ihrem|archivos pequeños en su|petits fichiers sur votre|pequenos arquivos no seu|accept all of them|allem zustimmen|aceptarlos todos|tout accepter|accepter tous", re.I)
 STEMS = ("cookie", "files", "dateien", "archivos", "fichiers", "arquivos", "accept", "zustimmen")
 RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)", re.I)
+#: Elements by which a body shorter than LEAST_TEXT is still one.
+HOLDING = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl".split())
 CODE = re.compile(r"(?<![A-Za-z0-9])(?:KB|REL|FAQ|ADR|INC)-[0-9]{5}(?![0-9])")
 
 
@@ -100,13 +102,13 @@ def _notice(text: str) -> bool:
     return any(x in low for x in STEMS) and len(set(NOTICE.findall(low))) > 1
 
 
-def _score(page: _Page) -> dict[Node, float]:
+def _score(page: _Page, least: int = LEAST_TEXT) -> dict[Node, float]:
     points: dict[Node, float] = {}
     for node in page.size:
         if node.tag not in SCORING or node in page.cut or any(c.tag in BLOCKS and c.tag != "br" for c in node.elements()):
             continue
         text = page.text(node).strip()
-        if len(text) < LEAST_TEXT or RIGHTS.match(text) or _notice(text):
+        if len(text) < least or RIGHTS.match(text) or _notice(text):
             continue
         value = (1 + len(re.findall("[,\u060c\u3001\uff0c;]", text)) + min(len(text) / 100, 4)) * (1 - page.density(node))
         up, share = node.parent, 1.0
@@ -123,8 +125,8 @@ def _score(page: _Page) -> dict[Node, float]:
     return points
 
 
-def _container(page: _Page) -> tuple[Node | None, float]:
-    points = {n: v for n, v in _score(page).items() if n.tag in CONTAINERS}
+def _container(page: _Page, least: int = LEAST_TEXT) -> tuple[Node | None, float]:
+    points = {n: v for n, v in _score(page, least).items() if n.tag in CONTAINERS}
     if not points:
         return None, 0.0
     best = max(points, key=points.get)
@@ -214,10 +216,10 @@ def _segment(page: _Page, node: Node) -> None:
                 node.children[node.children.index(c)] = ""
 
 
-def main_body(source: str) -> tuple[Node | None, float]:
-    """The tree of the main body, furniture taken out, and its score."""
+def main_body(source: str, least: int = LEAST_TEXT) -> tuple[Node | None, float]:
+    """The tree of the main body, furniture taken out, and its score; elements of fewer than ``least`` characters don't count."""
     page = _Page(parse(source))
-    best, score = _container(page)
+    best, score = _container(page, least)
     if best is None:
         return None, 0.0
     if best.tag in ("body", "#root", "html", "center"):
@@ -252,23 +254,31 @@ def state_strings(source: str) -> list[str]:
     return out
 
 
-def extract(source: str | None) -> tuple[str, list[str]]:
-    """The text of the main body (empty if there is none) and the distinct codes a reader sees in it."""
-    if not source or not source.strip():
-        return "", []
-    best, score = main_body(source)
+def _best_body(source: str, least: int) -> Node | None:
+    best, score = main_body(source, least)
     headed = best is not None and any(n.tag == "h1" for n in best.walk())
     for text in state_strings(source):
-        other, points = main_body(text)
+        other, points = main_body(text, least)
         if other is None:
             continue
         has = any(n.tag == "h1" for n in other.walk())
         if (has, points) > (headed, score):
             best, score, headed = other, points, has
+    return best
+
+
+def extract(source: str | None) -> tuple[str, list[str]]:
+    """The text of the main body (empty if there is none) and the distinct codes a reader sees in it.
+
+    Short elements are looked at only where no element is long enough to score.
+    """
+    if not source or not source.strip():
+        return "", []
+    best = _best_body(source, LEAST_TEXT) or _best_body(source, 1)
     if best is None:
         return "", []
     text = render(best)
-    if len(text) < LEAST_TEXT:
+    if len(text) < LEAST_TEXT and not any(n.tag in HOLDING for n in best.walk()):
         return "", []
     return text, sorted(set(CODE.findall(text)))
 

@@ -148,3 +148,12 @@ def test_canonical_texts_keep_the_script(spark):
     got = {r["doc_id"]: r["canonical"] for r in lookalike.canonical_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "служба работает", 2: "служба работает", 3: "служба", 4: "plain", 5: "plain", 6: "a b", 8: ""}
     assert lookalike.canonical_texts(spark.createDataFrame(rows, "doc_id long, text string").filter(F.col("doc_id") > 99)).count() == 0
+
+
+def test_short_bodies():
+    index = "<html><body><nav><ul><li><a href=/>KB-00001</a></li></ul></nav><main><h1>Codes</h1><ul>" + "".join(f"<li>KB-{n}</li>" for n in (12345, 12346, 12347)) + "</ul></main><footer><p>KB-99999</p></footer></body></html>"
+    text, codes = boilerplate.extract(index)
+    assert codes == ["KB-12345", "KB-12346", "KB-12347"] and text.startswith("Codes")
+    assert boilerplate.extract("<article><h1>Lock</h1><p>See KB-12345.</p></article>")[1] == ["KB-12345"]
+    assert boilerplate.extract("<div><p>See KB-12345.</p></div>") == ("", []), "neither long nor headed"
+    assert boilerplate.extract("<body><div class='cookie-banner'><h2>Cookies</h2><p>Accept cookies</p></div></body>")[1] == []
