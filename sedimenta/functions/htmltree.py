@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 #: Element names of HTML, current and obsolete.
@@ -23,9 +24,16 @@ BLOCKS = frozenset(
 )
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th", "caption", "colgroup"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), "thead": ("caption", "colgroup"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
 FENCES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select", "datalist"), "optgroup": ("select",)}
-#: Elements beyond which an end tag doesn't close anything; nesting beyond DEEPEST is flattened.
+#: Elements beyond which an end tag doesn't close anything, and end tags that reach through them.
 SCOPE = frozenset("table td th caption html body".split())
-DEEPEST = 150
+THROUGH = SCOPE | {"tr", "tbody", "thead", "tfoot"}
+#: What may stand in a table outside its cells; anything else belongs before the table.
+TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
+TABLE_ONLY = TABLE_PARTS - {"script", "style", "template"}
+TABLE_FRAME = frozenset("table tbody thead tfoot tr colgroup".split())
+PARAGRAPH_FENCES = ("table", "td", "th", "caption", "li", "blockquote", "div", "section", "article", "main", "body", "button")
+#: List and quotation levels that are shown by indenting; deeper ones are numbered instead, so that text stays as long as its source.
+INDENTED = 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -60,56 +68,104 @@ class Node:
 
 
 class Builder:
-    """Builds the tree from start tags, end tags and texts."""
+    """Builds the tree from start tags, end tags and texts, whatever the depth.
+
+    Open elements are indexed by name, so that no tag has to search through them.
+    """
 
     def __init__(self):
-        self.root = self.at = Node("#root")
-        self.depth = 0
+        self.root = Node("#root")
+        self.open: list[Node] = [self.root]
+        self._places: dict[str, list[int]] = {}
+        self._scopes: list[int] = []
+
+    @property
+    def at(self) -> Node:
+        return self.open[-1]
+
+    def _close(self, place: int) -> None:
+        """Close the open elements from ``place`` on."""
+        while len(self.open) > place:
+            name = self.open.pop().tag
+            self._places[name].pop()
+            if name in SCOPE:
+                self._scopes.pop()
 
-    def _up(self, node: Node) -> None:
-        """Close ``node`` and what is open in it."""
-        n = self.at
-        while n is not node:
-            n, self.depth = n.parent, self.depth - 1
-        self.at, self.depth = node.parent, self.depth - 1
+    def _last(self, names) -> int:
+        return max((p[-1] for n in names if (p := self._places.get(n))), default=0)
 
     def _imply(self, names: tuple[str, ...], fences: tuple[str, ...]) -> None:
-        n, found = self.at, None
-        while n is not self.root and n.tag not in fences:
-            if n.tag in names:
-                found = n
-            n = n.parent
-        if found is not None:
-            self._up(found)
+        """Close the outermost of ``names`` that is open within the innermost of ``fences``."""
+        if not any(self._places.get(n) for n in names):
+            return
+        fence, first = self._last(fences), None
+        for n in names:
+            places = self._places.get(n)
+            if places and places[-1] > fence:
+                k = places[bisect_right(places, fence)]
+                first = k if first is None else min(first, k)
+        if first is not None:
+            self._close(first)
+
+    def _before_table(self, child) -> Node:
+        """Put what can't stand in a table before it; returns its parent."""
+        table = self.open[self._places["table"][-1]]
+        parent = table.parent
+        # the table is among the last children of its parent
+        i = next(i for i in range(len(parent.children) - 1, -1, -1) if parent.children[i] is table)
+        parent.children.insert(i, child)
+        return parent
+
+    def _in_frame(self) -> bool:
+        return self.open[-1].tag in TABLE_FRAME and bool(self._places.get("table"))
 
     def start(self, name: str, attrs: dict[str, str] | None = None, empty: bool = False) -> Node:
         if name in BLOCKS:
-            self._imply(("p",), ("table", "td", "th", "caption", "li", "blockquote", "div", "section", "article", "main", "body", "button"))
+            self._imply(("p",), PARAGRAPH_FENCES)
         if name in ENDS:
             self._imply(ENDS[name], FENCES[name])
-        if name[0] == "h" and name[1:].isdigit() and self.at.tag[0] == "h" and self.at.tag[1:].isdigit():
-            self._up(self.at)
-        if self.depth >= DEEPEST and name in BLOCKS:
-            self._up(self.at)  # blocks nested too deep stand side by side, inline elements are passed over
-        node = Node(name, attrs or {}, self.at)
-        self.at.children.append(node)
-        if name not in VOID and not empty and self.depth < DEEPEST:
-            self.at, self.depth = node, self.depth + 1
+        if name in TABLE_ONLY and self._places.get("table"):
+            frame = self._last(TABLE_FRAME)
+            if self._last(("td", "th", "caption")) < frame < len(self.open) - 1:
+                self._close(frame + 1)  # what had to stand before the table
+        at = self.open[-1].tag
+        if name[0] == "h" and name[1:].isdigit() and at[0] == "h" and at[1:].isdigit():
+            self._close(len(self.open) - 1)
+        node = Node(name, attrs or {})
+        if at != "#root" and self._in_frame() and name not in TABLE_PARTS:
+            node.parent = self._before_table(node)
+        else:
+            if name in ("td", "th") and self._in_frame() and self.open[-1].tag != "tr":
+                self.start("tr")
+            node.parent = self.open[-1]
+            node.parent.children.append(node)
+        if name not in VOID and not empty:
+            self._places.setdefault(name, []).append(len(self.open))
+            if name in SCOPE:
+                self._scopes.append(len(self.open))
+            self.open.append(node)
         return node
 
-    def end(self, name: str) -> None:
-        n = self.at
-        while n is not self.root:
-            if n.tag == name:
-                self._up(n)
-                return
-            if n.tag in SCOPE and name not in SCOPE | {"tr", "tbody", "thead", "tfoot", "table"}:
-                return
-            n = n.parent
+    def drop(self, node: Node) -> None:
+        """Close ``node`` if it is the innermost open element."""
+        if self.open[-1] is node:
+            self._close(len(self.open) - 1)
+
+    def end(self, name: str) -> bool:
+        """Whether the end tag closed an element."""
+        places = self._places.get(name)
+        if not places or name not in THROUGH and self._scopes and self._scopes[-1] > places[-1]:
+            return False
+        self._close(places[-1])
+        return True
 
     def text(self, text: str) -> None:
-        if text:
-            self.at.children.append(text)
+        if not text:
+            return
+        if self._in_frame() and not text.isspace():
+            self._before_table(text)
+        else:
+            self.open[-1].children.append(text)
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -142,8 +198,7 @@ def parse(source: str) -> Node:
             content = source[at : stop.start() if stop else n]
             at = stop.end() if stop else n
             node.children.append(content)
-            if b.at is node:
-                b.at, b.depth = node.parent, b.depth - 1
+            b.drop(node)
     b.text(html.unescape(source[at:]))
     return b.root
 
@@ -161,118 +216,223 @@ def scripts(source: str) -> list[str]:
     return out
 
 
+def drive(root: Node, sink) -> None:
+    """Hand the tree to a sink: ``text(string)``, ``enter(node)`` (whether to go into it) and ``leave(node)``; no recursion."""
+    path, at = [root], [iter(root.children)]
+    while at:
+        for c in at[-1]:
+            if isinstance(c, str):
+                sink.text(c)
+            elif sink.enter(c):
+                path.append(c)
+                at.append(iter(c.children))
+                break
+        else:
+            at.pop()
+            node = path.pop()
+            if at:
+                sink.leave(node)
+
+
+def text_of(node: Node) -> str:
+    """All text below a node, in order."""
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        else:
+            stack += reversed(n.children)
+    return "".join(out)
+
+
+def aligned(rows: list[list[str]]) -> str:
+    """Cells side by side, three blanks apart, in columns as wide as their widest cell."""
+    widths: list[int] = []
+    for r in rows:
+        widths += [0] * (len(r) - len(widths))
+        for i, c in enumerate(r):
+            widths[i] = max(widths[i], len(c))
+    return "\n".join("   ".join(c.ljust(widths[i]) for i, c in enumerate(r)).rstrip() for r in rows)
+
+
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_AROUND_BREAKS, _AROUND_BLANKS, _BLANKS = re.compile(r"[ \t]*\n[ \t]*"), re.compile(r" *\n *"), re.compile(" {2,}")
+_LISTS = frozenset(("ul", "ol", "menu", "dir"))
+_VERBATIM = frozenset(("pre", "listing", "xmp"))
 
 
-def render(root: Node, keep_lines: bool = False) -> str:
-    """The visible text of a tree: blocks apart, list items marked, code untouched, table cells aligned.
+class _Plain:
+    """Sink that writes visible text: blocks apart, list items marked, code untouched, table cells aligned.
 
-    ``keep_lines``: line breaks of texts directly in the root are kept, as in plain text.
+    A frame collects the blocks of the text or of a table cell.  ``lead`` is the stack of marks and
+    indents under which a block stands; a mark is written once, with the first block behind it.
     """
-    blocks: list[str] = []
-    line: list[str] = []
-
-    def flush(lead: str = "") -> None:
-        text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(line)) if keep_lines else re.sub(r" *\n *", "\n", re.sub(" {2,}", " ", "".join(line)))
-        line.clear()
-        text = text.strip()
-        if text:
-            pad = " " * len(lead)
-            blocks.append("\n".join((lead if i == 0 else pad) + x for i, x in enumerate(text.split("\n"))))
-
-    def plain(node: Node) -> str:
-        out = []
-        for n in node.walk():
-            out += [c for c in n.children if isinstance(c, str)]
+
+    def __init__(self, keep_lines: bool):
+        self.keep_lines = keep_lines
+        self.line: list[str] = []
+        self.frames: list[list[list]] = [[]]
+        self.lead: list[list] = []
+        self.tables: list[list[list[str]]] = []
+        self.saved: list[tuple] = []
+        self.numbers: list[int] = []
+        self.number = 0
+        #: Depth of elements in which blanks of the source don't count; lists open in the frame; blank lines allowed between lists that belong together.
+        self.flowing, self.lists, self.joined = 0, 0, None
+
+    # -- writing --------------------------------------------------------------------------------
+    def _prefix(self) -> tuple[str, str]:
+        shown = self.lead[:INDENTED]
+        rest = "".join([indent for _, indent in shown])
+        first = "".join([indent if mark is None else mark for mark, indent in shown])
+        for entry in shown:
+            entry[0] = None
+        if len(self.lead) > INDENTED:
+            inmost = self.lead[-1]
+            first += f"({len(self.lead)}) {inmost[0] or ''}"
+            inmost[0] = None
+        return first, rest
+
+    def block(self, text: str, indent: str = "") -> None:
+        if not text.strip():
+            return
+        first, rest = self._prefix()
+        lines = text.split("\n")
+        out = [(first if i == 0 else rest) + indent + x for i, x in enumerate(lines)]
+        self.frames[-1].append([self.lists, "\n".join(out)])
+
+    def flush(self) -> None:
+        if self.line:
+            text = "".join(self.line)
+            self.line.clear()
+            text = _AROUND_BREAKS.sub("\n", text) if self.keep_lines else _AROUND_BLANKS.sub("\n", _BLANKS.sub(" ", text))
+            self.block(text.strip())
+
+    def pop(self) -> str:
+        """The blocks of the innermost frame: a blank line between them, but none between blocks of one list."""
+        out, before = [], 0
+        for inner, text in self.frames.pop():
+            if out:
+                out.append("\n" if inner and inner == before else "\n\n")
+            out.append(text)
+            before = inner
         return "".join(out)
 
-    def table(node: Node) -> None:
-        rows, stack = [], [node]
-        while stack:
-            n = stack.pop()
-            if n.tag == "tr":
-                rows.append([_SPACE.sub(" ", render(c)).strip() for c in n.elements() if c.tag in ("td", "th") and not c.hidden])
-            else:
-                if n.tag == "caption":
-                    blocks.append(_SPACE.sub(" ", plain(n)).strip())
-                stack += [c for c in reversed(n.children) if isinstance(c, Node) and c.tag in ("tr", "tbody", "thead", "tfoot", "caption") and not c.hidden]
-        widths: list[int] = []
-        for r in rows:
-            for i, c in enumerate(r):
-                if i < len(widths):
-                    widths[i] = max(widths[i], len(c))
-                else:
-                    widths.append(len(c))
-        text = "\n".join("   ".join(c.ljust(widths[i]) for i, c in enumerate(r)).rstrip() for r in rows)
-        if text.strip():
-            blocks.append(text)
-
-    def items(node: Node, level: int) -> None:
-        number = 0
-        for c in node.children:
-            if isinstance(c, Node) and not c.hidden:
-                if c.tag == "li":
-                    number += 1
-                    mark = c.attrs.get("mark") or (f"{number}." if node.tag == "ol" else "-")
-                    inside(c, level, "  " * level + mark + " ")
-                elif c.tag in ("ul", "ol", "menu", "dir"):
-                    items(c, level + 1)
-                else:
-                    inside(c, level)
-
-    def inside(node: Node, level: int, lead: str = "") -> None:
-        """The children of a block; the first block of it gets ``lead``."""
-        first = [lead]
-
-        def out() -> None:
-            had = len(blocks)
-            flush(first[0])
-            if len(blocks) > had:
-                first[0] = " " * len(first[0])
-
-        walk(node, level, out)
-        out()
-
-    def walk(node: Node, level: int, out) -> None:
-        collapse = not (keep_lines and node.tag == "#root")
-        listed = False
-        for c in node.children:
-            if isinstance(c, str):
-                listed = listed and not c.strip() and c.count("\n") < 3
-                line.append(_SPACE.sub(" ", c) if collapse else c)
-                continue
-            if c.tag not in ("ul", "ol", "menu", "dir"):
-                listed = False
-            if c.hidden:
-                continue
-            elif c.tag == "br":
-                line.append("\n")
-            elif c.tag == "hr":
-                out()
-            elif c.tag in ("pre", "listing", "xmp"):
-                out()
-                text = plain(c).strip("\n")
-                if text.strip():
-                    blocks.append("\n".join("    " + x for x in text.split("\n")))
-            elif c.tag == "table":
-                out()
-                table(c)
-            elif c.tag in ("ul", "ol", "menu", "dir"):
-                out()
-                before = len(blocks)
-                items(c, level + 1 if node.tag == "li" else level)
-                blocks[before:] = ["\n".join(blocks[before:])] if len(blocks) > before else []
-                if listed and len(blocks) > before > 0:  # items of one list that came as several
-                    blocks[before - 1 :] = ["\n".join(blocks[before - 1 :])]
-                listed = True
-                continue
-            elif c.tag == "img":
-                line.append(c.attrs.get("alt", ""))
-            elif c.tag in BLOCKS:
-                out()
-                inside(c, level, "  " if c.tag in ("blockquote", "dd") else "")
-            else:
-                walk(c, level, out)
-
-    inside(root, 0)
-    return "\n\n".join(blocks)
+    # -- events ---------------------------------------------------------------------------------
+    def text(self, text: str) -> None:
+        if self.joined is not None and (text.strip() or text.count("\n") > 2):
+            self.joined = None
+        self.line.append(text if self.keep_lines and not self.flowing else _SPACE.sub(" ", text))
+
+    def enter(self, node: Node) -> bool:
+        tag = node.tag
+        if tag not in _LISTS and self.lists == 0:
+            self.joined = None
+        if node.hidden:
+            return False
+        if tag in _LISTS:
+            self.flush()
+            if self.lists == 0:
+                self.number = self.number + 1 if self.joined is None else self.number
+            self.lists = self.lists or self.number
+            if node.parent is not None and node.parent.tag in _LISTS:
+                self.lead.append([None, "  "])
+            self.numbers.append(0)
+            self.flowing += 1
+            return True
+        if tag == "li":
+            self.flush()
+            mark = node.attrs.get("mark")
+            if self.numbers:
+                self.numbers[-1] += 1
+            if not mark:
+                mark = f"{self.numbers[-1]}." if self.numbers and node.parent is not None and node.parent.tag == "ol" else "-"
+            self.lead.append([mark + " ", " " * (len(mark) + 1)])
+            self.flowing += 1
+            return True
+        if tag == "br":
+            self.line.append("\n")
+            return False
+        if tag == "hr":
+            self.flush()
+            return False
+        if tag == "img":
+            self.line.append(node.attrs.get("alt", ""))
+            return False
+        if tag in _VERBATIM:
+            self.flush()
+            self.block(text_of(node).strip("\n"), "    ")
+            return False
+        if tag == "table":
+            self.flush()
+            self.tables.append([])
+            self.frames.append([])
+            self.saved.append((self.lead, self.lists, self.numbers, self.joined))
+            self.lead, self.lists, self.numbers, self.joined = [], 0, [], None
+            self.flowing += 1
+            return True
+        if tag == "tr" and self.tables:
+            self.tables[-1].append([])
+            return True
+        if tag in ("td", "th") and self.tables:
+            self.flush()
+            if not self.tables[-1]:
+                self.tables[-1].append([])
+            self.frames.append([])
+            return True
+        if tag in BLOCKS:
+            self.flush()
+            if tag in ("blockquote", "dd"):
+                self.lead.append(["  ", "  "])
+            self.flowing += 1
+            return True
+        self.flowing += node.attrs.get("of", "html") == "html"
+        return True
+
+    def leave(self, node: Node) -> None:
+        tag = node.tag
+        if tag in _LISTS:
+            self.flush()
+            self.numbers.pop()
+            self.flowing -= 1
+            if node.parent is not None and node.parent.tag in _LISTS:
+                self.lead.pop()
+            if not self.numbers:
+                self.lists, self.joined = 0, True
+        elif tag == "li":
+            self.flush()
+            self.lead.pop()
+            self.flowing -= 1
+        elif tag == "table":
+            self.flush()
+            rest = self.pop()
+            rows = self.tables.pop()
+            self.lead, self.lists, self.numbers, self.joined = self.saved.pop()
+            self.flowing -= 1
+            self.block(rest)
+            self.block(aligned(rows))
+        elif tag == "tr" and self.tables:
+            self.flush()
+        elif tag in ("td", "th") and self.tables:
+            self.flush()
+            self.tables[-1][-1].append(_SPACE.sub(" ", self.pop()).strip())
+        elif tag in BLOCKS:
+            self.flush()
+            if tag in ("blockquote", "dd"):
+                self.lead.pop()
+            self.flowing -= 1
+        else:
+            self.flowing -= node.attrs.get("of", "html") == "html"
+
+
+def render(root: Node, keep_lines: bool = False) -> str:
+    """The visible text of a tree.
+
+    ``keep_lines``: line breaks of texts directly in the root (or in inline elements there that aren't
+    HTML) are kept, as in plain text.
+    """
+    sink = _Plain(keep_lines)
+    drive(root, sink)
+    sink.flush()
+    return sink.pop()

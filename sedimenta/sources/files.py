@@ -25,7 +25,7 @@ CONTENT = {"md": "markdown", "mdx": "markdown", "markdown": "markdown", "pdf": "
 
 SECTIONS = (
     "source_path string, content_type string, section_index int, text string, language string, key_path string, item int, line int, `row` int, columns map<string,string>, "
-    "header_path array<string>, header_depth int, heading string, extraction_origin string, page_number int, page_count int, error string"
+    "header_path array<string>, header_depth int, heading string, extraction_origin string, page_number int, page_count int, state_left_out int, error string"
 )
 
 

@@ -54,7 +54,7 @@ PAGE = """<!doctype html><html><body><nav><ul><li><a href=/>Home page of the sit
 
 
 def test_page():
-    text, origin = webpage.to_markdown(PAGE)
+    text, origin, _ = webpage.to_markdown(PAGE)
     assert origin == "document" and "Home page" not in text and "©" not in text
     for part in ("# Title", "First **bold** and [link \\[1\\]](/x), long", "```javascript\nlet a = `1`;\n```", "- one\n\n  1. two\n- three", "| h\\|1 | b |\n| --- | --- |\n| c |  |", "> q\n> r"):
         assert part in text, part
@@ -65,8 +65,11 @@ def test_page_state():
     import json
 
     article = "<article><h1>State</h1>" + "<p>Words of the article, some of them.</p>" * 8 + "</article>"
-    text, origin = webpage.to_markdown(f"<html><body><div id=app></div><script type=application/json>{json.dumps({'a': [article]})}</script></body></html>")
-    assert origin == "embedded-json" and text.startswith("# State")
+    page = f"<html><body><div id=app></div><script type=application/json>{json.dumps({'a': [article], 'b': '<main><h1>Short</h1><p>x</main>'})}</script></body></html>"
+    text, origin, left_out = webpage.to_markdown(page)
+    assert origin == "embedded-json" and text.startswith("# State") and left_out == 1
+    assert webpage.to_markdown(page, webpage.EXACT)[1:] == ("embedded-json", 0)
+    assert webpage.state_pages(page, webpage.StateLimits(strings=0)) == ([], 2) and webpage.state_pages(page, webpage.StateLimits(characters=5)) == ([], 1) and webpage.state_pages(page, webpage.StateLimits(values=1)) == ([], 1)
     for bad in ("", "<p>short</p>", "<nav>" + "x" * 100 + "</nav>"):
         with pytest.raises(ParseError):
             webpage.to_markdown(bad)
@@ -78,6 +81,24 @@ def test_tree():
     assert render(parse("<div>" * 5000 + "deep" + "</div>" * 5000)) == "deep" and render(parse("")) == ""
 
 
+def test_tables_without_rows():
+    assert render(parse("<table><td>cell text<td>two</table> after")) == "cell text   two\n\nafter"
+    assert render(parse("<table>stray text<tr><td>x</table>")) == "stray text\n\nx"
+    assert render(parse("<table><b>bold<tr><td>y<td><table><td>in</table></table>")) == "bold\n\ny   in"
+
+
+def test_any_depth():
+    assert render(parse("<ul><li><p>a</p><ul><li>b<ol><li>c<li>d</ol></ul><li>e</ul>")) == "- a\n  - b\n    1. c\n    2. d\n- e"
+    for opened, lines in (("<ul><li>x", 2000), ("<blockquote>x", 2000), ("<b>x", 1), ("<table><tr><td>x", 1)):
+        text = render(parse(opened * 2000))
+        assert text.count("x") == 2000 and len([t for t in text.split("\n") if t.strip()]) == lines
+    assert "(2000) - x" in render(parse("<ul><li>x" * 2000))
+    text, *_ = webpage.to_markdown("<article><h1>Deep</h1><p>Words of the article, some of them.</p>" + "<ul><li>x" * 2000 + "</article>")
+    assert text.count("- x") == 2000
+    tree = parse("<div>" * 3000 + "<p>end")
+    assert sum(1 for _ in tree.walk()) == 3002, "no node is lost, none stands beside its parent"
+
+
 def docx(*paragraphs):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = "".join(f'<w:p><w:pPr>{f"""<w:pStyle w:val="{style}"/>""" if style else ""}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>' for style, text in paragraphs)
