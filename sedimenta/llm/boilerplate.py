@@ -28,96 +28,155 @@ NAMES = re.compile(
     re.I,
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body)(?:$|[\s_-])", re.I)
-#: Elements whose text scores; containers that can hold an article.
+#: Elements whose text scores; containers that can hold an article; elements of which running text is made.
 SCORING = frozenset("p pre blockquote li td th dd dt h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("div section article main td body center #root".split())
+WHOLE = frozenset("body html center #root".split())
+FLOW = frozenset("p ul ol dl pre table blockquote figure h2 h3 h4 h5 h6 listing xmp".split())
+#: Elements that show that a box holds more than a single remark.
+HOLDING = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote article main".split())
 #: A list or block is furniture if so much of its text is links.
 LINKS = 0.5
-#: Characters that the body of a page has at least; length of a HTML string in page state; strings looked at per script.
-LEAST_TEXT, STATE_TEXT = 25, 40
-#: Wording of notices about cookies and consent, which can be all the text that a page without article has.
-NOTICE = re.compile(r"\bcookies?\b|small files on your device|kleine dateien auf ihrem|archivos pequeños en su|petits fichiers sur votre|pequenos arquivos no seu|accept all of them|allem zustimmen|aceptarlos todos|tout accepter|accepter tous", re.I)
-STEMS = ("cookie", "files", "dateien", "archivos", "fichiers", "arquivos", "accept", "zustimmen")
+#: Characters at which an element counts as a full paragraph; shorter ones count in proportion.
+FULL = 25
 RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)", re.I)
-#: Elements by which a body shorter than LEAST_TEXT is still one.
-HOLDING = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl".split())
+COMMAS = re.compile("[,\u060c\u3001\uff0c;]")
 CODE = re.compile(r"(?<![A-Za-z0-9])(?:KB|REL|FAQ|ADR|INC)-[0-9]{5}(?![0-9])")
 
 
 class _Page:
-    """Lengths of text and link text below each node, furniture left out."""
+    """What lies below each node, furniture left out: text, link text, headline, texts that stand by themselves."""
 
     def __init__(self, root: Node):
-        self.root, self.size, self.linked, self.cut = root, {}, {}, set()
-        for node in root.walk():
-            if node.hidden or node.tag in CHROME or node.attrs.get("role") in ROLES:
-                self.cut.add(node)
-            elif node.tag == "header" and not self._inside(node, ("article", "main")):
-                self.cut.add(node)
-        self._measure()
-
-    @staticmethod
-    def _inside(node: Node, tags: tuple[str, ...]) -> bool:
-        while node is not None:
-            if node.tag in tags or node.attrs.get("role") == "main":
-                return True
-            node = node.parent
-        return False
-
-    def _measure(self) -> None:
-        order, stack = [], [(self.root, False)]
+        self.root, self.cut = root, set()
+        self.size: dict[Node, int] = {}
+        self.linked: dict[Node, int] = {}
+        self.texts: dict[Node, int] = {}
+        self.headed: set[Node] = set()
+        self.holds: set[Node] = set()
+        order, stack = [], [(root, False, False)]
         while stack:
-            node, link = stack.pop()
+            node, link, inside = stack.pop()
+            tag, role = node.tag, node.attrs.get("role") if node.attrs else None
+            if node.hidden or tag in CHROME or role in ROLES or tag == "header" and not inside:
+                self.cut.add(node)
+                continue
+            link, inside = link or tag == "a", inside or tag in ("article", "main") or role == "main"
             order.append((node, link))
-            stack += [(c, link or node.tag == "a") for c in node.elements() if c not in self.cut]
+            stack += [(c, link, inside) for c in reversed(node.children) if isinstance(c, Node)]
+        #: Nodes in document order.
+        self.order = [n for n, _ in order]
         for node, link in reversed(order):
-            own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-            below = [c for c in node.elements() if c in self.size and c not in self.cut]
-            self.size[node] = own + sum(self.size[c] for c in below)
-            self.linked[node] = self.size[node] if link or node.tag == "a" else sum(self.linked[c] for c in below)
+            size = linked = texts = own = 0
+            for c in node.children:
+                if isinstance(c, str):
+                    own += len(c.strip())
+                elif c in self.size:
+                    size += self.size[c]
+                    linked += self.linked[c]
+                    texts += self.texts[c]
+                    if c in self.headed:
+                        self.headed.add(node)
+                    if c in self.holds:
+                        self.holds.add(node)
+            size += own
+            self.size[node] = size
+            self.linked[node] = size if link else linked
+            # a block whose own words aren't mostly links is one text
+            if node.tag in BLOCKS and not texts and size and self.linked[node] <= LINKS * size:
+                texts = 1
+            self.texts[node] = texts
+            if node.tag == "h1" and size:
+                self.headed.add(node)
+            if node.tag in HOLDING and size and self.linked[node] <= LINKS * size:
+                self.holds.add(node)
 
     def density(self, node: Node) -> float:
         return self.linked.get(node, 0) / max(1, self.size.get(node, 0))
 
-    def text(self, node: Node) -> str:
-        out, stack = [], [node]
-        while stack:
+    def lead(self, node: Node, most: int = 60) -> str:
+        """The first characters of a node's text."""
+        out, have, stack = [], 0, [node]
+        while stack and have < most:
             n = stack.pop()
             if isinstance(n, str):
                 out.append(n)
+                have += len(n.strip())
             elif n not in self.cut:
                 stack += reversed(n.children)
         return "".join(out)
 
+    def text(self, node: Node) -> str:
+        return self.lead(node, self.size.get(node, 0) + 1)
+
+    def shown(self, node: Node) -> list[Node]:
+        """The children with visible text."""
+        return [c for c in node.elements() if c not in self.cut and self.size.get(c)]
+
+    def rights(self, node: Node) -> bool:
+        return bool(RIGHTS.match(self.lead(node)))
+
 
 def _names(node: Node) -> str:
-    return f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
+    return f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}" if node.attrs else ""
 
 
-def _notice(text: str) -> bool:
-    """Whether a short text asks for consent: at least two such wordings."""
-    if len(text) >= 600:
-        return False
-    low = text.lower()
-    return any(x in low for x in STEMS) and len(set(NOTICE.findall(low))) > 1
+def _trim(page: _Page) -> None:
+    """Cut the boxes at the edges of a page that aren't part of what lies between them.
+
+    Going inwards from either end of the page: link boxes, lines of rights, and remarks.  A remark is a box
+    of one text without heading, list, table or code, while another box of the page has the headline or,
+    on pages without one, holds more.  So notices are told by where and how they stand, not by their words.
+    """
+    top = page.root
+    while True:
+        kids = page.shown(top)
+        if len(kids) != 1 or any(isinstance(c, str) and c.strip() for c in top.children):
+            break
+        top = kids[0]
+    main = next((c for c in kids if c in page.headed), None)
+    if main is None:
+        richest = max(kids, key=lambda c: (c in page.holds) * page.texts[c], default=None)
+        main = richest if richest is not None and (richest in page.holds or page.texts[richest] > 1) else None
+    # whether the headline stands in the running text itself, not in a box or in a cell
+    flat = main is not None and main.tag in FLOW - {"table", "ul", "ol", "dl"} | {"h1"}
+    for side in (kids, kids[::-1]):
+        for c in side:
+            if c is main:
+                break
+            if page.density(c) > LINKS or page.rights(c):
+                page.cut.add(c)
+            elif main is not None and c not in page.holds and page.texts[c] <= 1 and (c.tag not in FLOW or not flat or side is kids and main in page.headed):
+                page.cut.add(c)
+            else:
+                break
 
 
-def _score(page: _Page, least: int = LEAST_TEXT) -> dict[Node, float]:
+def _score(page: _Page) -> dict[Node, float]:
     points: dict[Node, float] = {}
-    for node in page.size:
-        if node.tag not in SCORING or node in page.cut or any(c.tag in BLOCKS and c.tag != "br" for c in node.elements()):
+    weight: dict[Node, float] = {}
+    above: dict[Node, tuple[Node | None, float]] = {}
+    gone: set[Node] = set()
+    for node in page.order:
+        if node.parent in gone or node in page.cut:
+            gone.add(node)
+            continue
+        # the nearest container above, so that elements without say aren't walked through
+        up = node.parent
+        above[node] = (None, 1.0) if up is None else (up, 0.0) if up.tag in CONTAINERS else above[up]
+        if node.tag not in SCORING or not page.size[node] or any(c.tag in BLOCKS for c in node.elements()):
             continue
         text = page.text(node).strip()
-        if len(text) < least or RIGHTS.match(text) or _notice(text):
+        if RIGHTS.match(text):
             continue
-        value = (1 + len(re.findall("[,\u060c\u3001\uff0c;]", text)) + min(len(text) / 100, 4)) * (1 - page.density(node))
-        up, share = node.parent, 1.0
+        weight[node] = (min(1.0, len(text) / FULL) + len(COMMAS.findall(text)) + min(len(text) / 100, 4)) * (1 - page.density(node))
+    for node, value in weight.items():
+        up, share = above[node][0], 1.0
+        # each container hands half of what it got to the one around it
         while up is not None and share > 0.1:
             points[up] = points.get(up, 0) + value * share
-            # lists and tables hand all they got to the container around them
-            if up.tag in CONTAINERS:
-                share /= 2
-            up = up.parent
+            share /= 2
+            up = above[up][0]
     for node in points:
         names = _names(node)
         bonus = 1.25 if node.tag in ("article", "main") or node.attrs.get("role") == "main" or GOOD.search(names) else 0.3 if NAMES.search(names) else 1.0
@@ -125,14 +184,14 @@ def _score(page: _Page, least: int = LEAST_TEXT) -> dict[Node, float]:
     return points
 
 
-def _container(page: _Page, least: int = LEAST_TEXT) -> tuple[Node | None, float]:
-    points = {n: v for n, v in _score(page, least).items() if n.tag in CONTAINERS}
+def _container(page: _Page) -> tuple[Node | None, float]:
+    points = _score(page)
     if not points:
         return None, 0.0
     best = max(points, key=points.get)
     # the headline belongs to the article: go up to where both are below
-    lines = [n for n in page.size if n.tag == "h1" and n not in page.cut]
-    if lines:
+    lines = [n for n in page.order if n.tag == "h1" and n in page.headed and n not in page.cut]
+    if lines and best not in page.headed:
         above, n = set(), best
         while n is not None:
             above.add(n)
@@ -141,8 +200,12 @@ def _container(page: _Page, least: int = LEAST_TEXT) -> tuple[Node | None, float
             up = line
             while up not in above:
                 up = up.parent
-            if up is best or up.tag in CONTAINERS and up.tag != "#root" and up.tag != "body" or not any(x.tag in CONTAINERS - {"#root", "body"} for x in _between(best, up)):
+            if up.tag in CONTAINERS and up.tag not in ("#root", "body") or not any(x.tag in CONTAINERS - {"#root", "body"} for x in _between(best, up)):
                 return up, points[best]
+        # a headline in another box than the most points: the box of the headline, if any of its texts scored
+        own = max((n for n in points if n in page.headed and n.tag not in WHOLE), key=points.get, default=None)
+        if own is not None and points[own] * 2 > points[best]:
+            return own, points[own]
     return best, points[best]
 
 
@@ -154,16 +217,12 @@ def _between(node: Node, up: Node) -> Iterator[Node]:
 
 def _furniture(page: _Page, node: Node) -> bool:
     """Whether a block inside the container isn't part of the article."""
-    size = page.size.get(node, 0)
-    text = page.text(node)
-    if RIGHTS.match(text[:60]) or node.tag in BLOCKS and _notice(text):
-        return True
-    if node.tag in BLOCKS and size and page.density(node) > LINKS and not any(n.tag == "h1" for n in node.walk()):
+    if node in page.headed:
+        return False
+    if page.rights(node) or node.tag in BLOCKS and page.size.get(node) and page.density(node) > LINKS:
         return True
     names = _names(node)
-    if NAMES.search(names) and not GOOD.search(names) and not any(n.tag == "h1" for n in node.walk()):
-        return True
-    return False
+    return bool(names and NAMES.search(names) and not GOOD.search(names))
 
 
 def _prune(page: _Page, node: Node) -> None:
@@ -171,62 +230,76 @@ def _prune(page: _Page, node: Node) -> None:
     stack = [node]
     while stack:
         n = stack.pop()
-        kids = list(n.elements())
-        for i, c in enumerate(kids):
-            if c in page.cut:
-                continue
-            if _furniture(page, c):
-                page.cut.add(c)
-                before = kids[i - 1] if i else None
-                if c.tag in ("ul", "ol", "div", "dl") and before is not None and re.fullmatch("h[2-6]", before.tag):
-                    page.cut.add(before)
-            else:
-                stack.append(c)
-
-
-def _segment(page: _Page, node: Node) -> None:
-    """In a body without containers, rules part the article from what stands around it: keep the part with the headline, else the longest text."""
-    kids = [c for c in node.children if not isinstance(c, str) or c.strip()]
-    parts: list[list] = [[]]
-    for c in kids:
-        if isinstance(c, Node) and c.tag == "hr":
-            parts.append([])
-        else:
-            parts[-1].append(c)
-    worth = lambda part: sum(page.size.get(c, 0) - page.linked.get(c, 0) for c in part if isinstance(c, Node))
-    headed = [p for p in parts if any(isinstance(c, Node) and any(n.tag == "h1" for n in c.walk()) for c in p)]
-    best = headed[0] if headed else max(parts, key=worth)
-    plain = lambda part: any(isinstance(c, Node) and c.tag in ("p", "h2", "h3", "ul", "ol", "pre", "table", "blockquote") and page.density(c) <= LINKS for c in part)
-    after = [p for p in parts[parts.index(best) + 1 :] if plain(p) and all(not isinstance(c, Node) or c.tag not in ("div", "section") for c in p)]
-    keep = {id(c) for p in [best, *after] for c in p}
-    for c in kids:
-        if id(c) not in keep:
-            if isinstance(c, Node):
-                page.cut.add(c)
-            else:
-                node.children[node.children.index(c)] = ""
-    # what stands before the headline in its own part: trail, menu, notice
-    if headed:
-        for c in best:
-            if isinstance(c, Node) and any(n.tag == "h1" for n in c.walk()):
-                break
-            if isinstance(c, Node):
-                page.cut.add(c)
-            else:
-                node.children[node.children.index(c)] = ""
-
-
-def main_body(source: str, least: int = LEAST_TEXT) -> tuple[Node | None, float]:
-    """The tree of the main body, furniture taken out, and its score; elements of fewer than ``least`` characters don't count."""
+        before = None
+        for c in n.elements():
+            if c not in page.cut:
+                if _furniture(page, c):
+                    page.cut.add(c)
+                    if c.tag in ("ul", "ol", "div", "dl") and before is not None and re.fullmatch("h[2-6]", before.tag):
+                        page.cut.add(before)
+                else:
+                    stack.append(c)
+            before = c
+
+
+def _siblings(page: _Page, node: Node) -> None:
+    """Where the whole page is the container, the headline's siblings are judged one by one.
+
+    What stands before it is no part of the article.  Behind it running text is kept, and boxes that hold
+    more than one text; rules part the page, and a part of boxes or links alone ends the article.
+    """
+    head = next((c for c in node.elements() if c in page.headed and c not in page.cut), None)
+    if head is None:
+        return
+    drop, found, ended, ruled = [], False, False, False
+    for k, c in enumerate(node.children):
+        if c is head:
+            found = True
+        elif isinstance(c, str):
+            if not found or ended:
+                node.children[k] = ""
+        elif c in page.cut:
+            continue
+        elif not found or ended:
+            drop.append(c)
+        elif c.tag == "hr":
+            ruled = True
+        elif page.size.get(c) or c.tag in FLOW:
+            flow = c.tag in FLOW and page.density(c) <= LINKS
+            if ruled and not flow:
+                ended = True
+                drop.append(c)
+            elif not flow and c.tag in BLOCKS and c not in page.holds and page.texts.get(c, 0) <= 1 and page.density(c) > LINKS:
+                drop.append(c)
+            ruled = False
+    page.cut.update(drop)
+
+
+def main_body(source: str) -> tuple[Node | None, float]:
+    """The tree of the main body, furniture taken out, and its score.
+
+    A body has a headline or other structure, more than one text, or is all that the page says.
+    """
     page = _Page(parse(source))
-    best, score = _container(page, least)
+    said = page.size[page.root] if page.root in page.size else 0
+    _trim(page)
+    best, score = _container(page)
     if best is None:
         return None, 0.0
-    if best.tag in ("body", "#root", "html", "center"):
-        _segment(page, best)
+    if best.tag in WHOLE:
+        _siblings(page, best)
     _prune(page, best)
-    for n in list(best.walk()):
+    kept, stack, holds, texts, size = [best], [best], False, 0, 0
+    while stack:
+        n = stack.pop()
         n.children = [c for c in n.children if isinstance(c, str) or c not in page.cut]
+        below = [c for c in n.elements()]
+        holds = holds or n in page.holds and n.tag in HOLDING
+        texts += page.texts.get(n, 0) == 1 and not any(page.texts.get(c) for c in below)
+        size += sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        stack += below
+    if not size or page.density(best) > LINKS and best not in page.headed or not holds and texts < 2 and size < said:
+        return None, 0.0
     return best, score
 
 
@@ -245,7 +318,7 @@ def state_strings(source: str) -> list[str]:
         while stack:
             v = stack.pop()
             if isinstance(v, str):
-                if len(v) >= STATE_TEXT and re.search(r"<(?:p|h[1-6]|ul|ol|div|article|section|table|pre|blockquote|main)\b", v, re.I):
+                if re.search(r"<(?:p|h[1-6]|ul|ol|div|article|section|table|pre|blockquote|main)\b", v, re.I):
                     out.append(v)
             elif isinstance(v, dict):
                 stack += v.values()
@@ -254,32 +327,23 @@ def state_strings(source: str) -> list[str]:
     return out
 
 
-def _best_body(source: str, least: int) -> Node | None:
-    best, score = main_body(source, least)
-    headed = best is not None and any(n.tag == "h1" for n in best.walk())
-    for text in state_strings(source):
-        other, points = main_body(text, least)
-        if other is None:
-            continue
-        has = any(n.tag == "h1" for n in other.walk())
-        if (has, points) > (headed, score):
-            best, score, headed = other, points, has
-    return best
-
-
 def extract(source: str | None) -> tuple[str, list[str]]:
     """The text of the main body (empty if there is none) and the distinct codes a reader sees in it.
 
-    Short elements are looked at only where no element is long enough to score.
+    Bodies of any length count.  A body with a headline goes before one without, then points decide.
     """
     if not source or not source.strip():
         return "", []
-    best = _best_body(source, LEAST_TEXT) or _best_body(source, 1)
+    best, rank = None, (False, 0.0)
+    for page in (source, *state_strings(source)):
+        body, points = main_body(page)
+        if body is not None:
+            own = (any(n.tag == "h1" for n in body.walk()), points)
+            if best is None or own > rank:
+                best, rank = body, own
     if best is None:
         return "", []
     text = render(best)
-    if len(text) < LEAST_TEXT and not any(n.tag in HOLDING for n in best.walk()):
-        return "", []
     return text, sorted(set(CODE.findall(text)))
 
 

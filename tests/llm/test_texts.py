@@ -155,5 +155,33 @@ def test_short_bodies():
     text, codes = boilerplate.extract(index)
     assert codes == ["KB-12345", "KB-12346", "KB-12347"] and text.startswith("Codes")
     assert boilerplate.extract("<article><h1>Lock</h1><p>See KB-12345.</p></article>")[1] == ["KB-12345"]
-    assert boilerplate.extract("<div><p>See KB-12345.</p></div>") == ("", []), "neither long nor headed"
+    assert boilerplate.extract("<article><h1>A</h1><p>See KB-12345.</p></article>") == ("A\n\nSee KB-12345.", ["KB-12345"])
+    # all that a page says is its body, however short
+    assert boilerplate.extract("<div><p>See KB-12345.</p></div>") == ("See KB-12345.", ["KB-12345"])
+    six = "<article>" + "".join(f"<p>Run KB-1234{k} now.</p>" for k in range(6)) + "</article>"
+    assert boilerplate.extract(six)[1] == [f"KB-1234{k}" for k in range(6)]
     assert boilerplate.extract("<body><div class='cookie-banner'><h2>Cookies</h2><p>Accept cookies</p></div></body>")[1] == []
+    state = json.dumps({"body": "<p>KB-12345</p>"})
+    assert boilerplate.extract(f"<body><nav><a href=/>Home</a></nav><script type=application/json>{state}</script></body>")[1] == ["KB-12345"]
+
+
+@pytest.mark.parametrize("words", ("accept all of them", "enjoy all of them"))
+def test_words_dont_tell_a_notice(words):
+    page = f"<body><article><h1>Baking cookies</h1><p>Small cookies, large cookies: readers {words}, see KB-12345.</p></article></body>"
+    assert boilerplate.extract(page)[1] == ["KB-12345"] and words in boilerplate.extract(page)[0]
+
+
+@pytest.mark.parametrize("box", ("<div>{}</div>", "<div class=x1><p>{}</p></div>", "<p><small>{}</small></p>", "<section><p>{}</p><a href=/ok>OK</a></section>"))
+@pytest.mark.parametrize("first", (True, False))
+def test_remarks_at_the_edge(box, first):
+    remark = box.format("This text says nothing about its purpose, at great length, with commas, and names KB-22222 so that it scores.")
+    body = "<div class=z9><h1>Title</h1><p>See KB-12345.</p></div><div><p>© 2025 Works KB-33333</p><p><a href=/i>Imprint</a></p></div>"
+    assert boilerplate.extract(f"<body>{remark + body if first else body + remark}</body>")[1] == ["KB-12345"]
+    empty = "<div class=m><ul><li><a href=/>KB-11111</a></ul></div><div id=content></div>"
+    assert boilerplate.extract(f"<body>{remark + empty if first else empty + remark}</body>") == ("", [])
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 5000 + "<span>" * 5000 + "<h1>T</h1>" + "<p>Words, KB-12345.</p>" * 50
+    assert boilerplate.extract(deep)[1] == ["KB-12345"]
+    assert boilerplate.extract("<body>" + "<div><p>Words of it, KB-12345, and more.</p></div>" * 5000)[1] == ["KB-12345"]
