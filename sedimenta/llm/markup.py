@@ -1,9 +1,9 @@
 """Markup residue: HTML, Markdown, wiki and LaTeX out, headings, lists, code, tables and formulas kept.
 
-What is code is set aside first.  The marks of the four languages are then turned into start and end
-tags of one tree (with implied ends), and a layout-aware renderer writes the visible text of the tree:
-blocks apart, items marked, code indented, table cells aligned.  Every language of which a mark was
-found is reported.
+What is code is set aside first.  Every mark of the four languages is then turned into a start or end
+tag that names its language, marks without text of their own into empty elements.  The tags build one
+tree (with implied ends), and a layout-aware renderer writes what is visible in it: blocks apart, items
+marked, code indented, table cells aligned.  The languages reported are those of the tree's elements.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import html
 import json
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.entities import html5
 
 import pyarrow as pa
@@ -20,14 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.text_batches import pieces as cut
-from sedimenta.functions.htmltree import ELEMENTS, RAW, VOID, Builder, attributes, render
+from sedimenta.functions.htmltree import ELEMENTS, RAW, VOID, Builder, Node, attributes, render
 
 LANGUAGES = ("html", "markdown", "wiki", "latex")
 
-# noncharacters delimit the inner tags: OPEN name CLOSE, END name CLOSE, KEPT number CLOSE
+# noncharacters delimit the inner tags: OPEN number CLOSE (an element of _Reading.elements), END number CLOSE, KEPT number CLOSE
 OPEN, CLOSE, END, KEPT = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 _INNER = re.compile("[\ufdd0-\ufdef]")
-_TAGS = re.compile(f"([{OPEN}{END}{KEPT}])([^{CLOSE}]*){CLOSE}")
+_TAGS = re.compile(f"([{OPEN}{END}{KEPT}])([0-9]+){CLOSE}")
 
 _CODE = re.compile(
     r"""
@@ -59,14 +60,14 @@ _DELIMITER_ROW = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*
 _ITEM = re.compile(r"([ \t]*)([-*+•‣◦·]|\d{1,9}[.)]|\(\d{1,9}\)|[*#]{2,6}|[:;]{1,6}(?=[ \t]))[ \t]+(?=\S)")
 _ATX = re.compile(r"[ ]{0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*\Z")
 _WIKI_HEADING = re.compile(r"[ \t]*(={1,6})[ \t]*([^=\s](?:.*?[^=\s])?)[ \t]*\1[ \t]*\Z")
-_LATEX_HEADING = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph|title)\*?(?:\[[^\]\n]*\])?\{([^{}\n]*(?:\{[^{}\n]*\}[^{}\n]*)*)\}")
+_LATEX_HEADING = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph|title)\*?(?:\[[^\]\n]*\])?\{")
 _LATEX_LEVEL = {"title": 1, "part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "subparagraph": 6}
 _TABULAR = re.compile(r"\\begin\{(tabular[xy*]?|array|longtable)\}(?:\[[^\]\n]*\])?(?:\{[^\n]*?\})*[ \t]*\n?(.*?)(?:\\end\{\1\}|\Z)", re.S)
 _LIST_ENV = re.compile(r"[ \t]*\\(begin|end)\{(itemize|enumerate|description)\}(?:\[[^\]\n]*\])?[ \t]*")
 _ANY_ENV = re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?")
 _BARE = re.compile(r"\\(?:item|hline|toprule|midrule|bottomrule|maketitle|tableofcontents|noindent|centering|newline|newpage|par|LaTeX|TeX|ldots|dots|appendix|bigskip|medskip|smallskip)\b[ \t]?")
-_ARGUMENT = r"\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
-_COMMAND = re.compile(r"(~?)\\([a-zA-Z]+)\*?(?:\[[^\]\n]*\])?" + _ARGUMENT + "(?:" + _ARGUMENT + ")?")
+_COMMAND = re.compile(r"(~?)\\([a-zA-Z]+)\*?(?:\[[^\]\n]*\])?\{")
+_CITED = frozenset(("cite", "citep", "citet"))
 _UNSEEN = frozenset(("label", "vspace", "hspace", "pagestyle", "thispagestyle", "bibliographystyle", "usepackage", "documentclass", "input", "include", "setlength", "newcommand"))
 
 _IMAGE = re.compile(r"!\[([^\]\n]*)\]\(([^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+[\"'][^\n]*?[\"'])?\)")
@@ -79,123 +80,243 @@ _WIKI_URL = re.compile(r"\[((?:https?|ftp|mailto):[^\s\]]+)(?:[ \t]+([^\]\n]+))?
 _TEMPLATE = re.compile(r"\{\{\s*[#A-Za-z][^{}\n]*\}\}")
 _MAGIC = re.compile(r"__(?:NO)?(?:TOC|INDEX|EDITSECTION|GALLERY)__")
 _WIKI_QUOTES = re.compile(r"('{5}|'{3}|'{2})(?=[^\s'])((?:[^'\n]|'(?!'))*?[^\s'])\1(?!')")
-# a span never crosses another mark of its kind nor a blank line, so that every mark is looked at once
-_STRONG = (
-    re.compile(r"(?<![*\\])\*\*(?=[^\s*])((?:[^*\n]|\*(?!\*)|\n(?![ \t]*\n))*?[^\s*\\])\*\*(?!\*)"),
-    re.compile(r"(?<![\w\\])__(?=[^\s_])((?:[^_\n]|_(?!_)|\n(?![ \t]*\n))*?[^\s_\\])__(?!\w)"),
-    re.compile(r"(?<![~\\])~~(?=[^\s~])((?:[^~\n]|~(?!~))*?[^\s~\\])~~(?!~)"),
+_ESCAPED = re.compile(r"(?<!\\)\\(?=[%&])")
+_QUOTED = re.compile(r"[ ]{0,3}>(?:[ \t]|\Z|>)")
+_QUOTES = re.compile(r"[ ]{0,3}>[ \t]?(?:[ ]{0,3}>(?:[ \t]|(?=>)|\Z))*")
+
+
+@dataclass(frozen=True)
+class _Mark:
+    """A mark around words: where it can open and close, what ends the search for its other half, and its element.
+
+    The halves are paired by a stack, so that marks nest to any depth and each is looked at once.  A
+    half that can neither open nor close parts what stands around it, as does a break.
+    """
+
+    sign: str
+    token: re.Pattern
+    opens: Callable[[str, str], bool]
+    closes: Callable[[str, str], bool]
+    element: str
+
+
+def _word(c: str) -> bool:
+    return c == "_" or c.isalnum()
+
+
+_PARAGRAPH, _LINE = r"\n(?=[ \t]*\n)", r"\n"
+_MARKS = (
+    _Mark("***", re.compile(rf"(?<!\*)\*\*\*|{_PARAGRAPH}"), lambda a, b: a not in ("*", "\\") and bool(b) and not b.isspace() and b != "*", lambda a, b: bool(a) and not a.isspace() and a not in ("*", "\\") and b != "*", "strong"),
+    _Mark("**", re.compile(rf"(?<!\*)\*\*|{_PARAGRAPH}"), lambda a, b: a not in ("*", "\\") and bool(b) and not b.isspace() and b != "*", lambda a, b: bool(a) and not a.isspace() and a not in ("*", "\\") and b != "*", "strong"),
+    _Mark("__", re.compile(rf"(?<!_)__|{_PARAGRAPH}"), lambda a, b: not _word(a) and a != "\\" and bool(b) and not b.isspace() and b != "_", lambda a, b: bool(a) and not a.isspace() and a not in ("_", "\\") and not _word(b), "strong"),
+    _Mark("~~", re.compile(rf"(?<!~)~~|{_PARAGRAPH}"), lambda a, b: a not in ("~", "\\") and bool(b) and not b.isspace() and b != "~", lambda a, b: bool(a) and not a.isspace() and a not in ("~", "\\") and b != "~", "del"),
+    _Mark("*", re.compile(rf"\*|{_PARAGRAPH}"), lambda a, b: a != "*" and not _word(a) and a != "\\" and bool(b) and not b.isspace() and b != "*", lambda a, b: bool(a) and not a.isspace() and a not in ("*", "\\") and b != "*" and not _word(b), "em"),
+    _Mark("_", re.compile(rf"_|{_LINE}"), lambda a, b: not _word(a) and a != "\\" and bool(b) and not b.isspace() and b != "_", lambda a, b: bool(a) and not a.isspace() and a not in ("_", "\\") and not _word(b), "em"),
 )
-_EMPHASIS = (re.compile(r"(?<![*\w\\])\*(?=[^\s*])((?:[^*\n]|\n(?![ \t]*\n))*?[^\s*\\])\*(?![*\w])"), re.compile(r"(?<![\w\\])_(?=[^\s_])([^_\n]*?[^\s_\\])_(?!\w)"))
-#: Quotations are followed so deep; what is quoted deeper is read as text.
-QUOTED = 12
+_WIKI_QUOTES = re.compile(r"'{2,}|\n")
+
+
+def _halves(mark: _Mark, text: str) -> list[tuple[int, int]]:
+    """The places of the opening and closing halves of a mark in a text."""
+    held: list[int] = []
+    found = []
+    n, width = len(text), len(mark.sign)
+    for m in mark.token.finditer(text):
+        at = m.start()
+        if m[0] == "\n":
+            held.clear()
+            continue
+        before, behind = text[at - 1] if at else "", text[at + width] if at + width < n else ""
+        if held and mark.closes(before, behind):
+            found.append((held.pop(), at))
+        elif mark.opens(before, behind):
+            held.append(at)
+        else:
+            held.clear()
+    return found
+
+
+def _braces(text: str) -> dict[int, int]:
+    """Of each opening brace that is closed, where."""
+    held, out = [], {}
+    for m in _BRACE.finditer(text):
+        if m[0] == "{":
+            held.append(m.start())
+        elif held:
+            out[held.pop()] = m.start()
+    return out
+
+
+_BRACE = re.compile(r"[{}]")
 
 
 class _Reading:
     """One text on its way to a tree."""
 
     def __init__(self, bare_tables: bool):
-        self.bare_tables, self.found, self.kept = bare_tables, set(), []
+        self.bare_tables, self.kept = bare_tables, []
+        #: Name, language ("" for structure without a mark) and attributes of the elements that tags name by number.
+        self.elements: list[tuple[str, str, str]] = []
+        self.numbers: dict[tuple[str, str, str], int] = {}
+
+    # -- tags -----------------------------------------------------------------------------------
+    def number(self, name: str, language: str = "", attrs: str = "") -> int:
+        key = (name, language, attrs)
+        n = self.numbers.get(key)
+        if n is None:
+            n = self.numbers[key] = len(self.elements)
+            self.elements.append(key)
+        return n
+
+    def open(self, name: str, language: str = "", attrs: str = "") -> str:
+        return f"{OPEN}{self.number(name, language, attrs)}{CLOSE}"
+
+    def shut(self, name: str, language: str = "") -> str:
+        return f"{END}{self.number(name, language)}{CLOSE}"
+
+    def around(self, text: str, name: str, language: str = "", attrs: str = "") -> str:
+        return self.open(name, language, attrs) + text + self.shut(name)
+
+    def empty(self, language: str) -> str:
+        """A mark without text of its own."""
+        return f"{OPEN}{self.number('#mark', language)}{CLOSE}"
 
     # -- setting aside --------------------------------------------------------------------------
-    def keep(self, text: str, block: bool) -> str:
+    def keep(self, text: str, element: str, language: str) -> str:
         self.kept.append(text)
-        ref = f"{KEPT}{len(self.kept) - 1}{CLOSE}"
-        return f"{OPEN}pre{CLOSE}{ref}{END}pre{CLOSE}" if block else ref
+        return self.around(f"{KEPT}{len(self.kept) - 1}{CLOSE}", element, language)
 
     def code(self, m: re.Match) -> str:
         g = m.groupdict()
         if g["fence"] is not None:
-            self.found.add("markdown")
-            return "\n" + self.keep(g["fenced"].rstrip("\n"), True) + "\n"
+            return "\n" + self.keep(g["fenced"].rstrip("\n"), "pre", "markdown") + "\n"
         if g["ticks"] is not None:
-            self.found.add("markdown")
-            return self.keep(g["span"].strip("\n"), False)
-        if g["verbatim"] is not None or g["bar"] is not None:
-            self.found.add("latex")
-            return "\n" + self.keep(g["verbatimtext"].strip("\n"), True) + "\n" if g["verbatim"] is not None else self.keep(g["verbtext"], False)
+            return self.keep(g["span"].strip("\n"), "code", "markdown")
+        if g["verbatim"] is not None:
+            return "\n" + self.keep(g["verbatimtext"].strip("\n"), "pre", "latex") + "\n"
+        if g["bar"] is not None:
+            return self.keep(g["verbtext"], "code", "latex")
         if g["nowiki"] is not None:
-            self.found.add("wiki")
-            return self.keep(html.unescape(g["nowikitext"]), g["nowiki"].lower() != "nowiki")
-        self.found.add("html")
-        if g["pre"] is not None:
-            return self.keep(html.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", g["pretext"])).strip("\n"), True)
-        if g["code"] is not None:
-            return self.keep(html.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", g["codetext"])), False)
-        return ""
+            return self.keep(html.unescape(g["nowikitext"]), "code" if g["nowiki"].lower() == "nowiki" else "pre", "wiki")
+        for name, element in (("pre", "pre"), ("code", "code")):
+            if g[name] is not None:
+                inside = html.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", g[name + "text"]))
+                return self.keep(inside.strip("\n") if name == "pre" else inside, element, "html")
+        return self.empty("html")  # comment, script, style
 
     def math(self, m: re.Match) -> str:
         g = m.groupdict()
-        self.found.add("latex")
         if g["inline"] is not None or g["round"] is not None:
-            return self.keep((g["inline"] if g["inline"] is not None else g["round"]).strip(), False)
+            return self.keep((g["inline"] if g["inline"] is not None else g["round"]).strip(), "code", "latex")
         text = next(g[k] for k in ("display", "square", "envtext") if g[k] is not None)
-        return "\n" + self.keep(text.strip(), True) + "\n"
+        return "\n" + self.keep(text.strip(), "pre", "latex") + "\n"
 
     # -- html -----------------------------------------------------------------------------------
     def tag(self, m: re.Match) -> str:
         name = m[2].lower()
         if name not in ELEMENTS:
             return m[0]
-        self.found.add("html")
-        return f"{END}{name}{CLOSE}" if m[1] else f"{OPEN}{name} {m[3].strip().replace(CLOSE, '')}{CLOSE}"
+        return self.shut(name, "html") if m[1] else self.open(name, "html", m[3].strip())
 
     def entity(self, m: re.Match) -> str:
         if m[1][0] != "#" and m[1] + ";" not in html5:
             return m[0]
-        self.found.add("html")
-        return self.keep(html.unescape(m[0]), False)
+        return self.keep(html.unescape(m[0]), "#entity", "html")
 
     # -- inline marks ---------------------------------------------------------------------------
-    def drop(self, language: str, pattern: re.Pattern, text: str, to="") -> str:
-        new, n = pattern.subn(to, text)
-        if n:
-            self.found.add(language)
-        return new
-
-    def command(self, m: re.Match) -> str:
-        self.found.add("latex")
-        lead, name, first, second = m[1] and " ", m[2], m[3], m[4]
-        if name in _UNSEEN:
-            return lead
-        if name == "href" and second is not None:
-            return lead + second
-        if name in ("cite", "citep", "citet"):
-            return f"{lead}[{first}]"
-        return lead + first + (f" {second}" if second else "")
+    def commands(self, text: str) -> str:
+        """LaTeX commands with arguments as elements around them, nested to any depth; arguments that a command hides are set aside as hidden."""
+        if not _COMMAND.search(text):
+            return text
+        closed = _braces(text)
+        edits: list[tuple[int, int, str]] = []
+        for m in _COMMAND.finditer(text):
+            first, name = m.end() - 1, m[2]
+            if first not in closed or name in ("begin", "end"):
+                continue
+            stop, lead = closed[first], " " if m[1] else ""
+            # a second argument right behind the first
+            second = stop + 1 if text[stop + 1 : stop + 2] == "{" and stop + 1 in closed else None
+            cited, unseen = name in _CITED, name in _UNSEEN
+            if unseen or name == "href" and second is not None:
+                end = closed[second] if unseen and second is not None else stop
+                edits.append((m.start(), end + 1, lead + self.hidden(text[first:end], "latex")))
+                if unseen:
+                    continue
+            else:
+                edits.append((m.start(), m.end(), lead + self.open("#command", "latex") + "[" * cited))
+                edits.append((stop, stop + 1, "]" * cited + self.shut("#command")))
+            if second is not None:
+                end = closed[second]
+                if cited:
+                    edits.append((second, end + 1, self.hidden(text[second:end], "latex")))
+                else:
+                    edits.append((second, second + 1, " " * (name != "href") + self.open("#command", "latex")))
+                    edits.append((end, end + 1, self.shut("#command")))
+        return self.edited(text, edits)
+
+    def hidden(self, text: str, language: str) -> str:
+        self.kept.append(text)
+        return self.around(f"{KEPT}{len(self.kept) - 1}{CLOSE}", "#unseen", language, "hidden")
+
+    @staticmethod
+    def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
+        out, at = [], 0
+        for start, stop, new in sorted(edits):
+            if start >= at:  # what lies within something set aside is gone with it
+                out += (text[at:start], new)
+                at = stop
+        return "".join(out) + text[at:] if out else text
+
+    def quotes(self, text: str) -> str:
+        """Wiki quotes: runs of two, three or five that open before a word and close behind one, paired by a stack on each line."""
+        held: list[tuple[int, int]] = []
+        edits: list[tuple[int, int, str]] = []
+        for m in _WIKI_QUOTES.finditer(text):
+            if m[0] == "\n":
+                held.clear()
+                continue
+            at, stop, n = m.start(), m.end(), len(m[0])
+            before, behind = text[at - 1 : at], text[stop : stop + 1]
+            if n not in (2, 3, 5):
+                held.clear()
+            elif held and held[-1][1] == n and before.strip():
+                first, _ = held.pop()
+                element = "em" if n == 2 else "strong"
+                edits.append((first, first + n, self.open(element, "wiki")))
+                edits.append((at, stop, self.shut(element)))
+            elif behind.strip():
+                held.append((at, n))
+        return self.edited(text, edits)
 
     def inline(self, text: str) -> str:
         if "\\" in text:
-            for _ in range(4):  # commands in commands
-                new = _COMMAND.sub(self.command, text)
-                if new == text:
-                    break
-                text = new
-            text = self.drop("latex", _ANY_ENV, text)
-            text = self.drop("latex", _BARE, text)
-            text = self.drop("latex", re.compile(r"(?<!\\)\\(?=[%&])"), text)
+            text = self.commands(text)
+            text = _ANY_ENV.sub(lambda m: self.empty("latex"), text)
+            text = _BARE.sub(lambda m: self.empty("latex"), text)
+            text = _ESCAPED.sub(lambda m: self.empty("latex"), text)
         if "[" in text:
-            text = self.drop("markdown", _IMAGE, text, r"\1")
-            text = self.drop("markdown", _LINK, text, r"\1")
-            text = self.drop("wiki", _WIKI_LINK, text, lambda m: m[2] or m[1])
-            text = self.drop("wiki", _WIKI_URL, text, lambda m: m[2] or m[1])
+            text = _IMAGE.sub(lambda m: self.around(m[1], "#image", "markdown"), text)
+            text = _LINK.sub(lambda m: self.around(m[1], "a", "markdown"), text)
+            text = _WIKI_LINK.sub(lambda m: self.around(m[2] or m[1], "a", "wiki"), text)
+            text = _WIKI_URL.sub(lambda m: self.around(m[2] or m[1], "a", "wiki"), text)
         if "{{" in text:
-            text = self.drop("wiki", _TEMPLATE, text)
+            text = _TEMPLATE.sub(lambda m: self.empty("wiki"), text)
         if "<" in text:
-            text = self.drop("markdown", _AUTOLINK, text, r"\1")
+            text = _AUTOLINK.sub(lambda m: self.around(m[1], "a", "markdown"), text)
         if "''" in text:
-            text = self.drop("wiki", _WIKI_QUOTES, text, r"\2")
+            text = self.quotes(text)
         if "__" in text:
-            text = self.drop("wiki", _MAGIC, text)
-        for mark, pattern in zip(("**", "__", "~~", "*", "_"), (*_STRONG, *_EMPHASIS)):
-            for _ in range(3 if mark in text else 0):
-                text, before = self.drop("markdown", pattern, text, r"\1"), text
-                if text == before:
-                    break
+            text = _MAGIC.sub(lambda m: self.empty("wiki"), text)
+        for mark in _MARKS:
+            if mark.sign in text and (pairs := _halves(mark, text)):
+                width, one, two = len(mark.sign), self.open(mark.element, "markdown"), self.shut(mark.element)
+                text = self.edited(text, [e for a, b in pairs for e in ((a, a + width, one), (b, b + width, two))])
         return text
 
     # -- blocks ---------------------------------------------------------------------------------
     def row(self, cells, kind: str = "td") -> str:
-        return f"{OPEN}tr{CLOSE}" + "".join(f"{OPEN}{kind}{CLOSE}{self.inline(c.strip())}{END}{kind}{CLOSE}" for c in cells) + f"{END}tr{CLOSE}"
+        return self.around("".join(self.around(self.inline(c.strip()), kind) for c in cells), "tr")
 
     def pipe_cells(self, line: str) -> list[str]:
         line = line.strip()
@@ -204,12 +325,11 @@ class _Reading:
         return [c.replace("\\|", "|") for c in re.split(r"(?<!\\)\|", line)]
 
     def tabular(self, m: re.Match) -> str:
-        self.found.add("latex")
         rows = [r for r in re.split(r"\\\\(?:\[[^\]\n]*\])?", re.sub(r"\\(?:hline|toprule|midrule|bottomrule|cline\{[^}]*\})", "", m[2])) if r.strip()]
-        return f"\n{OPEN}table{CLOSE}" + "".join(self.row(re.split(r"(?<!\\)&", r.replace("\n", " "))) for r in rows) + f"{END}table{CLOSE}\n"
+        return "\n" + self.around("".join(self.row(re.split(r"(?<!\\)&", r.replace("\n", " "))) for r in rows), "table", "latex") + "\n"
 
     def wiki_table(self, lines: list[str]) -> str:
-        out, cells = [f"{OPEN}table{CLOSE}"], []
+        out, cells = [], []
         for line in lines[1:] + ["|-"]:
             s = line.strip()
             if s.startswith("|-") or s.startswith("|}"):
@@ -217,25 +337,56 @@ class _Reading:
                     out.append(self.row(cells))
                     cells = []
             elif s.startswith("|+"):
-                out.append(f"{OPEN}caption{CLOSE}{self.inline(s[2:].strip())}{END}caption{CLOSE}")
+                out.append(self.around(self.inline(s[2:].strip()), "caption"))
             elif s[:1] in "|!":
                 parts = re.split(r"\|\|" if s[0] == "|" else r"!!|\|\|", s[1:])
                 cells += [re.sub(r"^[^|\[\]{}]*=[^|\[\]{}]*\|", "", p) for p in parts]
             elif s and cells:
                 cells[-1] += " " + s
-        return "".join(out) + f"{END}table{CLOSE}"
+        return self.around("".join(out), "table", "wiki")
 
     def heading(self, language: str, level: int, text: str) -> str:
-        self.found.add(language)
-        return f"{OPEN}h{min(level, 6)}{CLOSE}{self.inline(text.strip())}{END}h{min(level, 6)}{CLOSE}"
+        return self.around(self.inline(text.strip()), f"h{min(level, 6)}", language)
+
+    def latex_headings(self, text: str) -> str:
+        """Heading commands whose argument ends on the same line, as blocks."""
+        closed = _braces(text)
+        out, at = [], 0
+        for m in _LATEX_HEADING.finditer(text):
+            stop = closed.get(m.end() - 1)
+            if m.start() >= at and stop is not None and "\n" not in text[m.end() : stop]:
+                out += (text[at : m.start()], "\n", self.heading("latex", _LATEX_LEVEL[m[1]], text[m.end() : stop]), "\n")
+                at = stop + 1
+        return "".join(out) + text[at:]
+
+    def quotation(self, lines: list[str], i: int, out: list[str]) -> int:
+        """Lines of a quotation from ``i`` on, as nested elements: lines of one depth are read together.  Returns the line behind it."""
+        level, run = 0, []
+
+        def write(depth: int) -> int:
+            if run:
+                out.append(self.blocks("\n".join(run)))
+                run.clear()
+            step = depth - level
+            out.append((self.open("blockquote", "markdown") if step > 0 else self.shut("blockquote")) * abs(step))
+            return depth
+
+        while i < len(lines) and (m := _QUOTES.match(lines[i])):
+            depth = m[0].count(">")
+            if depth != level:
+                level = write(depth)
+            run.append(lines[i][m.end() :])
+            i += 1
+        level = write(0)
+        return i
 
-    def blocks(self, text: str, depth: int = 0) -> str:
+    def blocks(self, text: str) -> str:
         text = _TABULAR.sub(self.tabular, text)
-        text = _LATEX_HEADING.sub(lambda m: "\n" + self.heading("latex", _LATEX_LEVEL[m[1]], m[2]) + "\n", text)
+        text = self.latex_headings(text)
         if "[" in text and _DEFINITION.search(text):
             names = {m[1].lower() for m in _DEFINITION.finditer(text)}
-            text = self.drop("markdown", _DEFINITION, text)
-            text = _REFERENCE.sub(lambda m: m[1] if (m[2] or m[1]).lower() in names else m[0], text)
+            text = _DEFINITION.sub(lambda m: self.empty("markdown"), text)
+            text = _REFERENCE.sub(lambda m: self.around(m[1], "a", "markdown") if (m[2] or m[1]).lower() in names else m[0], text)
         lines, out, prose, i = text.split("\n"), [], [], 0
         closing = [k for k, x in enumerate(lines) if x.lstrip().startswith("|}")] if "{|" in text else []
 
@@ -251,17 +402,15 @@ class _Reading:
             env = _LIST_ENV.match(line)
             if env:
                 flush()
-                self.found.add("latex")
                 name = "ol" if env[2] == "enumerate" else "ul"
-                out.append(f"{OPEN if env[1] == 'begin' else END}{name}{CLOSE}")
+                out.append(self.open(name, "latex") if env[1] == "begin" else self.shut(name, "latex"))
                 lines[i] = line[env.end() :]
                 i += not lines[i].strip()
                 continue
             item = re.match(r"[ \t]*\\item\b(?:\[([^\]\n]*)\])?[ \t]*", line)
             if item:
                 flush()
-                self.found.add("latex")
-                out.append(f"{OPEN}li{CLOSE}{(item[1] + ' ') if item[1] else ''}{self.inline(line[item.end() :])}")
+                out.append(self.open("li", "latex") + (item[1] + " " if item[1] else "") + self.inline(line[item.end() :]))
             elif line.lstrip().startswith("{|"):
                 flush()
                 k = bisect_left(closing, i)
@@ -269,19 +418,16 @@ class _Reading:
                 if stop is None:
                     prose.append(line)
                 else:
-                    self.found.add("wiki")
                     out.append(self.wiki_table(lines[i : stop + 1]))
                     i = stop
             elif "|" in line and "-" in after and "|" in after + line and _DELIMITER_ROW.match(after) and len(self.pipe_cells(line)) == len(self.pipe_cells(after)):
                 flush()
-                if not self.bare_tables:
-                    self.found.add("markdown")
-                out.append(f"{OPEN}table{CLOSE}{self.row(self.pipe_cells(line))}")
+                rows = [self.row(self.pipe_cells(line))]
                 i += 1
                 while i + 1 < len(lines) and "|" in lines[i + 1] and lines[i + 1].strip():
                     i += 1
-                    out.append(self.row(self.pipe_cells(lines[i])))
-                out.append(f"{END}table{CLOSE}")
+                    rows.append(self.row(self.pipe_cells(lines[i])))
+                out.append(self.around("".join(rows), "table", "" if self.bare_tables else "markdown"))
             elif m := _ATX.match(line):
                 flush()
                 out.append(self.heading("markdown", len(m[1]), m[2]))
@@ -294,22 +440,17 @@ class _Reading:
                 i += 1
             elif re.fullmatch(r"[ ]{0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,})", line) and fresh:
                 flush()
-                self.found.add("wiki" if line.strip() == "----" else "markdown")
-            elif depth < QUOTED and re.match(r"[ ]{0,3}>(?:[ \t]|\Z|>)", line):
+                out.append(self.open("hr", "wiki" if line.strip() == "----" else "markdown"))
+            elif _QUOTED.match(line):
                 flush()
-                self.found.add("markdown")
-                quoted = []
-                while i < len(lines) and re.match(r"[ ]{0,3}>", lines[i]):
-                    quoted.append(re.sub(r"^[ ]{0,3}>[ \t]?", "", lines[i]))
-                    i += 1
-                out.append(f"{OPEN}blockquote{CLOSE}{self.blocks(chr(10).join(quoted), depth + 1)}{END}blockquote{CLOSE}")
+                i = self.quotation(lines, i, out)
                 continue
             elif m := _ITEM.match(line):
                 flush()
                 level = max(len(m[1].expandtabs(4)) // 2, len(m[2]) - 1 if m[2][0] in "*#:;" else 0)
                 mark = m[2] if m[2][0] not in "*+#:;•‣◦·" else "-"
-                deep = min(level, 8)
-                out.append(f"{OPEN}ul{CLOSE}" * (deep + 1) + f'{OPEN}li mark="{mark}"{CLOSE}{self.inline(line[m.end() :])}{END}li{CLOSE}' + f"{END}ul{CLOSE}" * (deep + 1))
+                lists = self.open("ul") * (level + 1), self.shut("ul") * (level + 1)
+                out.append(lists[0] + self.around(self.inline(line[m.end() :]), "li", "", f'mark="{mark}"') + lists[1])
             else:
                 prose.append(line)
             i += 1
@@ -317,33 +458,41 @@ class _Reading:
         return "\n".join(out)
 
     # -- tree -----------------------------------------------------------------------------------
-    def tree(self, marked: str) -> Builder:
+    def tree(self, marked: str) -> Node:
+        """The tree of a text with inner tags; elements that stand for a mark name its language in ``of``."""
         b, at, skip = Builder(), 0, ""
         for m in _TAGS.finditer(marked):
             if not skip:
                 b.text(marked[at : m.start()])
-            at = m.end()
-            kind, body = m[1], m[2]
+            at, kind = m.end(), m[1]
             if kind == KEPT:
                 if not skip:
-                    b.text(self.kept[int(body)])
+                    b.text(self.kept[int(m[2])])
                 continue
-            name, _, attrs = body.partition(" ")
-            if skip:
-                skip = "" if kind == END and name == skip else skip
-            elif kind == END:
-                b.end(name)
+            name, language, attrs = self.elements[int(m[2])]
+            mark = {"of": language} if language else {}
+            if kind == END and name == (skip or name):
+                # an end tag that closes nothing is a mark, too
+                if not b.end(name) and language:
+                    b.start("#mark", mark, True)
+                skip = ""
+            elif kind == END or skip:
+                if language:
+                    b.start("#mark", mark, True)
             else:
-                b.start(name, attributes(attrs))
+                b.start(name, (attributes(attrs) | mark) if attrs else mark, name == "#mark")
                 if name in RAW and name not in VOID:
                     skip = name
         if not skip:
             b.text(marked[at:])
-        return b
+        return b.root
 
 
-def clean_text(text: str, bare_tables: bool = False) -> tuple[str, set[str]]:
-    """The text without markup, and the languages of which marks were found.
+_VERBATIM = frozenset(("pre", "code"))
+
+
+def read(text: str, bare_tables: bool = False) -> Node | None:
+    """The tree of a text; None if it has neither marks nor lists.
 
     ``bare_tables``: pipes and delimiter row are the structure of a table unit, not Markdown.
     """
@@ -351,17 +500,29 @@ def clean_text(text: str, bare_tables: bool = False) -> tuple[str, set[str]]:
     text = _INNER.sub("", text).replace("\r\n", "\n")
     text = _CODE.sub(r.code, text)
     text = _MATH.sub(r.math, text)
-    text = _DOCTYPE.sub(lambda m: r.found.add("html") or "", text)
+    text = _DOCTYPE.sub(lambda m: r.empty("html"), text)
     text = _HTML_TAG.sub(r.tag, text)
     text = _ENTITY.sub(r.entity, text)
     marked = r.blocks(text)
-    if not r.found and OPEN not in marked:
-        return text, set()
-    root = r.tree(marked).root
-    out = render(root, keep_lines=True)
-    if "latex" in r.found:
-        out = re.sub(r"\\([%&#_$])", r"\1", out)
-    return out, r.found
+    return r.tree(marked) if r.elements else None
+
+
+def languages(root: Node) -> set[str]:
+    """The languages of the marks that a tree holds."""
+    return {n.attrs["of"] for n in root.walk() if "of" in n.attrs}
+
+
+def clean_text(text: str, bare_tables: bool = False) -> tuple[str, set[str]]:
+    """The text without markup, and the languages of the marks in it; see ``read``."""
+    root = read(text, bare_tables)
+    if root is None:
+        return _INNER.sub("", text).replace("\r\n", "\n"), set()
+    found = languages(root)
+    if "latex" in found and "\\" in text:
+        for n in root.walk():
+            if n.tag not in _VERBATIM:
+                n.children = [re.sub(r"\\([%&#_$])", r"\1", c) if isinstance(c, str) else c for c in n.children]
+    return render(root, keep_lines=True), found
 
 
 def clean_json(text: str) -> tuple[str, set[str]]:
@@ -390,7 +551,7 @@ def clean_json(text: str) -> tuple[str, set[str]]:
     return (json.dumps(new, ensure_ascii=False, indent=2), found) if found else (text, found)
 
 
-_FIELD = re.compile(r"^([A-Za-z_][\w .-]{0,40}: )(.*)$")
+_FIELD = re.compile(r"^([A-Za-z_][\w .-]*: )(.*)$")
 
 
 def clean_fields(text: str) -> tuple[str, set[str]]:
