@@ -1,10 +1,10 @@
 """One form for text that looks the same.
 
-Tokens that aren't already in table form are looked up in tries over the corpus vocabulary by a weighted
+Every token that isn't in table form is looked up in tries over the corpus vocabulary by a weighted
 edit automaton: exchanging look-alikes and dropping ignorable characters costs nothing, anything else
-costs 1.  The canonical spelling of a token is chosen among the vocabulary words found at no cost; tokens
-without such a word, or with a plain one, get the form of the table.  All words that reach each
-other at no cost choose alike, so equal-looking texts come out equal.
+costs 1.  The canonical spelling of a token is chosen among the vocabulary words found at no cost, a
+plain one before others; only tokens that match no word get the form of the table.  All words that
+reach each other at no cost choose alike, so equal-looking texts come out equal.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -35,8 +36,10 @@ LAST = 0x30000
 
 #: Up to so many words with a spelling of their own (some 60 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_WORDS = 300_000
-#: Characters of the table form that the words of one trie share.
-PREFIX = 8
+#: Words that one trie holds before the next one is begun (between words that don't look the same).
+TRIE_WORDS = 20_000
+#: Beyond BROADCAST_WORDS, words that make up more than this part of all tokens are still broadcast (so at most its inverse of them).
+FREQUENT = 1 / 10_000
 
 BLANK = regex.compile(r"[\t-\r \x85\p{Zs}\u2028\u2029]+")
 #: Texts of these characters alone are in table form as they are (a Java pattern; ASCII and Latin-1 without blanks and invisible characters).
@@ -150,8 +153,12 @@ def choose(words: list[tuple[str, int]], form: str) -> str:
     return min(words, key=lambda x: (-x[1], x[0]))[0] if words else form
 
 
+#: Kinds of vocabulary words, in the order in which they are read: in table form; another proper spelling; no spelling to choose.
+PLAIN_WORD, PROPER_WORD, OTHER_WORD = 0, 1, 2
+
+
 def _vocabulary(docs: DataFrame) -> DataFrame:
-    """``word, form, times`` of the distinct tokens."""
+    """``word, form, kind, times`` of the distinct tokens, those of one form in one partition."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -159,7 +166,8 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             words = list(held)
             forms = [fold(w) for w in words]
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(forms, pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "form", "times"])
+            kinds = [PLAIN_WORD if w == f else PROPER_WORD if proper(w) else OTHER_WORD for w, f in zip(words, forms)]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(forms, pa.string()), pa.array(kinds, pa.int8()), pa.array(list(held.values()), pa.int64())], ["word", "form", "kind", "times"])
             held.clear()
             return out
 
@@ -171,44 +179,69 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    counted = docs.select("text").mapInArrow(count, "word string, form string, times long").filter(F.col("word") != "")
+    counted = docs.select("text").mapInArrow(count, "word string, form string, kind byte, times long").filter(F.col("word") != "")
     # each task has summed up its own words; words of one form meet in one partition, for the sum and for the search
-    return counted.repartition("form").groupBy("word", "form").agg(F.sum("times").alias("times"))
+    return counted.repartition("form").groupBy("word", "form", "kind").agg(F.sum("times").alias("times"))
+
+
+def search(rows: Iterator[tuple[str, str, int, int]]) -> Iterator[tuple[str, str, int]]:
+    """``word, spelling, times`` of the words that aren't in table form, of vocabulary rows sorted by form and kind.
+
+    Words that can be chosen come before the others of their form, so that the others are answered one by
+    one and never held.  A trie is given up once it holds TRIE_WORDS and the form changes: memory is
+    bounded by that and the proper spellings of one form.
+    """
+    trie, held, last, waiting = Trie(), 0, None, []
+
+    def answers() -> Iterator[tuple[str, str, int]]:
+        for word, times in waiting:
+            if found := trie.match(word):
+                yield word, choose(found, last), times
+        waiting.clear()
+
+    for word, form, kind, times in rows:
+        if form != last:
+            yield from answers()
+            if held >= TRIE_WORDS:
+                trie, held = Trie(), 0
+            last = form
+        if kind == OTHER_WORD:
+            waiting.append((word, times))
+            yield from answers()
+            continue
+        trie.add(word, times)
+        held += 1
+        if kind == PROPER_WORD:
+            waiting.append((word, times))
+    yield from answers()
 
 
 def spellings(docs: DataFrame) -> DataFrame:
-    """``word, spelling`` of the tokens whose canonical spelling isn't their table form.
+    """``word, spelling, times`` of every token that isn't in table form and looks like a word of the vocabulary.
 
-    Words that look the same share their table form, so hashing by it puts them into one partition;
-    the sorted partition is cut into one trie after the other by the first characters of the form.
+    Words that look the same share their table form, so hashing by it puts them into one partition.
     """
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, odd, prefix = [], [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(4))))
+        found = search(rows)
+        while some := list(islice(found, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.string()), pa.array([x[1] for x in some], pa.string()), pa.array([x[2] for x in some], pa.int64())], ["word", "spelling", "times"])
 
-        def flush() -> pa.RecordBatch:
-            plain = {w for w, form, _ in words if w == form}
-            open_ = [(w, form) for w, form in odd if form not in plain]  # the others are spelt as their table form
-            trie = Trie()
-            if open_:
-                for w, _, times in words:
-                    trie.add(w, times)
-            pairs = [(w, s) for w, form in open_ if (s := choose(trie.match(w), form)) != form]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["word", "spelling"])
-
-        for batch in batches:
-            for word, form, times in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if form[:PREFIX] != prefix:
-                    if odd:
-                        yield flush()
-                    words, odd, prefix = [], [], form[:PREFIX]
-                words.append((word, form, times))
-                if word != form:
-                    odd.append((word, form))
-        if odd:
-            yield flush()
-
-    return _vocabulary(docs).sortWithinPartitions("form", "word").mapInArrow(search, "word string, spelling string")
+    return _vocabulary(docs).sortWithinPartitions("form", "kind", "word").mapInArrow(run, "word string, spelling string, times long")
+
+
+def _spelt(tokens: DataFrame, choice: DataFrame) -> DataFrame:
+    """``doc_id, word, spelling`` of the tokens (doc_id, word) that have a spelling."""
+    facts = choice.agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("all")).head()
+    pairs = choice.select("word", "spelling")
+    if facts["n"] <= BROADCAST_WORDS:
+        return tokens.join(F.broadcast(pairs), "word")
+    # a word of a third of all documents would make one huge group: frequent words are few, and looked up where the tokens lie
+    often = choice.filter(F.col("times") > FREQUENT * facts["all"]).select("word", "spelling")
+    marked = materialise(tokens.join(F.broadcast(often), "word", "left"), "tokens")
+    rest = marked.filter(F.col("spelling").isNull()).drop("spelling").join(pairs, "word")
+    return marked.filter(F.col("spelling").isNotNull()).unionByName(rest)
 
 
 def canonical_texts(docs: DataFrame) -> DataFrame:
@@ -221,8 +254,6 @@ def canonical_texts(docs: DataFrame) -> DataFrame:
     plain = chosen.filter(F.col("text").rlike(PLAIN))
     odd = chosen.filter(~F.col("text").rlike(PLAIN))
     choice = materialise(spellings(chosen), "spellings")
-    if choice.count() <= BROADCAST_WORDS:
-        choice = F.broadcast(choice)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in cut(batches):
@@ -243,30 +274,51 @@ def canonical_texts(docs: DataFrame) -> DataFrame:
                 out.append(fold(text) if not own else unicodedata.normalize("NFC", text))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], ["doc_id", "text", "canonical"])
 
-    needed = odd.mapInArrow(tokens, "doc_id long, word string").join(choice, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "spelling")).alias("own"))
+    needed = _spelt(odd.mapInArrow(tokens, "doc_id long, word string"), choice).groupBy("doc_id").agg(F.collect_list(F.struct("word", "spelling")).alias("own"))
     rewritten = odd.join(needed, "doc_id", "left").select("doc_id", "text", "own").mapInArrow(rewrite, "doc_id long, text string, canonical string")
     return plain.withColumn("canonical", F.col("text")).unionByName(rewritten)
 
 
-def lookalike_pairs(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """``doc_id_a, doc_id_b`` of documents that look the same and differ in a code point.
-
-    Null texts and texts without a visible character have no partner; exact copies aren't a pair.  Pairs
-    are formed between classes of exact copies and then expanded; members of large classes are salted.
-    """
+def _looks(docs: DataFrame) -> DataFrame:
+    """``doc_id, look, exact``: digests of the canonical form and of the text, of documents with a visible character."""
     seen = (
         canonical_texts(docs)
         .filter(F.col("canonical").rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]"))
         .select("doc_id", F.unhex(F.md5("canonical")).alias("look"), F.unhex(F.md5("text")).alias("exact"))
     )
-    seen = materialise(seen, "looks")
+    return materialise(seen, "looks")
+
+
+def lookalike_classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, look_id, exact_id, n_texts``: one row per document that looks like another with a different text.
+
+    look_id is the smallest doc_id of those that look the same, exact_id that of those with the same text,
+    n_texts the number of different texts of the look.  The same links as the pairs, without writing
+    out every pair of copies.
+    """
+    seen = _looks(docs)
+    # texts are counted in two steps, so that copies are summed up before they meet
+    texts = seen.groupBy("look", "exact").agg(F.min("doc_id").alias("exact_id"))
+    looks = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n_texts"), F.min("exact_id").alias("look_id")).filter(F.col("n_texts") > 1)
+    return seen.join(looks, "look").join(texts, ["look", "exact"]).select("doc_id", "look_id", "exact_id", "n_texts")
+
+
+def lookalike_pairs(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """``doc_id_a, doc_id_b`` of documents that look the same and differ in a code point.
+
+    Null texts and texts without a visible character have no partner; exact copies aren't a pair.  Pairs
+    are formed between classes of exact copies and then expanded; classes and their members are salted,
+    as one look or one text may have many.
+    """
+    seen = _looks(docs)
     several = seen.groupBy("look").agg(F.min("exact").alias("x"), F.max("exact").alias("y")).filter(F.col("x") != F.col("y")).select("look")
     members = seen.join(several, "look", "left_semi")
     classes = members.select("look", "exact").distinct()
-    pairs = classes.join(classes.withColumnRenamed("exact", "other"), "look").filter(F.col("exact") < F.col("other"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
     every = F.explode(F.array(*[F.lit(k) for k in range(salts)]))
-    first = members.withColumn("salt", salt).join(pairs.withColumn("salt", every), ["look", "exact", "salt"]).select("look", F.col("other").alias("exact"), F.col("doc_id").alias("a"))
-    first = first.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    others = classes.withColumnRenamed("exact", "other").withColumn("salt", every)
+    pairs = classes.withColumn("salt", salt("exact")).join(others, ["look", "salt"]).filter(F.col("exact") < F.col("other")).drop("salt")
+    first = members.withColumn("salt", salt("doc_id")).join(pairs.withColumn("salt", every), ["look", "exact", "salt"]).select("look", F.col("other").alias("exact"), F.col("doc_id").alias("a"))
+    first = first.withColumn("salt", salt("a"))
     both = first.join(members.select("look", "exact", F.col("doc_id").alias("b")).withColumn("salt", every), ["look", "exact", "salt"])
     return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()

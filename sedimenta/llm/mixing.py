@@ -89,7 +89,7 @@ def plan_mixture(tokens: dict[str, int], targets: dict[str, tuple[float, int]],
     return {s: w * budget for s, w in weights.items()}
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None, path: str | None = None, seed: int = 7, epochs: float | None = None, wanted_entropy: float | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None, path: str | None = None, seed: int = 7, epochs: float | None = None, wanted_entropy: float | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``doc_id, source, tokens, uses``: the documents of the mixture and how often each is used.
 
     A source's budget buys ``k`` whole passes and part of a further one, cut where the permutation of
@@ -98,15 +98,16 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None
     compared in their normalised spelling; of two targets that mean the same label the shares add up
     and the smaller limit holds.  Documents of sources without target, and those without tokens, are
     not used, nor are rows without doc_id; rows repeating a doc_id count once.  ``budget``, ``epochs``
-    and ``wanted_entropy`` as of plan_mixture.
+    and ``wanted_entropy`` as of plan_mixture; ``sizes`` (doc_id, tokens) gives the sizes of documents
+    where they are known already.
     """
     spark: SparkSession = docs.sparkSession
-    once = docs.select("doc_id", "source", "text").filter(F.col("doc_id").isNotNull())
+    once = docs.select("doc_id", "source", *(["text"] if sizes is None else [])).filter(F.col("doc_id").isNotNull())
     if not once.groupBy("doc_id").count().filter("count > 1").isEmpty():  # texts are only moved if an id really repeats
         once = once.dropDuplicates(["doc_id"])
     wanted = targets.select(label("source").alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("repeats"))
     labelled = once.select("doc_id", label("source").alias("source")).join(wanted.select("source"), "source", "left_semi")
-    rows = materialise(labelled.join(document_tokens(once, path), "doc_id").filter(F.col("tokens") > 0).select("doc_id", "source", "tokens"), "mixture")
+    rows = materialise(labelled.join(document_tokens(once, path) if sizes is None else sizes.select("doc_id", "tokens"), "doc_id").filter(F.col("tokens") > 0).select("doc_id", "source", "tokens"), "mixture")
     # one row per target on the driver: mix_targets is configuration
     limits = {r["source"]: (r["share"], r["repeats"]) for r in wanted.collect()}
     tokens = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
@@ -114,7 +115,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None
     passes = {s: min(int(b // tokens[s]), limits[s][1]) for s, b in plan.items()}
     table = [(s, passes[s], float(b - passes[s] * tokens[s]) if passes[s] < limits[s][1] else 0.0) for s, b in plan.items()]
     shares = F.broadcast(spark.createDataFrame(table, "source string, passes int, rest double"))
-    order = F.xxhash64(F.lit(seed), "source", "doc_id")
+    # a pseudo-random permutation that other engines can follow
+    order = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), "source", "doc_id")), 1, 15), 16, 10).cast("long")
     placed = rows.join(shares, "source").withColumn("order", order).withColumn("block", F.pmod("order", F.lit(BLOCKS)))
     blocks = placed.groupBy("source", "block").agg(F.sum("tokens").alias("cost"))
     before = F.sum("cost").over(Window.partitionBy("source").orderBy("block")) - F.col("cost")

@@ -120,6 +120,26 @@ def test_trie():
     assert lookalike.choose([("сервер", 9), ("cepвep", 1)], "cepвep") == "cepвep" and lookalike.choose([("сервер", 9), ("сервeр", 1)], "cepвep") == "сервер"
 
 
+def test_search_is_bounded(monkeypatch):
+    monkeypatch.setattr(lookalike, "TRIE_WORDS", 3)
+    forms = [("office", [("office", 0, 5), ("oﬃce", 2, 1), ("оffice", 2, 2)]), ("cepвep", [("сервер", 1, 9), ("сервeр", 2, 1)]), ("zebra", [("zebra", 0, 1)]), ("zz", [("z\u200bz", 2, 4)])]
+    rows = [(w, form, kind, n) for form, words in forms for w, kind, n in words]
+    assert list(lookalike.search(iter(rows))) == [("oﬃce", "office", 1), ("оffice", "office", 2), ("сервер", "сервер", 9), ("сервeр", "сервер", 1)], "a word without match is left to the table"
+
+
+def test_frequent_words_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(i, f"wоrd {'оther' if i % 3 else 'thіrd'} plain") for i in range(60)] + [(100 + i, f"word {'other' if i % 3 else 'third'} plain") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {tuple(r) for r in lookalike.lookalike_pairs(df).collect()}
+    assert len(want) == 40 * 40 + 20 * 20
+    monkeypatch.setattr(lookalike, "BROADCAST_WORDS", 0)
+    assert {tuple(r) for r in lookalike.lookalike_pairs(df).collect()} == want
+    monkeypatch.setattr(lookalike, "FREQUENT", 0.4)
+    assert {tuple(r) for r in lookalike.lookalike_pairs(df).collect()} == want
+    classes = {r["doc_id"]: r for r in lookalike.lookalike_classes(df).collect()}
+    assert len(classes) == 120 and classes[100]["look_id"] == 0 and classes[100]["exact_id"] == 100 and classes[7]["exact_id"] == 1 and classes[7]["n_texts"] == 2
+
+
 def test_pairs_against_brute_force(spark):
     rng = random.Random(7)
     base = ["the service checks each page", "служба проверяет каждый раздел", "la clé métrique", "日本語 ガイド", "office hours-", "", "   "]

@@ -141,7 +141,7 @@ def test_mixture(spark):
 def test_registered_mixture_of_all_tokens(spark, data):
     from sedimenta.llm.catalogue import QUERIES
 
-    exact, tempered = ({r["source"]: r for r in QUERIES[n](spark, data).collect()} for n in ("p9_shares", "p9_tempered_shares"))
+    exact, tempered = ({r["source"]: r for r in QUERIES[n](spark, data).collect()} for n in ("p9_exact_shares", "p9_shares"))
     total = lambda rows: sum(r["n_tokens"] for r in rows.values())
     docs, targets = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/mix_targets.parquet")
     per = {r["doc_id"]: r["tokens"] for r in budget.document_tokens(docs.dropDuplicates(["doc_id"])).collect()}
