@@ -95,7 +95,7 @@ def _p10_forms() -> str:
     span = lambda *ends: "".join(chr(c) for a, b in ends for c in range(a, b + 1))
     # Letters and the Latin ones they look like; blanks; hyphens; what doesn't show; ligatures and Roman numerals
     alike = (
-        "аaɑaсcϲcԁdеeɡgһhіiјjϳjӏlоoοoօoрpԛqѕsνvѵvԝwхxуyүy" "АAΑAВBΒBСCϹCЕEΕEϜFԌGНHΗHІIΙIӀIЈJͿJКKΚKМMΜMϺMΝNОOΟOՕOРPΡPԚQЅSТTΤTѴVԜWХXΧXУYҮYΥYΖZᏃZ"
+        "аaɑaсcϲcԁdеeɡgһhіiјjϳjӏlоoοoօoрpԛqѕsνvѵvԝwхxуyүy" "АAΑAВBΒBСCϹCЕEΕEϜFԌGНHΗHІIΙIӀIЈJͿJКKΚKМMΜMϺMΝNОOΟOՕOРPΡPԚQЅSТTΤTѴVԜWХXΧXУYҮYΥYΖZᏃZ" "ӓäӒÄёëЁËїïЇÏӧöӦÖӱÿӰŸѐèЀÈӑăӐĂӗĕӖĔόóΌÓΪÏΫŸ"
     )
     blanks = span((0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
     hyphens = span((0x2010, 0x2011), (0x58A, 0x58A), (0xFE63, 0xFE63), (0xFF0D, 0xFF0D))
