@@ -23,6 +23,8 @@ from sedimenta.session import materialise
 
 #: Up to so many distinct pieces (some 60 bytes each) their counts are broadcast; beyond, the join shuffles.
 BROADCAST_PIECES = 500_000
+#: Beyond, pieces that make up more than this part of all look-ups are still broadcast (so at most its inverse of them).
+FREQUENT = 1 / 10_000
 
 
 class PrefixCounter:
@@ -103,30 +105,41 @@ def _occurrences(docs: DataFrame, path: str) -> DataFrame:
 
 
 def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
-    """``piece, tokens`` of distinct pieces, by prefix tries over ranges of the byte order."""
+    """``piece, tokens, docs`` of distinct pieces (piece, docs), by prefix tries over ranges of the byte order."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(bpe.load(path))
         for batch in batches:
             names = batch.column(0)
-            yield pa.RecordBatch.from_arrays([names, pa.array([counter(p.encode()) for p in names.to_pylist()], pa.int64())], ["piece", "tokens"])
+            yield pa.RecordBatch.from_arrays([names, pa.array([counter(p.encode()) for p in names.to_pylist()], pa.int64()), batch.column(1)], ["piece", "tokens", "docs"])
 
-    return pieces.repartitionByRange("piece").sortWithinPartitions("piece").mapInArrow(walk, "piece string, tokens long")
+    return pieces.select("piece", "docs").repartitionByRange("piece").sortWithinPartitions("piece").mapInArrow(walk, "piece string, tokens long, docs long")
 
 
 def document_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, tokens`` for each distinct doc_id; null and empty texts have 0 tokens.
 
     Rows that repeat a doc_id would add up, so deliver each document once.  Null ids form one group.
+    Counts are broadcast up to a bound; beyond it only those of the frequent pieces are, which are few,
+    and the others are joined by piece, so that no piece makes a hot group.
     """
     path = path or bpe.vocabulary_path()
     found = materialise(_occurrences(docs, path), "occurrences")
-    distinct = found.filter(F.col("piece").isNotNull()).select("piece").distinct()
+    named = found.filter(F.col("piece").isNotNull())
+    # what needs no look-up takes no part in the join
+    single = found.filter(F.col("piece").isNull()).select("doc_id", F.col("times").alias("tokens"))
+    distinct = named.groupBy("piece").agg(F.count(F.lit(1)).alias("docs"))
     counts = materialise(piece_counts(distinct, path), "piece-counts")
-    if counts.count() <= BROADCAST_PIECES:
-        counts = F.broadcast(counts)
-    joined = found.join(counts, "piece", "left")
-    return joined.groupBy("doc_id").agg(F.sum(F.col("times") * F.coalesce("tokens", F.lit(1))).alias("tokens"))
+    facts = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("docs"), F.lit(0)).alias("all")).head()
+    times = (F.col("times") * F.col("tokens")).alias("tokens")
+    if facts["n"] <= BROADCAST_PIECES:
+        looked = named.join(F.broadcast(counts.select("piece", "tokens")), "piece").select("doc_id", times)
+    else:
+        often = F.col("docs") > FREQUENT * facts["all"]
+        marked = named.join(F.broadcast(counts.filter(often).select("piece", "tokens")), "piece", "left")
+        rare = marked.filter(F.col("tokens").isNull()).drop("tokens").join(counts.filter(~often).select("piece", "tokens"), "piece")
+        looked = marked.filter(F.col("tokens").isNotNull()).select("doc_id", times).unionByName(rare.select("doc_id", times))
+    return single.unionByName(looked).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
 
 
 def label(column: str, region: bool = False) -> Column:
@@ -137,11 +150,14 @@ def label(column: str, region: bool = False) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", "unknown").otherwise(c)
 
 
-def token_budget(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``source, lang, doc_domain, n_docs, n_chars, n_tokens`` per normalised labels; rows without doc_id are left out, an empty table gives no rows."""
+def token_budget(docs: DataFrame, path: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """``source, lang, doc_domain, n_docs, n_chars, n_tokens`` per normalised labels; rows without doc_id are left out, an empty table gives no rows.
+
+    ``sizes`` (doc_id, tokens) gives the tokens of documents where they are known already.
+    """
     facts = docs.select("doc_id", label("source").alias("source"), label("lang", True).alias("lang"), label("doc_domain").alias("doc_domain"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
     return (
-        facts.join(document_tokens(docs, path), "doc_id")
+        facts.join(document_tokens(docs, path) if sizes is None else sizes.select("doc_id", "tokens"), "doc_id")
         .groupBy("source", "lang", "doc_domain")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("chars").alias("n_chars"), F.sum("tokens").alias("n_tokens"))
     )

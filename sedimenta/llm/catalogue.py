@@ -44,6 +44,12 @@ def p6_against_estimates(spark: SparkSession, folder: str) -> DataFrame:
     return budget.budget_against_estimates(spread_table(spark, folder, "documents", "doc_id", "text", "source", "lang", "doc_domain", "source_path"), table(spark, folder, "cost_estimates"))
 
 
+def p6_given_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """p6_token_budget over given sizes, the bytes of each text."""
+    docs = table(spark, folder, "documents")
+    return budget.token_budget(docs, sizes=docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("tokens")))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_documents(spread_table(spark, folder, "documents", "doc_id", "text"))
 
@@ -85,7 +91,7 @@ def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_classes(spread_table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p5_found, p5_bodies, p6_token_budget, p6_against_estimates, p8_ids, p9_mixture, p9_shares, p9_even_shares, p9_exact_shares, p9_given_mixture, p10_found, p10_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_clean, p5_found, p5_bodies, p6_token_budget, p6_against_estimates, p6_given_budget, p8_ids, p9_mixture, p9_shares, p9_even_shares, p9_exact_shares, p9_given_mixture, p10_found, p10_classes)}
 
 
 
@@ -134,6 +140,12 @@ SQL: dict[str, str] = {
         c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.model = b.model AND a.vec_id <> b.vec_id),
         r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM c)
         SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE rank <= 10 AND s >= 0.85""",
+    "p6_given_budget": """
+        SELECT coalesce(nullif(regexp_replace(lower(trim(source)), '[\\s_-]+', '-', 'g'), ''), 'unknown') AS source,
+            coalesce(nullif(regexp_replace(regexp_replace(lower(trim(lang)), '[\\s_-]+', '-', 'g'), '-.*$', ''), ''), 'unknown') AS lang,
+            coalesce(nullif(regexp_replace(lower(trim(doc_domain)), '[\\s_-]+', '-', 'g'), ''), 'unknown') AS doc_domain,
+            count(*) AS n_docs, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS n_tokens
+        FROM documents GROUP BY 1, 2, 3""",
     "p10_found": _p10_sql(),
     "p10_classes": _p10_classes_sql(),
     # weights target^(1-t) * natural^t, t bisected to the limits; documents in the order of their digest until half of one is over

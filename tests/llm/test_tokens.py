@@ -164,3 +164,15 @@ def test_entropy_of_a_mixture(spark):
     rows = mixing.mix_sources(docs, spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int"), wanted_entropy=0.6).collect()
     used = {s: sum(r["tokens"] * r["uses"] for r in rows if r["source"] == s) for s in "ab"}
     assert mixing.entropy({s: n / sum(used.values()) for s, n in used.items()}) == pytest.approx(0.6, abs=0.02)
+
+
+def test_frequent_and_rare_pieces(spark, reference, monkeypatch):
+    rng = random.Random(3)
+    words = [f"hyperquantised{k}" for k in range(40)]
+    texts = [" ".join(["everywhereword", *rng.choices(words, k=rng.randrange(30))]) for _ in range(80)] + ["", None]
+    df = frame(spark, texts)
+    want = {i: len(reference(t)) for i, t in enumerate(texts)}
+    for pieces, frequent in ((500_000, 1e-4), (0, 1e-4), (0, 0.02), (0, 1.0)):
+        monkeypatch.setattr(budget, "BROADCAST_PIECES", pieces)
+        monkeypatch.setattr(budget, "FREQUENT", frequent)
+        assert {r["doc_id"]: r["tokens"] for r in budget.document_tokens(df).collect()} == want
