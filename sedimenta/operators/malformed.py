@@ -1,8 +1,8 @@
 """Rows that fail to parse: valid rows come out typed, the others apart with the reason.
 
-Records are read permissively under an explicit schema that retains the raw text of what didn't fit;
-only such records, and those whose quoting the permissive reader would gloss over, are looked at
-again one by one.
+Records of both kinds are read permissively under an explicit schema that retains the raw text of what
+didn't fit; only such records, and those where the permissive reader would gloss over an error, are
+looked at again one by one.  Casts are checked by native expressions for all.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 from datetime import date
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +65,7 @@ def _reject(name: str):
 
 
 def json_reason(line: str) -> tuple[str | None, tuple]:
-    """Reason why a JSONL record fails, or None with the values of JSON_KEYS."""
+    """Reason why a JSONL record fails, its time apart, or None with the values of JSON_KEYS."""
     try:
         # numbers are only told from strings: their size doesn't matter
         value = json.loads(line, parse_constant=_reject, parse_int=bool, parse_float=bool)
@@ -75,13 +75,14 @@ def json_reason(line: str) -> tuple[str | None, tuple]:
         return "quoting", ()
     if any(k not in value for k in JSON_KEYS):
         return "columns", ()
-    if any(not isinstance(value[k], str) or not value[k].strip() for k in JSON_KEYS) or not existing_time(value["ts"]):
+    if any(not isinstance(value[k], str) or not value[k].strip() for k in JSON_KEYS):
         return "value", ()
-    return None, tuple(value[k] for k in JSON_KEYS)
+    # half of a surrogate pair can't be written as UTF-8
+    return None, tuple(value[k].encode("utf-8", "replace").decode() for k in JSON_KEYS)
 
 
 def existing_time(text: str) -> bool:
-    """An ISO 8601 date and time with seconds and zone that exists in the calendar."""
+    """An ISO 8601 date and time with seconds and zone that exists in the calendar; ``instant`` tells the same natively."""
     m = _TIME.match(text)
     if not m:
         return False
@@ -153,9 +154,44 @@ def _csv(kept: DataFrame) -> DataFrame:
     )
 
 
+#: A JSON object without nesting, and a key of it that occurs once with a string as value (Java patterns, all possessive).
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_PAIR = rf'{_STRING}[ \t\n\r]*+:[ \t\n\r]*+(?:{_STRING}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][-+]?[0-9]++)?+|true|false|null)[ \t\n\r]*+'
+FLAT_OBJECT = rf"\A[ \t\n\r]*+\{{[ \t\n\r]*+(?:{_PAIR}(?:,[ \t\n\r]*+{_PAIR})*+)?+\}}[ \t\n\r]*+\z"
+_HALF_PAIR = r"\\u[dD][89a-fA-F]"
+_TIME_PARTS = r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)\z"
+
+
+def instant(ts: Column) -> Column:
+    """The timestamp that an ISO 8601 date and time with seconds and zone denotes, null if there is none; any zone of less than a day."""
+    part = lambda k: F.regexp_extract(ts, _TIME_PARTS, k)
+    local = F.concat(part(1), F.lit("T"), part(2), F.lit("."), F.rpad(F.substring(part(3), 1, 6), 6, "0"), F.lit("Z")).try_cast("timestamp")
+    zone = F.regexp_replace(part(4), "[^0-9]", "")
+    hours, minutes = (F.coalesce(F.substring(zone, at, 2).try_cast("long"), F.lit(0)) for at in (1, 3))
+    shift = (hours * 60 + minutes) * F.when(part(4).startswith("-"), F.lit(-60_000_000)).otherwise(F.lit(60_000_000)).cast("long")
+    there = (hours < 24) & (minutes < 60) & ~part(1).startswith("0000")
+    return F.when(there, F.timestamp_micros(F.unix_micros(local) - shift))
+
+
 def _jsonl(kept: DataFrame) -> DataFrame:
-    rows = kept.filter(F.col("file_kind") == "jsonl").withColumn("j", _judge_json("line"))
-    return rows.select("row_id", "file_kind", "line_no", "raw_line", "j.reason", "j.event", "j.user_id", F.expr("try_cast(j.ts as timestamp)").alias("ts"))
+    schema = ", ".join(f"{k} STRING" for k in JSON_KEYS) + ", corrupt STRING"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    rows = kept.filter(F.col("file_kind") == "jsonl").withColumn("p", F.from_json("line", schema, options))
+    line = F.col("line")
+    # the permissive reader makes a string of every value and stops behind the first object: only flat objects with each key once, as a string, are left to it
+    corrupt = F.col("p.corrupt").isNotNull() | F.col("p").isNull() | ~line.rlike(FLAT_OBJECT) | line.rlike(_HALF_PAIR)
+    for k in JSON_KEYS:
+        corrupt = corrupt | ~line.rlike(rf'"{k}"[ \t\n\r]*+:[ \t\n\r]*+"') | line.rlike(rf'(?s)"{k}".*"{k}"')
+    rows = rows.withColumn("again", corrupt).withColumn("a", _judge_json(F.when(F.col("again"), line)))
+    value = lambda k: F.when(F.col("again"), F.col(f"a.{k}")).otherwise(F.col(f"p.{k}"))
+    rows = rows.select("row_id", "file_kind", "line_no", "raw_line", F.col("a.reason").alias("found"), *[value(k).alias(k) for k in JSON_KEYS]).withColumn("at", instant(F.col("ts")))
+    said = lambda k: F.col(k).rlike(r"(?U)[^\s\x1c-\x1f]")
+    ok = said("event") & said("user_id") & F.col("at").isNotNull()
+    reason = F.coalesce("found", F.when(~F.coalesce(ok, F.lit(False)), "value"))
+    good = F.col("reason").isNull()
+    return rows.withColumn("reason", reason).select(
+        "row_id", "file_kind", "line_no", "raw_line", "reason", F.when(good, F.col("event")).alias("event"), F.when(good, F.col("user_id")).alias("user_id"), F.when(good, F.col("at")).alias("ts"),
+    )
 
 
 def failed_records(records: DataFrame) -> DataFrame:

@@ -442,6 +442,25 @@ _RANK = (
 _MEANS = "means AS (SELECT " + ", ".join(f"round(avg({m}), 5) AS {m}" for m in retrieval.METRICS) + " FROM metrics)"
 _EXT = "CASE WHEN regexp_matches(e, '^[0-9]+$') AND b IN ({known}) THEN b ELSE e END"
 
+_SAMPLES = r"""
+        WITH d AS (SELECT DISTINCT ON (row_id) row_id, file_kind, line_no, raw_line, regexp_replace(raw_line, '\r?\n?$', '') AS l0 FROM sample_rows),
+        e AS (SELECT *, CASE WHEN line_no = 1 THEN regexp_replace(l0, '^\x{FEFF}', '') ELSE l0 END AS l FROM d),
+        f AS (SELECT * FROM e WHERE l IS NOT NULL AND regexp_matches(l, '[^\s\x{A0}\x{FEFF}]')),
+        c AS (SELECT row_id, regexp_full_match(l, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS well,
+                     list_transform(regexp_extract_all(',' || l, '(?s),(?:"(?:[^"]|"")*"|[^",]*)'), lambda x: regexp_replace(x[2:], '(?s)^"(.*)"$', '\1')) AS cells
+              FROM f WHERE file_kind = 'csv' AND line_no <> 1),
+        j AS (SELECT row_id, CASE WHEN json_valid(l) AND NOT regexp_matches(l, ',\s*[}\]]\s*$') THEN json_type(l) = 'OBJECT' ELSE false END AS obj, CASE WHEN json_valid(l) THEN l END AS l FROM f WHERE file_kind = 'jsonl'),
+        k AS (SELECT row_id, obj, json_type(l, '$.event') AS te, json_type(l, '$.user_id') AS tu, json_type(l, '$.ts') AS tt,
+                     l ->> '$.event' AS ev, l ->> '$.user_id' AS us, l ->> '$.ts' AS ts FROM j),
+        s AS (SELECT row_id, CASE WHEN NOT well THEN 'quoting' WHEN len(cells) <> 6 THEN 'columns'
+                     WHEN regexp_full_match(trim(cells[1]), '0*[1-9][0-9]*') AND try_cast(trim(cells[1]) AS BIGINT) IS NOT NULL
+                          AND regexp_full_match(cells[5], '19[0-9]{2}|20[0-9]{2}|2100') AND cells[6] IN ('true', 'false') THEN NULL ELSE 'value' END AS reason FROM c
+              UNION ALL SELECT row_id, CASE WHEN NOT obj THEN 'quoting' WHEN te IS NULL OR tu IS NULL OR tt IS NULL THEN 'columns'
+                     WHEN te = 'VARCHAR' AND tu = 'VARCHAR' AND tt = 'VARCHAR' AND trim(ev) <> '' AND trim(us) <> ''
+                          AND regexp_full_match(ts, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})')
+                          AND try_cast(substr(ts, 1, 10) AS DATE) IS NOT NULL AND try_cast(substr(ts, 12, 8) AS TIME) IS NOT NULL THEN NULL ELSE 'value' END FROM k)
+        """
+
 SQL: dict[str, str] = {
     "p3_found": """
         WITH done AS (SELECT DISTINCT batch_no FROM job_runs WHERE status = 'succeeded'),
@@ -467,24 +486,16 @@ SQL: dict[str, str] = {
                CASE WHEN b.s IS NULL THEN 'added' WHEN a.s IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
         FROM a FULL JOIN b ON a.s = b.s AND a.source_path = b.source_path AND a.chunk_index = b.chunk_index
         WHERE a.s IS NULL OR b.s IS NULL OR a.chunk_id IS DISTINCT FROM b.chunk_id OR a.meta IS DISTINCT FROM b.meta""",
-    "p7_found": r"""
-        WITH d AS (SELECT DISTINCT ON (row_id) row_id, file_kind, line_no, regexp_replace(raw_line, '\r?\n?$', '') AS l0 FROM sample_rows),
-        e AS (SELECT *, CASE WHEN line_no = 1 THEN regexp_replace(l0, '^\x{FEFF}', '') ELSE l0 END AS l FROM d),
-        f AS (SELECT * FROM e WHERE l IS NOT NULL AND regexp_matches(l, '[^\s\x{A0}\x{FEFF}]')),
-        c AS (SELECT row_id, regexp_full_match(l, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS well,
-                     list_transform(regexp_extract_all(',' || l, '(?s),(?:"(?:[^"]|"")*"|[^",]*)'), lambda x: regexp_replace(x[2:], '(?s)^"(.*)"$', '\1')) AS cells
-              FROM f WHERE file_kind = 'csv' AND line_no <> 1),
-        j AS (SELECT row_id, CASE WHEN json_valid(l) AND NOT regexp_matches(l, ',\s*[}\]]\s*$') THEN json_type(l) = 'OBJECT' ELSE false END AS obj, CASE WHEN json_valid(l) THEN l END AS l FROM f WHERE file_kind = 'jsonl'),
-        k AS (SELECT row_id, obj, json_type(l, '$.event') AS te, json_type(l, '$.user_id') AS tu, json_type(l, '$.ts') AS tt,
-                     l ->> '$.event' AS ev, l ->> '$.user_id' AS us, l ->> '$.ts' AS ts FROM j),
-        s AS (SELECT row_id, CASE WHEN NOT well THEN 'quoting' WHEN len(cells) <> 6 THEN 'columns'
-                     WHEN regexp_full_match(trim(cells[1]), '0*[1-9][0-9]*') AND try_cast(trim(cells[1]) AS BIGINT) IS NOT NULL
-                          AND regexp_full_match(cells[5], '19[0-9]{2}|20[0-9]{2}|2100') AND cells[6] IN ('true', 'false') THEN NULL ELSE 'value' END AS reason FROM c
-              UNION ALL SELECT row_id, CASE WHEN NOT obj THEN 'quoting' WHEN te IS NULL OR tu IS NULL OR tt IS NULL THEN 'columns'
-                     WHEN te = 'VARCHAR' AND tu = 'VARCHAR' AND tt = 'VARCHAR' AND trim(ev) <> '' AND trim(us) <> ''
-                          AND regexp_full_match(ts, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})')
-                          AND try_cast(substr(ts, 1, 10) AS DATE) IS NOT NULL AND try_cast(substr(ts, 12, 8) AS TIME) IS NOT NULL THEN NULL ELSE 'value' END FROM k)
-        SELECT row_id, reason FROM s WHERE reason IS NOT NULL""",
+    "p7_found": _SAMPLES + "SELECT row_id, reason FROM s WHERE reason IS NOT NULL",
+    "p7_valid": _SAMPLES + r"""
+        , ok AS (SELECT d.row_id, d.file_kind, d.line_no, d.raw_line FROM d JOIN s USING (row_id) WHERE s.reason IS NULL),
+        v AS (SELECT row_id, list_transform(cells, lambda x: replace(x, '""', '"')) AS x FROM c),
+        i AS (SELECT row_id, ev, us, CAST(replace(substr(ts, 1, 19), 'T', ' ') AS TIMESTAMP) + to_microseconds(CAST(rpad(substr(regexp_extract(ts, '[.,]([0-9]+)', 1), 1, 6), 6, '0') AS BIGINT))
+                     - to_minutes(coalesce(CASE WHEN ts[-1] <> 'Z' THEN CAST(regexp_extract(ts, '([+-])[0-9]{2}:?([0-9]{2})?$', 1) || '1' AS INTEGER)
+                        * (60 * CAST(regexp_extract(ts, '[+-]([0-9]{2}):?([0-9]{2})?$', 1) AS INTEGER) + CAST('0' || regexp_extract(ts, '[+-]([0-9]{2}):?([0-9]{2})?$', 2) AS INTEGER)) END, 0)) AS ts FROM k SEMI JOIN ok USING (row_id))
+        SELECT ok.row_id, file_kind, line_no, raw_line, CAST(trim(x[1]) AS BIGINT) AS id, x[2] AS name, x[3] AS role, x[4] AS department, CAST(x[5] AS INTEGER) AS start_year, x[6] = 'true' AS active,
+               CAST(NULL AS VARCHAR) AS event, CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS TIMESTAMP) AS ts FROM ok JOIN v USING (row_id)
+        UNION ALL SELECT ok.row_id, file_kind, line_no, raw_line, NULL, NULL, NULL, NULL, NULL, NULL, ev, us, ts FROM ok JOIN i USING (row_id)""",
     "chunk_ids": "SELECT 'doc/' || doc_id AS source_path, substr(sha256('doc/' || doc_id || chr(0) || '0' || chr(0) || '5' || chr(0) || coalesce(text, '')), 1, 16) AS chunk_id FROM documents",
     "source_hashes": "SELECT doc_id, sha256(coalesce(text, '')) AS source_hash FROM documents",
     "line_sections": "SELECT doc_id, line, l[line] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(l[line], '[^" + jstext.BLANKS + "]')",

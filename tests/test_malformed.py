@@ -1,10 +1,12 @@
 import csv
 import io
+import json
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from sedimenta.operators.malformed import classify_records, csv_cells, existing_time, failed_records, valid_records
+from sedimenta.operators.malformed import classify_records, csv_cells, existing_time, failed_records, instant, valid_records
 
 SCHEMA = "row_id long, source_path string, file_kind string, line_no int, raw_line string, line string, reason string"
 
@@ -41,6 +43,33 @@ def test_jsonl(spark):
     assert reasons(spark, [("jsonl", 1, "\ufeff" + ok)]) == [None]
 
 
+    again = lambda t: ok[:-1] + t + "}"
+    more = [
+        (again(',"n":{"event":1}'), None), (again(',"event":2'), "value"), (again(',"x":"event"'), None), (again(r',"x":"\ud800"'), None), (ok.replace('"event"', r'"\u0065vent"'), None), (ok.replace('"e"', r'"\u00a0\u001c"'), "value"),
+        (ok.replace('"u"', r'"\ud83d\ude00"'), None), (ok.replace('"u"', r'"\ud83d"'), None), (again(",'x':1"), "quoting"), (again(',"x":01'), "quoting"), (again(',"x":1.'), "quoting"), (again(',"x":-Infinity'), "quoting"), (again(',"x":"\t"'), "quoting"),
+        (again(',"x":' + "9" * 5000), None), (again(',"x":"' + "\\n" * 100_000 + '"'), None), (again("".join(f',"k{i}":{i}' for i in range(20_000))), None),
+    ]
+    assert reasons(spark, [("jsonl", 2, t) for t, _ in more]) == [r for _, r in more]
+
+
+TIMES = [
+    ("2025-01-02T03:04:05,5Z", "2025-01-02 03:04:05.5"), ("2025-01-02T03:04:05+23:30", "2025-01-01 03:34:05"), ("2025-01-02T03:04:05-2330", "2025-01-03 02:34:05"), ("2025-01-02T03:04:05.123456789+05", "2025-01-01 22:04:05.123456"),
+    ("0001-01-01T00:00:00Z", "0001-01-01 00:00:00"), ("2024-02-29T23:59:59Z", "2024-02-29 23:59:59"), ("2025-01-02T03:04:05+00:00", "2025-01-02 03:04:05"),
+    *((t, None) for t in ("0000-01-01T00:00:00Z", "2025-02-29T00:00:00Z", "2025-01-02T24:00:00Z", "2025-01-02T03:60:05Z", "2025-01-02T03:04:60Z", "2025-01-02T03:04:05+24:00", "2025-01-02T03:04:05+05:60", "2025-01-02T03:04:05", "2025-01-02 03:04:05Z", "2025-01-02T03:04:05Z ", "x", "", "2025-13-01T00:00:00Z", "2025-00-10T00:00:00Z", "2025-01-02T03:04:05.Z", "20250102T030405Z")),
+]
+
+
+def test_every_valid_time_has_a_value(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TIMES)], "i int, t string").select("i", instant(F.col("t")).cast("string").alias("at"))
+    got = {r["i"]: r["at"] for r in df.collect()}
+    assert [got[i] for i in range(len(TIMES))] == [at for _, at in TIMES]
+    assert [existing_time(t) for t, _ in TIMES] == [at is not None for _, at in TIMES]
+    rows = [(i, "f", "jsonl", 2, json.dumps({"event": "e", "user_id": "u", "ts": t, "more": {"x": i} if i % 2 else i}), "x", "y") for i, (t, _) in enumerate(TIMES)]
+    classified = classify_records(spark.createDataFrame(rows, SCHEMA)).select("row_id", "reason", F.col("ts").cast("string").alias("ts")).collect()
+    assert {r["row_id"]: r["ts"] is not None for r in classified} == {i: at is not None for i, (_, at) in enumerate(TIMES)}
+    assert all((r["reason"] is None) == (r["ts"] is not None) for r in classified)
+
+
 def test_typed_once_and_empty(spark):
     rows = [(1, "f", "csv", 2, '5,"A, B",r,d,1999,false', "x", "y")] * 2 + [(2, "f", "csv", 3, "nope", "x", "y")]
     df = spark.createDataFrame(rows, SCHEMA)
