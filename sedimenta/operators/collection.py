@@ -1,7 +1,7 @@
 """Vector collections kept as versioned Parquet tables, with the contract of a vector database.
 
-ensure, describe, upsert by id, delete by id.  An upsert writes a new version beside the old one and
-swaps a pointer; writing the same rows again changes nothing.
+ensure, describe, upsert by id, delete by id, restamp.  A change is written as a layer of its own size;
+writing the same rows again changes nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.errors import CollectionError, IntegrityError, UserError
 from sedimenta.operators.incremental import VersionedTarget
+from sedimenta.session import materialise
 
 ROWS = "chunk_id string, vector array<float>, content string, metadata string"
 
@@ -32,11 +33,12 @@ class ParquetCollections:
 
     def describe(self, collection: str) -> dict | None:
         """``{"dim": n}``; 0 while the collection is empty, None if there is none."""
-        df = self._target(collection).read()
-        if df is None:
+        target = self._target(collection)
+        now = target.current()
+        if now is None:
             return None
-        row = df.select(F.size("vector").alias("d")).head()
-        return {"dim": row["d"] if row else 0}
+        heads = (target.part(layer).select(F.size("vector").alias("d")).head() for layer in reversed(now["layers"]))
+        return {"dim": next((row["d"] for row in heads if row), 0)}
 
     def ensure(self, collection: str, dim: int) -> None:
         """Create the collection, or check that its vectors have ``dim`` entries."""
@@ -55,11 +57,16 @@ class ParquetCollections:
     def apply(self, collection: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
         """Upsert ``rows`` and delete the ids in ``gone`` as one new version; an id in both stays."""
         target = self._target(collection)
-        at = (target.current() or {}).get("version")
-        new = upserted(self.read(collection), rows)
-        if gone is not None:
-            new = new.join(gone.select("chunk_id").join(rows.select("chunk_id"), "chunk_id", "left_anti"), "chunk_id", "left_anti")
-        target.publish(new.select("chunk_id", "vector", "content", "metadata"), at)
+        ids = rows.select("chunk_id") if gone is None else rows.select("chunk_id").unionByName(gone.select("chunk_id"))
+        target.publish_changes(rows.select("chunk_id", "vector", "content", "metadata"), ids, ["chunk_id"], target.version)
+
+    def restamp(self, collection: str, rows: DataFrame) -> None:
+        """Give stored ids (chunk_id, content, metadata) new content and metadata, with the vectors that they have."""
+        kept = rows.select("chunk_id", "content", "metadata").join(self.read(collection).select("chunk_id", "vector"), "chunk_id")
+        self.apply(collection, materialise(kept, "restamped"))
+
+    def expire(self, collection: str, keep: int = 2) -> int:
+        return self._target(collection).expire(keep)
 
 
 def upserted(stored: DataFrame, rows: DataFrame) -> DataFrame:
