@@ -37,3 +37,9 @@ class IntegrityError(SedimentaError):
     """Stored state contradicts the request."""
 
     exit_code = 5
+
+
+class Interrupted(SedimentaError):
+    """A run that was stopped on request; it can be taken up."""
+
+    exit_code = 130

@@ -20,6 +20,8 @@ from sedimenta.session import materialise
 CHUNKER_VERSION = "5"
 #: Sections of a source that one window numbers; sources with more are numbered block by block.
 BLOCK = 1024
+#: Up to so many sections (some 60 bytes each) their first chunk numbers are broadcast; beyond, the join shuffles the chunks once.
+BROADCAST_SECTIONS = 300_000
 
 
 def chunk_id(path: Column, index: Column, text: Column) -> Column:
@@ -47,7 +49,7 @@ META = {
 
 
 def split_sections(sections: DataFrame, plan: EmbedPlan, tokens: str = "byte_bpe_50k") -> DataFrame:
-    """``source_path, section_index, chunk_in_section, text, n_tokens, meta_json`` of sections.
+    """``source_path, section_index, section_hash, chunk_in_section, text, n_tokens, meta_json`` of sections.
 
     Needed columns: source_path, section_index, text; those of META are metadata if they are there.
     Metadata of the plan win over those of the section, reserved keys over both.  Narrow: sections are
@@ -55,39 +57,50 @@ def split_sections(sections: DataFrame, plan: EmbedPlan, tokens: str = "byte_bpe
     """
     have = set(sections.columns)
     facts = F.to_json(F.struct(*[F.col(c).alias(name) for c, name in META.items() if c in have])) if have & set(META) else F.lit("{}")
-    chosen = sections.select("source_path", F.col("section_index").cast("int").alias("section_index"), "text", facts.alias("facts"))
+    chosen = sections.select("source_path", F.col("section_index").cast("int").alias("section_index"), "text", facts.alias("facts"), F.xxhash64("text").alias("section_hash"))
     splitter, size, overlap, stamped = plan.splitter, plan.chunk_size, plan.overlap, plan.metadata
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokens)
         for batch in batches:
             rows: list[tuple] = []
-            for path, index, text, about in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for path, index, text, about, digest in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if not text:
                     continue
                 own = json.loads(about)
                 for k, piece in enumerate(split_text(text, splitter, size, overlap, count, own.get("language"), own.get("headerPath"), "extractionOrigin" in own)):
                     meta = own | stamped | {"sectionIndex": index, "chunkInSection": k, "sourcePath": path}
-                    rows.append((path, index, k, piece, count(piece), stringify(meta)))
-            columns = list(zip(*rows)) or [()] * 6
-            types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["source_path", "section_index", "chunk_in_section", "text", "n_tokens", "meta_json"])
+                    rows.append((path, index, digest, k, piece, count(piece), stringify(meta)))
+            columns = list(zip(*rows)) or [()] * 7
+            types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["source_path", "section_index", "section_hash", "chunk_in_section", "text", "n_tokens", "meta_json"])
 
-    return chosen.mapInArrow(split, "source_path string, section_index int, chunk_in_section int, text string, n_tokens int, meta_json string")
+    return chosen.mapInArrow(split, "source_path string, section_index int, section_hash long, chunk_in_section int, text string, n_tokens int, meta_json string")
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:
     """Adds chunk_index, counting a source's chunks from 0 over its sections.
 
-    The chunks of each block of sections are counted first, so that no window has to hold a whole source.
+    A chunk knows its place in its section, so only the sections are numbered: one row of each, in blocks,
+    so that no window has to hold a whole source.  Sections are ordered by section_index (null first),
+    of equal ones by section_hash, if there is one; the same section delivered twice counts once.
     """
-    spread = chunks.withColumn("_block", F.floor(F.col("section_index") / BLOCK))
-    counts = spread.groupBy("source_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    start = F.sum("_n").over(Window.partitionBy("source_path").orderBy("_block")) - F.col("_n")
-    starts = counts.select(F.col("source_path").alias("_path"), F.col("_block").alias("_b"), start.alias("_start"))
-    place = F.row_number().over(Window.partitionBy("source_path", "_block").orderBy("section_index", "chunk_in_section")) - 1
-    joined = spread.withColumn("_place", place).join(starts, F.col("source_path").eqNullSafe(F.col("_path")) & (F.col("_block") == F.col("_b")))
-    return joined.withColumn("chunk_index", (F.col("_start") + F.col("_place")).cast("int")).drop("_block", "_path", "_b", "_start", "_place")
+    spread = chunks if "section_hash" in chunks.columns else chunks.withColumn("section_hash", F.lit(0).cast("long"))
+    keys = ["source_path", "section_index", "section_hash"]
+    sizes = spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), (F.max("chunk_in_section") + 1).alias("n"))
+    sizes = materialise(sizes.withColumn("block", F.coalesce(F.floor(F.col("section_index") / BLOCK), F.lit(-1))), "sizes")
+    blocks = sizes.groupBy("source_path", "block").agg(F.sum("n").alias("all"))
+    start = F.sum("all").over(Window.partitionBy("source_path").orderBy("block")) - F.col("all")
+    starts = blocks.select(F.col("source_path").alias("path"), F.col("block").alias("b"), start.alias("start"))
+    inner = F.sum("n").over(Window.partitionBy("source_path", "block").orderBy("section_index", "section_hash")) - F.col("n")
+    first = sizes.withColumn("inner", inner).join(starts, F.col("source_path").eqNullSafe(F.col("path")) & (F.col("block") == F.col("b")))
+    first = first.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("start") + F.col("inner")).alias("_first"))
+    if not sizes.filter(F.col("rows") > F.col("n")).isEmpty():
+        spread = spread.dropDuplicates([*keys, "chunk_in_section"])
+    if sizes.count() <= BROADCAST_SECTIONS:
+        first = F.broadcast(first)
+    joined = spread.join(first, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return joined.withColumn("chunk_index", (F.col("_first") + F.col("chunk_in_section")).cast("int")).drop("_first", *[f"_{k}" for k in keys], *([] if "section_hash" in chunks.columns else ["section_hash"]))
 
 
 def chunk_sections(sections: DataFrame, plan: EmbedPlan, tokens: str = "byte_bpe_50k") -> DataFrame:

@@ -1,26 +1,31 @@
 """An incremental run: parse and chunk what changed, embed what is new, store, delete, record.
 
-The ledger is a versioned table and is published last, so that a run that dies leaves the ledger of the
-run before; what it had stored is stored again under the same ids.  With ``waves`` the sources are taken
-in several rounds, each recorded by itself, so that a long run resumes where it broke off.
+Chunks are embedded and stored in batches, each recorded as soon as it is stored: a run that broke off, by
+failure or on request, is taken up by the next one, which embeds only what is left.  The ledger is
+published last, and with it the records of the job go.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.errors import IntegrityError
+from sedimenta.errors import IntegrityError, Interrupted
 from sedimenta.operators.chunking import chunk_sections
-from sedimenta.operators.collection import ParquetCollections
 from sedimenta.operators.embedding import Provider, embed_chunks
 from sedimenta.operators.incremental import VersionedTarget
-from sedimenta.operators.ledger import LEDGER, check_ledger, up_to_date, work_set
+from sedimenta.operators.jobs import Progress, check_progress
+from sedimenta.operators.ledger import LEDGER, PART, check_ledger, job_key, remaining, up_to_date, work_set
 from sedimenta.plans.embed_plan import EmbedPlan
 from sedimenta.session import materialise
 
+#: Chunks that are embedded and stored before they are recorded; a run that dies embeds at most so many again.
+CHECKPOINT = 200_000
+
 
 @dataclass
 class Outcome:
@@ -29,60 +34,80 @@ class Outcome:
     embedded: int
     restamped: int
     removed: int
+    #: Chunks that an earlier run of the same job had stored already.
+    resumed: int = 0
 
 
 def run(
-    spark: SparkSession, sections: DataFrame, hashes: DataFrame, plan: EmbedPlan, provider: Provider, store: ParquetCollections, ledger_path: str,
-    force: bool = False, waves: int = 1, tokens: str = "byte_bpe_50k",
+    spark: SparkSession, sections: DataFrame, hashes: DataFrame, plan: EmbedPlan, provider: Provider, store, ledger_path: str,
+    force: bool = False, tokens: str = "byte_bpe_50k", checkpoint: int = CHECKPOINT, stop: Callable[[], bool] | None = None, tell: Callable[[int, int], None] | None = None,
 ) -> Outcome:
     """Bring a collection up to date with the given sources.
 
     ``sections``: as parsed (source_path, section_index, text, ...); ``hashes``: one row per source
     (source_path, source_hash); sources that aren't among them are left alone.  Chunks whose metadata
-    alone changed are stored anew with the vector they have.  ``force`` embeds everything.
+    alone changed are stored anew with the vector they have.  ``force`` embeds everything and
+    forgets what an unfinished run had stored.  ``checkpoint`` is the number of chunks per batch;
+    ``stop`` is asked before each batch and ends the run with Interrupted, to be taken up later;
+    ``tell`` gets the chunks stored and those to store after each batch.
     """
-    total = Outcome(0, 0, 0, 0, 0)
-    for wave in range(waves):
-        mine = F.pmod(F.xxhash64("source_path"), F.lit(waves)) == wave
-        one = _wave(spark, sections.filter(mine), hashes.filter(mine), plan, provider, store, ledger_path, force, tokens)
-        for k, v in vars(one).items():
-            setattr(total, k, getattr(total, k) + v)
-    return total
-
-
-def _wave(spark, sections, hashes, plan, provider, store, ledger_path, force, tokens) -> Outcome:
     dim = provider.dimensions(plan.embedding_model)
     store.ensure(plan.collection, dim)
     target = VersionedTarget(spark, ledger_path)
-    at = (target.current() or {}).get("version")
+    at = target.version
     ledger = target.read() if at else spark.createDataFrame([], LEDGER)
     part = ledger.filter((F.col("vector_db") == store.name) & (F.col("collection") == plan.collection))
     check_ledger(part, provider.name, plan.embedding_model, dim, force)
     sources = hashes.withColumn("plan_hash", F.lit(plan.hash))
+    n_sources = sources.count()
+    fixed = {"vector_db": store.name, "collection": plan.collection, "provider": provider.name, "model": plan.embedding_model, "dim": dim, "tokens": tokens}
+    wanted = sources.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()])
+    wanted = wanted.withColumn("job_key", job_key(["source_path", "source_hash", "plan_hash", *fixed]))
     done = up_to_date(sources, part) if not force else sources.select("source_path").limit(0)
-    changed = materialise(sources.join(done, "source_path", "left_anti"), "changed")
-    n_sources, n_changed = sources.count(), changed.count()
+    changed = materialise(wanted.join(done, "source_path", "left_anti"), "changed")
+    n_changed = changed.count()
     if not n_changed:
         return Outcome(n_sources, n_sources, 0, 0, 0)
     # several branches read the chunks: written once, they survive lost executors
-    chunks = materialise(chunk_sections(sections.join(changed.select("source_path"), "source_path", "left_semi"), plan, tokens), "chunks")
+    mine = sections.join(changed.select("source_path"), "source_path", "left_semi")
+    chunks = materialise(chunk_sections(mine, plan, tokens).join(changed.select("source_path", "job_key"), "source_path"), "chunks")
     old = part.join(changed.select("source_path"), "source_path", "left_semi").select("source_path", "chunk_index", "chunk_id", "meta_json")
     todo = chunks if force else work_set(chunks, old)
-    vectors = materialise(embed_chunks(todo, provider, plan.embedding_model), "vectors")
-    gone = old.select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti").distinct()
+
+    progress = Progress(spark, f"{ledger_path.rstrip('/')}-jobs")
+    if force:
+        progress.forget(changed)
+    stored = materialise(progress.read(changed), "stored")
+    check_progress(stored, todo)
+    n_todo = todo.count()
+    left = materialise(remaining(todo, stored), "left")
+    n_left = left.count()
+    batches = math.ceil(n_left / max(1, checkpoint))
+    n_done = n_todo - n_left
+    for k in range(batches):
+        if stop is not None and stop():
+            raise Interrupted(f"stopped with {n_done} of {n_todo} chunks stored; the next run goes on from there")
+        batch = left.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == k)
+        vectors = materialise(embed_chunks(batch, provider, plan.embedding_model), "vectors")
+        store.apply(plan.collection, vectors.select("chunk_id", "vector", F.col("text").alias("content"), F.col("meta_json").alias("metadata")))
+        progress.record(vectors)
+        n_done += vectors.count()
+        if tell is not None:
+            tell(n_done, n_todo)
+
+    gone = materialise(old.select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti").distinct(), "gone")
     kept = chunks.join(todo.select("chunk_id"), "chunk_id", "left_anti").join(old.select("chunk_id", F.col("meta_json").alias("was")), "chunk_id").filter(~F.col("meta_json").eqNullSafe(F.col("was")))
-    stamped = kept.select("chunk_id", F.col("text").alias("content"), F.col("meta_json").alias("metadata")).join(store.read(plan.collection).select("chunk_id", "vector"), "chunk_id")
-    fresh = vectors.select("chunk_id", "vector", F.col("text").alias("content"), F.col("meta_json").alias("metadata"))
-    rows = materialise(fresh.unionByName(stamped), "rows")
-    gone = materialise(gone, "gone")
-    store.apply(plan.collection, rows, gone)
-    entries = chunks.join(changed, "source_path").select(
-        F.lit(store.name).alias("vector_db"), F.lit(plan.collection).alias("collection"), "source_path", "source_hash", "plan_hash", F.lit(provider.name).alias("provider"), F.lit(plan.embedding_model).alias("model"),
-        F.lit(dim).alias("dim"), "chunk_index", "chunk_id", "meta_json",
-    )
-    mine = (F.col("vector_db") == store.name) & (F.col("collection") == plan.collection)
-    others = ledger.filter(~mine).unionByName(ledger.filter(mine).join(changed.select("source_path"), "source_path", "left_anti"))
-    if target.publish(others.unionByName(entries).select(*[c.split()[0] for c in LEDGER.split(", ")]), at) <= (at or 0):
+    stamps = materialise(kept.select("chunk_id", F.col("text").alias("content"), F.col("meta_json").alias("metadata")), "stamps")
+    n_stamped, n_gone = stamps.count(), gone.count()
+    if n_stamped:
+        store.restamp(plan.collection, stamps)
+    if n_gone:
+        nothing = spark.createDataFrame([], "chunk_id string, vector array<float>, content string, metadata string")
+        store.apply(plan.collection, nothing, gone)
+    entries = chunks.select("source_path", "chunk_index", "chunk_id", "meta_json").join(changed, "source_path").select(*[c.split()[0] for c in LEDGER.split(", ")])
+    if target.publish_changes(entries, changed.select(*PART), PART, at) <= (at or 0):
         raise IntegrityError("the ledger didn't advance")
-    n_new = vectors.count()
-    return Outcome(n_sources, n_sources - n_changed, n_new, rows.count() - n_new, gone.count())
+    progress.forget(changed)
+    target.expire()
+    store.expire(plan.collection)
+    return Outcome(n_sources, n_sources - n_changed, n_left, n_stamped, n_gone, n_todo - n_left)

@@ -7,11 +7,12 @@ import stat
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.errors import CollectionError, IntegrityError, ProviderError, UserError
+from sedimenta.errors import CollectionError, IntegrityError, Interrupted, ProviderError, UserError
 from sedimenta.operators import collection, export, ledger, pipeline
 from sedimenta.operators.chunking import chunk_sections, number_chunks
 from sedimenta.operators.collection import ParquetCollections
 from sedimenta.operators.embedding import HashProvider, batch_numbers, embed_chunks, embed_texts, provider, with_retries
+from sedimenta.operators.jobs import Progress, check_progress, completed
 from sedimenta.plans.config import Config, mask_key, mask_url, resolve
 from sedimenta.plans.embed_plan import EmbedPlan
 from sedimenta.sources.files import parse_texts
@@ -63,16 +64,16 @@ def test_pipeline(spark, tmp_path):
     store, at = ParquetCollections(spark, f"{tmp_path}/store"), f"{tmp_path}/ledger"
     run = lambda rows, plan=PLAN, **k: tuple(vars(pipeline.run(spark, *texts(spark, rows), plan, PROVIDER, store, at, tokens="words", **k)).values())
     rows = [("a.md", "# A\n\none\n\n# B\n\ntwo"), ("b.md", "# C\n\nthree")]
-    assert run(rows) == (2, 0, 3, 0, 0)
-    assert run(rows) == (2, 2, 0, 0, 0), "nothing changed, nothing done"
+    assert run(rows) == (2, 0, 3, 0, 0, 0)
+    assert run(rows) == (2, 2, 0, 0, 0, 0), "nothing changed, nothing done"
     rows[0] = ("a.md", "# A\n\none\n\n# B\n\nTWO")
-    assert run(rows) == (2, 1, 1, 0, 1)
+    assert run(rows) == (2, 1, 1, 0, 1, 0)
     assert sorted(r["content"] for r in store.read("kb").collect()) == ["# A\n\none", "# B\n\nTWO", "# C\n\nthree"]
     stamped = EmbedPlan("markdown", 50, 5, "kb", "m", {"team": "x"})
-    assert run(rows, stamped) == (2, 0, 0, 3, 0), "metadata are stored anew with the vectors there are"
+    assert run(rows, stamped) == (2, 0, 0, 3, 0, 0), "metadata are stored anew with the vectors there are"
     assert store.read("kb").filter("metadata like '%team%'").count() == 3
-    assert run(rows, stamped, force=True, waves=2) == (2, 0, 3, 0, 0)
-    assert run(rows, EmbedPlan("markdown", 50, 5, "other", "m")) == (2, 0, 3, 0, 0), "another collection starts empty"
+    assert run(rows, stamped, force=True, checkpoint=2) == (2, 0, 3, 0, 0, 0)
+    assert run(rows, EmbedPlan("markdown", 50, 5, "other", "m")) == (2, 0, 3, 0, 0, 0), "another collection starts empty"
     with pytest.raises(IntegrityError):
         run(rows, EmbedPlan("markdown", 50, 5, "kb", "m2"))
 
@@ -90,6 +91,81 @@ def test_failed_run_is_taken_up_again(spark, tmp_path):
     assert pipeline.run(spark, *texts(spark, rows), PLAN, PROVIDER, store, at, tokens="words").embedded == 1
 
 
+class Counting(HashProvider):
+    """Writes down every text it embeds; fails once it has been called ``most`` times."""
+
+    def __init__(self, log, most=10**9):
+        super().__init__(8)
+        self.log, self.most = str(log), most
+
+    def embed(self, texts, model):
+        known = open(self.log).read().splitlines() if os.path.exists(self.log) else []
+        if len(known) >= self.most:
+            raise ProviderError("no more", retryable=False)
+        with open(self.log, "a") as f:
+            f.writelines(json.dumps(t) + "\n" for t in texts)
+        return super().embed(texts, model)
+
+    def seen(self):
+        return [json.loads(x) for x in open(self.log)] if os.path.exists(self.log) else []
+
+
+def test_resume_embeds_only_the_rest(spark, tmp_path):
+    store, at, log = ParquetCollections(spark, f"{tmp_path}/store"), f"{tmp_path}/ledger", tmp_path / "log"
+    rows = [("a.md", "\n\n".join(f"# H{k}\n\ntext {k}" for k in range(12)))]
+    run = lambda source, **k: pipeline.run(spark, *texts(spark, rows), PLAN, source, store, at, tokens="words", checkpoint=2, **k)
+    with pytest.raises(Exception, match="no more"):
+        run(Counting(log, 5))
+    first = Counting(log).seen()
+    assert 5 <= len(first) < 12 and not os.path.exists(f"{at}/_versions"), "the ledger comes last"
+    kept = store.read("kb").count()
+    assert 0 < kept <= len(first)
+    # a failed run leaves what it stored; the next one embeds the rest only
+    got = run(Counting(log))
+    assert (got.embedded, got.resumed) == (12 - kept, kept) and len(Counting(log).seen()) - len(first) == 12 - kept
+    assert store.read("kb").count() == 12 and run(Counting(log)).embedded == 0
+    assert Progress(spark, f"{at}-jobs").target.read().count() == 0, "a finished job leaves no records"
+
+
+def test_stop_between_batches(spark, tmp_path):
+    store, at, log = ParquetCollections(spark, f"{tmp_path}/store"), f"{tmp_path}/ledger", tmp_path / "log"
+    rows, told = [("a.md", "\n\n".join(f"# H{k}\n\ntext {k}" for k in range(8)))], []
+    run = lambda **k: pipeline.run(spark, *texts(spark, rows), PLAN, Counting(log), store, at, tokens="words", checkpoint=2, tell=lambda *x: told.append(x), **k)
+    with pytest.raises(Interrupted):
+        run(stop=lambda: bool(told))
+    done = len(Counting(log).seen())
+    assert 0 < done < 8 and told == [(done, 8)]
+    assert run().resumed == done and told[-1] == (8, 8)
+    # force forgets what was stored
+    rows[0] = ("a.md", rows[0][1] + " more")
+    with pytest.raises(Interrupted):
+        run(stop=lambda: True)
+    assert run(force=True).embedded == 8
+
+
+def test_another_job_isnt_resumed(spark, tmp_path):
+    progress = Progress(spark, f"{tmp_path}/jobs")
+    frame = lambda *rows: spark.createDataFrame(rows, "job_key string, chunk_id string, chunk_index int")
+    progress.record(frame(("k", "b", 1), ("k", "a", 0)))
+    progress.record(frame(("l", "z", 0), ("k", "b", 1)))
+    stored = progress.read(frame(("k", None, None)))
+    assert sorted(r["chunk_id"] for r in stored.collect()) == ["a", "b"]
+    target = frame(("k", "c", 2), ("k", "b", 1), ("k", "a", 0))
+    check_progress(stored, target)
+    assert [r["completed_chunk_ids"] for r in completed(stored, target).collect()] == [["a", "b"]]
+    with pytest.raises(IntegrityError):
+        check_progress(stored, target.filter("chunk_id <> 'a'"))
+    progress.forget(frame(("k", None, None)))
+    assert [tuple(r) for r in progress.target.read().collect()] == [("l", "z")]
+
+
+def test_sections_delivered_twice(spark):
+    rows = [("a", 1, 7, k) for k in range(3)] * 2 + [("a", 1, 9, 0), ("a", None, 1, 0), ("a", 5, 1, 0), ("a", 5, 1, 1)]
+    df = spark.createDataFrame(rows, "source_path string, section_index int, section_hash long, chunk_in_section int")
+    got = sorted((r["chunk_index"], r["section_index"], r["section_hash"], r["chunk_in_section"]) for r in number_chunks(df).collect())
+    assert got == [(0, None, 1, 0), (1, 1, 7, 0), (2, 1, 7, 1), (3, 1, 7, 2), (4, 1, 9, 0), (5, 5, 1, 0), (6, 5, 1, 1)]
+
+
 def test_collections(spark, tmp_path):
     store = ParquetCollections(spark, str(tmp_path))
     assert store.describe("kb") is None
