@@ -24,18 +24,26 @@ def plain(inline: str) -> str:
     return trim(re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", out))
 
 
+#: A block of metadata in lines told by kind: between dashes, at least one key, else only keys, what belongs to them, and blanks.
+_BLOCK = re.compile("D(?=[IBD]?[IB]*K)[KIBD][KIB]*[DE]")
+
+
+def _line_kind(line: str) -> str:
+    """H heading, D dashes, E dots, B blank, K a key, I what can stand below a key (indented, item or comment), O other."""
+    bare = line.strip()
+    if re.match(r"#{1,3}[\t ]+", line):
+        return "H"
+    if bare in ("---", "...", ""):
+        return {"---": "D", "...": "E", "": "B"}[bare]
+    return "K" if _KEY.match(bare) else "I" if line[0] in " \t" or bare[0] in "-#" else "O"
+
+
 def without_frontmatter(raw: str) -> str:
     """The text without a YAML block that stands, between ``---`` lines, before the first heading."""
     lines = raw.split("\n")
-    end = next((i for i, x in enumerate(lines) if re.match(r"#{1,3}[\t ]+", x)), len(lines))
-    for start in (i for i in range(end) if lines[i].strip() == "---"):
-        stop = next((i for i in range(start + 2, end) if lines[i].strip() in ("---", "...")), None)
-        if stop is None:
-            continue
-        body = [x.rstrip("\r") for x in lines[start + 1 : stop] if x.strip()]
-        if any(_KEY.match(x.strip()) for x in body) and all(_KEY.match(x.strip()) or re.match(r"[\t ]|[\t ]*[-#]", x) for x in body):
-            return "\n".join(lines[:start] + lines[stop + 1 :])
-    return raw
+    kinds = "".join(map(_line_kind, lines))
+    block = _BLOCK.search(kinds.partition("H")[0])
+    return "\n".join(lines[: block.start()] + lines[block.end() :]) if block else raw
 
 
 def headings(raw: str) -> list[tuple[int, int, str]]:
@@ -95,9 +103,14 @@ def sections(raw: str) -> list[dict]:
         text = trim("\n".join(lines[start:end]))
         if text:
             out.append({"text": text, "header_path": [p for p in path if p and p.strip()], "header_depth": level})
-    before = trim("\n".join(lines[: cuts[0][0]]))
-    if before and out:
-        m = re.match(r"(#{1,3}[\t ]+[^\n]*)(?:\r?\n|\Z)", out[0]["text"])
-        rest = out[0]["text"][m.end() :].lstrip() if m else out[0]["text"]
-        out[0]["text"] = "\n\n".join(x for x in (m and m[1], before, rest) if x)
+    if out and (before := trim("\n".join(lines[: cuts[0][0]]))):
+        out[0]["text"] = _below_heading(out[0]["text"], before)
     return [s for s in out if not _HEADING_ONLY.match(trim(s["text"]))]
+
+
+def _below_heading(section: str, text: str) -> str:
+    """``text`` between the heading line of a section and the rest; before it if the heading isn't of one line."""
+    head, body = "", section
+    if _line_kind(section) == "H":
+        head, _, body = section.partition("\n")
+    return "\n\n".join(filter(None, (head.rstrip("\r"), text, body.lstrip() if head else body)))
