@@ -21,14 +21,25 @@ def export_lines(vectors: DataFrame) -> DataFrame:
     return vectors.select("source_path", "chunk_index", line.alias("value"))
 
 
-def export_vectors(vectors: DataFrame, path: str, files: int | None = None) -> None:
+def check_target(path: str, inputs: list[str]) -> None:
+    """Raises if an export to ``path`` would overwrite one of the inputs, or what lies above or below it; links count as what they name."""
+    target = os.path.realpath(path)
+    for given in inputs:
+        own = os.path.realpath(given)
+        if own == target or own.startswith(target + os.sep) or os.path.exists(own) and os.path.exists(target) and os.path.samefile(own, target):
+            raise UserError(f"the export {path} would overwrite the input {given}")
+
+
+def export_vectors(vectors: DataFrame, path: str, files: int | None = None, inputs: list[str] | None = None) -> None:
     """Write the lines in order of source and chunk to the folder ``path`` (``*.jsonl``): all or nothing.
 
     Part files follow each other in order; ``files=1`` makes a single one.  The lines are written beside
-    the target, which appears by a rename; a failed export leaves nothing.
+    the target, which appears by a rename; a failed export leaves nothing.  An export that would
+    overwrite one of ``inputs`` is refused.
     """
     if not path.endswith(".jsonl"):
         raise UserError("the export must be a .jsonl path")
+    check_target(path, inputs or [])
     spark = vectors.sparkSession
     jvm = spark.sparkContext._jvm
     target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
@@ -69,6 +80,17 @@ def write_report(chunks: DataFrame, plan: EmbedPlan, path: str) -> str:
     return path
 
 
+#: Metadata shown first in a preview, and those that are shown otherwise or not at all.
+SHOWN_FIRST = ("headerPath", "heading", "language", "keyPath", "row", "line", "pageNumber")
+
+
+def preview(chunks: DataFrame, n: int, width: int = 60) -> None:
+    """Print the first ``n`` chunks as a table: source, number, tokens, metadata, start of the text."""
+    start = F.regexp_replace(F.substring("text", 1, width), r"\s+", " ")
+    rows = chunks.orderBy("source_path", "chunk_index").limit(n).select("source_path", "chunk_index", "n_tokens", shown_metadata("meta_json", list(SHOWN_FIRST)).alias("metadata"), start.alias("text"))
+    rows.show(n, truncate=width)
+
+
 def shown_metadata(meta: str, keys: list[str]) -> Column:
     """``key=value`` of some keys of a JSON column, in that order, those that are there."""
     return F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), F.get_json_object(meta, f"$.{k}")) for k in keys])

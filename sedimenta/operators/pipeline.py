@@ -39,13 +39,14 @@ class Outcome:
 
 
 def run(
-    spark: SparkSession, sections: DataFrame, hashes: DataFrame, plan: EmbedPlan, provider: Provider, store, ledger_path: str,
+    spark: SparkSession, sections: DataFrame | Callable[[DataFrame], DataFrame], hashes: DataFrame, plan: EmbedPlan, provider: Provider, store, ledger_path: str,
     force: bool = False, tokens: str = "byte_bpe_50k", checkpoint: int = CHECKPOINT, stop: Callable[[], bool] | None = None, tell: Callable[[int, int], None] | None = None,
 ) -> Outcome:
     """Bring a collection up to date with the given sources.
 
-    ``sections``: as parsed (source_path, section_index, text, ...); ``hashes``: one row per source
-    (source_path, source_hash); sources that aren't among them are left alone.  Chunks whose metadata
+    ``sections``: as parsed (source_path, section_index, text, ...), or a function that gives the chunks
+    of the sources (source_path) that changed; ``hashes``: one row per source (source_path,
+    source_hash); sources that aren't among them are left alone.  Chunks whose metadata
     alone changed are stored anew with the vector they have.  ``force`` embeds everything and
     forgets what an unfinished run had stored.  ``checkpoint`` is the number of chunks per batch;
     ``stop`` is asked before each batch and ends the run with Interrupted, to be taken up later;
@@ -69,8 +70,11 @@ def run(
     if not n_changed:
         return Outcome(n_sources, n_sources, 0, 0, 0)
     # several branches read the chunks: written once, they survive lost executors
-    mine = sections.join(changed.select("source_path"), "source_path", "left_semi")
-    chunks = materialise(chunk_sections(mine, plan, tokens).join(changed.select("source_path", "job_key"), "source_path"), "chunks")
+    if callable(sections):
+        made = sections(changed.select("source_path"))
+    else:
+        made = chunk_sections(sections.join(changed.select("source_path"), "source_path", "left_semi"), plan, tokens)
+    chunks = materialise(made.join(changed.select("source_path", "job_key"), "source_path"), "chunks")
     old = part.join(changed.select("source_path"), "source_path", "left_semi").select("source_path", "chunk_index", "chunk_id", "meta_json")
     todo = chunks if force else work_set(chunks, old)
 

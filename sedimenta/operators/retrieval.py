@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from sedimenta.errors import IntegrityError, UserError
 from sedimenta.functions.jstext import canonical
 from sedimenta.operators.chunking import chunk_sections
+from sedimenta.operators.lookups import MOST, look_up
 from sedimenta.plans.embed_plan import EmbedPlan
 from sedimenta.session import materialise
 
@@ -36,34 +38,55 @@ def document_frequency(tf: DataFrame) -> DataFrame:
 
 
 def weighted(tf: DataFrame, df: DataFrame, n: Column) -> DataFrame:
-    """Adds ``w``: (1 + ln tf) times (ln((n + 1) / (df + 1)) + 1); terms the corpus lacks have df 0."""
+    """Adds ``w``: (1 + ln tf) times (ln((n + 1) / (df + 1)) + 1); terms the corpus lacks have df 0.  Frequent terms make no hot groups."""
     idf = F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    return tf.join(df, "term", "left").withColumn("w", (1 + F.log("tf")) * idf)
+    return look_up(tf, df, "term", "df").withColumn("w", (1 + F.log("tf")) * idf)
 
 
 def norms(weights: DataFrame, key: str) -> DataFrame:
     return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
+def text_norms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, norm`` of the weights of every text; terms are taken out of the texts once."""
+    tf = materialise(term_frequency(docs, key, text), "terms")
+    return norms(weighted(tf, document_frequency(tf), F.lit(docs.count())), key)
+
+
+def smallest(rows: DataFrame, column: str, k: int) -> list:
+    """The ``k`` smallest distinct values of a column; only values near the smallest come to the driver, nothing is shuffled."""
+    out: list = []
+    while len(out) < k:
+        more = rows.select(column).filter(F.col(column).isNotNull() if not out else F.col(column) > out[-1]).orderBy(column).limit(4 * k).collect()
+        out += sorted({r[0] for r in more})
+        if len(more) < 4 * k:
+            break
+    return out[:k]
+
+
 def rank_tfidf(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``k`` chunks of the highest cosine per query, of equal ones the smallest id.
 
     ``queries``: query_id, text; ``chunks``: chunk_id, text.  Chunks that share no term score 0 and fill
-    up the ranks in order of id.  Scores come from a join on terms, not from all pairs; queries with
-    many matches are cut to the best ``k`` per part before the final ranking.
+    up the ranks in order of id.  Scores come from the terms of the queries alone, not from all pairs;
+    queries with many matches are cut to the best ``k`` per part before the final ranking.
     """
     # frequencies, weights and norms all read the terms: taken out of the texts once
     tf = materialise(term_frequency(chunks, "chunk_id"), "terms")
-    df = document_frequency(tf)
+    df = materialise(document_frequency(tf), "frequencies")
     n = F.lit(chunks.count())
-    chunk_w = weighted(tf, df, n).select("chunk_id", "term", F.col("w").alias("cw"))
-    query_w = weighted(term_frequency(queries, "query_id"), df, n).select("query_id", "term", F.col("w").alias("qw"))
-    chunk_norm = chunk_w.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("cw") * F.col("cw"))).alias("cn"))
+    asked = materialise(term_frequency(queries, "query_id"), "asked")
+    few = asked.count() <= MOST
+    query_w = weighted(asked, df, n).select("query_id", "term", F.col("w").alias("qw"))
     query_norm = query_w.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dot = query_w.join(chunk_w, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("cw")).alias("dot"))
+    # only rows with a term of a query count for the products
+    wanted = asked.select("term").distinct()
+    hits = weighted(tf.join(F.broadcast(wanted) if few else wanted, "term", "left_semi"), df, n).select("chunk_id", "term", F.col("w").alias("cw"))
+    dot = hits.join(F.broadcast(query_w) if few else query_w, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("cw")).alias("dot"))
+    chunk_norm = norms(weighted(tf, df, n), "chunk_id").withColumnRenamed("norm", "cn")
     scored = dot.join(chunk_norm, "chunk_id").join(query_norm, "query_id").select("query_id", "chunk_id", (F.col("dot") / (F.col("cn") * F.col("qn"))).alias("score"))
     # k chunks of the smallest ids fill the ranks behind those that match; 2k of them suffice, as k at most are taken
-    fill = [F.lit(r["chunk_id"]) for r in chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(2 * k).collect()]
+    fill = [F.lit(c) for c in smallest(chunks, "chunk_id", 2 * k)]
     spare = F.explode(F.array(*fill)) if fill else F.explode(F.lit(None).cast("array<string>"))
     zero = queries.select("query_id", spare.alias("chunk_id")).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     pool = scored.unionByName(zero).withColumn("order", F.round("score", 12))
@@ -146,3 +169,30 @@ def report_html(result: dict) -> str:
     head = "".join(f"<th>{m}</th>" for m in ("experiment", "chunks", *METRICS))
     state = "passed" if result["ok"] else "failed: " + ", ".join(result["failures"])
     return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{html.escape(str(result["name"]))}</title><h1>{html.escape(str(result["name"]))}</h1><p>Gate {html.escape(state)}</p><table><tr>{head}</tr>{rows}</table><pre>{html.escape(json.dumps(result, indent=2))}</pre></html>'
+
+
+def evaluate_files(spark: SparkSession, manifest: str, queries: str, paths: list[str], root: str, parse_files, read_files, tokens: str = "byte_bpe_50k") -> dict:
+    """``evaluate`` over a manifest, a query set and a corpus that lie in files; sources are named by their path below ``root``."""
+    read = []
+    for path in (manifest, queries):
+        try:
+            with open(path, encoding="utf-8") as f:
+                read.append(json.load(f))
+        except (OSError, ValueError) as e:
+            raise UserError(f"can't read {path}: {e}") from None
+    wanted = read[1].get("queries") if isinstance(read[1], dict) else None
+    if not isinstance(read[0], dict) or read[1].get("version") != 1 or not wanted:
+        raise UserError(f"{queries} needs version 1 and queries")
+    base = os.path.abspath(root).rstrip(os.sep) + os.sep
+    sections = parse_files(read_files(spark, paths))
+    named = sections.withColumn("source_path", F.when(F.col("source_path").startswith(base), F.substring("source_path", len(base) + 1, 1 << 20)).otherwise(F.col("source_path")))
+    return evaluate(spark, read[0], named, wanted, tokens)
+
+
+def write_result(result: dict, out: str) -> None:
+    """``out.json`` and ``out.html``, each written beside its place and moved there."""
+    os.makedirs(os.path.dirname(os.path.abspath(out)), exist_ok=True)
+    for path, text in ((f"{out}.json", json.dumps(result, indent=2) + "\n"), (f"{out}.html", report_html(result))):
+        with open(path + ".tmp", "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(path + ".tmp", path)

@@ -104,12 +104,11 @@ def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_hash"))
+    return files.text_hashes(_documents(spark, folder), "doc_id")
 
 
 def line_sections(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    return lines.filter(F.col("text").rlike(f"[^{jstext.BLANKS}]")).select("doc_id", (F.col("at") + 1).alias("line"), "text")
+    return files.text_lines(_documents(spark, folder), "doc_id")
 
 
 def chunk_numbering(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,6 +140,49 @@ def markdown_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_sections(rows, plan).select("chunk_id", "source_path", "section_index", "chunk_index", "n_tokens")
 
 
+#: Texts whose chunks are written out in the SQL: name, splitter, size in characters, overlap, text.
+EXAMPLES = [
+    ("short", "recursive", 20, 0, "  hello world \n"),
+    ("paragraphs", "recursive", 8, 0, "one.\n\ntwo.\n\nthree."),
+    ("sentences", "recursive", 12, 6, "alpha. beta. gamma. delta."),
+    ("word", "recursive", 4, 0, "abcdefghij"),
+    ("packed", "recursive", 9, 0, "a b c d e f g h"),
+    ("code", "code", 24, 0, "import x\n\ndef f():\n    return 1\n\ndef g():\n    return 2\n"),
+    ("records", "csv", 5, 0, "id: 1\nname: long enough"),
+    ("markdown", "markdown", 40, 12, "# T\n\nfirst words\n\n```py\nx = 1\n```\n\nlast words"),
+    ("table", "markdown", 45, 0, "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 333333 | 444444 |"),
+    ("blank", "recursive", 10, 0, " \n\t"),
+]
+
+
+def split_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of written-out texts, by the counter of characters."""
+    out = None
+    for name, splitter, size, overlap, text in EXAMPLES:
+        rows = spark.createDataFrame([(name, 0, text, "python")], "source_path string, section_index int, text string, language string")
+        part = chunking.chunk_sections(rows, EmbedPlan(splitter, size, overlap, "examples", "m"), "chars").select("source_path", "chunk_index", "text")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Files whose sections are written out in the SQL.
+PAGES = [
+    ("a.md", "intro\n\n---\ntitle: x\ntags:\n  - a\n---\n\n# A *b*\n\n## Empty\n\n### Deep\ntext\n\n```\n# no heading\n```\n\nSetext\n======\nend"),
+    ("b.md", "no heading at all"),
+    ("c.md", "# Only\n"),
+    ("d.html", "<!doctype html><html><body><nav><a href=/>Home of the site and more</a></nav><main><article><h1>Title</h1><p>First <b>bold</b> words and a <a href=\"/x\">link</a> to follow.</p><ul><li>one<li>two</ul></article></main><footer>Imprint</footer></body></html>"),
+    ("e.csv", "h1,h2\nv,\"w, \"\"x\"\"\"\n\ny\n"),
+    ("f.jsonl", '{"a": 1}\n\n"x"\n'),
+    ("g.json", '{"k": [1, null], "s": "t"}'),
+]
+
+
+def section_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections of written-out files of several kinds."""
+    rows = spark.createDataFrame(PAGES, "source_path string, text string")
+    return files.parse_texts(rows).select("source_path", "section_index", F.concat_ws(" > ", "header_path").alias("header_path"), "text", "error")
+
+
 def csv_chunks(spark: SparkSession, folder: str) -> DataFrame:
     plan = EmbedPlan("csv", 4096, 100, "customers", "text-embedding-3-small")
     return chunking.chunk_sections(_csv(spark, folder), plan, "words").select("source_path", "chunk_index", "text", "n_tokens")
@@ -272,6 +314,16 @@ def checkpoint_strangers(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.strangers(done, target)
 
 
+def checkpoint_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Per job what it targets, what of it is stored and left, and what is stored that it doesn't target."""
+    target, done = _targets(spark, folder)
+    parts = {"stored": done, "left": ledger.remaining(target, done), "strange": ledger.strangers(done, target)}
+    out = target.groupBy("job_key").agg(F.count(F.lit(1)).alias("targets"))
+    for name, rows in parts.items():
+        out = out.join(rows.groupBy("job_key").agg(F.count(F.lit(1)).alias(name)), "job_key", "full_outer")
+    return out.na.fill(0, ["targets", *parts])
+
+
 def selected_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Stored vectors whose chunk id a removed list names or that the newest snapshot still holds."""
     _, new = _end_snapshots(spark, folder)
@@ -361,8 +413,14 @@ def hash_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def export_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every field of every exported line, read back; of a vector how many entries it has and its first."""
     v = table(spark, folder, "chunk_vectors").dropDuplicates(["vec_id"]).select("source_path", F.lit(0).alias("chunk_index"), "chunk_id", "text", F.col("metadata").alias("meta_json"), "model", "dim", "vector")
-    return export.export_lines(v).select(F.get_json_object("value", "$.id").alias("chunk_id"), F.get_json_object("value", "$.sourcePath").alias("source_path"), F.get_json_object("value", "$.dimensions").alias("dim"))
+    get = lambda k: F.get_json_object("value", f"$.{k}")
+    vector = F.from_json(get("vector"), "array<string>")
+    return export.export_lines(v).select(
+        get("id").alias("chunk_id"), get("sourcePath").alias("source_path"), get("text").alias("text"), get("metadata").alias("metadata"), get("model").alias("model"), get("dimensions").cast("int").alias("dim"),
+        F.size(vector).alias("entries"), F.round(F.try_element_at(vector, F.lit(1)).try_cast("double"), 5).alias("first_entry"),
+    )
 
 
 # -- retrieval -------------------------------------------------------------------------------------
@@ -377,9 +435,7 @@ def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tfidf_norms(spark: SparkSession, folder: str) -> DataFrame:
-    tf = term_frequency(spark, folder)
-    weights = retrieval.weighted(tf, retrieval.document_frequency(tf), F.lit(_documents(spark, folder).count()))
-    return retrieval.norms(weights, "doc_id").select("doc_id", F.round("norm", 6).alias("norm"))
+    return retrieval.text_norms(spread_table(spark, folder, "documents", "doc_id", "text")).select("doc_id", F.round("norm", 6).alias("norm"))
 
 
 def tfidf_top(spark: SparkSession, folder: str) -> DataFrame:
@@ -408,19 +464,39 @@ def threshold_gate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p3_found, p4_found, p7_found, p7_valid, chunk_ids, source_hashes, line_sections, chunk_numbering, embed_batches, recursive_chunks, code_chunks, markdown_chunks, csv_chunks, sniffed_types, json_sections, jsonl_sections,
-        csv_sections, jsonl_samples, csv_samples, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, chunk_diff_steps, diff_count_steps, work_set_steps, resume_remaining, checkpoint_strangers, selected_chunks, plan_conflicts, unchanged_sources, unchanged_revisions, job_keys,
+        p3_found, p4_found, p7_found, p7_valid, chunk_ids, source_hashes, line_sections, chunk_numbering, embed_batches, recursive_chunks, code_chunks, markdown_chunks, split_examples, section_examples, csv_chunks, sniffed_types, json_sections, jsonl_sections,
+        csv_sections, jsonl_samples, csv_samples, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, chunk_diff_steps, diff_count_steps, work_set_steps, resume_remaining, checkpoint_strangers, checkpoint_counts, selected_chunks, plan_conflicts, unchanged_sources, unchanged_revisions, job_keys,
         vector_problems, vector_literals, point_ids, vector_upsert, vector_upsert_all, vector_delete, flat_metadata, listed_metadata, hash_vectors, export_lines, term_frequency, document_frequency, tfidf_norms, tfidf_top, relevant_documents,
         retrieval_metrics, metric_means, threshold_gate,
     )
 }
 
+#: What the examples come to, worked out by hand.
+_CHUNKS = [
+    ("short", 0, "hello world"), ("paragraphs", 0, "one."), ("paragraphs", 1, "two."), ("paragraphs", 2, "three."), ("sentences", 0, "alpha. beta"), ("sentences", 1, "beta. gamma"), ("sentences", 2, "delta."),
+    ("word", 0, "abcd"), ("word", 1, "efgh"), ("word", 2, "ij"), ("packed", 0, "a b c d e"), ("packed", 1, "f g h"),
+    ("code", 0, "import x"), ("code", 1, "f():\n    return 1"), ("code", 2, "g():\n    return 2"), ("records", 0, "id: 1"), ("records", 1, "name:"), ("records", 2, "long"), ("records", 3, "enoug"), ("records", 4, "h"),
+    ("markdown", 0, "first words\n\n```py\nx = 1\n```\n\nlast words"),
+    ("table", 0, "| a | b |\n| --- | --- |\n| 1 | 2 |"), ("table", 1, "| a | b |\n| --- | --- |\n| 333333 | 444444 |"),
+]
+_SECTIONS = [
+    ("a.md", 0, "A b", "# A *b*\n\nintro"), ("a.md", 1, "A b > Empty > Deep", "### Deep\ntext\n\n```\n# no heading\n```"), ("a.md", 2, "Setext", "Setext\n======\nend"), ("b.md", 0, "", "no heading at all"),
+    ("d.html", 0, "Title", "# Title\n\nFirst **bold** words and a [link](/x) to follow.\n\n- one\n- two"), ("e.csv", 0, "", "h1: v\nh2: w, \"x\""), ("e.csv", 1, "", "h1: y\nh2: "),
+    ("f.jsonl", 0, "", "{\n  \"a\": 1\n}"), ("f.jsonl", 1, "", "x"), ("g.json", 0, "", "[\n  1,\n  null\n]"), ("g.json", 1, "", "t"),
+]
+
 _ENDS = "ends AS (SELECT min(snapshot_no) AS a, max(snapshot_no) AS b FROM chunk_snapshots), latest AS (SELECT *, row_number() OVER (PARTITION BY snapshot_no, source_path, chunk_index ORDER BY loaded_at DESC, chunk_id DESC) AS rn FROM chunk_snapshots), old AS (SELECT source_path, chunk_index, chunk_id FROM latest, ends WHERE snapshot_no = a AND rn = 1), new AS (SELECT source_path, chunk_index, chunk_id FROM latest, ends WHERE snapshot_no = b AND rn = 1)"
 _DIFF = f"WITH {_ENDS}, o AS (SELECT DISTINCT source_path, chunk_id FROM old), n AS (SELECT DISTINCT source_path, chunk_id FROM new), d AS (SELECT coalesce(o.source_path, n.source_path) AS source_path, coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN o.chunk_id IS NULL THEN 'added' WHEN n.chunk_id IS NULL THEN 'removed' ELSE 'kept' END AS status FROM o FULL JOIN n ON o.source_path = n.source_path AND o.chunk_id = n.chunk_id)"
 _STEPS = "latest AS (SELECT *, row_number() OVER (PARTITION BY snapshot_no, source_path, chunk_index ORDER BY loaded_at DESC, chunk_id DESC) AS rn FROM chunk_snapshots), steps AS (SELECT s, lag(s) OVER (ORDER BY s) AS b FROM (SELECT DISTINCT snapshot_no AS s FROM chunk_snapshots WHERE snapshot_no IS NOT NULL)), old AS (SELECT s AS snapshot_no, source_path, chunk_index, chunk_id FROM latest JOIN steps ON snapshot_no = b WHERE rn = 1), new AS (SELECT snapshot_no, source_path, chunk_index, chunk_id FROM latest JOIN steps ON snapshot_no = s WHERE b IS NOT NULL AND rn = 1)"
 _STEP_DIFF = f"WITH {_STEPS}, b AS (SELECT snapshot_no, source_path, chunk_id, bool_or(o) AS o, bool_or(n) AS n FROM (SELECT snapshot_no, source_path, chunk_id, true AS o, false AS n FROM old UNION ALL SELECT snapshot_no, source_path, chunk_id, false, true FROM new) GROUP BY ALL), d AS (SELECT snapshot_no, source_path, chunk_id, CASE WHEN o AND n THEN 'kept' WHEN n THEN 'added' ELSE 'removed' END AS status FROM b)"
 _JOBS = "t AS (SELECT DISTINCT job_key, chunk_id FROM (SELECT job_key, unnest(target_chunk_ids) AS chunk_id FROM job_specs) WHERE chunk_id IS NOT NULL), c AS (SELECT DISTINCT job_key, chunk_id FROM (SELECT job_key, unnest(completed_chunk_ids) AS chunk_id FROM job_specs) WHERE chunk_id IS NOT NULL)"
-_STOP = "(" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + ")"
+_STOP = "('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'do', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'to', 'what', 'when', 'which', 'with')"
+#: Splitters by extension, as the SQL knows them (not the operator's table).
+_BY_EXTENSION = (
+    "CASE WHEN extension IN ('md', 'mdx', 'markdown', 'docx') THEN 'markdown' WHEN extension = 'pdf' THEN 'pdf' WHEN extension IN ('html', 'htm') THEN 'html' WHEN extension = 'csv' THEN 'csv' "
+    "WHEN extension IN ('jsonl', 'ndjson') THEN 'jsonl' WHEN extension IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'py', 'go', 'rs', 'java') THEN 'code' ELSE 'recursive' END"
+)
+_KNOWN = "'md', 'mdx', 'markdown', 'docx', 'pdf', 'html', 'htm', 'csv', 'json', 'txt', 'text', 'log', 'jsonl', 'ndjson', 'ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'py', 'go', 'rs', 'java'"
 _LINES = "SELECT source_path, CAST(doc_id AS INT) AS section_index, generate_subscripts(l, 1) - 1 AS chunk_in_section FROM (SELECT source_path, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
 _TERMS = f"SELECT {{key}}, term, count(*) AS tf FROM (SELECT {{key}}, unnest(regexp_extract_all(lower(text), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')) AS term FROM {{rel}}) WHERE term NOT IN {_STOP} GROUP BY ALL"
 _TF = _TERMS.replace("{{{{", "{{").replace("}}}}", "}}").format(key="doc_id", rel="documents")
@@ -501,6 +577,8 @@ SQL: dict[str, str] = {
     "line_sections": "SELECT doc_id, line, l[line] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(l[line], '[^" + jstext.BLANKS + "]')",
     "chunk_numbering": f"SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY section_index, chunk_in_section) - 1 AS chunk_index FROM ({_LINES})",
     "embed_batches": f"SELECT source_path, batch_no, count(*) AS n_chunks FROM (SELECT source_path, (row_number() OVER (PARTITION BY source_path ORDER BY section_index, chunk_in_section) - 1) // 64 AS batch_no FROM ({_LINES})) GROUP BY ALL",
+    "split_examples": "SELECT * FROM " + _values(_CHUNKS, "t(source_path, chunk_index, text)"),
+    "section_examples": "SELECT source_path, section_index, header_path, text, CAST(NULL AS VARCHAR) AS error FROM " + _values(_SECTIONS, "t(source_path, section_index, header_path, text)"),
     "csv_chunks": "SELECT 'customer/' || c_custkey || '.csv' AS source_path, 0 AS chunk_index, 'key: ' || c_custkey || chr(10) || 'name: ' || c_name || ', \"x\"' || chr(10) || 'segment: ' || c_mktsegment AS text, len(regexp_extract_all('key: ' || c_custkey || chr(10) || 'name: ' || c_name || ', \"x\"' || chr(10) || 'segment: ' || c_mktsegment, '\\S+')) AS n_tokens FROM customer",
     "sniffed_types": """
         WITH i AS (SELECT DISTINCT 'page/' || page_id AS item, html AS text FROM html_candidates UNION ALL SELECT 'doc/' || doc_id, text FROM documents UNION ALL SELECT DISTINCT 'row/' || row_id, raw_line FROM sample_rows),
@@ -515,8 +593,8 @@ SQL: dict[str, str] = {
     "heuristic_plans": f"""
         WITH p AS (SELECT DISTINCT source_path, regexp_extract(source_path, '([^/]*)$', 1) AS n FROM (SELECT source_path FROM sections UNION ALL SELECT source_path FROM documents)),
         x AS (SELECT source_path, n, lower(regexp_extract(n, '[^.]\\.([^.]*)$', 1)) AS e, lower(regexp_extract(n, '[^.]\\.([^.]+)\\.[0-9]+$', 1)) AS b FROM p),
-        y AS (SELECT source_path, n, coalesce({_EXT.format(known=", ".join(f"'{k}'" for k in embed_plan.SPLITTERS))}, '') AS extension FROM x),
-        z AS (SELECT *, CASE {" ".join(f"WHEN extension = '{k}' THEN '{v}'" for k, v in embed_plan.SPLITTERS.items())} ELSE 'recursive' END AS splitter FROM y)
+        y AS (SELECT source_path, n, coalesce({_EXT.format(known=_KNOWN)}, '') AS extension FROM x),
+        z AS (SELECT *, {_BY_EXTENSION} AS splitter FROM y)
         SELECT source_path, extension, splitter, CASE WHEN splitter IN ('csv', 'jsonl') THEN 4096 ELSE 800 END AS chunk_size, 100 AS overlap,
             coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(n, '([^.])\\.[^.]*$', '\\1')), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), '^[^a-z0-9]+', ''), ''), 'default') AS collection FROM z""",
     "estimated_cost": """
@@ -531,6 +609,9 @@ SQL: dict[str, str] = {
     "work_set_steps": f"WITH {_STEPS} SELECT snapshot_no, source_path, chunk_index, chunk_id FROM new EXCEPT SELECT snapshot_no, source_path, chunk_index, chunk_id FROM old",
     "resume_remaining": f"WITH {_JOBS} SELECT job_key, chunk_id FROM t EXCEPT SELECT job_key, chunk_id FROM c",
     "checkpoint_strangers": f"WITH {_JOBS} SELECT job_key, chunk_id FROM c EXCEPT SELECT job_key, chunk_id FROM t",
+    "checkpoint_counts": f"""
+        WITH {_JOBS}, a AS (SELECT job_key, chunk_id, max(x) AS target, max(y) AS done FROM (SELECT job_key, chunk_id, 1 AS x, 0 AS y FROM t UNION ALL SELECT job_key, chunk_id, 0, 1 FROM c) GROUP BY ALL)
+        SELECT job_key, CAST(sum(target) AS BIGINT) AS targets, CAST(sum(done) AS BIGINT) AS stored, CAST(sum(target * (1 - done)) AS BIGINT) AS left, CAST(sum(done * (1 - target)) AS BIGINT) AS strange FROM a GROUP BY job_key""",
     "selected_chunks": f"WITH {_ENDS} SELECT DISTINCT chunk_id, snapshot_no FROM chunk_snapshots WHERE chunk_id IN (SELECT chunk_id FROM new)",
     "plan_conflicts": "SELECT DISTINCT vector_db, collection_name AS collection, source_path, embedding_provider AS provider, embedding_model AS model, dimensions AS dim FROM job_specs WHERE embedding_provider <> 'tern' OR embedding_model <> 'tern-compact-64' OR dimensions <> 64",
     "unchanged_sources": "WITH s AS (SELECT DISTINCT source_path, revision, source_hash, plan_hash FROM job_specs), one AS (SELECT source_path, min(source_hash) AS h, min(plan_hash) AS p FROM s WHERE revision = 1 GROUP BY 1 HAVING min(source_hash) = max(source_hash) AND min(plan_hash) = max(plan_hash)) SELECT DISTINCT s.source_path FROM s JOIN one USING (source_path) WHERE revision = 2 AND source_hash = h AND plan_hash = p",
@@ -548,7 +629,7 @@ SQL: dict[str, str] = {
     "vector_delete": "SELECT chunk_id FROM chunk_vectors EXCEPT SELECT chunk_id FROM chunk_vectors WHERE model IS NULL",
     "flat_metadata": "SELECT DISTINCT section_id, '{' || concat_ws(',', '\"contentType\":\"' || content_type || '\"', '\"headerPath\":' || to_json(array_to_string(header_path, '/')), '\"headerDepth\":' || header_depth) || '}' AS metadata FROM sections",
     "listed_metadata": "SELECT DISTINCT section_id, '{' || concat_ws(',', '\"contentType\":\"' || content_type || '\"', '\"headerPath\":' || to_json(header_path)) || '}' AS metadata FROM sections",
-    "export_lines": "SELECT chunk_id, source_path, CAST(dim AS VARCHAR) AS dim FROM (SELECT DISTINCT vec_id, chunk_id, source_path, dim FROM chunk_vectors)",
+    "export_lines": "SELECT chunk_id, source_path, text, metadata, model, dim, coalesce(len(vector), -1) AS entries, CASE WHEN isfinite(vector[1]) THEN round(CAST(vector[1] AS DOUBLE), 5) ELSE CAST(vector[1] AS DOUBLE) END AS first_entry FROM (SELECT DISTINCT ON (vec_id) * FROM chunk_vectors)",
     "term_frequency": _TF,
     "document_frequency": f"SELECT term, count(*) AS df FROM ({_TF}) GROUP BY term",
     "tfidf_norms": f"WITH tf AS ({_TF}), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT doc_id, round(sqrt(sum(pow((1 + ln(tf)) * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1), 2))), 6) AS norm FROM tf JOIN df USING (term) GROUP BY doc_id",

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sedimenta.errors import ParseError, UserError
+from sedimenta.functions.jstext import BLANKS
 from sedimenta.plans.embed_plan import LANGUAGES, SPLITTERS, content_extension
 from sedimenta.sources import markdown, office, records, webpage
+from sedimenta.sources.blocks import open_file
 
 #: Folders that listings leave out; bytes looked at to tell a type; size limit of files read whole.
 IGNORED = frozenset((".git", "node_modules", ".sedimenta", "dist", "chroma"))
@@ -110,15 +112,12 @@ def sniff_column(text: Column) -> Column:
     )
 
 
-def parse_file(path: str, data: bytes) -> tuple[str, list[dict]]:
+def parse_file(path: str, data: bytes, limits: webpage.StateLimits = webpage.StateLimits()) -> tuple[str, list[dict]]:
     """Content type and sections of one file: the content beats the extension for PDF and HTML, binary files are refused."""
     ext, kind = content_extension(path), sniff(data)
     content = "pdf" if kind == "pdf" else "docx" if ext == "docx" else "html" if kind == "html" else CONTENT.get(ext, "json" if kind == "json" else "text")
     if kind == "binary" and content != "docx":
         raise ParseError(f"{path} is binary")
-    streamed = content in ("text", "code", "csv") or ext in ("jsonl", "ndjson")
-    if len(data) > WHOLE_LIMIT and not streamed:
-        raise ParseError(f"{path} is larger than {WHOLE_LIMIT} bytes; convert it to text, CSV or JSON lines")
     if content == "pdf":
         pages = office.pdf_pages(data)
         return content, [{"text": p, "page_number": i, "page_count": len(pages)} for i, p in enumerate(pages, 1) if p]
@@ -126,7 +125,7 @@ def parse_file(path: str, data: bytes) -> tuple[str, list[dict]]:
         return content, markdown.sections(office.docx_markdown(data))
     text = data.decode("utf-8", "replace")
     if content == "html":
-        return content, webpage.page_sections(text)
+        return content, webpage.page_sections(text, limits)
     if content == "markdown":
         return content, markdown.sections(text)
     if content == "csv":
@@ -138,29 +137,37 @@ def parse_file(path: str, data: bytes) -> tuple[str, list[dict]]:
     return content, [{"text": text}]
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``source_path, content, source_hash`` of listed files.
+def read_files(spark: SparkSession, paths: list[str], limit: int = WHOLE_LIMIT) -> DataFrame:
+    """``source_path, content, source_hash`` of listed files that are to be read whole.
 
     Spark's binary reader skips names that begin with a dot or an underscore, so the executors open the
-    files themselves; they need to see the same file system.
+    files themselves; they need to see the same file system.  A file above ``limit`` bytes or one that
+    can't be read fails the query with a ParseError that names it; larger files of running text, code,
+    CSV and JSON lines are read in ranges (``file_chunks``).
     """
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with open(path, "rb") as f:
-                    data = f.read()
+                try:
+                    with open_file(path) as f:
+                        data = f.read(limit + 1)
+                except OSError as e:
+                    raise ParseError(f"can't read {path}: {e.strerror or e}") from None
+                if len(data) > limit:
+                    raise ParseError(f"{path} is larger than {limit} bytes; convert it to text, CSV or JSON lines")
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary()), pa.array([hashlib.sha256(data).hexdigest()])], ["source_path", "content", "source_hash"])
 
     listed = spark.createDataFrame([(p,) for p in paths], "source_path string").repartition(max(1, min(len(paths), 4096)))
     return listed.mapInArrow(load, "source_path string, content binary, source_hash string")
 
 
-def parse_files(files: DataFrame, on_error: str = "raise") -> DataFrame:
+def parse_files(files: DataFrame, on_error: str = "raise", limits: webpage.StateLimits = webpage.StateLimits()) -> DataFrame:
     """The sections of files (``source_path, content``), in the columns of ``SECTIONS``.
 
     ``on_error="keep"`` gives a file that can't be parsed one row with null text and the reason in
-    ``error``; otherwise it fails the query.  Empty files have no section.
+    ``error``; otherwise it fails the query.  Empty files have no section.  ``limits``: how far page
+    state is searched; state_left_out tells what that left out.
     """
     schema = to_arrow_schema(files.sparkSession.createDataFrame([], SECTIONS).schema)
     names = schema.names
@@ -170,7 +177,7 @@ def parse_files(files: DataFrame, on_error: str = "raise") -> DataFrame:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    kind, found = parse_file(path, data or b"")
+                    kind, found = parse_file(path, data or b"", limits)
                 except ParseError as e:
                     if on_error != "keep":
                         raise
@@ -190,3 +197,14 @@ def parse_files(files: DataFrame, on_error: str = "raise") -> DataFrame:
 def parse_texts(rows: DataFrame, path: str = "source_path", text: str = "text", on_error: str = "keep") -> DataFrame:
     """``parse_files`` of a table that holds the texts themselves; null texts are empty files."""
     return parse_files(rows.select(F.col(path).alias("source_path"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("content")), on_error)
+
+
+def text_hashes(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, source_hash``: SHA-256 of texts as of files that hold them; a null text is an empty file."""
+    return rows.select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("source_hash"))
+
+
+def text_lines(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, line, text``: the lines that aren't blank, with their numbers."""
+    lines = rows.select(key, F.posexplode(F.split(text, "\n")).alias("at", "text"))
+    return lines.filter(F.col("text").rlike(f"[^{BLANKS}]")).select(key, (F.col("at") + 1).alias("line"), "text")

@@ -53,23 +53,78 @@ def _paragraph(p) -> str:
 
 
 _STRING = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>", re.S)
-_SHOW = re.compile(rb"\[((?:[^\[\]\\]|\\.|\((?:[^()\\]|\\.)*\))*)\]\s*TJ|(\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\")|(T\*|T[dDm]|ET)\b", re.S)
+_SHOW = re.compile(
+    rb"/(?P<font>[^\s/<>\[\]()]+)\s+[-+.\d]+\s+Tf\b|\[(?P<many>(?:[^\[\]\\()]|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\))*)\]\s*TJ|(?P<one>\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\")|(?P<line>T\*|(?:T[dDm]|ET)\b)",
+    re.S,
+)
+_PART = re.compile(_STRING.pattern + rb"|(?P<shift>-\d+(?:\.\d+)?)", re.S)
+#: Fixed value: a shift between strings, in thousandths, from which on it stands for a blank.
+BLANK_SHIFT = -200
 
 
-def _string(raw: bytes) -> str:
+def _raw(raw: bytes) -> bytes:
+    """The bytes of a string in parentheses or in hexadecimal."""
     if raw[:1] == b"<":
-        data = bytes.fromhex(re.sub(rb"\s", b"", raw[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", raw[1:-1])) % 2))
-    else:
-        short = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-        data = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: short.get(m[1], b"" if m[1][:1] in b"\r\n" else bytes([int(m[1], 8) & 255]) if m[1].isdigit() else m[1]), raw[1:-1], flags=re.S)
-    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    short = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: short.get(m[1], b"" if m[1][:1] in b"\r\n" else bytes([int(m[1], 8) & 255]) if m[1].isdigit() else m[1]), raw[1:-1], flags=re.S)
+
+
+class _Font:
+    """Codes of a font and the text that they stand for; without a map, bytes of a western encoding."""
+
+    def __init__(self, cmap: bytes = b"", wide: bool = False):
+        self.text: dict[int, str] = {}
+        spaces = re.findall(rb"begincodespacerange(.*?)endcodespacerange", cmap, re.S)
+        first = re.search(rb"<([0-9A-Fa-f]+)>", spaces[0]) if spaces else None
+        self.width = len(first[1]) // 2 if first else 2 if wide else 1
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+            for code, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f\s]*)>", block):
+                self.text[int(code, 16)] = self._unicode(to)
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+            for low, high, to, each in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f\s]*)>|\[(.*?)\])", block, re.S):
+                low, high = int(low, 16), min(int(high, 16), int(low, 16) + 0xFFFF)
+                if each:
+                    self.text |= dict(zip(range(low, high + 1), map(self._unicode, re.findall(rb"<([0-9A-Fa-f\s]*)>", each))))
+                elif start := self._unicode(to):
+                    self.text |= {c: start[:-1] + chr(min(ord(start[-1]) + c - low, 0x10FFFF)) for c in range(low, high + 1)}
+
+    @staticmethod
+    def _unicode(digits: bytes) -> str:
+        return _raw(b"<" + digits + b">").decode("utf-16-be", "replace")
+
+    def decode(self, data: bytes) -> str:
+        if not self.text:
+            return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+        n = max(1, self.width)
+        codes = (int.from_bytes(data[i : i + n], "big") for i in range(0, len(data), n))
+        return "".join(self.text.get(c, chr(c) if n == 1 and 32 <= c < 127 else "") for c in codes)
+
+
+class _Objects(dict):
+    """Objects by number, and the values of their dictionaries, followed through references."""
+
+    def value(self, body: bytes, key: bytes) -> bytes:
+        m = re.search(rb"/" + key + rb"(?![A-Za-z0-9])\s*", body)
+        if not m:
+            return b""
+        ref = re.compile(rb"(\d+)\s+\d+\s+R").match(body, m.end())
+        if ref:
+            return self.get(int(ref[1]), b"")
+        depth, at = 0, m.end()
+        for mark in re.finditer(rb"<<|>>", body[m.end() :]):
+            depth += 1 if mark[0] == b"<<" else -1
+            if depth <= 0:
+                return body[at : at + mark.end()]
+        return body[at:]
 
 
 def pdf_pages(data: bytes) -> list[str]:
-    """The text of each page: uncompressed or deflated content streams with simple fonts; anything else raises."""
+    """The text of each page: uncompressed or deflated content streams, fonts with maps to Unicode or simple ones; anything else raises."""
     if not data.startswith(b"%PDF-"):
         raise ParseError("not a PDF")
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
+    objects = _Objects((int(m[1]), m[2]) for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S))
 
     def stream(body: bytes) -> bytes:
         m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
@@ -106,11 +161,37 @@ def pdf_pages(data: bytes) -> list[str]:
             break
     if not pages:
         raise ParseError("the PDF has no readable pages (damaged, encrypted or scanned)")
+    made: dict[bytes, _Font] = {}
+
+    def fonts(page: bytes) -> dict[bytes, _Font]:
+        """The fonts of a page by name; resources may be inherited."""
+        body = page
+        for _ in range(64):
+            found = objects.value(objects.value(body, b"Resources"), b"Font")
+            if found or not (body := objects.value(body, b"Parent")):
+                break
+        out = {}
+        for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", found):
+            font = objects.get(int(number), b"")
+            if number not in made:
+                made[number] = _Font(stream(objects.value(font, b"ToUnicode")), b"/Type0" in font)
+            out[name] = made[number]
+        return out
+
     out = []
     for name in pages:
         m = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", objects[name], re.S)
         content = b"\n".join(stream(objects.get(int(k), b"")) for k in re.findall(rb"(\d+)\s+\d+\s+R", m[1])) if m else b""
-        text = "".join("\n" if s[3] else "".join(_string(x) for x in _STRING.findall(s[1] or s[2])) for s in _SHOW.finditer(content))
-        out.append(re.sub(r"\s*\n\s*", "\n", text).strip())
+        known, font, text = fonts(objects[name]), _Font(), []
+        for s in _SHOW.finditer(content):
+            if s["font"] is not None:
+                font = known.get(s["font"]) or _Font()
+            elif s["line"] is not None:
+                text.append("\n")
+            elif s["one"] is not None:
+                text.append(font.decode(_raw(s["one"])))
+            else:
+                for part in _PART.finditer(s["many"]):
+                    text.append((" " if float(part["shift"]) <= BLANK_SHIFT else "") if part["shift"] else font.decode(_raw(part[0])))
+        out.append(re.sub(r"\s*\n\s*", "\n", "".join(text)).strip())
     return out
-

@@ -10,7 +10,7 @@ from sedimenta.operators import pipeline
 from sedimenta.operators.collection import ParquetCollections
 from sedimenta.operators.embedding import Provider
 from sedimenta.plans.embed_plan import EmbedPlan
-from sedimenta.sources.files import parse_texts
+from sedimenta.sources.files import parse_texts, text_hashes
 
 #: What a source row of the stream looks like; of several versions of a path in one batch the latest counts.
 SOURCE = "source_path string, text string, modified_at timestamp"
@@ -35,7 +35,7 @@ def ingest(stream: DataFrame, plan: EmbedPlan, provider: Provider, store: Parque
 
     def step(batch: DataFrame, _: int) -> None:
         rows = newest(batch).filter(F.col("source_path").isNotNull())
-        hashes = rows.select("source_path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_hash"))
+        hashes = text_hashes(rows, "source_path")
         sections = parse_texts(rows).filter(F.col("text").isNotNull())
         pipeline.run(batch.sparkSession, sections, hashes, plan, provider, store, ledger_path, tokens=tokens)
 

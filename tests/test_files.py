@@ -74,8 +74,8 @@ def test_blocks(spark, tmp_path):
     text = "\n".join(f"line {i} é" + "\n" * (i % 3 == 0) for i in range(400)) + "\nlast without end"
     (tmp_path / "t.txt").write_text(text)
     for size, block in ((97, 40), (1000, 200), (10**6, 10**6)):
-        rows = text_blocks(spark, [str(tmp_path / "t.txt")], size, block).orderBy("section_index").collect()
-        assert "".join("".join(r["text"] for r in rows).split()) == "".join(text.split()) and len({r["section_index"] for r in rows}) == len(rows)
+        rows = text_blocks(spark, [str(tmp_path / "t.txt")], size, block).orderBy("place", "chunk_in_section").collect()
+        assert "".join("".join(r["text"] for r in rows).split()) == "".join(text.split()) and len({(r["place"], r["chunk_in_section"]) for r in rows}) == len(rows)
     lines = [f'{{"i": {i}}}' if i % 4 else "" for i in range(300)]
     (tmp_path / "t.jsonl").write_text("\n".join(lines))
     for size in (50, 10**6):

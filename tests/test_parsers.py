@@ -126,6 +126,17 @@ def test_word_and_pdf():
             read(bad)
 
 
+def test_pdf_with_a_map_to_unicode():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0048> <0002> <D83DDE00> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<00660069> <00E9>] endbfrange"
+    stream = lambda b: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(b), b)
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 5 0 R /F2 7 0 R >> >> >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>",
+        4: stream(b"BT /F1 12 Tf <00010010> Tj [<0020> -300 <0021> -20 <0012>] TJ T* <0002> Tj /F2 9 Tf (plain) Tj ET"), 5: b"<< /Type /Font /Subtype /Type0 /ToUnicode 6 0 R >>", 6: stream(cmap), 7: b"<< /Type /Font /Subtype /Type1 >>",
+    }
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % kv for kv in objects.items()) + b"%%EOF"
+    assert office.pdf_pages(data) == ["Hafi éc\n😀plain"]
+
+
 def test_every_sample_row_is_parsed(spark, data, tmp_path):
     import json
 

@@ -55,6 +55,25 @@ def test_ranking(spark):
     assert r.rank_tfidf(spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame([], "chunk_id string, text string"), 5).count() == 0
 
 
+def test_frequent_terms(spark, monkeypatch):
+    from sedimenta.operators import lookups
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5), ("z", 6)], "k string, v int")
+    values = spark.createDataFrame([("a", 70, "A"), ("b", 20, "B"), ("c", 10, "C"), ("d", 1, "D")], "k string, n long, w string")
+    want = [(1, "A"), (2, "A"), (3, "B"), (4, "C"), (5, None), (6, None)]
+    for most, frequent in ((10, 0.5), (0, 0.5), (0, 0.0), (0, 1.0)):
+        got = lookups.look_up(rows, values, "k", "n", most, frequent)
+        assert sorted((r["v"], r["w"]) for r in got.collect()) == want
+    monkeypatch.setattr(lookups, "MOST", 0)
+    monkeypatch.setattr(lookups, "FREQUENT", 0.2)
+    test_ranking(spark)
+
+
+def test_smallest(spark):
+    df = spark.createDataFrame([(v,) for v in ["b", "a", "a", "a", "a", "a", "a", "a", "a", "c", None, "d"]], "v string")
+    assert r.smallest(df, "v", 2) == ["a", "b"] and r.smallest(df, "v", 9) == ["a", "b", "c", "d"] and r.smallest(df.limit(0), "v", 3) == []
+
+
 CORPUS = {"ops.md": "# Deploys\n\nRoll out on Mondays.\n\n## Rollback\n\nUse the previous image.", "keys.md": "# Keys\n\nRotate keys every quarter."}
 
 

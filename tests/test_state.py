@@ -238,6 +238,11 @@ def test_export(spark, tmp_path):
         with pytest.raises(UserError):
             call()
     report = open(export.write_report(chunks, PLAN, f"{tmp_path}/r.txt")).read()
+    os.symlink(f"{tmp_path}/r.txt", f"{tmp_path}/alias.txt")
+    for target, given in ((f"{tmp_path}/r.txt", f"{tmp_path}/alias.txt"), (f"{tmp_path}/v.jsonl", f"{tmp_path}/v.jsonl/part")):
+        with pytest.raises(UserError, match="overwrite"):
+            export.check_target(target, [given])
+    export.check_target(f"{tmp_path}/new.jsonl", [f"{tmp_path}/r.txt"])
     assert "Files: 2\nChunks: 3" in report and report.index("Source: a.md") < report.index("CHUNK 2 OF 2") < report.index("Source: b.md")
     cost = export.cost_summary(chunks, "text-embedding-3-small").first()
     assert cost["n_chunks"] == 3 and cost["shown"] == "<$0.0001" and export.cost_summary(chunks, "nobody").first()["shown"] == "unknown"
@@ -275,15 +280,74 @@ def test_configuration(tmp_path):
         Config(path)
 
 
-def test_command_line(tmp_path, capsys, monkeypatch):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     import sedimenta.__main__ as cli
 
     monkeypatch.setattr(cli, "CONFIG", f"{tmp_path}/config.json")
+    for name in ("OPENAI_API_KEY", "PINECONE_API_KEY", "DATABASE_URL"):
+        monkeypatch.delenv(name, raising=False)
     (tmp_path / "a.md").write_text("# A\n\nx")
     assert cli.main(["plan", f"{tmp_path}/a.md", "--chunk-size", "99", "--metadata", "k=v"]) == 0
     assert json.loads(capsys.readouterr().out)["chunkSize"] == 99
-    assert cli.main(["plan", f"{tmp_path}/none.md"]) == 1 and cli.main(["config", "set", "defaults.provider", "openai"]) == 0 and cli.main(["config", "get", "defaults.provider"]) == 0
+    assert cli.main(["plan", f"{tmp_path}/a.md", "--out", f"{tmp_path}/plan.json"]) == 0 and json.load(open(f"{tmp_path}/plan.json"))["splitter"] == "markdown"
+    assert cli.main(["plan", f"{tmp_path}/none.md"]) == 1 and cli.main(["init", "--provider", "openai", "--db", "pinecone"]) == 0 and cli.main(["config", "get", "defaults.provider"]) == 0
     assert "openai" in capsys.readouterr().out and cli.main(["providers"]) == 0
+    assert cli.main(["check"]) == 1 and capsys.readouterr().out.count("set ") == 2 and cli.main(["check", "--provider", "hash", "--db", "parquet"]) == 0
+    assert cli.main(["embed", f"{tmp_path}/a.md"]) == 1, "what is lacking is told before anything is read"
+    work = ["--provider", "hash", "--db", "parquet", "--model", "m", "--tokens", "words", "--store", f"{tmp_path}/store"]
+    (tmp_path / "b.txt").write_text("some words of a text")
+    both = [f"{tmp_path}/a.md", f"{tmp_path}/b.txt"]
+    assert cli.main(["embed", *both, *work, "--collection", "kb", "--dry-run"]) == 0 and not os.path.exists(f"{tmp_path}/store")
+    assert "some words" in capsys.readouterr().out
+    assert cli.main(["embed", *both, *work, "--collection", "kb", "--out", f"{tmp_path}/v.jsonl"]) == 0
+    out = capsys.readouterr()
+    assert "embedded=1" in out.out and "1/1" in out.err and os.path.isdir(f"{tmp_path}/v.jsonl")
+    assert cli.main(["embed", *both, *work, "--collection", "kb"]) == 0 and "embedded=0" in capsys.readouterr().out
+    (tmp_path / "in.jsonl").write_text("{}")
+    assert cli.main(["embed", f"{tmp_path}/in.jsonl", *work, "--out", f"{tmp_path}/in.jsonl"]) == 1 and (tmp_path / "in.jsonl").read_text() == "{}"
+    (tmp_path / "bad.jsonl").write_text("{")
+    assert cli.main(["chunks", f"{tmp_path}/bad.jsonl", *work, "--out", f"{tmp_path}/c.txt"]) == 2 and "malformed JSON" in capsys.readouterr().err
+
+
+def test_evaluation_from_files(spark, tmp_path, capsys, monkeypatch):
+    import sedimenta.__main__ as cli
+
+    monkeypatch.setattr(cli, "CONFIG", f"{tmp_path}/config.json")
+    (tmp_path / "corpus").mkdir()
+    (tmp_path / "corpus/keys.md").write_text("# Keys\n\nRotate keys every quarter.")
+    (tmp_path / "corpus/ops.md").write_text("# Deploys\n\nRoll out on Mondays.")
+    manifest = {"version": 1, "name": "small", "topK": 1, "baselineExperiment": "m", "experiments": [{"id": "m", "splitter": "markdown", "chunkSize": 80, "overlap": 0}], "thresholds": {"hitRate": 1.0}}
+    (tmp_path / "manifest.json").write_text(json.dumps(manifest))
+    queries = [{"id": "q", "text": "how often rotate keys", "relevant": [{"source": "keys.md", "contains": "every quarter"}]}]
+    (tmp_path / "queries.json").write_text(json.dumps({"version": 1, "queries": queries}))
+    call = ["eval", f"{tmp_path}/manifest.json", f"{tmp_path}/corpus", f"{tmp_path}/queries.json", "--out", f"{tmp_path}/out/result", "--tokens", "words"]
+    assert cli.main(call) == 0
+    assert json.load(open(f"{tmp_path}/out/result.json"))["ok"] and "small" in open(f"{tmp_path}/out/result.html").read() and len(os.listdir(f"{tmp_path}/out")) == 2
+    (tmp_path / "queries.json").write_text("{}")
+    assert cli.main(call) == 1
+
+
+def test_planner(tmp_path, monkeypatch):
+    from sedimenta.plans import planner
+
+    (tmp_path / "a.md").write_text("# A " + "x" * 9000)
+    answer = json.dumps({"splitter": "markdown", "chunkSize": 400, "overlap": 40, "collection": "kb", "metadata": {"a": "1", "b": "2"}})
+    shapes = {"anthropic": {"content": [{"type": "text", "text": answer}]}, "openai": {"choices": [{"message": {"content": answer}}]}, "google": {"candidates": [{"content": {"parts": [{"text": answer}]}}]}}
+    for name, reply in shapes.items():
+        v = planner.vendor(name, "secret", planner.MODELS[name], "prompt")
+        assert v.read(reply) == answer and "secret" in str(v.headers) and "secret" not in v.url and "prompt" in json.dumps(v.body)
+    got = planner.proposed_plan(str(tmp_path / "a.md"), "m", lambda prompt: answer, {"b": "3"})
+    assert (got.splitter, got.chunk_size, got.metadata) == ("markdown", 400, {"a": "1", "b": "3"}) and len(planner.head_of(str(tmp_path / "a.md"))) == 4096
+    config = Config(str(tmp_path / "c.json"))
+    assert planner.choose({"OPENAI_API_KEY": "o", "ANTHROPIC_API_KEY": "a"}, config) == ("anthropic", "a")
+    assert planner.choose({"OPENAI_API_KEY": "o", "ANTHROPIC_API_KEY": "a", "SEDIMENTA_PLANNER": "openai"}, config) == ("openai", "o")
+    for env, name in (({}, None), ({}, "openai"), ({"OPENAI_API_KEY": "o"}, "nobody")):
+        with pytest.raises(UserError):
+            planner.choose(env, config, name)
+    config.set("apiKeys.google", "g")
+    assert planner.choose({}, config) == ("google", "g")
+    with pytest.raises(ProviderError):
+        planner.asker("openai", "k", base="http://127.0.0.1:9", timeout=2)("x")
 
 
 def test_shared_folder(spark):
