@@ -94,7 +94,7 @@ def existing_time(text: str) -> bool:
 
 
 _AGAIN = T.StructType().add("quoting", T.BooleanType()).add("cells", T.ArrayType(T.StringType()))
-_JUDGED = T.StructType().add("reason", T.StringType()).add("event", T.StringType()).add("user_id", T.StringType()).add("ts", T.StringType())
+_JUDGED = T.StructType().add("judged", T.BooleanType()).add("reason", T.StringType()).add("event", T.StringType()).add("user_id", T.StringType()).add("ts", T.StringType())
 
 
 @F.arrow_udf(_AGAIN)
@@ -108,7 +108,7 @@ def _read_again(line: pa.Array) -> pa.Array:
 def _judge_json(line: pa.Array) -> pa.Array:
     got = [(None, ()) if x is None else json_reason(x) for x in line.to_pylist()]
     values = [[v[1][i] if v[1] else None for v in got] for i in range(3)]
-    return pa.StructArray.from_arrays([pa.array([v[0] for v in got], pa.string()), *(pa.array(v, pa.string()) for v in values)], ["reason", *JSON_KEYS])
+    return pa.StructArray.from_arrays([line.is_valid(), pa.array([v[0] for v in got], pa.string()), *(pa.array(v, pa.string()) for v in values)], ["judged", "reason", *JSON_KEYS])
 
 
 def classify_records(records: DataFrame) -> DataFrame:
@@ -159,18 +159,20 @@ _STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f
 _PAIR = rf'{_STRING}[ \t\n\r]*+:[ \t\n\r]*+(?:{_STRING}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][-+]?[0-9]++)?+|true|false|null)[ \t\n\r]*+'
 FLAT_OBJECT = rf"\A[ \t\n\r]*+\{{[ \t\n\r]*+(?:{_PAIR}(?:,[ \t\n\r]*+{_PAIR})*+)?+\}}[ \t\n\r]*+\z"
 _HALF_PAIR = r"\\u[dD][89a-fA-F]"
-_TIME_PARTS = r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)\z"
+_TIME_SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)\z"
+_FRACTION, _ZONE = r"[.,]([0-9]+)", r"([+-])([0-9]{2}):?([0-9]{2})?\z"
 
 
 def instant(ts: Column) -> Column:
     """The timestamp that an ISO 8601 date and time with seconds and zone denotes, null if there is none; any zone of less than a day."""
-    part = lambda k: F.regexp_extract(ts, _TIME_PARTS, k)
-    local = F.concat(part(1), F.lit("T"), part(2), F.lit("."), F.rpad(F.substring(part(3), 1, 6), 6, "0"), F.lit("Z")).try_cast("timestamp")
-    zone = F.regexp_replace(part(4), "[^0-9]", "")
-    hours, minutes = (F.coalesce(F.substring(zone, at, 2).try_cast("long"), F.lit(0)) for at in (1, 3))
-    shift = (hours * 60 + minutes) * F.when(part(4).startswith("-"), F.lit(-60_000_000)).otherwise(F.lit(60_000_000)).cast("long")
-    there = (hours < 24) & (minutes < 60) & ~part(1).startswith("0000")
-    return F.when(there, F.timestamp_micros(F.unix_micros(local) - shift))
+    second = F.concat(F.substring(ts, 1, 19), F.lit("Z")).try_cast("timestamp")
+    fraction = F.rpad(F.substring(F.regexp_extract(ts, _FRACTION, 1), 1, 6), 6, "0").try_cast("long")
+    local = F.when(F.length(ts) == 20, second).otherwise(F.timestamp_micros(F.unix_micros(second) + F.coalesce(fraction, F.lit(0))))
+    hours, minutes = (F.coalesce(F.regexp_extract(ts, _ZONE, k).try_cast("long"), F.lit(0)) for k in (2, 3))
+    sign = F.when(F.regexp_extract(ts, _ZONE, 1) == "-", F.lit(-60_000_000)).otherwise(F.lit(60_000_000)).cast("long")
+    moved = F.when((hours < 24) & (minutes < 60), F.timestamp_micros(F.unix_micros(local) - (hours * 60 + minutes) * sign))
+    # most times are in universal time: the others alone are taken apart
+    return F.when(ts.rlike(_TIME_SHAPE) & ~ts.startswith("0000"), F.when(ts.endswith("Z"), local).otherwise(moved))
 
 
 def _jsonl(kept: DataFrame) -> DataFrame:
@@ -182,8 +184,9 @@ def _jsonl(kept: DataFrame) -> DataFrame:
     corrupt = F.col("p.corrupt").isNotNull() | F.col("p").isNull() | ~line.rlike(FLAT_OBJECT) | line.rlike(_HALF_PAIR)
     for k in JSON_KEYS:
         corrupt = corrupt | ~line.rlike(rf'"{k}"[ \t\n\r]*+:[ \t\n\r]*+"') | line.rlike(rf'(?s)"{k}".*"{k}"')
-    rows = rows.withColumn("again", corrupt).withColumn("a", _judge_json(F.when(F.col("again"), line)))
-    value = lambda k: F.when(F.col("again"), F.col(f"a.{k}")).otherwise(F.col(f"p.{k}"))
+    # the judge tells which records it got, so that what makes a record corrupt is evaluated once
+    rows = rows.withColumn("a", _judge_json(F.when(corrupt, line)))
+    value = lambda k: F.when(F.col("a.judged"), F.col(f"a.{k}")).otherwise(F.col(f"p.{k}"))
     rows = rows.select("row_id", "file_kind", "line_no", "raw_line", F.col("a.reason").alias("found"), *[value(k).alias(k) for k in JSON_KEYS]).withColumn("at", instant(F.col("ts")))
     said = lambda k: F.col(k).rlike(r"(?U)[^\s\x1c-\x1f]")
     ok = said("event") & said("user_id") & F.col("at").isNotNull()
