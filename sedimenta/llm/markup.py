@@ -63,6 +63,9 @@ _WIKI_HEADING = re.compile(r"[ \t]*(={1,6})[ \t]*([^=\s](?:.*?[^=\s])?)[ \t]*\1[
 _LATEX_HEADING = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph|title)\*?(?:\[[^\]\n]*\])?\{")
 _LATEX_LEVEL = {"title": 1, "part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "subparagraph": 6}
 _TABULAR = re.compile(r"\\begin\{(tabular[xy*]?|array|longtable)\}(?:\[[^\]\n]*\])?(?:\{[^\n]*?\})*[ \t]*\n?(.*?)(?:\\end\{\1\}|\Z)", re.S)
+_UNDERLINE = re.compile(r"[ ]{0,3}(?:=+|-{2,})[ \t]*\Z")
+_RULE = re.compile(r"[ ]{0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,})\Z")
+_LATEX_ITEM = re.compile(r"[ \t]*\\item\b(?:\[([^\]\n]*)\])?[ \t]*")
 _LIST_ENV = re.compile(r"[ \t]*\\(begin|end)\{(itemize|enumerate|description)\}(?:\[[^\]\n]*\])?[ \t]*")
 _ANY_ENV = re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?")
 _BARE = re.compile(r"\\(?:item|hline|toprule|midrule|bottomrule|maketitle|tableofcontents|noindent|centering|newline|newpage|par|LaTeX|TeX|ldots|dots|appendix|bigskip|medskip|smallskip)\b[ \t]?")
@@ -381,8 +384,10 @@ class _Reading:
         return i
 
     def blocks(self, text: str) -> str:
-        text = _TABULAR.sub(self.tabular, text)
-        text = self.latex_headings(text)
+        slashed = "\\" in text
+        if slashed:
+            text = _TABULAR.sub(self.tabular, text)
+            text = self.latex_headings(text)
         if "[" in text and _DEFINITION.search(text):
             names = {m[1].lower() for m in _DEFINITION.finditer(text)}
             text = _DEFINITION.sub(lambda m: self.empty("markdown"), text)
@@ -398,8 +403,11 @@ class _Reading:
         while i < len(lines):
             line = lines[i]
             after = lines[i + 1] if i + 1 < len(lines) else ""
+            bare = line.lstrip()
+            # by what a line begins with most kinds of block are ruled out
+            first, below = bare[:1], after.lstrip()[:1]
             fresh = not prose or not prose[-1].strip()
-            env = _LIST_ENV.match(line)
+            env = _LIST_ENV.match(line) if first == "\\" else None
             if env:
                 flush()
                 name = "ol" if env[2] == "enumerate" else "ul"
@@ -407,11 +415,11 @@ class _Reading:
                 lines[i] = line[env.end() :]
                 i += not lines[i].strip()
                 continue
-            item = re.match(r"[ \t]*\\item\b(?:\[([^\]\n]*)\])?[ \t]*", line)
+            item = _LATEX_ITEM.match(line) if first == "\\" else None
             if item:
                 flush()
                 out.append(self.open("li", "latex") + (item[1] + " " if item[1] else "") + self.inline(line[item.end() :]))
-            elif line.lstrip().startswith("{|"):
+            elif first == "{" and bare.startswith("{|"):
                 flush()
                 k = bisect_left(closing, i)
                 stop = closing[k] if k < len(closing) else None
@@ -428,20 +436,20 @@ class _Reading:
                     i += 1
                     rows.append(self.row(self.pipe_cells(lines[i])))
                 out.append(self.around("".join(rows), "table", "" if self.bare_tables else "markdown"))
-            elif m := _ATX.match(line):
+            elif first == "#" and (m := _ATX.match(line)):
                 flush()
                 out.append(self.heading("markdown", len(m[1]), m[2]))
-            elif (m := _WIKI_HEADING.match(line)) and (len(m[1]) > 1 or fresh):
+            elif first == "=" and (m := _WIKI_HEADING.match(line)) and (len(m[1]) > 1 or fresh):
                 flush()
                 out.append(self.heading("wiki", len(m[1]), m[2]))
-            elif line.strip() and re.fullmatch(r"[ ]{0,3}(?:=+|-{2,})[ \t]*", after) and fresh and not _ITEM.match(line) and "|" not in line:
+            elif below and below in "=-" and first and _UNDERLINE.match(after) and fresh and not _ITEM.match(line) and "|" not in line:
                 flush()
                 out.append(self.heading("markdown", 1 if "=" in after else 2, line))
                 i += 1
-            elif re.fullmatch(r"[ ]{0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,})", line) and fresh:
+            elif first and first in "*_-" and fresh and _RULE.match(line):
                 flush()
                 out.append(self.open("hr", "wiki" if line.strip() == "----" else "markdown"))
-            elif _QUOTED.match(line):
+            elif first == ">" and _QUOTED.match(line):
                 flush()
                 i = self.quotation(lines, i, out)
                 continue
@@ -498,11 +506,17 @@ def read(text: str, bare_tables: bool = False) -> Node | None:
     """
     r = _Reading(bare_tables)
     text = _INNER.sub("", text).replace("\r\n", "\n")
-    text = _CODE.sub(r.code, text)
-    text = _MATH.sub(r.math, text)
-    text = _DOCTYPE.sub(lambda m: r.empty("html"), text)
-    text = _HTML_TAG.sub(r.tag, text)
-    text = _ENTITY.sub(r.entity, text)
+    # each kind of mark is only looked for where the character it needs occurs
+    slashed, angled = "\\" in text, "<" in text
+    if slashed or angled or "`" in text or "~~~" in text:
+        text = _CODE.sub(r.code, text)
+    if slashed or "$" in text:
+        text = _MATH.sub(r.math, text)
+    if angled:
+        text = _DOCTYPE.sub(lambda m: r.empty("html"), text)
+        text = _HTML_TAG.sub(r.tag, text)
+    if "&" in text:
+        text = _ENTITY.sub(r.entity, text)
     marked = r.blocks(text)
     return r.tree(marked) if r.elements else None
 
