@@ -126,20 +126,20 @@ def document_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or bpe.vocabulary_path()
     found = materialise(_occurrences(docs, path), "occurrences")
     named = found.filter(F.col("piece").isNotNull())
-    # what needs no look-up takes no part in the join
-    single = found.filter(F.col("piece").isNull()).select("doc_id", F.col("times").alias("tokens"))
     distinct = named.groupBy("piece").agg(F.count(F.lit(1)).alias("docs"))
     counts = materialise(piece_counts(distinct, path), "piece-counts")
     facts = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("docs"), F.lit(0)).alias("all")).head()
-    times = (F.col("times") * F.col("tokens")).alias("tokens")
+    tokens = (F.col("times") * F.coalesce("tokens", F.lit(1))).alias("tokens")
     if facts["n"] <= BROADCAST_PIECES:
-        looked = named.join(F.broadcast(counts.select("piece", "tokens")), "piece").select("doc_id", times)
+        looked = found.join(F.broadcast(counts.select("piece", "tokens")), "piece", "left").select("doc_id", tokens)
     else:
+        # null pieces need no look-up, frequent ones none over the network
         often = F.col("docs") > FREQUENT * facts["all"]
-        marked = named.join(F.broadcast(counts.filter(often).select("piece", "tokens")), "piece", "left")
-        rare = marked.filter(F.col("tokens").isNull()).drop("tokens").join(counts.filter(~often).select("piece", "tokens"), "piece")
-        looked = marked.filter(F.col("tokens").isNotNull()).select("doc_id", times).unionByName(rare.select("doc_id", times))
-    return single.unionByName(looked).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
+        marked = found.join(F.broadcast(counts.filter(often).select("piece", "tokens")), "piece", "left")
+        rare = F.col("piece").isNotNull() & F.col("tokens").isNull()
+        cold = marked.filter(rare).drop("tokens").join(counts.filter(~often).select("piece", "tokens"), "piece").select("doc_id", tokens)
+        looked = marked.filter(~rare).select("doc_id", tokens).unionByName(cold)
+    return looked.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
 
 
 def label(column: str, region: bool = False) -> Column:
