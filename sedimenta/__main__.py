@@ -141,6 +141,8 @@ def _work(args, settings) -> int:
 
     if args.out:
         export.check_target(args.out, paths)
+    if args.command == "embed" and args.dry_run and (args.out or args.force or args.checkpoint):
+        raise UserError("a dry run stores nothing: it takes neither --out nor --force nor --checkpoint")
     if args.command == "embed" and not args.dry_run and (lacking := missing(dict(os.environ), settings, runtime["provider"], runtime["db"])):
         raise UserError("; ".join(lacking))
     spark = local_session()

@@ -1,7 +1,7 @@
 """What is stored of each source, and what a new version of it changes.
 
 A ledger row names a chunk of a source in a collection: ``vector_db, collection, source_path,
-source_hash, plan_hash, provider, model, dim, chunk_index, chunk_id, meta_json``.
+source_hash, plan_hash, provider, model, dim, chunk_index, chunk_id, meta_json, recorded_at``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sedimenta.errors import IntegrityError
 
 LEDGER = (
-    "vector_db string, collection string, source_path string, source_hash string, plan_hash string, provider string, model string, dim int, chunk_index int, chunk_id string, meta_json string"
+    "vector_db string, collection string, source_path string, source_hash string, plan_hash string, provider string, model string, dim int, chunk_index int, chunk_id string, meta_json string, recorded_at string"
 )
 #: A collection's part of a source: what was stored under another collection or database says nothing about it.
 PART = ["vector_db", "collection", "source_path"]
@@ -84,13 +84,30 @@ def conflicts(ledger: DataFrame, provider: str, model: str, dim: int) -> DataFra
     return ledger.filter(other).select(*PART, "provider", "model", "dim").distinct()
 
 
+def damaged(ledger: DataFrame) -> DataFrame:
+    """Rows that no run can have written: hashes and ids of another form, or without place."""
+    digest = lambda c, n: F.coalesce(F.col(c).rlike(f"^[0-9a-f]{{{n}}}$"), F.lit(False))
+    fine = digest("source_hash", 64) & digest("plan_hash", 64) & digest("chunk_id", 16) & F.coalesce(F.col("chunk_index") >= 0, F.lit(False)) & F.coalesce(F.col("dim") > 0, F.lit(False))
+    return ledger.filter(~fine)
+
+
 def check_ledger(ledger: DataFrame, provider: str, model: str, dim: int, force: bool = False) -> None:
-    """Raises if a stored part conflicts, unless forced."""
-    bad = None if force else conflicts(ledger, provider, model, dim).head()
+    """Raises if a stored part is damaged or conflicts, unless forced."""
+    if force:
+        return
+    torn = damaged(ledger).head()
+    if torn:
+        raise IntegrityError(f"the ledger's entry {torn['chunk_index']} of {torn['source_path']} is damaged; use force to write it anew")
+    bad = conflicts(ledger, provider, model, dim).head()
     if bad:
         raise IntegrityError(f"{bad['source_path']} in {bad['collection']} was embedded by {bad['provider']}/{bad['model']} ({bad['dim']} dimensions); use another collection or force")
 
 
+def iso_now() -> Column:
+    """The time of the query in ISO 8601, in universal time with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def job_key(columns: list[str]) -> Column:
     """SHA-256 over what identifies a job, as JSON in the order of ``columns``."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)

@@ -19,7 +19,7 @@ from sedimenta.operators.chunking import chunk_sections
 from sedimenta.operators.embedding import Provider, embed_chunks
 from sedimenta.operators.incremental import VersionedTarget
 from sedimenta.operators.jobs import Progress, check_progress
-from sedimenta.operators.ledger import LEDGER, PART, check_ledger, job_key, remaining, up_to_date, work_set
+from sedimenta.operators.ledger import LEDGER, PART, check_ledger, iso_now, job_key, remaining, up_to_date, work_set
 from sedimenta.plans.embed_plan import EmbedPlan
 from sedimenta.session import materialise
 
@@ -58,7 +58,6 @@ def run(
     at = target.version
     ledger = target.read() if at else spark.createDataFrame([], LEDGER)
     part = ledger.filter((F.col("vector_db") == store.name) & (F.col("collection") == plan.collection))
-    check_ledger(part, provider.name, plan.embedding_model, dim, force)
     sources = hashes.withColumn("plan_hash", F.lit(plan.hash))
     n_sources = sources.count()
     fixed = {"vector_db": store.name, "collection": plan.collection, "provider": provider.name, "model": plan.embedding_model, "dim": dim, "tokens": tokens}
@@ -69,6 +68,7 @@ def run(
     n_changed = changed.count()
     if not n_changed:
         return Outcome(n_sources, n_sources, 0, 0, 0)
+    check_ledger(part, provider.name, plan.embedding_model, dim, force)
     # several branches read the chunks: written once, they survive lost executors
     if callable(sections):
         made = sections(changed.select("source_path"))
@@ -108,7 +108,8 @@ def run(
     if n_gone:
         nothing = spark.createDataFrame([], "chunk_id string, vector array<float>, content string, metadata string")
         store.apply(plan.collection, nothing, gone)
-    entries = chunks.select("source_path", "chunk_index", "chunk_id", "meta_json").join(changed, "source_path").select(*[c.split()[0] for c in LEDGER.split(", ")])
+    entries = chunks.select("source_path", "chunk_index", "chunk_id", "meta_json").join(changed, "source_path").withColumn("recorded_at", iso_now())
+    entries = entries.select(*[c.split()[0] for c in LEDGER.split(", ")])
     if target.publish_changes(entries, changed.select(*PART), PART, at) <= (at or 0):
         raise IntegrityError("the ledger didn't advance")
     progress.forget(changed)

@@ -102,6 +102,8 @@ def relevant_chunks(chunks: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels``: query_id, source, contains.  Equal sources are joined, the text is tested in the join.
     """
     hit = F.contains(F.lower("text"), F.lower("contains"))
+    # few labels go to the chunks, however many chunks a source has
+    labels = F.broadcast(labels) if labels.count() <= MOST else labels
     return chunks.select("chunk_id", "source", "text").join(labels, "source").filter(hit).select("query_id", "chunk_id").distinct()
 
 

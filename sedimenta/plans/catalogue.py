@@ -382,9 +382,8 @@ def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
 def vector_upsert_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every point: stored are those embedded up to the middle of the time that the table covers, then come those embedded later and, once more, the stored ids below '4'."""
     points = table(spark, folder, "chunk_vectors").select("chunk_id", F.unix_micros("embedded_at").alias("at"))
-    # one row
-    middle = F.broadcast(points.agg(F.expr("(min(at) + max(at)) div 2").alias("middle")))
-    sided = points.crossJoin(middle).select("chunk_id", F.coalesce(F.col("at") > F.col("middle"), F.lit(False)).alias("late"))
+    middle = points.agg(F.expr("(min(at) + max(at)) div 2")).head()[0]
+    sided = points.select("chunk_id", F.coalesce(F.col("at") > F.lit(middle), F.lit(False)).alias("late"))
     stored = sided.filter(~F.col("late")).select("chunk_id", F.lit("first").alias("content")).distinct()
     rows = sided.filter(F.col("late") | (F.col("chunk_id") < "4")).select("chunk_id", F.lit("second").alias("content")).distinct()
     return collection.upserted(stored, rows)

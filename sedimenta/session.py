@@ -72,6 +72,19 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def _release_at_exit() -> None:
+    """Tables that nobody can read any more go with the process, as long as its session still answers."""
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None:
+        try:
+            release(spark)
+        except Exception:
+            pass  # the session is gone: the folder's owner removes what is left
+
+
+atexit.register(_release_at_exit)
+
+
 def materialise(df, name: str):
     """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -78,6 +78,18 @@ def test_pipeline(spark, tmp_path):
         run(rows, EmbedPlan("markdown", 50, 5, "kb", "m2"))
 
 
+def test_damaged_ledger(spark):
+    good = {"vector_db": "parquet", "collection": "kb", "source_path": "a", "source_hash": "a" * 64, "plan_hash": "b" * 64, "provider": "hash", "model": "m", "dim": 8, "chunk_index": 0, "chunk_id": "c" * 16, "meta_json": None, "recorded_at": None}
+    make = lambda **k: spark.createDataFrame([tuple({**good, **k}.values())], ledger.LEDGER)
+    ledger.check_ledger(make(), "hash", "m", 8)
+    for bad in ({"chunk_id": "x"}, {"source_hash": None}, {"chunk_index": -1}, {"dim": 0}, {"plan_hash": "B" * 64}):
+        with pytest.raises(IntegrityError, match="damaged"):
+            ledger.check_ledger(make(**bad), "hash", "m", 8)
+        ledger.check_ledger(make(**bad), "hash", "m", 8, force=True)
+    stamp = spark.range(1).select(ledger.iso_now().alias("t")).first()["t"]
+    assert len(stamp) == 24 and stamp[10] == "T" and stamp[-1] == "Z"
+
+
 def test_failed_run_is_taken_up_again(spark, tmp_path):
     class Failing(HashProvider):
         def embed(self, texts, model):
@@ -298,7 +310,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "b.txt").write_text("some words of a text")
     both = [f"{tmp_path}/a.md", f"{tmp_path}/b.txt"]
     assert cli.main(["embed", *both, *work, "--collection", "kb", "--dry-run"]) == 0 and not os.path.exists(f"{tmp_path}/store")
-    assert "some words" in capsys.readouterr().out
+    assert "some words" in capsys.readouterr().out and cli.main(["embed", *both, *work, "--dry-run", "--force"]) == 1
     assert cli.main(["embed", *both, *work, "--collection", "kb", "--out", f"{tmp_path}/v.jsonl"]) == 0
     out = capsys.readouterr()
     assert "embedded=1" in out.out and "1/1" in out.err and os.path.isdir(f"{tmp_path}/v.jsonl")
