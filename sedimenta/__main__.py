@@ -9,8 +9,6 @@ import os
 import sys
 
 from sedimenta.errors import SedimentaError, UserError
-from sedimenta.plans import config as conf
-from sedimenta.plans.embed_plan import DEFAULT_MODELS, heuristic_plan, load_plan, merge_plan, parse_metadata
 
 CONFIG = os.path.join(os.path.expanduser("~"), ".sedimenta", "config.json")
 DATABASES = ("parquet", "chroma", "pgvector", "pinecone", "qdrant")
@@ -56,6 +54,8 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _plan(args, path: str, runtime: dict, settings):
+    from sedimenta.plans.embed_plan import heuristic_plan, load_plan, merge_plan, parse_metadata
+
     meta = parse_metadata(args.metadata) if args.metadata else None
     given = {"splitter": args.splitter, "chunk_size": args.chunk_size, "overlap": args.overlap, "collection": args.collection or runtime["collection"], "metadata": meta}
     if args.plan:
@@ -116,6 +116,8 @@ def _evaluate(args) -> int:
 
 
 def _work(args, settings) -> int:
+    from sedimenta.plans import config as conf
+
     runtime = conf.resolve({"provider": args.provider, "model": args.model, "collection": args.collection, "db": args.db}, dict(os.environ), settings)
     from sedimenta.operators import export
     from sedimenta.sources.files import expand_inputs
@@ -180,6 +182,10 @@ def _work(args, settings) -> int:
 
 def main(argv: list[str]) -> int:
     args = _parser().parse_args(argv)
+    # the engine is only loaded once there is something to do
+    from sedimenta.plans import config as conf
+    from sedimenta.plans.embed_plan import DEFAULT_MODELS
+
     logging.basicConfig(format="%(message)s")
     log.setLevel(logging.INFO if args.verbose else logging.WARNING)
     try:

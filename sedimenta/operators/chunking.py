@@ -88,16 +88,17 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
     spread = chunks if "section_hash" in chunks.columns else chunks.withColumn("section_hash", F.lit(0).cast("long"))
     keys = ["source_path", "section_index", "section_hash"]
     sizes = spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), (F.max("chunk_in_section") + 1).alias("n"))
-    sizes = materialise(sizes.withColumn("block", F.coalesce(F.floor(F.col("section_index") / BLOCK), F.lit(-1))), "sizes")
+    sizes = sizes.withColumn("block", F.coalesce(F.floor(F.col("section_index") / BLOCK), F.lit(-1)))
+    facts = sizes.agg(F.count(F.lit(1)).alias("sections"), F.max(F.col("rows") > F.col("n")).alias("twice")).head()
     blocks = sizes.groupBy("source_path", "block").agg(F.sum("n").alias("all"))
     start = F.sum("all").over(Window.partitionBy("source_path").orderBy("block")) - F.col("all")
     starts = blocks.select(F.col("source_path").alias("path"), F.col("block").alias("b"), start.alias("start"))
     inner = F.sum("n").over(Window.partitionBy("source_path", "block").orderBy("section_index", "section_hash")) - F.col("n")
     first = sizes.withColumn("inner", inner).join(starts, F.col("source_path").eqNullSafe(F.col("path")) & (F.col("block") == F.col("b")))
     first = first.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("start") + F.col("inner")).alias("_first"))
-    if not sizes.filter(F.col("rows") > F.col("n")).isEmpty():
+    if facts["twice"]:
         spread = spread.dropDuplicates([*keys, "chunk_in_section"])
-    if sizes.count() <= BROADCAST_SECTIONS:
+    if facts["sections"] <= BROADCAST_SECTIONS:
         first = F.broadcast(first)
     joined = spread.join(first, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return joined.withColumn("chunk_index", (F.col("_first") + F.col("chunk_in_section")).cast("int")).drop("_first", *[f"_{k}" for k in keys], *([] if "section_hash" in chunks.columns else ["section_hash"]))

@@ -8,7 +8,7 @@ state and takes the same records again, none skipped and none repeated.
 
 A version is a list of layers.  A run writes one new layer, of the rows it made and the keys it
 settled; rows of a key in older layers no longer count.  What is written is in proportion to what
-changed: a layer is merged with the one below it only once it has half its rows.
+changed: beyond a few layers, one is merged with the one below it once it has half its rows.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.errors import IntegrityError
-from sedimenta.session import scratch
+from sedimenta.session import materialise, scratch
 
 VERSIONS = "_versions"
+#: Layers that are kept side by side before they are merged.
+LAYERS = 4
 #: Seconds for which files that no kept version names may still be in use by a reader or a publisher.
 GRACE = 24 * 3600.0
 
@@ -99,10 +101,11 @@ class VersionedTarget:
     # -- publishing -----------------------------------------------------------------------------
     def _write(self, rows: DataFrame, keys: DataFrame | None) -> dict:
         layer = {"folder": f"layer-{uuid.uuid4().hex}"}
-        rows.write.parquet(f"{self.path}/{layer['folder']}/rows")
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{layer['folder']}/rows")
         if keys is not None:
             keys.distinct().write.parquet(f"{self.path}/{layer['folder']}/keys")
-        layer["rows"] = self.part(layer, "rows").count()
+        layer["rows"] = seen.get.get("n") or 0  # only tells when layers are merged
         return layer
 
     def _publish(self, layers: list[dict], keys: list[str], added: dict, based_on: int | None) -> int:
@@ -143,7 +146,7 @@ class VersionedTarget:
             raise IntegrityError(f"the target is keyed by {now['keys']}, not by {keys}")
         added = self._write(rows, settled.select(*keys))
         layers = [*(now["layers"] if now else []), added]
-        while len(layers) > 1 and 2 * layers[-1]["rows"] >= layers[-2]["rows"]:
+        while len(layers) > LAYERS and 2 * layers[-1]["rows"] >= layers[-2]["rows"]:
             below, above = layers[-2:]
             whole = len(layers) == 2
             merged = self._rows(layers[-2:] if not whole else layers, keys)
@@ -197,7 +200,8 @@ def run_increment(spark: SparkSession, target: VersionedTarget, source: DataFram
     on = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in [*keys, version]]
     rows = source.alias("s").join(newest.alias("n"), on, "left_semi").dropDuplicates([*keys, version])
     shown = F.col(f"s.{version}").isNull() | F.coalesce(F.col(f"t.{version}") >= F.col(f"s.{version}"), F.lit(False))
-    fresh = unseen(rows, state, keys, shown if covered is None else shown | covered)
+    # looked at, transformed and settled: worked out once
+    fresh = materialise(unseen(rows, state, keys, shown if covered is None else shown | covered), "fresh")
     if at is not None and fresh.isEmpty():
         return at
     return target.publish_changes(transform(fresh), fresh.select(*keys), keys, at)

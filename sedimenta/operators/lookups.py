@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.session import materialise
-
 #: Up to so many keys (some 60 bytes each) are broadcast with their values.
 MOST = 300_000
 #: Beyond, keys that make up more than this part of all rows are still broadcast (so at most its inverse of them).
@@ -17,10 +15,10 @@ def look_up(rows: DataFrame, values: DataFrame, key: str, times: str, most: int
     """``rows`` left-joined with ``values`` on ``key``; ``times`` is the column of ``values`` that tells how often a key occurs.
 
     Few values are broadcast.  Of many, the frequent ones are, so that no key makes a hot group, and the
-    rows that are left are joined by key.  ``values`` has each key once; rows with a null key find nothing.
+    rows that are left are joined by key.  ``values`` has each key once and is read several times, so
+    hand over a written table; rows with a null key find nothing.
     """
     most, frequent = MOST if most is None else most, FREQUENT if frequent is None else frequent
-    values = materialise(values, "values")
     facts = values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(times), F.lit(0)).alias("all")).head()
     if facts["n"] <= most:
         return rows.join(F.broadcast(values), key, "left")

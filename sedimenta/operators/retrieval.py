@@ -50,7 +50,7 @@ def norms(weights: DataFrame, key: str) -> DataFrame:
 def text_norms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, norm`` of the weights of every text; terms are taken out of the texts once."""
     tf = materialise(term_frequency(docs, key, text), "terms")
-    return norms(weighted(tf, document_frequency(tf), F.lit(docs.count())), key)
+    return norms(weighted(tf, materialise(document_frequency(tf), "frequencies"), F.lit(docs.count())), key)
 
 
 def smallest(rows: DataFrame, column: str, k: int) -> list:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.errors import IntegrityError
+from sedimenta.operators import incremental
 from sedimenta.operators.incremental import VersionedTarget, outstanding_chunks, run_increment
 
 SPECS = "job_id long, batch_no int, job_key string, source_path string, revision int, source_hash string, plan_hash string, target_chunk_ids array<string>, removed_chunk_ids array<string>, completed_chunk_ids array<string>, source string, op string"
@@ -91,11 +92,13 @@ def test_an_increment_writes_in_proportion(spark, tmp_path):
         run_increment(spark, t, rows.unionByName(change.withColumn("version", F.lit(n))), ["key"], "version", same)
         assert t.version == n and t.read().count() == 20_000 and t.read().filter(F.col("version") == n).count() == 10
     assert bytes_below(tmp_path) - before < 0.1 * before, "not a fifth of the target for each ten rows"
-    assert len(t.current()["layers"]) <= 3, "small layers are merged"
+    assert len(t.current()["layers"]) <= incremental.LAYERS, "small layers are merged"
     assert t.layer(5).count() == 10
 
 
-def test_changes_and_deletions(spark, tmp_path):
+@pytest.mark.parametrize("layers", (1, 4))
+def test_changes_and_deletions(spark, tmp_path, monkeypatch, layers):
+    monkeypatch.setattr(incremental, "LAYERS", layers)
     t = VersionedTarget(spark, f"{tmp_path}/t")
     make = lambda *rows: spark.createDataFrame(rows, "k string, n int")
     shown = lambda: sorted(map(tuple, t.read().collect()), key=repr)
