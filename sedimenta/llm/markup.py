@@ -185,9 +185,22 @@ class _Reading:
         return f"{OPEN}{self.number('#mark', language)}{CLOSE}"
 
     # -- setting aside --------------------------------------------------------------------------
-    def keep(self, text: str, element: str, language: str) -> str:
-        self.kept.append(text)
-        return self.around(f"{KEPT}{len(self.kept) - 1}{CLOSE}", element, language)
+    def settled(self, text: str) -> tuple[str, str]:
+        """A text without inner tags, and empty marks for those that were in it."""
+        if not _INNER.search(text):
+            return text, ""
+        inside = {self.elements[int(m[2])][1] for m in _TAGS.finditer(text) if m[1] == OPEN} - {""}
+        plain = _TAGS.sub(lambda m: self.kept[int(m[2])] if m[1] == KEPT else "", text)
+        return plain, "".join(map(self.empty, sorted(inside)))
+
+    def keep(self, text: str, element: str, language: str, attrs: str = "") -> str:
+        plain, marks = self.settled(text)
+        self.kept.append(plain)
+        return self.around(f"{KEPT}{len(self.kept) - 1}{CLOSE}", element, language, attrs) + marks
+
+    def gone(self, language: str, text: str) -> str:
+        """A mark that leaves nothing of a text but the marks in it."""
+        return self.empty(language) + self.settled(text)[1]
 
     def code(self, m: re.Match) -> str:
         g = m.groupdict()
@@ -219,7 +232,7 @@ class _Reading:
         name = m[2].lower()
         if name not in ELEMENTS:
             return m[0]
-        return self.shut(name, "html") if m[1] else self.open(name, "html", m[3].strip())
+        return self.shut(name, "html") if m[1] else self.open(name, "html", self.settled(m[3])[0].strip())
 
     def entity(self, m: re.Match) -> str:
         if m[1][0] != "#" and m[1] + ";" not in html5:
@@ -259,8 +272,7 @@ class _Reading:
         return self.edited(text, edits)
 
     def hidden(self, text: str, language: str) -> str:
-        self.kept.append(text)
-        return self.around(f"{KEPT}{len(self.kept) - 1}{CLOSE}", "#unseen", language, "hidden")
+        return self.keep(text, "#unseen", language, "hidden")
 
     @staticmethod
     def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
@@ -299,12 +311,12 @@ class _Reading:
             text = _BARE.sub(lambda m: self.empty("latex"), text)
             text = _ESCAPED.sub(lambda m: self.empty("latex"), text)
         if "[" in text:
-            text = _IMAGE.sub(lambda m: self.around(m[1], "#image", "markdown"), text)
-            text = _LINK.sub(lambda m: self.around(m[1], "a", "markdown"), text)
+            text = _IMAGE.sub(lambda m: self.around(m[1], "#image", "markdown") + self.settled(m[2])[1], text)
+            text = _LINK.sub(lambda m: self.around(m[1], "a", "markdown") + self.settled(m[2])[1], text)
             text = _WIKI_LINK.sub(lambda m: self.around(m[2] or m[1], "a", "wiki"), text)
             text = _WIKI_URL.sub(lambda m: self.around(m[2] or m[1], "a", "wiki"), text)
         if "{{" in text:
-            text = _TEMPLATE.sub(lambda m: self.empty("wiki"), text)
+            text = _TEMPLATE.sub(lambda m: self.gone("wiki", m[0]), text)
         if "<" in text:
             text = _AUTOLINK.sub(lambda m: self.around(m[1], "a", "markdown"), text)
         if "''" in text:
@@ -341,7 +353,7 @@ class _Reading:
                     cells = []
             elif s.startswith("|+"):
                 out.append(self.around(self.inline(s[2:].strip()), "caption"))
-            elif s[:1] in "|!":
+            elif s and s[0] in "|!":
                 parts = re.split(r"\|\|" if s[0] == "|" else r"!!|\|\|", s[1:])
                 cells += [re.sub(r"^[^|\[\]{}]*=[^|\[\]{}]*\|", "", p) for p in parts]
             elif s and cells:
@@ -390,7 +402,7 @@ class _Reading:
             text = self.latex_headings(text)
         if "[" in text and _DEFINITION.search(text):
             names = {m[1].lower() for m in _DEFINITION.finditer(text)}
-            text = _DEFINITION.sub(lambda m: self.empty("markdown"), text)
+            text = _DEFINITION.sub(lambda m: self.gone("markdown", m[0]), text)
             text = _REFERENCE.sub(lambda m: self.around(m[1], "a", "markdown") if (m[2] or m[1]).lower() in names else m[0], text)
         lines, out, prose, i = text.split("\n"), [], [], 0
         closing = [k for k, x in enumerate(lines) if x.lstrip().startswith("|}")] if "{|" in text else []

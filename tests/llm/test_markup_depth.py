@@ -43,3 +43,30 @@ def test_long_runs_of_marks(text):
 def test_long_field_names():
     long = "a_name_of_a_column_that_is_longer_than_forty_one_characters"
     assert markup.clean_any(f"{long}: # Head", "fields") == (f"{long}: Head", ["markdown"])
+
+
+@pytest.mark.parametrize(
+    "text,clean,found",
+    [
+        (r"\(a `b` c\)", "a b c", {"latex", "markdown"}), (r"\label{x `y`} z", "z", {"latex", "markdown"}), ("{{note|<b>x</b>}} y", "y", {"wiki", "html"}), ("<img alt=\"`x`\"> y", "x y", {"html", "markdown"}),
+        ("[l](u_`c`_v) w", "l w", {"markdown"}), ("$$ <!-- c --> x $$", "x", {"latex", "html"}),
+    ],
+)
+def test_marks_within_what_is_set_aside(text, clean, found):
+    got = markup.clean_text(text)
+    assert (got[0].split(), got[1]) == (clean.split(), found)
+
+
+def test_no_inner_tag_is_ever_left():
+    import random
+
+    rng = random.Random(11)
+    marks = ["**", "__", "*", "_", "***", "`", "```\n", "# ", "> ", "- ", "| a | b |\n", "| - | - |\n", "[x](y)", "![i](j)", "[[w|l]]", "{{t|", "}}", "''", "'''", "{|\n", "|}\n", "\\emph{", "}", "{", "\\section{", "\\item "]
+    marks += ["\\begin{itemize}\n", "\\end{itemize}\n", "&", "$", "$$", "\\(", "\\)", "&amp;", "<!-- c -->", "<b>", "</b>", "<table>", "<td>", "<img alt='", "'>", "\ufdd0", "\n", "\n\n", " ", "word"]
+    for _ in range(1500):
+        text, found = markup.clean_text("".join(rng.choices(marks, k=rng.randint(0, 50))))
+        assert not any("\ufdd0" <= c <= "\ufdef" for c in text) and found <= set(markup.LANGUAGES)
+
+
+def test_blank_lines_in_a_wiki_table():
+    assert markup.clean_text("{|\n\n! h1 !! h2\n\n|-\n| a || b\n\n|}")[0] == "h1   h2\na    b"
