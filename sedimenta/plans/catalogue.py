@@ -76,12 +76,11 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("chunk_id"), "source", "text")
 
 
-def _end_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The chunk lists of the first and the last snapshot, each key once (latest row)."""
+def _last_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunk list of the newest snapshot, each key once (latest row)."""
     rows = table(spark, folder, "chunk_snapshots")
-    ends = rows.agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b")).head()
-    one = lambda n: rows.filter(F.col("snapshot_no") == n).groupBy("source_path", "chunk_index").agg(F.max(F.struct("loaded_at", "chunk_id")).alias("r")).select("source_path", "chunk_index", "r.chunk_id")
-    return one(ends["a"]), one(ends["b"])
+    last = rows.agg(F.max("snapshot_no")).head()[0]
+    return rows.filter(F.col("snapshot_no") == last).groupBy("source_path", "chunk_index").agg(F.max(F.struct("loaded_at", "chunk_id")).alias("r")).select("source_path", "chunk_index", "r.chunk_id")
 
 
 def _snapshot_steps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -243,8 +242,9 @@ def html_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "sections").dropDuplicates(["section_id"]).filter(F.col("source_path").rlike(r"\.mdx?$"))
-    rows = rows.select(F.concat("source_path", F.lit("/"), F.col("section_id").cast("string"), F.lit(".md")).alias("source_path"), "text")
+    """Every section's text read as Markdown."""
+    rows = table(spark, folder, "sections").dropDuplicates(["section_id"])
+    rows = rows.select(F.concat(F.coalesce("source_path", F.lit("")), F.lit("/"), F.col("section_id").cast("string"), F.lit(".md")).alias("source_path"), "text")
     return files.parse_texts(rows).select("source_path", "section_index", F.concat_ws(" > ", "header_path").alias("header_path"), "header_depth", F.length("text").alias("n_chars"))
 
 
@@ -273,28 +273,16 @@ def chunk_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger.diff_chunks(*_end_snapshots(spark, folder))
+    """Every snapshot against the one before."""
+    return ledger.diff_chunks(*_snapshot_steps(spark, folder), ["snapshot_no", "source_path", "chunk_id"])
 
 
 def diff_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger.outcome_counts(chunk_diff(spark, folder))
+    return ledger.outcome_counts(chunk_diff(spark, folder), ["snapshot_no", "source_path"])
 
 
 def work_set(spark: SparkSession, folder: str) -> DataFrame:
-    old, new = _end_snapshots(spark, folder)
-    return ledger.work_set(new, old).select("source_path", "chunk_index", "chunk_id")
-
-
-def chunk_diff_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """chunk_diff of every snapshot against the one before; chunk_diff itself compares the ends only."""
-    return ledger.diff_chunks(*_snapshot_steps(spark, folder), ["snapshot_no", "source_path", "chunk_id"])
-
-
-def diff_count_steps(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger.outcome_counts(chunk_diff_steps(spark, folder), ["snapshot_no", "source_path"])
-
-
-def work_set_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every snapshot what the one before hadn't."""
     old, new = _snapshot_steps(spark, folder)
     return ledger.work_set(new, old, ["snapshot_no"]).select("snapshot_no", "source_path", "chunk_index", "chunk_id")
 
@@ -325,9 +313,8 @@ def checkpoint_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def selected_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored vectors whose chunk id a removed list names or that the newest snapshot still holds."""
-    _, new = _end_snapshots(spark, folder)
-    return ledger.selected(table(spark, folder, "chunk_snapshots").select("chunk_id", "snapshot_no").distinct(), new)
+    """In which snapshots the chunks stand that the newest one holds."""
+    return ledger.selected(table(spark, folder, "chunk_snapshots").select("chunk_id", "snapshot_no").distinct(), _last_snapshot(spark, folder))
 
 
 def plan_conflicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -335,12 +322,6 @@ def plan_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.conflicts(specs, "tern", "tern-compact-64", 64)
 
 
-def unchanged_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources of whose first two revisions source and plan are the same."""
-    specs = table(spark, folder, "job_specs").select("source_path", "revision", "source_hash", "plan_hash").distinct()
-    return ledger.up_to_date(specs.filter("revision = 2").drop("revision"), specs.filter("revision = 1"))
-
-
 def unchanged_revisions(spark: SparkSession, folder: str) -> DataFrame:
     """Every revision of a source at which source and plan stayed as they were."""
     return ledger.unchanged_revisions(table(spark, folder, "job_specs").select("source_path", "revision", "source_hash", "plan_hash"))
@@ -367,19 +348,7 @@ def point_ids(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunk_vectors").select("chunk_id", collection.point_uuid(F.col("chunk_id")).alias("point_id")).distinct()
 
 
-def _points(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunk_vectors").select("chunk_id", "model", "source_path").distinct()
-
-
 def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """Points of one model stored first, then those of every model that lie below kb/api or kb/faq."""
-    points = _points(spark, folder)
-    stored = points.filter(F.col("model") == "nimbus-embed-64").select("chunk_id", F.lit("first").alias("content"))
-    rows = points.filter(F.col("source_path").rlike("^kb/(api|faq)/")).select("chunk_id").distinct().withColumn("content", F.lit("second"))
-    return collection.upserted(stored.distinct(), rows)
-
-
-def vector_upsert_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every point: stored are those embedded up to the middle of the time that the table covers, then come those embedded later and, once more, the stored ids below '4'."""
     points = table(spark, folder, "chunk_vectors").select("chunk_id", F.unix_micros("embedded_at").alias("at"))
     middle = points.agg(F.expr("(min(at) + max(at)) div 2")).head()[0]
@@ -390,7 +359,7 @@ def vector_upsert_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_delete(spark: SparkSession, folder: str) -> DataFrame:
-    points = _points(spark, folder)
+    points = table(spark, folder, "chunk_vectors").select("chunk_id", "model").distinct()
     return collection.deleted(points.select("chunk_id").distinct(), points.filter(F.col("model").isNull()))
 
 
@@ -464,8 +433,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p3_found, p4_found, p7_found, p7_valid, chunk_ids, source_hashes, line_sections, chunk_numbering, embed_batches, recursive_chunks, code_chunks, markdown_chunks, split_examples, section_examples, csv_chunks, sniffed_types, json_sections, jsonl_sections,
-        csv_sections, jsonl_samples, csv_samples, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, chunk_diff_steps, diff_count_steps, work_set_steps, resume_remaining, checkpoint_strangers, checkpoint_counts, selected_chunks, plan_conflicts, unchanged_sources, unchanged_revisions, job_keys,
-        vector_problems, vector_literals, point_ids, vector_upsert, vector_upsert_all, vector_delete, flat_metadata, listed_metadata, hash_vectors, export_lines, term_frequency, document_frequency, tfidf_norms, tfidf_top, relevant_documents,
+        csv_sections, jsonl_samples, csv_samples, html_sections, markdown_sections, heuristic_plans, estimated_cost, chunk_cost, chunk_diff, diff_counts, work_set, resume_remaining, checkpoint_strangers, checkpoint_counts, selected_chunks, plan_conflicts, unchanged_revisions, job_keys,
+        vector_problems, vector_literals, point_ids, vector_upsert, vector_delete, flat_metadata, listed_metadata, hash_vectors, export_lines, term_frequency, document_frequency, tfidf_norms, tfidf_top, relevant_documents,
         retrieval_metrics, metric_means, threshold_gate,
     )
 }
@@ -484,8 +453,6 @@ _SECTIONS = [
     ("f.jsonl", 0, "", "{\n  \"a\": 1\n}"), ("f.jsonl", 1, "", "x"), ("g.json", 0, "", "[\n  1,\n  null\n]"), ("g.json", 1, "", "t"),
 ]
 
-_ENDS = "ends AS (SELECT min(snapshot_no) AS a, max(snapshot_no) AS b FROM chunk_snapshots), latest AS (SELECT *, row_number() OVER (PARTITION BY snapshot_no, source_path, chunk_index ORDER BY loaded_at DESC, chunk_id DESC) AS rn FROM chunk_snapshots), old AS (SELECT source_path, chunk_index, chunk_id FROM latest, ends WHERE snapshot_no = a AND rn = 1), new AS (SELECT source_path, chunk_index, chunk_id FROM latest, ends WHERE snapshot_no = b AND rn = 1)"
-_DIFF = f"WITH {_ENDS}, o AS (SELECT DISTINCT source_path, chunk_id FROM old), n AS (SELECT DISTINCT source_path, chunk_id FROM new), d AS (SELECT coalesce(o.source_path, n.source_path) AS source_path, coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN o.chunk_id IS NULL THEN 'added' WHEN n.chunk_id IS NULL THEN 'removed' ELSE 'kept' END AS status FROM o FULL JOIN n ON o.source_path = n.source_path AND o.chunk_id = n.chunk_id)"
 _STEPS = "latest AS (SELECT *, row_number() OVER (PARTITION BY snapshot_no, source_path, chunk_index ORDER BY loaded_at DESC, chunk_id DESC) AS rn FROM chunk_snapshots), steps AS (SELECT s, lag(s) OVER (ORDER BY s) AS b FROM (SELECT DISTINCT snapshot_no AS s FROM chunk_snapshots WHERE snapshot_no IS NOT NULL)), old AS (SELECT s AS snapshot_no, source_path, chunk_index, chunk_id FROM latest JOIN steps ON snapshot_no = b WHERE rn = 1), new AS (SELECT snapshot_no, source_path, chunk_index, chunk_id FROM latest JOIN steps ON snapshot_no = s WHERE b IS NOT NULL AND rn = 1)"
 _STEP_DIFF = f"WITH {_STEPS}, b AS (SELECT snapshot_no, source_path, chunk_id, bool_or(o) AS o, bool_or(n) AS n FROM (SELECT snapshot_no, source_path, chunk_id, true AS o, false AS n FROM old UNION ALL SELECT snapshot_no, source_path, chunk_id, false, true FROM new) GROUP BY ALL), d AS (SELECT snapshot_no, source_path, chunk_id, CASE WHEN o AND n THEN 'kept' WHEN n THEN 'added' ELSE 'removed' END AS status FROM b)"
 _JOBS = "t AS (SELECT DISTINCT job_key, chunk_id FROM (SELECT job_key, unnest(target_chunk_ids) AS chunk_id FROM job_specs) WHERE chunk_id IS NOT NULL), c AS (SELECT DISTINCT job_key, chunk_id FROM (SELECT job_key, unnest(completed_chunk_ids) AS chunk_id FROM job_specs) WHERE chunk_id IS NOT NULL)"
@@ -600,20 +567,16 @@ SQL: dict[str, str] = {
         WITH s AS (SELECT model, CAST(sum(tokens) AS BIGINT) AS n_tokens FROM (SELECT DISTINCT estimate_id, model, tokens FROM cost_estimates WHERE tokens >= 0) GROUP BY model),
         u AS (SELECT s.model, n_tokens, n_tokens / 1000000.0 * price AS usd FROM s LEFT JOIN (VALUES ('tern-compact-64', 0.02), ('nimbus-embed-64', 0.13), ('fjord-local-64', 0.0)) AS p(model, price) ON s.model = p.model)
         SELECT model, n_tokens, round(CAST(usd AS DOUBLE), 6) AS usd, CASE WHEN usd IS NULL THEN 'unknown' WHEN usd = 0 THEN '$0.0000' WHEN usd < 0.0001 THEN '<$0.0001' ELSE printf('$%.4f', CAST(usd AS DOUBLE)) END AS shown FROM u""",
-    "chunk_diff": _DIFF + " SELECT * FROM d",
-    "diff_counts": _DIFF + " SELECT source_path, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'removed') AS removed FROM d GROUP BY 1",
-    "work_set": f"WITH {_ENDS} SELECT source_path, chunk_index, chunk_id FROM new EXCEPT SELECT source_path, chunk_index, chunk_id FROM old",
-    "chunk_diff_steps": _STEP_DIFF + " SELECT * FROM d",
-    "diff_count_steps": _STEP_DIFF + " SELECT snapshot_no, source_path, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'removed') AS removed FROM d GROUP BY 1, 2",
-    "work_set_steps": f"WITH {_STEPS} SELECT snapshot_no, source_path, chunk_index, chunk_id FROM new EXCEPT SELECT snapshot_no, source_path, chunk_index, chunk_id FROM old",
+    "chunk_diff": _STEP_DIFF + " SELECT * FROM d",
+    "diff_counts": _STEP_DIFF + " SELECT snapshot_no, source_path, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'removed') AS removed FROM d GROUP BY 1, 2",
+    "work_set": f"WITH {_STEPS} SELECT snapshot_no, source_path, chunk_index, chunk_id FROM new EXCEPT SELECT snapshot_no, source_path, chunk_index, chunk_id FROM old",
     "resume_remaining": f"WITH {_JOBS} SELECT job_key, chunk_id FROM t EXCEPT SELECT job_key, chunk_id FROM c",
     "checkpoint_strangers": f"WITH {_JOBS} SELECT job_key, chunk_id FROM c EXCEPT SELECT job_key, chunk_id FROM t",
     "checkpoint_counts": f"""
         WITH {_JOBS}, a AS (SELECT job_key, chunk_id, max(x) AS target, max(y) AS done FROM (SELECT job_key, chunk_id, 1 AS x, 0 AS y FROM t UNION ALL SELECT job_key, chunk_id, 0, 1 FROM c) GROUP BY ALL)
         SELECT job_key, CAST(sum(target) AS BIGINT) AS targets, CAST(sum(done) AS BIGINT) AS stored, CAST(sum(target * (1 - done)) AS BIGINT) AS left, CAST(sum(done * (1 - target)) AS BIGINT) AS strange FROM a GROUP BY job_key""",
-    "selected_chunks": f"WITH {_ENDS} SELECT DISTINCT chunk_id, snapshot_no FROM chunk_snapshots WHERE chunk_id IN (SELECT chunk_id FROM new)",
+    "selected_chunks": "WITH l AS (SELECT source_path, chunk_index, chunk_id, row_number() OVER (PARTITION BY source_path, chunk_index ORDER BY loaded_at DESC, chunk_id DESC) AS rn FROM chunk_snapshots WHERE snapshot_no = (SELECT max(snapshot_no) FROM chunk_snapshots)) SELECT DISTINCT chunk_id, snapshot_no FROM chunk_snapshots WHERE chunk_id IN (SELECT chunk_id FROM l WHERE rn = 1)",
     "plan_conflicts": "SELECT DISTINCT vector_db, collection_name AS collection, source_path, embedding_provider AS provider, embedding_model AS model, dimensions AS dim FROM job_specs WHERE embedding_provider <> 'tern' OR embedding_model <> 'tern-compact-64' OR dimensions <> 64",
-    "unchanged_sources": "WITH s AS (SELECT DISTINCT source_path, revision, source_hash, plan_hash FROM job_specs), one AS (SELECT source_path, min(source_hash) AS h, min(plan_hash) AS p FROM s WHERE revision = 1 GROUP BY 1 HAVING min(source_hash) = max(source_hash) AND min(plan_hash) = max(plan_hash)) SELECT DISTINCT s.source_path FROM s JOIN one USING (source_path) WHERE revision = 2 AND source_hash = h AND plan_hash = p",
     "unchanged_revisions": """
         WITH r AS (SELECT source_path, revision, CASE WHEN min(source_hash) = max(source_hash) AND min(plan_hash) = max(plan_hash) THEN {'h': min(source_hash), 'p': min(plan_hash)} END AS state
                    FROM job_specs WHERE revision IS NOT NULL GROUP BY ALL),
@@ -623,8 +586,7 @@ SQL: dict[str, str] = {
     "vector_problems": "SELECT DISTINCT vec_id, problem FROM (SELECT vec_id, CASE WHEN vector IS NULL THEN 'missing' WHEN len(vector) <> dim THEN 'dimensions' WHEN len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite' END AS problem FROM chunk_vectors) WHERE problem IS NOT NULL",
     "vector_literals": "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.4f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings",
     "point_ids": "SELECT DISTINCT chunk_id, substr(chunk_id, 1, 8) || '-' || substr(chunk_id, 9, 4) || '-' || substr(chunk_id, 13, 4) || '-' || substr(chunk_id, 1, 4) || '-' || substr(chunk_id, 5, 12) AS point_id FROM chunk_vectors",
-    "vector_upsert": "WITH r AS (SELECT DISTINCT chunk_id FROM chunk_vectors WHERE regexp_matches(source_path, '^kb/(api|faq)/')) SELECT chunk_id, 'second' AS content FROM r UNION ALL SELECT DISTINCT chunk_id, 'first' FROM chunk_vectors WHERE model = 'nimbus-embed-64' AND chunk_id NOT IN (SELECT chunk_id FROM r)",
-    "vector_upsert_all": "WITH m AS (SELECT (min(epoch_us(embedded_at)) + max(epoch_us(embedded_at))) // 2 AS middle FROM chunk_vectors) SELECT chunk_id, CASE WHEN chunk_id < '4' OR bool_or(coalesce(epoch_us(embedded_at) > middle, false)) THEN 'second' ELSE 'first' END AS content FROM chunk_vectors, m GROUP BY chunk_id",
+    "vector_upsert": "WITH m AS (SELECT (min(epoch_us(embedded_at)) + max(epoch_us(embedded_at))) // 2 AS middle FROM chunk_vectors) SELECT chunk_id, CASE WHEN chunk_id < '4' OR bool_or(coalesce(epoch_us(embedded_at) > middle, false)) THEN 'second' ELSE 'first' END AS content FROM chunk_vectors, m GROUP BY chunk_id",
     "vector_delete": "SELECT chunk_id FROM chunk_vectors EXCEPT SELECT chunk_id FROM chunk_vectors WHERE model IS NULL",
     "flat_metadata": "SELECT DISTINCT section_id, '{' || concat_ws(',', '\"contentType\":\"' || content_type || '\"', '\"headerPath\":' || to_json(array_to_string(header_path, '/')), '\"headerDepth\":' || header_depth) || '}' AS metadata FROM sections",
     "listed_metadata": "SELECT DISTINCT section_id, '{' || concat_ws(',', '\"contentType\":\"' || content_type || '\"', '\"headerPath\":' || to_json(header_path)) || '}' AS metadata FROM sections",

@@ -382,7 +382,7 @@ def test_upsert_of_every_point(spark, data):
     from sedimenta.plans.catalogue import QUERIES
 
     ids = {r[0] for r in spark.read.parquet(f"{data}/chunk_vectors.parquet").select("chunk_id").distinct().collect()}
-    rows = [tuple(r) for r in QUERIES["vector_upsert_all"](spark, data).select("chunk_id", "content").collect()]
+    rows = [tuple(r) for r in QUERIES["vector_upsert"](spark, data).select("chunk_id", "content").collect()]
     assert len(rows) == len(ids) and {r[0] for r in rows} == ids and {r[1] for r in rows} == {"first", "second"}
 
 
@@ -392,6 +392,6 @@ def test_a_chunk_that_comes_and_goes_between_the_ends(spark, tmp_path):
     rows = [(n, "a", i, c, "2025-01-01") for n, c in ((1, "x"), (2, "y"), (5, "x")) for i in [0]]
     spark.createDataFrame(rows, "snapshot_no int, source_path string, chunk_index int, chunk_id string, loaded_at string").write.parquet(f"{tmp_path}/chunk_snapshots.parquet")
     got = lambda name, *columns: sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*columns).collect()))
-    assert got("chunk_diff_steps", "snapshot_no", "chunk_id", "status") == [(2, "x", "removed"), (2, "y", "added"), (5, "x", "added"), (5, "y", "removed")]
-    assert got("diff_count_steps", "snapshot_no", "added", "kept", "removed") == [(2, 1, 0, 1), (5, 1, 0, 1)]
-    assert got("work_set_steps", "snapshot_no", "chunk_id") == [(2, "y"), (5, "x")]
+    assert got("chunk_diff", "snapshot_no", "chunk_id", "status") == [(2, "x", "removed"), (2, "y", "added"), (5, "x", "added"), (5, "y", "removed")]
+    assert got("diff_counts", "snapshot_no", "added", "kept", "removed") == [(2, 1, 0, 1), (5, 1, 0, 1)]
+    assert got("work_set", "snapshot_no", "chunk_id") == [(2, "y"), (5, "x")]
