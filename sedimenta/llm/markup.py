@@ -232,7 +232,8 @@ class _Reading:
         name = m[2].lower()
         if name not in ELEMENTS:
             return m[0]
-        return self.shut(name, "html") if m[1] else self.open(name, "html", self.settled(m[3])[0].strip())
+        attrs, marks = self.settled(m[3].strip())
+        return self.shut(name, "html") if m[1] else self.open(name, "html", attrs) + marks
 
     def entity(self, m: re.Match) -> str:
         if m[1][0] != "#" and m[1] + ";" not in html5:
