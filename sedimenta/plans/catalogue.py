@@ -387,7 +387,7 @@ def export_lines(spark: SparkSession, folder: str) -> DataFrame:
     vector = F.from_json(get("vector"), "array<string>")
     return export.export_lines(v).select(
         get("id").alias("chunk_id"), get("sourcePath").alias("source_path"), get("text").alias("text"), get("metadata").alias("metadata"), get("model").alias("model"), get("dimensions").cast("int").alias("dim"),
-        F.size(vector).alias("entries"), F.round(F.try_element_at(vector, F.lit(1)).try_cast("double"), 5).alias("first_entry"),
+        F.coalesce(F.size(vector), F.lit(-1)).alias("entries"), F.round(F.try_element_at(vector, F.lit(1)).try_cast("float").cast("double"), 5).alias("first_entry"),
     )
 
 
