@@ -158,7 +158,6 @@ def _csv(kept: DataFrame) -> DataFrame:
 _STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
 _PAIR = rf'{_STRING}[ \t\n\r]*+:[ \t\n\r]*+(?:{_STRING}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][-+]?[0-9]++)?+|true|false|null)[ \t\n\r]*+'
 FLAT_OBJECT = rf"\A[ \t\n\r]*+\{{[ \t\n\r]*+(?:{_PAIR}(?:,[ \t\n\r]*+{_PAIR})*+)?+\}}[ \t\n\r]*+\z"
-_HALF_PAIR = r"\\u[dD][89a-fA-F]"
 _TIME_SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)\z"
 _FRACTION, _ZONE = r"[.,]([0-9]+)", r"([+-])([0-9]{2}):?([0-9]{2})?\z"
 
@@ -180,10 +179,11 @@ def _jsonl(kept: DataFrame) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
     rows = kept.filter(F.col("file_kind") == "jsonl").withColumn("p", F.from_json("line", schema, options))
     line = F.col("line")
-    # the permissive reader makes a string of every value and stops behind the first object: only flat objects with each key once, as a string, are left to it
-    corrupt = F.col("p.corrupt").isNotNull() | F.col("p").isNull() | ~line.rlike(FLAT_OBJECT) | line.rlike(_HALF_PAIR)
+    # the permissive reader makes a string of every value and stops behind the first object: only flat objects with each key once, as a string, and without numbered characters are left to it
+    corrupt = F.col("p.corrupt").isNotNull() | F.col("p").isNull() | F.contains(line, F.lit("\\u")) | ~line.rlike(FLAT_OBJECT)
     for k in JSON_KEYS:
-        corrupt = corrupt | ~line.rlike(rf'"{k}"[ \t\n\r]*+:[ \t\n\r]*+"') | line.rlike(rf'(?s)"{k}".*"{k}"')
+        twice = F.expr(f"locate('\"{k}\"', line, locate('\"{k}\"', line) + 1) > 0")
+        corrupt = corrupt | twice | ~line.rlike(rf'"{k}"[ \t\n\r]*+:[ \t\n\r]*+"')
     # the judge tells which records it got, so that what makes a record corrupt is evaluated once
     rows = rows.withColumn("a", _judge_json(F.when(corrupt, line)))
     value = lambda k: F.when(F.col("a.judged"), F.col(f"a.{k}")).otherwise(F.col(f"p.{k}"))
