@@ -131,6 +131,11 @@ def classify_records(records: DataFrame) -> DataFrame:
     return _csv(kept).unionByName(_jsonl(kept), allowMissingColumns=True)
 
 
+def _once(c: Column) -> Column:
+    """The same value, behind which filters aren't pushed: pushed down, they would parse every record many times over."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def _csv(kept: DataFrame) -> DataFrame:
     schema = ", ".join(f"{c} STRING" for c in CSV_COLUMNS) + ", corrupt STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "sep": ",", "maxCharsPerColumn": "-1"}
@@ -147,7 +152,7 @@ def _csv(kept: DataFrame) -> DataFrame:
     ok = F.col("i").rlike(r"\A[1-9][0-9]{0,18}\z") & big & cell(4).rlike(r"\A(?:19[0-9][0-9]|20[0-9][0-9]|2100)\z") & cell(5).isin("true", "false")
     reason = F.when(F.col("a.quoting"), "quoting").when(F.size("c") != len(CSV_COLUMNS), "columns").when(~F.coalesce(ok, F.lit(False)), "value")
     good = F.col("reason").isNull()
-    return rows.withColumn("reason", reason).select(
+    return rows.withColumn("reason", _once(reason)).select(
         "row_id", "file_kind", "line_no", "raw_line", "reason",
         F.when(good, F.expr("try_cast(i as bigint)")).alias("id"), *[F.when(good, cell(k)).alias(CSV_COLUMNS[k]) for k in (1, 2, 3)],
         F.when(good, F.expr("try_cast(c[4] as int)")).alias("start_year"), F.when(good, cell(5) == "true").alias("active"),
@@ -192,7 +197,7 @@ def _jsonl(kept: DataFrame) -> DataFrame:
     ok = said("event") & said("user_id") & F.col("at").isNotNull()
     reason = F.coalesce("found", F.when(~F.coalesce(ok, F.lit(False)), "value"))
     good = F.col("reason").isNull()
-    return rows.withColumn("reason", reason).select(
+    return rows.withColumn("reason", _once(reason)).select(
         "row_id", "file_kind", "line_no", "raw_line", "reason", F.when(good, F.col("event")).alias("event"), F.when(good, F.col("user_id")).alias("user_id"), F.when(good, F.col("at")).alias("ts"),
     )
 
