@@ -112,7 +112,8 @@ def line_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_numbering(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
-    rows = docs.select("source_path", F.col("doc_id").cast("int").alias("section_index"), F.posexplode(F.split("text", "\n")).alias("chunk_in_section", "text"))
+    # ids of documents are longs, and so are their sections here
+    rows = docs.select("source_path", F.col("doc_id").alias("section_index"), F.posexplode(F.split("text", "\n")).alias("chunk_in_section", "text"))
     return chunking.number_chunks(rows.drop("text")).select("source_path", "section_index", "chunk_in_section", "chunk_index")
 
 
