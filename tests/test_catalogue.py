@@ -31,3 +31,9 @@ def test_numbering_of_ids_beyond_int(spark, tmp_path):
     _far_documents(spark, tmp_path, "x\ny", None, "z\n\nz")
     got = sorted((r["chunk_index"], r["section_index"], r["chunk_in_section"]) for r in QUERIES["chunk_numbering"](spark, str(tmp_path)).collect())
     assert got == [(0, 2**40 - 2, 0), (1, 2**40 - 2, 1), (2, 2**40 - 2, 2), (3, 2**40, 0), (4, 2**40, 1)]
+
+
+def test_batches_of_ids_beyond_int(spark, tmp_path):
+    _far_documents(spark, tmp_path, "\n" * 69, "\n" * 59)
+    got = QUERIES["embed_batches"](spark, str(tmp_path)).collect()
+    assert sorted((r["source_path"], r["batch_no"], r["n_chunks"]) for r in got) == [("a.md", 0, 64), ("a.md", 1, 64), ("a.md", 2, 2)]
